@@ -1,0 +1,3 @@
+"""DuckDB SQL for the operators that SQL can express."""
+
+ORACLES: dict[str, str] = {}
