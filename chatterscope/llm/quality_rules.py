@@ -76,7 +76,7 @@ def _shared(a: Column) -> Column:
     return F.transform(a, lambda x: F.when(total > 0, x / total).otherwise(0.0))
 
 
-def quality_rules(docs: DataFrame, min_words: int = 50, max_char_js: float = 0.15, max_word_js: float = 0.45) -> DataFrame:
+def quality_rules(docs: DataFrame, min_words: int = 50, max_char_js: float = 0.25, max_word_js: float = 0.36) -> DataFrame:
     """One row per input row: doc_id, the rules' figures, base_failed, kept, char_js, word_js."""
     scratch = Scratch(docs.sparkSession, "quality-rules")
     rows = scratch.put(features(docs))

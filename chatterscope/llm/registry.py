@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chatterscope.llm import oracles, quality_rules, secret_scan, sharding
+from chatterscope.llm import line_templates, mixing, oracles, ordinal_quality, packing, quality_rules, secret_scan, sharding
 from chatterscope.llm.common import table
 
 
@@ -14,6 +14,40 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.secret_scan(docs, repo=F.concat_ws("/", "source", "lang"), owner=F.col("source")))
 
 
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), capacity=1024, end_id=2)
+
+
+#: The mixture's targets: domains, and languages inside every domain; sources of a language weigh the same.
+DOMAINS = {"web": 0.5, "reference": 0.3, "forum": 0.2}
+LANGUAGES = {"en": 0.55, "fr": 0.15, "de": 0.15, "es": 0.15}
+WEIGHTS = {(d,): w for d, w in DOMAINS.items()} | {(d, x): w for d in DOMAINS for x, w in LANGUAGES.items()}
+
+
+def domain() -> Column:
+    """The tables name no domain; a source's is fixed by its CRC."""
+    return F.get(F.array(*map(F.lit, DOMAINS)), (F.crc32(F.coalesce("source", F.lit(""))) % 3).cast("int"))
+
+
+LEVELS = {"domain": domain, "lang": lambda: F.col("lang"), "source": lambda: F.col("source")}
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = mixing.mix(docs, {k: f() for k, f in LEVELS.items()}, WEIGHTS, total_tokens=1.0, max_epochs=2)
+    return out.select("doc_id", "epoch", "n_tokens", "take_tokens")
+
+
+def op9_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_templates.drop_recurring_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", "text")
+
+
+def op10_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = ordinal_quality.train(docs, table(spark, sf_dir, "labels"))
+    return ordinal_quality.classify(docs, model).select("doc_id", "expected_grade", "tail_prob", F.col("accepted").alias("kept"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
 
@@ -23,5 +57,5 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op2_secret_scan, op7_quality_rules, op8_sharding)}
+QUERIES = {f.__name__: f for f in (op2_secret_scan, op3_best_fit_packing, op4_mixing, op7_quality_rules, op8_sharding, op9_line_templates, op10_ordinal_quality)}
 ORACLES: dict[str, str] = dict(oracles.ORACLES)

@@ -1,13 +1,13 @@
 """Sharding by a k-d tree with distributed weighted medians.
 
 A node that still has to give k shards is split along its widest metadata dimension at the weighted quantile
-floor(k/2)/k of its bytes; leaves are the shards. A dimension's key is its value (20 bits) above a 32-bit hash of
-the text, so equal texts are neighbours in every dimension and a cut divides them only where one group of
+floor(k/2)/k of its bytes; leaves are the shards. The dimensions are length, bytes a character
+(the script) and characters a line. A dimension's key is its value (20 bits) above a 32-bit hash of the text, so equal texts are neighbours in every dimension and a cut divides them only where one group of
 copies is itself larger than the tolerance; then doc_id's hash divides it. Quantiles come from histograms of at
 most ``BINS`` bins a node, refined around the cut until the bin at the cut weighs less than the tolerance: what
 reaches the driver is bounded by nodes x BINS, whatever the input's size.
 
-Defined cases: a null text has no bytes and the empty text's hash; null metadata count as the lowest value; ties and
+Defined cases: a null text has no bytes and the empty text's hash; ties and
 repeated rows are divided by hash of the id, whole rows if the ids are equal; no rows give no rows.
 """
 
@@ -22,21 +22,20 @@ BINS = 1024
 TOP = 1 << 20
 
 
-def _unit(c: Column) -> Column:
-    """A category's place among 2^20 by hash."""
-    return F.when(c.isNull(), 0).otherwise(F.pmod(F.xxhash64(c), F.lit(TOP))).cast("long")
-
-
 def metadata(docs: DataFrame) -> DataFrame:
     t = F.coalesce("text", F.lit(""))
     size = F.octet_length(t).cast("long") + 8
-    rows = docs.select("doc_id", size.alias("size"), F.crc32(F.encode(t, "UTF-8")).alias("text_crc32"), F.xxhash64(t).alias("_th"), F.col("lang"), F.col("source"))
+    lines = F.length(t) - F.length(F.replace(t, F.lit("\n"), F.lit(""))) + 1
+    rows = docs.select("doc_id", size.alias("size"), F.crc32(F.encode(t, "UTF-8")).alias("text_crc32"), F.xxhash64(t).alias("_th"), F.length(t).alias("_n"), lines.alias("_lines"))
     low = F.shiftrightunsigned("_th", 32).bitwiseAND(0xFFFFFFFF)
+    scaled = lambda v, most: F.least(F.lit(TOP - 1), F.floor(v * F.lit(TOP / most))).cast("long")
     key = lambda v: (v * F.lit(1 << 32) + low).cast("long")
-    length = F.least(F.lit(TOP - 1), F.floor(F.log2(F.col("size").cast("double")) * F.lit(TOP / 40.0))).cast("long")
+    size_, n = F.col("size").cast("double"), F.col("_n").cast("double")
     return rows.select(
         "doc_id", "size", "text_crc32", F.pmod(F.xxhash64("doc_id", "_th"), F.lit(TOP)).cast("long").alias("_u"),
-        key(length).alias("_d0"), key(_unit(F.col("lang"))).alias("_d1"), key(_unit(F.col("source"))).alias("_d2"),
+        key(scaled(F.log2(size_), 32.0)).alias("_d0"),
+        key(scaled((size_ - 8) / F.greatest(n, F.lit(1.0)) - 1, 3.001)).alias("_d1"),
+        key(scaled(F.log2(1 + n / F.col("_lines")), 32.0)).alias("_d2"),
     )
 
 
