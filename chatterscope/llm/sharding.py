@@ -20,6 +20,8 @@ from chatterscope.llm.common import Scratch, dense_index
 
 BINS = 1024
 TOP = 1 << 20
+#: So many copies of one text are never divided: a hash of the id would divide them by chance only.
+FEW = 16
 
 
 def metadata(docs: DataFrame) -> DataFrame:
@@ -78,8 +80,9 @@ def split_tree(meta: DataFrame, n_shards: int, tolerance: float, dims: list[str]
             value = F.coalesce(*[F.when(node == n, F.col(dim[n])) for n in box])
             inside = F.coalesce(*[F.when(node == n, (F.col(dim[n]) >= F.lit(b[0])) & (F.col(dim[n]) < F.lit(b[1]))) for n, b in box.items()], F.lit(False))
             bins: dict[int, dict[int, int]] = {n: {} for n in box}
-            for r in at.where(inside).groupBy("_node", ((value - low - F.pmod(value - low, wide)) / wide).cast("long").alias("bin")).agg(F.sum("size").alias("w")).collect():
-                bins[r["_node"]][r["bin"]] = r["w"]
+            members: dict[tuple[int, int], int] = {}
+            for r in at.where(inside).groupBy("_node", ((value - low - F.pmod(value - low, wide)) / wide).cast("long").alias("bin")).agg(F.sum("size").alias("w"), F.count(F.lit(1)).alias("n")).collect():
+                bins[r["_node"]][r["bin"]], members[r["_node"], r["bin"]] = r["w"], r["n"]
             for n in list(box):
                 target, (left, right), total = want[n]
                 a, b = box[n]
@@ -95,7 +98,7 @@ def split_tree(meta: DataFrame, n_shards: int, tolerance: float, dims: list[str]
                 elif step == 1:  # one key: copies of a text, divided only if they weigh more than the tolerance
                     w = bins[n][hit]
                     near = target - acc
-                    if w <= tolerance * total:
+                    if w <= tolerance * total or members[n, hit] <= FEW:
                         share = TOP if near * 2 >= w else 0
                     else:
                         share = round(TOP * near / w)
