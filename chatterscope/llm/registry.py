@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chatterscope.llm import line_templates, mixing, oracles, ordinal_quality, packing, posting_lists, quality_rules, secret_scan, sharding
+from chatterscope.llm import line_templates, mixing, oracles, ordinal_quality, packing, posting_lists, quality_rules, secret_scan, sharding, suffix_tree
 from chatterscope.llm.common import table
 
 
@@ -48,6 +48,10 @@ def op10_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordinal_quality.classify(docs, model).select("doc_id", "expected_grade", "tail_prob", F.col("accepted").alias("kept"))
 
 
+def op5_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_tree.score(table(spark, sf_dir, "documents"))
+
+
 def op6_posting_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return posting_lists.search(table(spark, sf_dir, "embeddings"), is_query=F.col("id") % 100 == 0)
 
@@ -61,5 +65,5 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op2_secret_scan, op3_best_fit_packing, op4_mixing, op6_posting_lists, op7_quality_rules, op8_sharding, op9_line_templates, op10_ordinal_quality)}
+QUERIES = {f.__name__: f for f in (op2_secret_scan, op3_best_fit_packing, op4_mixing, op5_suffix_tree, op6_posting_lists, op7_quality_rules, op8_sharding, op9_line_templates, op10_ordinal_quality)}
 ORACLES: dict[str, str] = dict(oracles.ORACLES)
