@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chatterscope.llm import line_templates, mixing, oracles, ordinal_quality, packing, posting_lists, quality_rules, secret_scan, sharding, suffix_tree
+from chatterscope.llm import line_templates, mixing, near_dup, oracles, ordinal_quality, packing, posting_lists, quality_rules, secret_scan, sharding, suffix_tree
 from chatterscope.llm.common import table
 
 
+def op1_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"), size=5, percent=75)
+
+
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return secret_scan.digest(secret_scan.secret_scan(docs, repo=F.concat_ws("/", "source", "lang"), owner=F.col("source")))
@@ -65,5 +69,5 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op2_secret_scan, op3_best_fit_packing, op4_mixing, op5_suffix_tree, op6_posting_lists, op7_quality_rules, op8_sharding, op9_line_templates, op10_ordinal_quality)}
+QUERIES = {f.__name__: f for f in (op1_near_dup, op2_secret_scan, op3_best_fit_packing, op4_mixing, op5_suffix_tree, op6_posting_lists, op7_quality_rules, op8_sharding, op9_line_templates, op10_ordinal_quality)}
 ORACLES: dict[str, str] = dict(oracles.ORACLES)
