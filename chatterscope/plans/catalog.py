@@ -2,5 +2,22 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(name: str, oracle: str | None = None) -> Callable:
+    """Register a query under the operators' ids it covers, with its SQL."""
+
+    def add(f: Callable) -> Callable:
+        QUERIES[name] = f
+        if oracle:
+            ORACLES[name] = oracle
+        return f
+
+    return add
+
+
+from chatterscope.plans import accounts, market, opinions, text, upkeep  # noqa: E402, F401  they register themselves
