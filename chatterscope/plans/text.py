@@ -1,0 +1,130 @@
+"""Text queries: tickers, cashtags, rich text, redaction, prefilter, folding, spans."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from chatterscope.functions import metrics as M
+from chatterscope.functions import text as X
+from chatterscope.plans.catalog import query
+from chatterscope.sources import bindings as B
+
+RAW = "CASE doc_id % 6 WHEN 0 THEN 'HK.0' || CAST(1000 + doc_id % 50 AS VARCHAR) WHEN 1 THEN '0' || CAST(1000 + doc_id % 50 AS VARCHAR) || '.hk' WHEN 2 THEN 'aapl.US' WHEN 3 THEN 'XX.123' WHEN 4 THEN ' 00700.HK ' ELSE 'bad ticker' END"
+NORM = "CASE WHEN regexp_full_match(trim(raw), '(HK|US|SH|SZ|SG|JP|KR|hk|us|sh|sz|sg|jp|kr)\\.[.\\-A-Za-z0-9]{1,20}') THEN upper(regexp_replace(trim(raw), '^([A-Za-z]{2,4})\\.(.*)$', '\\2.\\1')) WHEN regexp_full_match(trim(raw), '[.\\-A-Za-z0-9]{1,20}\\.[A-Za-z]{2,4}') THEN upper(trim(raw)) END"
+
+
+def docs(spark, sf):
+    return B.read(spark, sf, "documents")
+
+
+def raw_tickers(spark, sf):
+    return docs(spark, sf).select("doc_id", F.expr(RAW.replace("VARCHAR", "STRING")).alias("raw"))
+
+
+@query("f41_f42_f43_tickers", f"SELECT doc_id, t AS ticker, nullif(regexp_extract(t, '^0([1-9][0-9]{{3}})\\.HK$', 1), '') AS code, CASE WHEN t IS NULL THEN NULL WHEN t LIKE '%.HK' THEN CASE WHEN regexp_full_match(regexp_replace(t, '\\.HK$', ''), '[0-9]+') THEN ltrim(regexp_replace(t, '\\.HK$', ''), '0') ELSE regexp_replace(t, '\\.HK$', '') END ELSE lower(regexp_extract(t, '\\.([^.]+)$', 1)) || ':' || regexp_extract(t, '^(.*)\\.[^.]+$', 1) END AS mention FROM (SELECT doc_id, {NORM} AS t FROM (SELECT doc_id, {RAW} AS raw FROM documents))")
+def tickers(spark, sf):
+    return raw_tickers(spark, sf).select("doc_id", X.normalized_ticker(F.col("raw")).alias("ticker"), X.product_code(F.col("raw")).alias("code"), X.mention_code(F.col("raw")).alias("mention"))
+
+
+@query(
+    "f40_cashtags",
+    "WITH t AS (SELECT doc_id, 'x $0' || CAST(1000 + doc_id % 7 AS VARCHAR) || '.HK$ y 3.1$' AS title, '$Big Fund (0' || CAST(1000 + doc_id % 7 AS VARCHAR) || '.hk)$ and $0' || CAST(2000 + doc_id % 3 AS VARCHAR) || '.HK$ $no ticker$' AS body FROM documents), m AS (SELECT doc_id, '0' || CAST(1000 + doc_id % 7 AS VARCHAR) || '.HK' AS ticker, 'Big Fund' AS display_name, 2 AS occurrences FROM documents UNION ALL SELECT doc_id, '0' || CAST(2000 + doc_id % 3 AS VARCHAR) || '.HK', NULL, 1 FROM documents) SELECT doc_id, ticker, ticker AS raw_ticker, display_name, CAST(occurrences AS BIGINT) AS occurrences FROM m",
+)
+def cashtags(spark, sf):
+    s = lambda n, m: F.concat(F.lit("0"), (F.lit(n) + F.col("doc_id") % m).cast("string"))
+    rows = docs(spark, sf).select("doc_id", F.concat(F.lit("x $"), s(1000, 7), F.lit(".HK$ y 3.1$")).alias("title"), F.concat(F.lit("$Big Fund ("), s(1000, 7), F.lit(".hk)$ and $"), s(2000, 3), F.lit(".HK$ $no ticker$")).alias("body"))
+    return X.cashtags(rows, "doc_id", ["title", "body"])
+
+
+@query("f44_rich_text", "SELECT doc_id, 'hi [smile]@bob$0' || CAST(1000 + doc_id % 9 AS VARCHAR) || '.HK$[表情]' AS text FROM documents")
+def rich_text(spark, sf):
+    import json
+
+    code = F.concat(F.lit("0"), (F.lit(1000) + F.col("doc_id") % 9).cast("string"))
+    rest = json.dumps([{"type": 0, "text": "hi "}, {"type": 1, "emotion": {"text": "smile"}}, {"type": 2, "user": {"nick_name": "bob"}}, {"type": 3, "stock": {"stock_code": "CODE", "market_type_label": "hk"}}, {"type": 6}])
+    raw = F.replace(F.lit(rest), F.lit("CODE"), code)
+    return docs(spark, sf).select("doc_id", X.rich_text(F.from_json(raw, f"array<{X.RICH_ITEM}>")).alias("text"))
+
+
+@query("f51_redaction", "SELECT page_id, CAST(length(regexp_replace(regexp_replace(html, 'https?://[^ \\t\\n\\r\\f\\v]+', '[链接]', 'g'), '@[\\p{L}\\p{N}_]{1,30}', '@[用户]', 'g')) AS BIGINT) AS n FROM pages")
+def redaction(spark, sf):
+    return B.read(spark, sf, "pages").select("page_id", F.length(X.redacted(F.col("html"))).cast("long").alias("n"))
+
+
+@query("p15_sanitized_error", "SELECT doc_id, md5(substr(trim(regexp_replace(text, '[ \\t\\n\\r\\f\\v]+', ' ', 'g')), 1, 500)) AS h FROM documents")
+def sanitized_error(spark, sf):
+    return docs(spark, sf).select("doc_id", F.md5(X.sanitized_error(F.col("text"))).alias("h"))
+
+
+@query("f13_token_estimate", "SELECT doc_id, CAST(ceil((length(regexp_replace(text, '[\\x00-\\x7F]', '', 'g')) * CAST(1.6 AS DOUBLE) + length(regexp_replace(text, '[^\\x00-\\x7F]', '', 'g')) * CAST(0.34 AS DOUBLE)) * CAST(1.15 AS DOUBLE)) AS BIGINT) AS tokens FROM documents")
+def token_estimate(spark, sf):
+    return docs(spark, sf).select("doc_id", M.token_estimate(F.col("text")).alias("tokens"))
+
+
+PRE = "CASE turn % 5 WHEN 0 THEN '' WHEN 1 THEN '$00700.HK$' WHEN 2 THEN '[smile]666' ELSE text END"
+
+
+@query(
+    "v9_f54_prefilter",
+    f"WITH t AS (SELECT conv_id * 100 + turn AS id, role AS author, conv_id % 50 AS feed, {PRE} AS body FROM conversations), e AS (SELECT *, CASE WHEN trim(body) = '' THEN 'empty' WHEN body = '$00700.HK$' THEN 'tag_only' WHEN body = '[smile]666' THEN 'sticker_only' END AS early FROM t), d AS (SELECT *, min(CASE WHEN early IS NULL THEN id END) OVER (PARTITION BY early IS NULL, author, feed, lower(regexp_replace(body, '[ \\t\\n\\r\\f\\v]+', '', 'g'))) AS first FROM e) SELECT id, coalesce(early, CASE WHEN first <> id THEN 'exact_duplicate' END) AS rule FROM d",
+)
+def prefilter(spark, sf):
+    rows = B.read(spark, sf, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), F.col("role").alias("author"), (F.col("conv_id") % 50).alias("feed"), F.expr(PRE).alias("body"))
+    return X.prefilter(rows, "id", "author", "feed", "body").select("id", "rule")
+
+
+@query("v10_f53_near_dup_folding")
+def near_dup_folding(spark, sf):
+    rows = docs(spark, sf).select("lang", (F.col("doc_id") % 7).alias("day"), "doc_id", "text")
+    return X.folded(rows, ["lang", "day"], "doc_id", "text")
+
+
+@query("f46_sentence_spans")
+def sentence_spans(spark, sf):
+    rows = docs(spark, sf).select("doc_id", X.sentences(F.col("text")).alias("s"))
+    return rows.select("doc_id", F.size("s").alias("sentences"), X.sentence_index(F.col("s"), F.lit(100)).alias("at_100"))
+
+
+@query("f45_nfkc", "SELECT page_id, CAST(length(url) AS BIGINT) AS n, url AS folded FROM pages")
+def nfkc(spark, sf):
+    rows = B.read(spark, sf, "pages").select("page_id", X.nfkc(F.col("url")).alias("folded"))
+    return rows.select("page_id", F.length("folded").cast("long").alias("n"), "folded")
+
+
+@query("f47_maximal_names")
+def maximal_names(spark, sf):
+    names = {"the": "1", "other": "2", "other one": "3", "tion": "4", "nation": "5"}
+    return docs(spark, sf).select("doc_id", F.array_join(X.name_codes(F.col("text"), names), ",").alias("codes"))
+
+
+@query("f52_evidence_location", "SELECT doc_id, 0 AS start, CAST(least(20, length(text)) AS INTEGER) AS \"end\", 'exact' AS method FROM documents")
+def evidence_location(spark, sf):
+    rows = docs(spark, sf).select("doc_id", X.located(F.col("text"), F.substring("text", 1, 20)).alias("p"))
+    return rows.select("doc_id", "p.start", "p.end", "p.method")
+
+
+@query("f57_script", "SELECT doc_id, CASE WHEN length(regexp_replace(text, '[^A-Za-z]', '', 'g')) = 0 THEN 'other' ELSE 'en' END AS script FROM documents")
+def script(spark, sf):
+    return docs(spark, sf).select("doc_id", X.script(F.col("text")).alias("script"))
+
+
+TERMS = ("scam", "idiot", "worthless", "guarantee")
+
+
+@query("j18_f55_lexicon_hits", "SELECT term, count(*) AS docs FROM documents, (VALUES ('scam'), ('idiot'), ('worthless'), ('guarantee')) t(term) WHERE contains(lower(text), term) GROUP BY 1")
+def lexicon_hits(spark, sf):
+    """A term list is a parameter: one pass over the texts, no join."""
+    low = F.lower("text")
+    hits = F.filter(F.array(*map(F.lit, TERMS)), lambda t: F.contains(low, t))
+    return docs(spark, sf).select(F.explode(hits).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("docs"))
+
+
+@query("f50_f60_short_names", "SELECT p_partkey, substr(p_name, 1, 8) AS short, CASE WHEN p_type LIKE 'STANDARD%' OR p_type LIKE 'ECONOMY%' THEN 'plain' ELSE 'special' END AS struct FROM part WHERE p_name NOT LIKE '%(%' AND p_name NOT LIKE '% ETF'")
+def short_names(spark, sf):
+    rows = B.read(spark, sf, "part").where("p_name not like '%(%' and p_name not like '% ETF'")
+    return rows.select("p_partkey", X.short_name(F.col("p_name")).alias("short"), F.when(F.col("p_type").rlike("^(STANDARD|ECONOMY)"), "plain").otherwise("special").alias("struct"))
+
+
+@query("f59_links", "SELECT page_id, 'https://example.org/page/' || CAST(page_id AS VARCHAR) || '?from=' || CAST(page_id % 3 AS VARCHAR) AS link FROM pages")
+def links(spark, sf):
+    return B.read(spark, sf, "pages").select("page_id", F.format_string("https://example.org/page/%d?from=%d", "page_id", F.col("page_id") % 3).alias("link"))
