@@ -1,0 +1,152 @@
+"""Account queries: leaders, profiles, composition, mention tables, columns by camp."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+from pyspark.sql import Window as W
+
+from chatterscope.functions import calendar as C
+from chatterscope.functions import metrics as M
+from chatterscope.operators import facts as T
+from chatterscope.plans.catalog import query
+from chatterscope.sources import bindings as B
+
+BASE = B.ctes("feeds", "comments", "products", "mentions")
+D14 = C.build_range("d14", B.ANCHOR)
+LO, HI = C.utc_bounds(D14)
+POSTS = BASE + ", p AS (SELECT f.*, pr.ownership, CASE WHEN share_count IS NULL THEN NULL ELSE like_count + share_count END AS engagement, CASE WHEN k % 23 = 0 THEN NULL WHEN k % 3 = 0 THEN 'news' WHEN k % 3 = 1 THEN 'view' ELSE 'question' END AS post_type FROM feeds f JOIN products pr USING (code))"
+
+
+def posts(spark, sf):
+    k = F.col("k")
+    rows = B.feeds(spark, sf).join(B.products(spark, sf).select("code", "ownership"), "code")
+    kind = F.when(k % 23 == 0, F.lit(None).cast("string")).when(k % 3 == 0, "news").when(k % 3 == 1, "view").otherwise("question")
+    return rows.withColumns({"engagement": F.col("like_count") + F.col("share_count"), "post_type": kind})
+
+
+@query("a21_account_leaders", POSTS + " SELECT author_uid, count(*) AS n, count(*) FILTER (ownership = 'own') AS own, count(*) FILTER (ownership = 'peer') AS peer, bool_or(ownership = 'own') AND bool_or(ownership = 'peer') AS both_camps, CASE WHEN count(*) = count(engagement) THEN CAST(sum(engagement) AS BIGINT) END AS engagement, CAST(sum(comment_count) AS BIGINT) AS comments, arg_max(feed_id, coalesce(engagement, 0) * 1000000 + feed_id) AS top_post FROM p GROUP BY 1")
+def account_leaders(spark, sf):
+    own, peer = F.col("ownership") == "own", F.col("ownership") == "peer"
+    return posts(spark, sf).groupBy("author_uid").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(own).alias("own"), F.count_if(peer).alias("peer"), (F.bool_or(own) & F.bool_or(peer)).alias("both_camps"),
+        M.null_infectious_sum(F.col("engagement")).alias("engagement"), F.sum("comment_count").alias("comments"), F.max_by("feed_id", F.struct(F.coalesce("engagement", F.lit(0)), "feed_id")).alias("top_post"),
+    )
+
+
+@query(
+    "a22_account_profile",
+    POSTS + ", t AS (SELECT author_uid, post_type, count(*) AS n FROM p WHERE post_type IS NOT NULL GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY author_uid ORDER BY n DESC, post_type) AS r, sum(n) OVER (PARTITION BY author_uid) AS total FROM t), v AS (SELECT author_uid, bool_or(post_type IS NULL) AS void FROM p GROUP BY 1) SELECT v.author_uid, void, CASE WHEN NOT void THEN a.post_type END AS main_type, CASE WHEN NOT void AND b.n * 5 >= b.total THEN b.post_type END AS second_type FROM v LEFT JOIN r a ON a.author_uid = v.author_uid AND a.r = 1 LEFT JOIN r b ON b.author_uid = v.author_uid AND b.r = 2",
+)
+def account_profile(spark, sf):
+    """One unknown type voids the profile; a second type counts from a fifth of the posts."""
+    rows = posts(spark, sf)
+    kinds = ("news", "question", "view")
+    g = rows.groupBy("author_uid").agg(F.bool_or(F.col("post_type").isNull()).alias("void"), *[F.count_if(F.col("post_type") == k).alias(k) for k in kinds])
+    order = F.array_sort(F.filter(F.array(*[F.struct((-F.col(k)).alias("n"), F.lit(k).alias("k")) for k in kinds]), lambda x: x["n"] < 0))
+    total = sum((F.col(k) for k in kinds), F.lit(0))
+    second = F.get(order, F.lit(1))
+    return g.select("author_uid", "void", F.when(~F.col("void"), F.get(order, F.lit(0))["k"]).alias("main_type"), F.when(~F.col("void") & (-second["n"] * 5 >= total), second["k"]).alias("second_type"))
+
+
+@query("a23_reach_order", POSTS + ", g AS (SELECT author_uid, CASE WHEN count(*) = count(browse_count) THEN CAST(sum(browse_count) AS BIGINT) END AS views, count(*) AS n, CAST(sum(comment_count) AS BIGINT) AS comments FROM p GROUP BY 1) SELECT *, CAST(row_number() OVER (ORDER BY views DESC NULLS LAST, n DESC, comments DESC, author_uid) AS INTEGER) AS place FROM g")
+def reach_order(spark, sf):
+    g = posts(spark, sf).groupBy("author_uid").agg(M.null_infectious_sum(F.col("browse_count")).alias("views"), F.count(F.lit(1)).alias("n"), F.sum("comment_count").alias("comments"))
+    return g.withColumn("place", F.row_number().over(W.orderBy(F.desc_nulls_last("views"), F.desc("n"), F.desc("comments"), "author_uid")))
+
+
+@query("a24_f12_composition", POSTS + ", s AS (SELECT CASE WHEN k % 29 = 0 THEN 'unknown' WHEN m.feed_id IS NULL THEN 'unmentioned' WHEN ownership = 'own' THEN 'own' ELSE 'other' END AS slice FROM p LEFT JOIN (SELECT DISTINCT feed_id FROM mentions) m USING (feed_id)) SELECT slice, count(*) AS n, CAST(floor(CAST(count(*) AS DOUBLE) / sum(count(*)) OVER () * 100 + 0.5) AS BIGINT) AS pct FROM s GROUP BY 1")
+def composition(spark, sf):
+    named = B.mentions(spark, sf).select("feed_id").distinct().withColumn("_m", F.lit(True))
+    piece = F.when(F.col("k") % 29 == 0, "unknown").when(F.col("_m").isNull(), "unmentioned").when(F.col("ownership") == "own", "own").otherwise("other")
+    g = posts(spark, sf).join(named, "feed_id", "left").groupBy(piece.alias("slice")).agg(F.count(F.lit(1)).alias("n"))
+    return g.withColumn("pct", M.percent(F.col("n"), F.sum("n").over(W.partitionBy())))
+
+
+@query("a25_account_mentions", POSTS + ", g AS (SELECT author_uid, upper(raw_ticker) AS ticker, CAST(sum(greatest(1, occurrences)) AS BIGINT) AS mentions, count(DISTINCT feed_id) AS posts, min(CASE WHEN ownership = 'own' THEN 0 ELSE 1 END) AS camp FROM p JOIN mentions USING (feed_id) GROUP BY 1, 2) SELECT author_uid, ticker, mentions, posts, CAST(row_number() OVER (PARTITION BY author_uid ORDER BY camp, mentions DESC, ticker) AS INTEGER) AS place FROM g")
+def account_mentions(spark, sf):
+    rows = B.mentions(spark, sf).join(posts(spark, sf).select("feed_id", "author_uid", "ownership"), "feed_id")
+    g = rows.groupBy("author_uid", F.upper("raw_ticker").alias("ticker")).agg(F.sum(F.greatest(F.lit(1), "occurrences")).alias("mentions"), F.count_distinct("feed_id").alias("posts"), F.min(F.when(F.col("ownership") == "own", 0).otherwise(1)).alias("_camp"))
+    return g.withColumn("place", F.row_number().over(W.partitionBy("author_uid").orderBy("_camp", F.desc("mentions"), "ticker"))).drop("_camp")
+
+
+ATT = "CASE k % 3 WHEN 0 THEN 'positive' WHEN 1 THEN 'negative' ELSE 'neutral' END"
+
+
+@query(
+    "a26_account_product_events",
+    BASE + f", e AS (SELECT author_uid, code, posted_at AS tm, feed_id AS id, 1 AS post, {ATT} AS att FROM feeds UNION ALL SELECT author_uid, said_code, commented_at, comment_id, 0, {ATT} FROM comments), c AS (SELECT author_uid, code, att, count(*) AS n FROM e GROUP BY 1, 2, 3), d AS (SELECT author_uid, code, arg_max(att, n * 10 - CASE att WHEN 'negative' THEN 0 WHEN 'neutral' THEN 1 ELSE 2 END) AS att, max(n) AS m FROM c GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY author_uid, code ORDER BY post DESC, tm DESC, id DESC) AS r, count(*) OVER (PARTITION BY author_uid, code) AS events FROM e) SELECT r.author_uid, r.code, events, r.id AS representative, CASE WHEN events >= 3 THEN d.att END AS attitude FROM r JOIN d USING (author_uid, code) WHERE r = 1",
+)
+def account_product_events(spark, sf):
+    """Ties between attitudes go to the first by name; the representative is the newest post, else the newest event."""
+    k = F.col("k")
+    att = F.when(k % 3 == 0, "positive").when(k % 3 == 1, "negative").otherwise("neutral").alias("att")
+    e = B.feeds(spark, sf).select("author_uid", "code", F.col("posted_at").alias("at"), F.col("feed_id").alias("id"), F.lit(1).alias("post"), att)
+    e = e.unionByName(B.comments(spark, sf).select("author_uid", F.col("said_code").alias("code"), F.col("commented_at").alias("at"), F.col("comment_id").alias("id"), F.lit(0).alias("post"), att))
+    g = e.groupBy("author_uid", "code").agg(F.count(F.lit(1)).alias("events"), F.max_by("id", F.struct("post", "at", "id")).alias("representative"), *[F.count_if(F.col("att") == a).alias(a) for a in ("negative", "neutral", "positive")])
+    order = F.array_sort(F.array(*[F.struct((-F.col(a)).alias("n"), F.lit(a).alias("a")) for a in ("negative", "neutral", "positive")]))
+    return g.select("author_uid", "code", "events", "representative", F.when(F.col("events") >= 3, F.get(order, F.lit(0))["a"]).alias("attitude"))
+
+
+@query("a27_camp_columns", POSTS + f", s AS (SELECT CAST(i AS INTEGER) AS slot FROM range(14) t(i)), g AS (SELECT CAST(date_diff('day', DATE '{D14.first}', CAST(posted_at + INTERVAL 8 HOUR AS DATE)) AS INTEGER) AS slot, count(*) FILTER (ownership = 'own') AS own, count(*) FILTER (ownership = 'peer') AS peer FROM p WHERE posted_at >= TIMESTAMP '{LO}' AND posted_at < TIMESTAMP '{HI}' GROUP BY 1) SELECT slot, coalesce(own, 0) AS own, coalesce(peer, 0) AS peer FROM s LEFT JOIN g USING (slot)")
+def camp_columns(spark, sf):
+    g = posts(spark, sf).where(C.in_window(F.col("posted_at"), D14)).groupBy(C.bucket(F.col("posted_at"), D14).alias("slot")).agg(F.count_if(F.col("ownership") == "own").alias("own"), F.count_if(F.col("ownership") == "peer").alias("peer"))
+    spine = spark.range(D14.buckets).select(F.col("id").cast("int").alias("slot"))
+    return spine.join(g, "slot", "left").na.fill(0, ["own", "peer"])
+
+
+@query("f49_camp", POSTS + ", x AS (SELECT author_uid, bool_or(ownership = 'own') AS o, bool_or(ownership = 'peer') AS p FROM p WHERE k % 2 = 0 GROUP BY 1) SELECT a.author_uid, CASE WHEN o AND p THEN 'both' WHEN o THEN 'own' WHEN p THEN 'competitor' ELSE 'none' END AS camp FROM (SELECT DISTINCT author_uid FROM feeds) a LEFT JOIN x USING (author_uid)")
+def camp(spark, sf):
+    x = posts(spark, sf).where("k % 2 = 0").groupBy("author_uid").agg(F.bool_or(F.col("ownership") == "own").alias("o"), F.bool_or(F.col("ownership") == "peer").alias("p"))
+    told = F.when(F.col("o") & F.col("p"), "both").when(F.col("o"), "own").when(F.col("p"), "competitor").otherwise("none")
+    return B.feeds(spark, sf).select("author_uid").distinct().join(x, "author_uid", "left").select("author_uid", told.alias("camp"))
+
+
+@query("p12_cascading_filter", POSTS + " SELECT author_uid, post_type, count(*) AS n FROM p WHERE code IN ('click','view') AND CAST(author_uid AS INTEGER) < 50 AND post_type IN ('news','view') GROUP BY 1, 2")
+def cascading_filter(spark, sf):
+    rows = posts(spark, sf)
+    for column, allowed in (("code", ["click", "view"]), ("author_uid", [str(i) for i in range(50)]), ("post_type", ["news", "view"])):
+        rows = rows.where(F.col(column).isin(allowed)) if allowed else rows
+    return rows.groupBy("author_uid", "post_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("p11_visibility", POSTS + ", c AS (SELECT code, count(*) AS n FROM p GROUP BY 1), r AS (SELECT *, CAST(row_number() OVER (ORDER BY n DESC, code) AS INTEGER) AS rank FROM c) SELECT r.code, rank FROM r JOIN products USING (code) WHERE sector = 'traffic' AND contains(lower(r.code), 'i')")
+def visibility(spark, sf):
+    c = posts(spark, sf).groupBy("code").agg(F.count(F.lit(1)).alias("n"))
+    r = c.withColumn("rank", F.row_number().over(W.orderBy(F.desc("n"), "code")))
+    return r.join(B.products(spark, sf).select("code", "sector"), "code").where((F.col("sector") == "traffic") & F.lower("code").contains("i")).select("code", "rank")
+
+
+@query("j2_settled_observation", BASE + ", o AS (SELECT feed_id, commented_at + INTERVAL 20 HOUR * (comment_id % 4) AS tm, k AS likes FROM comments), x AS (SELECT o.*, tm >= posted_at + INTERVAL 24 HOUR AS ripe FROM o JOIN feeds USING (feed_id)) SELECT feed_id, bool_or(ripe) AS settled, CASE WHEN bool_or(ripe) THEN arg_min(likes, tm) FILTER (ripe) ELSE arg_max(likes, tm) END AS likes FROM x GROUP BY 1")
+def settled_observation(spark, sf):
+    hours = F.make_dt_interval(F.lit(0), (F.col("comment_id") % 4 * 20).cast("int"))
+    obs = B.comments(spark, sf).select("feed_id", (F.col("commented_at") + hours).alias("observed_at"), F.col("k").alias("likes"))
+    return T.settled_counters(obs, B.feeds(spark, sf))
+
+
+@query("j3_reply_ancestors", BASE + " SELECT c.comment_id, p.comment_id AS parent, g.comment_id AS grandparent, a.comment_id AS great FROM comments c LEFT JOIN comments p ON p.comment_id = c.reply_to LEFT JOIN comments g ON g.comment_id = p.reply_to LEFT JOIN comments a ON a.comment_id = g.reply_to")
+def reply_ancestors(spark, sf):
+    c = B.comments(spark, sf).select("comment_id", "reply_to")
+    up = lambda n: c.select(F.col("comment_id").alias(n), F.col("reply_to").alias(f"_{n}"))
+    out = c.join(up("parent"), F.col("reply_to") == F.col("parent"), "left")
+    out = out.join(up("grandparent"), F.col("_parent") == F.col("grandparent"), "left")
+    out = out.join(up("great"), F.col("_grandparent") == F.col("great"), "left")
+    return out.select("comment_id", "parent", "grandparent", "great")
+
+
+@query("j12_own_peer_map", BASE + " SELECT a.code, b.code AS peer FROM products a JOIN products b ON a.struct = b.struct AND a.ownership = 'own' AND b.ownership = 'peer'")
+def own_peer_map(spark, sf):
+    p = B.products(spark, sf)
+    return p.where("ownership = 'own'").select("code", "struct").join(p.where("ownership = 'peer'").select(F.col("code").alias("peer"), "struct"), "struct").select("code", "peer")
+
+
+@query("j21_user_fallback", BASE + " SELECT CAST(c_custkey AS VARCHAR) AS user_id, 'profile' AS origin FROM customer WHERE c_custkey <= 60 UNION ALL SELECT author_uid, 'author' FROM (SELECT DISTINCT author_uid FROM feeds) WHERE author_uid NOT IN (SELECT CAST(c_custkey AS VARCHAR) FROM customer WHERE c_custkey <= 60)")
+def user_fallback(spark, sf):
+    known = B.read(spark, sf, "customer").where("c_custkey <= 60").select(F.col("c_custkey").cast("string").alias("user_id"))
+    authors = B.feeds(spark, sf).select(F.col("author_uid").alias("user_id")).distinct().join(known, "user_id", "left_anti")
+    return known.withColumn("origin", F.lit("profile")).unionByName(authors.withColumn("origin", F.lit("author")))
+
+
+@query("s16_csv_cells", POSTS + " SELECT author_uid, feed_id, coalesce(CAST(share_count AS VARCHAR), 'missing') AS shares, coalesce(post_type, 'missing') AS post_type FROM p")
+def csv_cells(spark, sf):
+    cell = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("missing"))
+    return posts(spark, sf).select("author_uid", "feed_id", cell("share_count").alias("shares"), cell("post_type").alias("post_type"))
