@@ -29,12 +29,15 @@ from pyspark.sql import functions as F
 
 from chatterscope.llm.common import Scratch
 
-POSITIONS = 128
+#: Minwise tokens of every document, and of those in large components, where estimates must be sharper.
+POSITIONS, FINE = 128, 1024
 _RNG = np.random.default_rng(11)
-_MUL = (_RNG.integers(1, 1 << 31, POSITIONS, np.uint32) * 2 + 1).astype(np.uint32)
-_ADD = _RNG.integers(0, 1 << 32, POSITIONS, np.uint32)
+_MUL = (_RNG.integers(1, 1 << 31, FINE, np.uint32) * 2 + 1).astype(np.uint32)
+_ADD = _RNG.integers(0, 1 << 32, FINE, np.uint32)
 _WORD = (_RNG.integers(1, 1 << 62, 64, np.uint64) * 2 + 1).astype(np.uint64)
-CACHED = 300_000
+CACHED = 200_000
+#: How far below the threshold an estimate may lie: over three standard deviations for sketches of either length.
+COARSE_SLACK, FINE_SLACK = 0.12, 0.05
 
 
 class Shingles(dict):
@@ -65,15 +68,28 @@ class Shingles(dict):
         return np.unique(h)
 
 
-def minwise(u: np.ndarray) -> np.ndarray:
+def minwise(u: np.ndarray, positions: int = POSITIONS) -> np.ndarray:
     """The least of each position's hash over a set: its minwise tokens."""
     x = (u >> np.uint64(32)).astype(np.uint32)
-    out = np.full(POSITIONS, 0xFFFFFFFF, np.uint32)
-    for at in range(0, len(x), 2048):
-        out = np.minimum(out, (_MUL[:, None] * x[None, at : at + 2048] + _ADD[:, None]).min(axis=1))
+    out = np.full(positions, 0xFFFFFFFF, np.uint32)
+    step = max(64, 2048 * POSITIONS // positions)
+    for at in range(0, len(x), step):
+        out = np.minimum(out, (_MUL[:positions, None] * x[None, at : at + step] + _ADD[:positions, None]).min(axis=1))
     return out
 
 
+def fine_sketches(texts: DataFrame, size: int) -> DataFrame:
+    """rep, n, sig: sketches eight times as long."""
+
+    def each(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        shingles = Shingles()
+        for pdf in parts:
+            sets = [shingles.of(t, size) for t in pdf["text"]]
+            yield pd.DataFrame({"rep": pdf["rep"], "n": [len(u) for u in sets], "sig": [minwise(u, FINE).astype(np.uint8).tobytes() for u in sets]})
+
+    return texts.select("rep", "text").mapInPandas(each, "rep long, n long, sig binary")
+
+
 def mixed(*parts: np.ndarray) -> np.ndarray:
     """One 63-bit hash of several integer arrays."""
     h = np.full(1, 0x8445D61A4E774912, np.uint64)
@@ -162,7 +178,7 @@ def _all(frames: list[DataFrame]) -> DataFrame:
 
 def _estimates(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Jaccard estimates from one byte a position; equal bytes by chance are taken off."""
-    same = np.count_nonzero(a == b, axis=-1) / POSITIONS
+    same = np.count_nonzero(a == b, axis=-1) / a.shape[-1]
     return (same - 1 / 256) / (1 - 1 / 256)
 
 
@@ -202,9 +218,13 @@ def _compare(threshold: float, slack: float, best: int | None):
             r, c = np.nonzero(fit)
             for k in range(0, len(r), 100_000):
                 rr, cc = r[k : k + 100_000] + at, c[k : k + 100_000]
-                est = _estimates(sig[rr], sig[cc])
-                ok = est >= threshold - slack
-                found.append((rr[ok], cc[ok], est[ok]))
+                ok = _estimates(sig[rr, :POSITIONS], sig[cc, :POSITIONS]) >= threshold - COARSE_SLACK
+                rr, cc = rr[ok], cc[ok]
+                for m in range(0, len(rr), 10_000):
+                    r_, c_ = rr[m : m + 10_000], cc[m : m + 10_000]
+                    est = _estimates(sig[r_], sig[c_])
+                    ok = est >= threshold - slack
+                    found.append((r_[ok], c_[ok], est[ok]))
             if best is None and sum(len(f[0]) for f in found) > 500_000:
                 found = [chosen(*map(np.concatenate, zip(*found, strict=True)))]
         if not found:
@@ -245,7 +265,7 @@ def _compare(threshold: float, slack: float, best: int | None):
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
         node, chunk = pdf["node"].to_numpy(), pdf["chunk"].to_numpy()
         ids, size, label = (pdf[k].to_numpy() for k in ("rep", "n", "label"))
-        sig = np.frombuffer(b"".join(pdf["sig"]), np.uint8).reshape(len(pdf), POSITIONS)
+        sig = np.frombuffer(b"".join(pdf["sig"]), np.uint8).reshape(len(pdf), -1)
         first = np.append(True, (np.diff(node) != 0) | (np.diff(chunk) != 0))
         run = np.cumsum(first) - 1
         starts = np.flatnonzero(first)
@@ -406,7 +426,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
 
 
 def near_duplicates(
-    docs: DataFrame, size: int = 5, percent: int = 75, trees: int = 12, small: int = 1_000, levels: int = 2, slack: float = 0.12, exact_rows: int = 150
+    docs: DataFrame, size: int = 5, percent: int = 75, trees: int = 12, small: int = 1_000, levels: int = 2, slack: float = COARSE_SLACK, exact_rows: int = 150
 ) -> DataFrame:
     """doc_id, n_shingles, component_id, kept (it is its component's least id): one row per input row."""
     scratch = Scratch(docs.sparkSession, "near-dup")
@@ -433,9 +453,10 @@ def near_duplicates(
         theirs = scratch.put(leaves.join(large, "rep", "left_semi"))
         tested = scratch.put(maybe.join(large.withColumnRenamed("rep", "a"), "a", "left_semi").distinct())
         found = scratch.put(confirmed(tested, many, size, percent))
+        fine = scratch.put(fine_sketches(many, size))
         for best in (1, 4, 0):
             labels = components(found, scratch)
-            pairs = candidate_pairs(theirs, sets, labels, small, threshold, slack, best).join(tested, ["a", "b"], "left_anti")
+            pairs = candidate_pairs(theirs, fine, labels, small, threshold, FINE_SLACK, best).join(tested, ["a", "b"], "left_anti")
             pairs = scratch.put(pairs)
             if pairs.isEmpty():
                 if best == 0:
