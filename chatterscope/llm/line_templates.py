@@ -1,7 +1,7 @@
 """Line dedup by a log-template tree, in DataFrame functions only.
 
 A line is parsed down a tree of fixed depth: its token count, then its first ``depth`` tokens, fields with digits
-or @ already generalised to ``<*>``. In a leaf, a token that fewer than ``min_docs`` documents hold at its position
+or @ generalised to ``<*>`` where they are not most of the line. In a leaf, a token that fewer than ``min_docs`` documents hold at its position
 is a variable field too, if at least ``min_constant`` of the line's tokens stay constant; what is left is the
 line's template. A template found in ``min_docs`` documents of different text is recurring: its lines are dropped
 from every document but the one of smallest id, so the corpus keeps one copy. Copies of a whole text count
@@ -9,7 +9,8 @@ once, since they are not boilerplate but duplicates, which another operator trea
 
 Defined cases: a null text stays null and has no lines; a null doc_id is a document like others and sorts before all
 ids; rows equal in id and text share their fate; lines without words, and lines under ``min_tokens`` tokens, are
-never dropped; a table without rows gives no rows; further columns are passed through.
+never dropped; a table without rows gives no rows; further columns are
+passed through, but for columns named n_lines or n_dropped, which are replaced.
 """
 
 from __future__ import annotations
@@ -22,26 +23,28 @@ from chatterscope.llm.common import BLANKS, Scratch
 FIELD = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*[0-9@][^\x20\x09-\x0D]*"
 
 
-def parsed(docs: DataFrame, depth: int, min_tokens: int) -> DataFrame:
+def parsed(docs: DataFrame, depth: int, min_constant: float, min_tokens: int) -> DataFrame:
     """doc_id, th (hash of the text), pos, leaf, line (generalised): one row per line that may be dropped."""
     rows = docs.select("doc_id", F.xxhash64("text").alias("th"), F.posexplode(F.split("text", "\n")).alias("pos", "raw"))
-    line = F.when(F.col("raw").rlike("[0-9@]"), F.regexp_replace("raw", FIELD, "<*>")).otherwise(F.col("raw"))
-    line = F.trim(F.when(F.col("raw").rlike(r"[\x09-\x0D]|\x20\x20"), F.regexp_replace(line, BLANKS, " ")).otherwise(line))
-    rows = rows.select("doc_id", "th", "pos", line.alias("line"))
-    rows = rows.withColumn("n", F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) + 1)
+    plain = F.trim(F.when(F.col("raw").rlike(r"[\x09-\x0D]|\x20\x20"), F.regexp_replace("raw", BLANKS, " ")).otherwise(F.col("raw")))
+    rows = rows.select("doc_id", "th", "pos", plain.alias("plain"))
+    rows = rows.withColumn("n", F.length("plain") - F.length(F.replace("plain", F.lit(" "), F.lit(""))) + 1)
+    general = F.regexp_replace("plain", FIELD, "<*>")
+    few = F.regexp_count(general, F.lit(r"<\*>")) <= (1 - min_constant) * F.col("n")
+    rows = rows.withColumn("line", F.when(F.col("plain").rlike("[0-9@]") & few, general).otherwise(F.col("plain")))
     return rows.where((F.col("line") != "") & (F.col("n") >= min_tokens)).select("doc_id", "th", "pos", F.xxhash64("n", F.substring_index("line", " ", depth)).alias("leaf"), "line")
 
 
 def dropped_lines(docs: DataFrame, depth: int, min_docs: int, min_constant: float, min_tokens: int) -> DataFrame:
     """doc_id, th, drop: positions of the lines to drop, for the documents that have some."""
     scratch = Scratch(docs.sparkSession, "line-templates")
-    rows = scratch.put(parsed(docs, depth, min_tokens))
+    rows = scratch.put(parsed(docs, depth, min_constant, min_tokens))
     leaves = rows.select("leaf", "th").distinct().groupBy("leaf").count().where(F.col("count") >= min_docs).select("leaf")
     hot = scratch.put(rows.join(leaves, "leaf", "left_semi"))
     lines = scratch.put(hot.select("leaf", "line", "th").distinct().groupBy("leaf", "line").agg(F.count(F.lit(1)).alias("n_docs")))
     tokens = lines.select("leaf", "line", "n_docs", F.posexplode(F.split("line", " ")).alias("at", "token"))
     support = tokens.groupBy("leaf", "at", "token").agg(F.sum("n_docs").alias("support"))
-    fixed = (F.col("support") >= min_docs) | (F.col("at") < depth)
+    fixed = (F.col("token") != "<*>") & ((F.col("support") >= min_docs) | (F.col("at") < depth))
     told = tokens.join(support, ["leaf", "at", "token"]).select("leaf", "line", F.struct("at", F.when(fixed, F.col("token")).otherwise("<*>").alias("token")).alias("t"), fixed.cast("int").alias("fixed"))
     told = told.groupBy("leaf", "line").agg(F.array_join(F.array_sort(F.collect_list("t"))["token"], " ").alias("general"), F.avg("fixed").alias("share"))
     template = told.select("leaf", "line", F.xxhash64("leaf", F.when(F.col("share") >= min_constant, F.col("general")).otherwise(F.col("line"))).alias("template"))
@@ -55,12 +58,12 @@ def dropped_lines(docs: DataFrame, depth: int, min_docs: int, min_constant: floa
 
 def drop_recurring_lines(docs: DataFrame, depth: int = 3, min_docs: int = 8, min_constant: float = 0.5, min_tokens: int = 3) -> DataFrame:
     """All columns of docs with the text's recurring lines dropped (n_chars follows), and n_lines, n_dropped."""
-    drops = dropped_lines(docs, depth, min_docs, min_constant, min_tokens).withColumnsRenamed({"doc_id": "_id", "th": "_th"})
-    key = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_th"))
+    drops = dropped_lines(docs, depth, min_docs, min_constant, min_tokens).withColumnsRenamed({"doc_id": "__lt_id", "th": "__lt_th", "drop": "__lt_drop"})
+    key = F.col("doc_id").eqNullSafe(F.col("__lt_id")) & (F.xxhash64("text") == F.col("__lt_th"))
     out = docs.join(drops.hint("shuffle_hash"), key, "left")
     lines = F.split("text", "\n")
-    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("drop", i)), "\n")
-    out = out.withColumns({"n_lines": F.coalesce(F.size(lines), F.lit(0)).cast("long"), "n_dropped": F.coalesce(F.size("drop"), F.lit(0)).cast("long"), "text": F.when(F.col("drop").isNull(), F.col("text")).otherwise(kept)})
+    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("__lt_drop", i)), "\n")
+    out = out.drop("n_lines", "n_dropped").withColumns({"n_lines": F.coalesce(F.size(lines), F.lit(0)).cast("long"), "n_dropped": F.coalesce(F.size("__lt_drop"), F.lit(0)).cast("long"), "text": F.when(F.col("__lt_drop").isNull(), F.col("text")).otherwise(kept)})
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("drop").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns, "n_lines", "n_dropped")
+        out = out.withColumn("n_chars", F.when(F.col("__lt_drop").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
+    return out.select(*[c for c in docs.columns if c not in ("n_lines", "n_dropped")], "n_lines", "n_dropped")

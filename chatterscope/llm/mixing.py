@@ -9,7 +9,8 @@ of 4,096 hash ranges a leaf find the range that holds the end, and only its rows
 
 Defined cases: a null text has no tokens and is taken with the rest of its leaf; a null level is the node ``""``; a
 child without a weight gets ``default_weight``; rows equal in id and text share their place in the order and are
-taken together; a table without rows gives no rows; further columns are ignored.
+taken together; a table without rows gives no rows; further columns are passed through,
+but for columns named n_tokens, epoch or take_tokens, which are replaced.
 """
 
 from __future__ import annotations
@@ -80,7 +81,8 @@ def mix(docs: DataFrame, levels: dict[str, Column], weights: dict[tuple[str, ...
     spark = docs.sparkSession
     scratch = Scratch(spark, "mixing")
     tokens = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
-    names = [f"_l{i}" for i in range(len(levels))]
+    names = [f"__mix_{i}" for i in range(len(levels))]
+    docs = docs.drop("n_tokens", "epoch", "take_tokens")
     marked = docs.select("*", *[F.coalesce(c.cast("string"), F.lit("")).alias(n) for n, c in zip(names, levels.values(), strict=True)])
     counted = marked.select(*names, tokens.alias("n_tokens"), *[place(seed, e).alias(f"_p{e}") for e in range(max_epochs)])
     meta = scratch.put(counted)
@@ -93,21 +95,21 @@ def mix(docs: DataFrame, levels: dict[str, Column], weights: dict[tuple[str, ...
         size = sizes[path]
         full = min(max_epochs, amount // size) if size else 1
         plan.append((*path, full, amount - full * size if size else 0))
-    schema = T.StructType([*[T.StructField(n, T.StringType()) for n in names], T.StructField("_full", T.IntegerType()), T.StructField("_rest", T.LongType())])
+    schema = T.StructType([*[T.StructField(n, T.StringType()) for n in names], T.StructField("__mix_full", T.IntegerType()), T.StructField("__mix_rest", T.LongType())])
     leaves = F.broadcast(spark.createDataFrame(plan, schema))  # one row a leaf
-    at = F.coalesce(*[F.when(F.col("_full") == e, F.col(f"_p{e}")) for e in range(max_epochs)])
-    partial = meta.join(leaves, names).where("_rest > 0").withColumn("_at", at)
+    at = F.coalesce(*[F.when(F.col("__mix_full") == e, F.col(f"_p{e}")) for e in range(max_epochs)])
+    partial = meta.join(leaves, names).where("__mix_rest > 0").withColumn("_at", at)
     piece = F.shiftrightunsigned("_at", 63 - RANGE_BITS)
-    sums = partial.groupBy(*names, "_rest", piece.alias("_b")).agg(F.sum("n_tokens").alias("_n"))
+    sums = partial.groupBy(*names, "__mix_rest", piece.alias("_b")).agg(F.sum("n_tokens").alias("_n"))
     upto = F.sum("_n").over(W.partitionBy(*names).orderBy("_b").rowsBetween(W.unboundedPreceding, 0))
-    ends = sums.withColumn("_upto", upto).where("_upto >= _rest").groupBy(*names).agg(F.min_by(F.struct("_b", (F.col("_upto") - F.col("_n")).alias("_before")), "_b").alias("_e"))
-    inside = partial.join(ends, names).where(piece == F.col("_e._b")).groupBy(*names, "_rest", "_e", "_at").agg(F.sum("n_tokens").alias("_n"))
+    ends = sums.withColumn("_upto", upto).where("_upto >= __mix_rest").groupBy(*names).agg(F.min_by(F.struct("_b", (F.col("_upto") - F.col("_n")).alias("_before")), "_b").alias("_e"))
+    inside = partial.join(ends, names).where(piece == F.col("_e._b")).groupBy(*names, "__mix_rest", "_e", "_at").agg(F.sum("n_tokens").alias("_n"))
     run = F.col("_e._before") + F.sum("_n").over(W.partitionBy(*names).orderBy("_at").rowsBetween(W.unboundedPreceding, 0))
-    cut = inside.withColumn("_run", run).where("_run >= _rest").groupBy(*names).agg(F.min_by(F.struct("_at", (F.col("_rest") - F.col("_run") + F.col("_n")).alias("_left")), "_at").alias("_c"))
+    cut = inside.withColumn("_run", run).where("_run >= __mix_rest").groupBy(*names).agg(F.min_by(F.struct("_at", (F.col("__mix_rest") - F.col("_run") + F.col("_n")).alias("__mix_left")), "_at").alias("_c"))
     cuts = {tuple(r[n] for n in names): r["_c"] for r in cut.collect()}
-    schema = schema.add("_cut", T.LongType()).add("_left", T.LongType())
-    rows = [(*p, cuts[p[: len(names)]]["_at"] if p[: len(names)] in cuts else -1, cuts[p[: len(names)]]["_left"] if p[: len(names)] in cuts else 0) for p in plan]
+    schema = schema.add("__mix_cut", T.LongType()).add("__mix_left", T.LongType())
+    rows = [(*p, cuts[p[: len(names)]]["_at"] if p[: len(names)] in cuts else -1, cuts[p[: len(names)]]["__mix_left"] if p[: len(names)] in cuts else 0) for p in plan]
     told = marked.join(F.broadcast(spark.createDataFrame(rows, schema)), names).withColumn("n_tokens", tokens)
-    taken = F.array(*[F.when(F.lit(e) < F.col("_full"), F.struct(F.lit(e).alias("epoch"), F.col("n_tokens").alias("take_tokens"))).when((F.lit(e) == F.col("_full")) & (place(seed, e) <= F.col("_cut")), F.struct(F.lit(e).alias("epoch"), F.when(place(seed, e) == F.col("_cut"), F.least("n_tokens", "_left")).otherwise(F.col("n_tokens")).alias("take_tokens"))) for e in range(max_epochs)])
+    taken = F.array(*[F.when(F.lit(e) < F.col("__mix_full"), F.struct(F.lit(e).alias("epoch"), F.col("n_tokens").alias("take_tokens"))).when((F.lit(e) == F.col("__mix_full")) & (place(seed, e) <= F.col("__mix_cut")), F.struct(F.lit(e).alias("epoch"), F.when(place(seed, e) == F.col("__mix_cut"), F.least("n_tokens", "__mix_left")).otherwise(F.col("n_tokens")).alias("take_tokens"))) for e in range(max_epochs)])
     out = told.select(*docs.columns, "n_tokens", F.inline(F.filter(taken, lambda x: x.isNotNull())))
     return out.where("take_tokens = n_tokens") if whole_only else out

@@ -12,7 +12,8 @@ limit, scoring covers every whole text.
 
 Defined cases: a null or empty text has no features and gets the thresholds' own probabilities; ratings with nulls
 are not used; an id rated twice counts with its lowest grade; an id that repeats in the documents is scored each
-time; without ratings nothing is rejected and the scores are null; further columns are passed through untouched.
+time; without ratings nothing is rejected and the scores are null; further columns are passed through, but for
+columns named expected_grade, tail_prob or accepted, which are replaced.
 """
 
 from __future__ import annotations
@@ -155,5 +156,5 @@ def classify(docs: DataFrame, model: Model | None, min_tail: float = 0.6) -> Dat
             chance = own.chances(z) if len(z) else np.zeros((0, GRADES))
             yield pd.DataFrame({"expected_grade": chance @ np.arange(GRADES), "tail_prob": chance[:, -1]})
 
-    out = docs.withColumn("_s", scored("text"))
-    return out.withColumns({"expected_grade": F.col("_s.expected_grade"), "tail_prob": F.col("_s.tail_prob"), "accepted": F.col("_s.tail_prob") >= min_tail}).drop("_s")
+    out = docs.withColumn("__oq", scored("text"))
+    return out.withColumns({"expected_grade": F.col("__oq.expected_grade"), "tail_prob": F.col("__oq.tail_prob"), "accepted": F.col("__oq.tail_prob") >= min_tail}).drop("__oq")

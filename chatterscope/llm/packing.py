@@ -79,7 +79,7 @@ def lower_bound(counts: np.ndarray) -> int:
     cap = len(counts) - 1
     sizes = np.arange(cap + 1)
     best = -(-int(sizes @ counts) // cap)
-    for k in range(0, cap // 2 + 1, 8):
+    for k in range(cap // 2 + 1):
         big = int(counts[cap - k + 1 :].sum())
         mid = int(counts[cap // 2 + 1 : cap - k + 1].sum())
         free = mid * cap - int(sizes[cap // 2 + 1 : cap - k + 1] @ counts[cap // 2 + 1 : cap - k + 1])

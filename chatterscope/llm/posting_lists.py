@@ -95,11 +95,11 @@ def balanced_kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 5) -> n
     return points
 
 
-def valid(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """id and v: the rows that take part."""
+def valid(vectors: DataFrame, is_query: Column, id_col: str, vector_col: str) -> DataFrame:
+    """id, v and asks (it is a query): the rows that take part."""
     v = F.col(vector_col)
     sound = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
-    rows = vectors.where(v.isNotNull() & F.col(id_col).isNotNull() & sound).select(F.col(id_col).cast("long").alias("id"), v.cast("array<double>").alias("v"))
+    rows = vectors.where(v.isNotNull() & F.col(id_col).isNotNull() & sound).select(F.col(id_col).cast("long").alias("id"), v.cast("array<double>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks"))
     usual = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
     return rows.where(F.size("v") == (usual["n"] if usual else 0))
 
@@ -115,7 +115,7 @@ def search(
     """query_id, rank, vec_id, score for each row of vectors that is_query names. max_sample bounds the rows the index is fitted on; all rows are indexed."""
     spark = vectors.sparkSession
     scratch = Scratch(spark, "posting-lists")
-    rows = scratch.put(valid(vectors, id_col, vector_col))
+    rows = scratch.put(valid(vectors, is_query, id_col, vector_col))
     n = rows.count()
     if not n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
@@ -153,7 +153,7 @@ def search(
     sizes = postings.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / chunk_rows).cast("int").alias("chunks"))
     sizes = F.broadcast(sizes)  # at most max_sample / 8 rows
     postings = postings.join(sizes, "list").withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
-    asked = rows.where(is_query).mapInPandas(routed(True), schema).join(sizes, "list")
+    asked = rows.where("asks").mapInPandas(routed(True), schema).join(sizes, "list")
     asked = asked.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
 
     def compare(held: pd.DataFrame, asks: pd.DataFrame) -> pd.DataFrame:

@@ -3,7 +3,7 @@
 Each document's character-class histogram and common-word histogram are compared with a reference of its
 language by Jensen-Shannon distance (base 2, square root). References are medians of the shares over all
 documents of the language with at least ``min_words`` words, so a junk group of up to half the rows does not
-move them. Documents shorter than ``min_words`` are never rejected by divergence (a few words say nothing).
+move them. A document is rejected if both distances together are over ``max_js``. Documents shorter than ``min_words`` are never rejected by divergence (a few words say nothing).
 
 Beside it stand four countable rules: words, symbols, repeated lines and words inside repeated 8-word windows.
 
@@ -76,7 +76,7 @@ def _shared(a: Column) -> Column:
     return F.transform(a, lambda x: F.when(total > 0, x / total).otherwise(0.0))
 
 
-def quality_rules(docs: DataFrame, min_words: int = 50, max_char_js: float = 0.25, max_word_js: float = 0.36) -> DataFrame:
+def quality_rules(docs: DataFrame, min_words: int = 50, max_js: float = 0.44) -> DataFrame:
     """One row per input row: doc_id, the rules' figures, base_failed, kept, char_js, word_js."""
     scratch = Scratch(docs.sparkSession, "quality-rules")
     rows = scratch.put(features(docs))
@@ -96,7 +96,7 @@ def quality_rules(docs: DataFrame, min_words: int = 50, max_char_js: float = 0.2
     rows = rows.withColumn("char_js", F.when(long, _js(F.col("_p"), F.col("_rp"))))
     rows = rows.withColumn("word_js", F.when(long, _js(F.col("_q"), F.slice("_rq", 1, F.size("_q")))))
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    fine = (F.coalesce("char_js", F.lit(0.0)) <= max_char_js) & (F.coalesce("word_js", F.lit(0.0)) <= max_word_js)
+    fine = F.coalesce("char_js", F.lit(0.0)) + F.coalesce("word_js", F.lit(0.0)) <= max_js
     return rows.select(
         "doc_id", "n_words", "word_chars", F.get("_classes", F.lit(5)).cast("long").alias("n_symbols"), "n_dup_lines", "n_repeat_words",
         failed.alias("base_failed"), (~failed & fine).alias("kept"), "char_js", "word_js",

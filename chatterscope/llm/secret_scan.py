@@ -63,7 +63,7 @@ def _scan(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         found = [candidates(t) if t else [] for t in pdf["text"].where(pdf["text"].notna(), None)]
         base = [[x for x in f if x[1] < 3] for f in found]
         yield pd.DataFrame({
-            "row_key": [uuid.uuid4().hex if f else None for f in found],
+            "row_key": [uuid.uuid4().hex for _ in found],
             "doc_id": pdf["doc_id"], "repo": pdf["repo"], "owner": pdf["owner"],
             **{f"n_{k}": [sum(x[1] == i for x in f) for f in base] for i, k in enumerate(KINDS[:3])},
             "base_sha256": [hashlib.sha256(spans_text(f).encode()).hexdigest() for f in base],
@@ -78,7 +78,7 @@ def secret_scan(docs: DataFrame, repo: Column, owner: Column, example_repos: int
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), repo.cast("string").alias("repo"), owner.cast("string").alias("owner"))
     schema = f"row_key string, doc_id {kind}, repo string, owner string, n_assign long, n_access long, n_hex long, base_sha256 string, found {SPAN}"
     rows = scratch.put(rows.mapInPandas(_scan, schema))
-    each = rows.where("row_key is not null").select("row_key", F.coalesce("repo", F.lit("")).alias("repo"), F.coalesce("owner", F.lit("")).alias("owner"), F.inline("found"))
+    each = rows.select("row_key", F.coalesce("repo", F.lit("")).alias("repo"), F.coalesce("owner", F.lit("")).alias("owner"), F.inline("found"))
     held = each.groupBy("hash", "repo", "owner").agg(F.count(F.lit(1)).alias("n"))
     held = held.groupBy("hash").agg(F.count_distinct("repo").alias("n_repos"), F.count_distinct("owner").alias("n_owners"), F.sum("n").alias("n_found"))
     held = scratch.put(held.withColumn("live", (F.col("n_repos") < example_repos) & (F.col("n_owners") < example_owners)))

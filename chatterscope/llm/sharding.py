@@ -51,7 +51,7 @@ def split_tree(meta: DataFrame, n_shards: int, tolerance: float, dims: list[str]
         if node not in split:
             return F.lit(node)
         dim, cut, share, left, right = split[node]
-        goes = (F.col(dim) < F.lit(cut)) | ((F.col(dim) == F.lit(cut)) & (F.col("_u") < F.lit(share)))
+        goes = (F.col(dim) < F.lit(cut)) | ((F.col(dim) == F.lit(cut)) & (F.pmod(F.xxhash64("_u", F.lit(node)), F.lit(TOP)) < F.lit(share)))
         return F.when(goes, place(left)).otherwise(place(right))
 
     while any(k > 1 for k in parts.values()):
@@ -116,7 +116,7 @@ def split_tree(meta: DataFrame, n_shards: int, tolerance: float, dims: list[str]
         if node not in split:
             return F.lit(leaves.index(node))
         dim_, cut, share, left, right = split[node]
-        goes = (F.col(dim_) < F.lit(cut)) | ((F.col(dim_) == F.lit(cut)) & (F.col("_u") < F.lit(share)))
+        goes = (F.col(dim_) < F.lit(cut)) | ((F.col(dim_) == F.lit(cut)) & (F.pmod(F.xxhash64("_u", F.lit(node)), F.lit(TOP)) < F.lit(share)))
         return F.when(goes, final(left)).otherwise(final(right))
 
     return final(1)

@@ -28,8 +28,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of least id of each group stays; rows of that id that repeat count once."""
-    kept = near_dup.near_duplicates(docs).where("kept and doc_id is not null").select(F.col("doc_id").alias("_kept")).distinct()
-    named = docs.join(kept, F.col("doc_id").cast("long") == F.col("_kept"), "left_semi").dropDuplicates(["doc_id"])
+    kept = near_dup.near_duplicates(docs).where("kept and doc_id is not null").select(F.col("doc_id").alias("__nd_kept")).distinct()
+    named = docs.join(kept, F.col("doc_id").cast("long") == F.col("__nd_kept"), "left_semi").dropDuplicates(["doc_id"])
     return named.unionByName(docs.where("doc_id is null")).select(*docs.columns)
 
 
