@@ -30,14 +30,14 @@ from pyspark.sql import functions as F
 from chatterscope.llm.common import Scratch
 
 #: Minwise tokens of every document, and of those in large components, where estimates must be sharper.
-POSITIONS, FINE = 128, 1024
+POSITIONS, FINE = 128, 2048
 _RNG = np.random.default_rng(11)
 _MUL = (_RNG.integers(1, 1 << 31, FINE, np.uint32) * 2 + 1).astype(np.uint32)
 _ADD = _RNG.integers(0, 1 << 32, FINE, np.uint32)
 _WORD = (_RNG.integers(1, 1 << 62, 64, np.uint64) * 2 + 1).astype(np.uint64)
 CACHED = 200_000
 #: How far below the threshold an estimate may lie: over three standard deviations for sketches of either length.
-COARSE_SLACK, FINE_SLACK = 0.12, 0.05
+COARSE_SLACK, FINE_SLACK = 0.12, 0.035
 
 
 class Shingles(dict):
@@ -79,7 +79,7 @@ def minwise(u: np.ndarray, positions: int = POSITIONS) -> np.ndarray:
 
 
 def fine_sketches(texts: DataFrame, size: int) -> DataFrame:
-    """rep, n, sig: sketches eight times as long."""
+    """rep, n, sig: sketches sixteen times as long."""
 
     def each(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingles = Shingles()
@@ -220,8 +220,8 @@ def _compare(threshold: float, slack: float, best: int | None):
                 rr, cc = r[k : k + 100_000] + at, c[k : k + 100_000]
                 ok = _estimates(sig[rr, :POSITIONS], sig[cc, :POSITIONS]) >= threshold - COARSE_SLACK
                 rr, cc = rr[ok], cc[ok]
-                for m in range(0, len(rr), 10_000):
-                    r_, c_ = rr[m : m + 10_000], cc[m : m + 10_000]
+                for m in range(0, len(rr), 5_000):
+                    r_, c_ = rr[m : m + 5_000], cc[m : m + 5_000]
                     est = _estimates(sig[r_], sig[c_])
                     ok = est >= threshold - slack
                     found.append((r_[ok], c_[ok], est[ok]))
@@ -454,7 +454,7 @@ def near_duplicates(
         tested = scratch.put(maybe.join(large.withColumnRenamed("rep", "a"), "a", "left_semi").distinct())
         found = scratch.put(confirmed(tested, many, size, percent))
         fine = scratch.put(fine_sketches(many, size))
-        for best in (1, 4, 0):
+        for best in (1, 0):
             labels = components(found, scratch)
             pairs = candidate_pairs(theirs, fine, labels, small, threshold, FINE_SLACK, best).join(tested, ["a", "b"], "left_anti")
             pairs = scratch.put(pairs)
