@@ -81,14 +81,23 @@ def ranked(rows: DataFrame, by: str, tie: str = "code", name: str = "rank") -> D
 
 
 def with_baseline(cur: DataFrame, base: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    old = base.select(key, *[F.col(c).alias(f"base_{c}") for c in columns])
-    out = cur.join(old, key, "left")
+    return deltas(cur.join(base.select(key, *[F.col(c).alias(f"base_{c}") for c in columns]), key, "left"), columns)
+
+
+def deltas(out: DataFrame, columns: list[str]) -> DataFrame:
+    """Add abs, pct and dir of each column against its ``base_`` twin."""
     for c in columns:
         a, b = F.col(c), F.col(f"base_{c}")
         out = out.withColumns({f"{c}_abs": M.delta_abs(a, b), f"{c}_pct": F.round(M.delta_pct(a, b), 6), f"{c}_dir": M.delta_dir(a, b)})
     return out
 
 
+def side_by_side(observed: DataFrame, key: str, period: str, columns: list[str]) -> DataFrame:
+    """Rows of (key, period) with period cur or base as one row a key: one scan serves both periods."""
+    at = lambda p, c: F.max(F.when(F.col(period) == p, F.col(c)))
+    return observed.groupBy(key).agg(*[at("cur", c).alias(c) for c in columns], *[at("base", c).alias(f"base_{c}") for c in columns])
+
+
 def head_and_rest(rows: DataFrame, value: str, head: int, name: str = "code") -> DataFrame:
     """The ``head`` largest positive rows, and one row ``other`` for the sum of the rest."""
     place = F.row_number().over(W.orderBy(F.desc(value), name))

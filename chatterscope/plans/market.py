@@ -84,10 +84,16 @@ RANKING = f"""{BASE}, {observed_sql(window_sql(D7), 'code', 'cur')}, {observed_s
 
 
 def _both(spark, sf):
-    products = B.products(spark, sf)
-    cur = O.zero_filled(products.select("code", "ownership"), observed(spark, sf, D7), ["code"]).select("code", "ownership", "mentions", "heat")
-    base = O.zero_filled(products.select("code"), observed(spark, sf, D7.baseline()), ["code"]).select("code", "mentions", "heat")
-    return cur, base
+    """The window and its baseline side by side, observed in one pass over both; products without posts have zeros."""
+    base = D7.baseline()
+    rows = posts(spark, sf, C.Range(base.first, D7.last)).withColumn("period", F.when(C.in_window(F.col("posted_at"), D7), "cur").otherwise("base"))
+    seen = O.side_by_side(O.observe(rows, B.comments(spark, sf), ["code", "period"]), "code", "period", ["mentions", "heat"])
+    out = B.products(spark, sf).select("code", "ownership").join(seen, "code", "left")
+    return out.na.fill(0, ["mentions", "heat", "base_mentions", "base_heat"])
+
+
+def _current(spark, sf):
+    return O.zero_filled(B.products(spark, sf).select("code", "ownership"), observed(spark, sf, D7), ["code"]).select("code", "ownership", "mentions", "heat")
 
 
 @query(
@@ -98,13 +104,12 @@ def _both(spark, sf):
 )
 def market_ranking(spark, sf):
     """W1 W4 J14: the flagship."""
-    cur, base = _both(spark, sf)
-    return O.ranked(O.with_baseline(cur, base, "code", ["mentions", "heat"]), "mentions")
+    return O.ranked(O.deltas(_both(spark, sf), ["mentions", "heat"]), "mentions")
 
 
 @query("w2_top_products", RANKING + " SELECT code, mentions, rank FROM (SELECT code, mentions, CAST(row_number() OVER (ORDER BY mentions DESC, code) AS INTEGER) AS rank FROM both_) WHERE rank <= 3")
 def top_products(spark, sf):
-    return O.ranked(_both(spark, sf)[0], "mentions").where("rank <= 3").select("code", "mentions", "rank")
+    return O.ranked(_current(spark, sf), "mentions").where("rank <= 3").select("code", "mentions", "rank")
 
 
 @query(
@@ -113,7 +118,7 @@ def top_products(spark, sf):
     + " SELECT code, ownership, mentions, CAST(row_number() OVER (ORDER BY CASE WHEN ownership = 'own' THEN 0 ELSE 1 END, r) AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY ownership ORDER BY mentions DESC, code) AS r FROM both_) WHERE ownership = 'peer' OR r <= 2",
 )
 def analysis_set(spark, sf):
-    rows = _both(spark, sf)[0].withColumn("_r", F.row_number().over(W.partitionBy("ownership").orderBy(F.desc("mentions"), "code"))).where("ownership = 'peer' or _r <= 2")
+    rows = _current(spark, sf).withColumn("_r", F.row_number().over(W.partitionBy("ownership").orderBy(F.desc("mentions"), "code"))).where("ownership = 'peer' or _r <= 2")
     return rows.withColumn("place", F.row_number().over(W.orderBy(F.when(F.col("ownership") == "own", 0).otherwise(1), "_r"))).select("code", "ownership", "mentions", "place")
 
 
@@ -123,9 +128,8 @@ def analysis_set(spark, sf):
     + " SELECT code, ownership, pct, CAST(r AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY ownership ORDER BY pct DESC, code) AS r FROM (SELECT code, ownership, round(CAST(mentions - base_mentions AS DOUBLE) / base_mentions * 100, 6) AS pct FROM both_ WHERE base_mentions >= 5) WHERE pct > 0) WHERE r <= 3",
 )
 def growth_leaders(spark, sf):
-    cur, base = _both(spark, sf)
-    rows = cur.join(base.select("code", F.col("mentions").alias("base")), "code").where("base >= 5")
-    rows = rows.withColumn("pct", F.round(M.delta_pct(F.col("mentions"), F.col("base")), 6)).where("pct > 0")
+    rows = _both(spark, sf).where("base_mentions >= 5")
+    rows = rows.withColumn("pct", F.round(M.delta_pct(F.col("mentions"), F.col("base_mentions")), 6)).where("pct > 0")
     return rows.withColumn("place", F.row_number().over(W.partitionBy("ownership").orderBy(F.desc("pct"), "code"))).where("place <= 3").select("code", "ownership", "pct", "place")
 
 
@@ -135,13 +139,12 @@ def growth_leaders(spark, sf):
     + " SELECT item, CAST(sum(heat) AS BIGINT) AS heat, count(*) AS members FROM (SELECT CASE WHEN heat > 0 AND row_number() OVER (ORDER BY heat DESC, code) <= 3 THEN code ELSE 'other' END AS item, heat FROM both_) GROUP BY 1",
 )
 def head_and_rest(spark, sf):
-    return O.head_and_rest(_both(spark, sf)[0].select("code", "heat"), "heat", 3)
+    return O.head_and_rest(_current(spark, sf).select("code", "heat"), "heat", 3)
 
 
 @query("f2_delta_texts", RANKING + " SELECT code, CASE WHEN base_mentions = 0 THEN CASE WHEN mentions > 0 THEN 'new' ELSE '-' END ELSE (CASE WHEN mentions >= base_mentions THEN '+' WHEN round((mentions - base_mentions) * 100.0 / base_mentions, 0) = 0 THEN '-' ELSE '' END) || CAST(CAST(round((mentions - base_mentions) * 100.0 / base_mentions, 0) AS BIGINT) AS VARCHAR) || '%' END AS short FROM both_")
 def delta_texts(spark, sf):
-    cur, base = _both(spark, sf)
-    return cur.join(base.select("code", F.col("mentions").alias("base")), "code").select("code", M.delta_short(F.col("mentions"), F.col("base")).alias("short"))
+    return _both(spark, sf).select("code", M.delta_short(F.col("mentions"), F.col("base_mentions")).alias("short"))
 
 
 @query("w14_peak_bucket", f"{BASE}, {observed_sql(window_sql(D7), 'code, b7', 'o7')} SELECT code, b7 AS peak, CAST(heat AS BIGINT) AS heat FROM (SELECT *, row_number() OVER (PARTITION BY code ORDER BY heat DESC, b7) AS r FROM o7) WHERE r = 1")
