@@ -139,9 +139,9 @@ def own_peer_map(spark, sf):
     return p.where("ownership = 'own'").select("code", "struct").join(p.where("ownership = 'peer'").select(F.col("code").alias("peer"), "struct"), "struct").select("code", "peer")
 
 
-@query("j21_user_fallback", BASE + " SELECT CAST(c_custkey AS VARCHAR) AS user_id, 'profile' AS origin FROM customer WHERE c_custkey <= 60 UNION ALL SELECT author_uid, 'author' FROM (SELECT DISTINCT author_uid FROM feeds) WHERE author_uid NOT IN (SELECT CAST(c_custkey AS VARCHAR) FROM customer WHERE c_custkey <= 60)")
+@query("j21_user_fallback", BASE + " SELECT CAST(c_custkey AS VARCHAR) AS user_id, 'profile' AS origin FROM customer WHERE c_acctbal > 5000 UNION ALL SELECT author_uid, 'author' FROM (SELECT DISTINCT author_uid FROM feeds) WHERE author_uid NOT IN (SELECT CAST(c_custkey AS VARCHAR) FROM customer WHERE c_acctbal > 5000)")
 def user_fallback(spark, sf):
-    known = B.read(spark, sf, "customer").where("c_custkey <= 60").select(F.col("c_custkey").cast("string").alias("user_id"))
+    known = B.read(spark, sf, "customer").where("c_acctbal > 5000").select(F.col("c_custkey").cast("string").alias("user_id"))
     authors = B.feeds(spark, sf).select(F.col("author_uid").alias("user_id")).distinct().join(known, "user_id", "left_anti")
     return known.withColumn("origin", F.lit("profile")).unionByName(authors.withColumn("origin", F.lit("author")))
 

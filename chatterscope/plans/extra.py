@@ -47,11 +47,11 @@ def scope_coverage(spark, sf):
     return s.select("code", ((F.col("lo") <= F.lit(D7.first)) & (F.col("hi") >= F.lit(D7.last)) & (F.col("open") == 0)).alias("covered"))
 
 
-@query("v29_all_or_nothing", CURRENT + f", {JOBS}, c AS (SELECT DISTINCT author_uid, comment_id FROM comments WHERE k < 6), r AS (SELECT DISTINCT target_id FROM cur) SELECT author_uid, CASE WHEN bool_and(comment_id IN (SELECT target_id FROM r)) THEN count(*) END AS opinions FROM c GROUP BY 1")
+@query("v29_all_or_nothing", CURRENT + f", {JOBS}, c AS (SELECT DISTINCT author_uid, comment_id FROM comments WHERE like_count IS NULL), r AS (SELECT DISTINCT target_id FROM cur) SELECT author_uid, CASE WHEN bool_and(comment_id IN (SELECT target_id FROM r)) THEN count(*) END AS opinions FROM c GROUP BY 1")
 def all_or_nothing(spark, sf):
     """An account's opinions are told only if every candidate was released."""
     done = T.current(B.annotations(spark, sf), KEYS).select(F.col("target_id").alias("comment_id")).distinct().withColumn("_d", F.lit(True))
-    c = B.comments(spark, sf).where("k < 6").select("author_uid", "comment_id").distinct().join(done, "comment_id", "left")
+    c = B.comments(spark, sf).where("like_count is null").select("author_uid", "comment_id").distinct().join(done, "comment_id", "left")
     return c.groupBy("author_uid").agg(F.when(F.count("_d") == F.count(F.lit(1)), F.count(F.lit(1))).alias("opinions"))
 
 
@@ -111,9 +111,9 @@ def topic_detail(spark, sf):
     return B.read(spark, sf, "documents").select("doc_id", (digits * 3 + F.least(n, F.lit(400))).cast("long").alias("score"), F.md5(cut).alias("cut"))
 
 
-@query("s10_catalog_script", "SELECT CAST(event_id % 50 AS VARCHAR) AS code, arg_min(CASE WHEN event_id % 3 <> 0 THEN event_type END, event_id) AS name, count(DISTINCT CASE WHEN event_id % 3 <> 0 THEN event_type END) AS name_values FROM events WHERE event_id < 600 GROUP BY 1")
+@query("s10_catalog_script", "SELECT CAST(event_id % 50 AS VARCHAR) AS code, arg_min(CASE WHEN event_id % 3 <> 0 THEN event_type END, event_id) AS name, count(DISTINCT CASE WHEN event_id % 3 <> 0 THEN event_type END) AS name_values FROM events GROUP BY 1")
 def catalog_script(spark, sf):
-    rows = B.read(spark, sf, "events").where("event_id < 600").select(F.col("event_id").alias("seq"), (F.col("event_id") % 50).cast("string").alias("code"), F.when(F.col("event_id") % 3 != 0, F.col("event_type")).otherwise(" ").alias("name"))
+    rows = B.read(spark, sf, "events").select(F.col("event_id").alias("seq"), (F.col("event_id") % 50).cast("string").alias("code"), F.when(F.col("event_id") % 3 != 0, F.col("event_type")).otherwise(" ").alias("name"))
     scripts = rows.select(F.concat(F.lit("cb({\"data\":["), F.to_json(F.struct("seq", "code", "name")), F.lit("]});")).alias("script"))
     return R.merged_catalog(R.jsonp_rows(scripts, "script", "struct<seq:long,code:string,name:string>"), "code", ["name"])
 

@@ -119,9 +119,9 @@ def lexicon_hits(spark, sf):
     return docs(spark, sf).select(F.explode(hits).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("docs"))
 
 
-@query("f50_f60_short_names", "SELECT p_partkey, substr(p_name, 1, 8) AS short, CASE WHEN p_type LIKE 'STANDARD%' OR p_type LIKE 'ECONOMY%' THEN 'plain' ELSE 'special' END AS struct FROM part WHERE p_name NOT LIKE '%(%' AND p_name NOT LIKE '% ETF'")
+@query("f50_f60_short_names", "SELECT p_partkey, substr(p_name, 1, 8) AS short, CASE WHEN p_type LIKE 'STANDARD%' OR p_type LIKE 'ECONOMY%' THEN 'plain' ELSE 'special' END AS struct FROM part")
 def short_names(spark, sf):
-    rows = B.read(spark, sf, "part").where("p_name not like '%(%' and p_name not like '% ETF'")
+    rows = B.read(spark, sf, "part")
     return rows.select("p_partkey", X.short_name(F.col("p_name")).alias("short"), F.when(F.col("p_type").rlike("^(STANDARD|ECONOMY)"), "plain").otherwise("special").alias("struct"))
 
 
