@@ -8,9 +8,8 @@ that did not join the node's main class are compared with all blocks, so no pair
 
 Comparing goes in two steps. Sketches say which pairs may reach the threshold (``slack`` below it counts);
 their connected components hold every link. Inside a component of at most ``exact_rows`` documents all pairs are
-confirmed on full sets. In larger ones pairs are confirmed along the best edges first, and only pairs of
-documents not yet connected are left for the next round: thousands of copies cost about as many confirmations
-as there are copies.
+confirmed on full sets. In larger ones the nodes are compared again with the full sets in their rows: best
+estimates first, only documents not yet connected are compared, and only links leave a node.
 
 Defined cases: an empty or null text has an empty set and is linked with nothing; rows with the same id are one
 document; rows without an id are linked with nothing, have no component and are kept; equal sets are one class;
@@ -29,15 +28,14 @@ from pyspark.sql import functions as F
 
 from chatterscope.llm.common import Scratch
 
-#: Minwise tokens of every document, and of those in large components, where estimates must be sharper.
-POSITIONS, FINE = 128, 2048
+POSITIONS = 128
 _RNG = np.random.default_rng(11)
-_MUL = (_RNG.integers(1, 1 << 31, FINE, np.uint32) * 2 + 1).astype(np.uint32)
-_ADD = _RNG.integers(0, 1 << 32, FINE, np.uint32)
+_MUL = (_RNG.integers(1, 1 << 31, POSITIONS, np.uint32) * 2 + 1).astype(np.uint32)
+_ADD = _RNG.integers(0, 1 << 32, POSITIONS, np.uint32)
 _WORD = (_RNG.integers(1, 1 << 62, 64, np.uint64) * 2 + 1).astype(np.uint64)
 CACHED = 200_000
-#: How far below the threshold an estimate may lie: over three standard deviations for sketches of either length.
-COARSE_SLACK, FINE_SLACK = 0.12, 0.035
+#: How far below the threshold an estimate may lie: over three standard deviations.
+COARSE_SLACK = 0.12
 
 
 class Shingles(dict):
@@ -68,26 +66,25 @@ class Shingles(dict):
         return np.unique(h)
 
 
-def minwise(u: np.ndarray, positions: int = POSITIONS) -> np.ndarray:
+def minwise(u: np.ndarray) -> np.ndarray:
     """The least of each position's hash over a set: its minwise tokens."""
     x = (u >> np.uint64(32)).astype(np.uint32)
-    out = np.full(positions, 0xFFFFFFFF, np.uint32)
-    step = max(64, 2048 * POSITIONS // positions)
-    for at in range(0, len(x), step):
-        out = np.minimum(out, (_MUL[:positions, None] * x[None, at : at + step] + _ADD[:positions, None]).min(axis=1))
+    out = np.full(POSITIONS, 0xFFFFFFFF, np.uint32)
+    for at in range(0, len(x), 2048):
+        out = np.minimum(out, (_MUL[:, None] * x[None, at : at + 2048] + _ADD[:, None]).min(axis=1))
     return out
 
 
-def fine_sketches(texts: DataFrame, size: int) -> DataFrame:
-    """rep, n, sig: sketches sixteen times as long."""
+def full_sets(texts: DataFrame, size: int) -> DataFrame:
+    """rep, n, sig, set: the sketch and the whole set of each document."""
 
     def each(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingles = Shingles()
         for pdf in parts:
             sets = [shingles.of(t, size) for t in pdf["text"]]
-            yield pd.DataFrame({"rep": pdf["rep"], "n": [len(u) for u in sets], "sig": [minwise(u, FINE).astype(np.uint8).tobytes() for u in sets]})
+            yield pd.DataFrame({"rep": pdf["rep"], "n": [len(u) for u in sets], "sig": [minwise(u).astype(np.uint8).tobytes() for u in sets], "set": [u.tobytes() for u in sets]})
 
-    return texts.select("rep", "text").mapInPandas(each, "rep long, n long, sig binary")
+    return texts.select("rep", "text").mapInPandas(each, "rep long, n long, sig binary, set binary")
 
 
 def mixed(*parts: np.ndarray) -> np.ndarray:
@@ -182,8 +179,8 @@ def _estimates(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (same - 1 / 256) / (1 - 1 / 256)
 
 
-def _forest(i: np.ndarray, j: np.ndarray, est: np.ndarray) -> list[int]:
-    """Positions of the pairs that make a spanning forest, best estimates first."""
+def _forest(i: np.ndarray, j: np.ndarray, est: np.ndarray, sets: list[np.ndarray] | None, percent: int) -> list[int]:
+    """Positions of the pairs that make a spanning forest, best estimates first; with sets, of those that are links on them."""
     parent: dict[int, int] = {}
 
     def root(x: int) -> int:
@@ -195,20 +192,21 @@ def _forest(i: np.ndarray, j: np.ndarray, est: np.ndarray) -> list[int]:
     out = []
     order = np.lexsort((j, i, -est))
     for k, a, b in zip(order.tolist(), i[order].tolist(), j[order].tolist(), strict=True):
-        a, b = root(a), root(b)
-        if a != b:
-            parent[a] = b
+        x, y = root(a), root(b)
+        if x != y and (sets is None or linked(sets[a], sets[b], percent)):
+            parent[x] = y
             out.append(k)
     return out
 
 
-def _compare(threshold: float, slack: float, best: int | None):
-    """Pairs of a node's documents under different labels whose sketches may reach the threshold.
+def _compare(threshold: float, slack: float, exact: bool):
+    """Spanning forests of a node's documents under different labels whose sketches may reach the threshold.
 
-    best None: a spanning forest of them; 0: all; k: each document's k best.
+    exact: of those that do on full sets, which the rows then hold; nothing else leaves the task.
     """
+    percent = round(100 * threshold)
 
-    def group(ids: np.ndarray, size: np.ndarray, label: np.ndarray, sig: np.ndarray) -> pd.DataFrame:
+    def group(ids: np.ndarray, size: np.ndarray, label: np.ndarray, sig: np.ndarray, sets: list[np.ndarray] | None) -> pd.DataFrame:
         found = []
         step = max(1, 16_000_000 // (len(ids) * POSITIONS))
         for at in range(0, len(ids), step):
@@ -218,31 +216,18 @@ def _compare(threshold: float, slack: float, best: int | None):
             r, c = np.nonzero(fit)
             for k in range(0, len(r), 100_000):
                 rr, cc = r[k : k + 100_000] + at, c[k : k + 100_000]
-                ok = _estimates(sig[rr, :POSITIONS], sig[cc, :POSITIONS]) >= threshold - COARSE_SLACK
-                rr, cc = rr[ok], cc[ok]
-                for m in range(0, len(rr), 5_000):
-                    r_, c_ = rr[m : m + 5_000], cc[m : m + 5_000]
-                    est = _estimates(sig[r_], sig[c_])
-                    ok = est >= threshold - slack
-                    found.append((r_[ok], c_[ok], est[ok]))
-            if best is None and sum(len(f[0]) for f in found) > 500_000:
-                found = [chosen(*map(np.concatenate, zip(*found, strict=True)))]
+                est = _estimates(sig[rr], sig[cc])
+                ok = est >= threshold - slack
+                found.append((rr[ok], cc[ok], est[ok]))
+            if not exact and sum(len(f[0]) for f in found) > 500_000:
+                found = [chosen(*map(np.concatenate, zip(*found, strict=True)), None)]
         if not found:
             return empty
-        i, j, est = chosen(*map(np.concatenate, zip(*found, strict=True)))
+        i, j, est = chosen(*map(np.concatenate, zip(*found, strict=True)), sets)
         return pd.DataFrame({"a": np.minimum(ids[i], ids[j]), "b": np.maximum(ids[i], ids[j])})
 
-    def chosen(i: np.ndarray, j: np.ndarray, est: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        if best is None:
-            keep = np.array(_forest(i, j, est), int)
-        elif best == 0 or not len(i):
-            return i, j, est
-        else:
-            end, other, k = np.concatenate([i, j]), np.concatenate([j, i]), np.tile(np.arange(len(i)), 2)
-            order = np.lexsort((other, -est[k], end))
-            first = np.append(True, np.diff(end[order]) > 0)
-            place = np.arange(len(order)) - np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))
-            keep = np.unique(k[order][place < best])
+    def chosen(i: np.ndarray, j: np.ndarray, est: np.ndarray, sets: list[np.ndarray] | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        keep = np.array(_forest(i, j, est, sets, percent), int)
         return i[keep], j[keep], est[keep]
 
     empty = pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
@@ -265,7 +250,8 @@ def _compare(threshold: float, slack: float, best: int | None):
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
         node, chunk = pdf["node"].to_numpy(), pdf["chunk"].to_numpy()
         ids, size, label = (pdf[k].to_numpy() for k in ("rep", "n", "label"))
-        sig = np.frombuffer(b"".join(pdf["sig"]), np.uint8).reshape(len(pdf), -1)
+        sig = np.frombuffer(b"".join(pdf["sig"]), np.uint8).reshape(len(pdf), POSITIONS)
+        sets = [np.frombuffer(x, np.uint64) for x in pdf["set"]] if exact else None
         first = np.append(True, (np.diff(node) != 0) | (np.diff(chunk) != 0))
         run = np.cumsum(first) - 1
         starts = np.flatnonzero(first)
@@ -283,17 +269,17 @@ def _compare(threshold: float, slack: float, best: int | None):
             ok = est >= threshold - slack
             pairs.append((i[ok], j[ok], est[ok]))
         if pairs:
-            i, j, est = chosen(*map(np.concatenate, zip(*pairs, strict=True)))
+            i, j, est = chosen(*map(np.concatenate, zip(*pairs, strict=True)), sets)
             out.append(pd.DataFrame({"a": np.minimum(ids[i], ids[j]), "b": np.maximum(ids[i], ids[j])}))
         for g in np.flatnonzero(long > 24):
             part = slice(starts[g], starts[g] + long[g])
-            out.append(group(ids[part], size[part], label[part], sig[part]))
+            out.append(group(ids[part], size[part], label[part], sig[part], sets[part] if exact else None))
         return pd.concat(out).drop_duplicates() if out else empty
 
     return each
 
 
-def candidate_pairs(leaves: DataFrame, sets: DataFrame, labels: DataFrame | None, small: int, threshold: float, slack: float, best: int | None) -> DataFrame:
+def candidate_pairs(leaves: DataFrame, sets: DataFrame, labels: DataFrame | None, small: int, threshold: float, slack: float, exact: bool = False) -> DataFrame:
     """a, b: pairs that may reach the threshold, within leaves that hold different labels.
 
     A dense leaf is cut into blocks; every block also gets some common documents at first, and once there are
@@ -314,9 +300,9 @@ def candidate_pairs(leaves: DataFrame, sets: DataFrame, labels: DataFrame | None
     blocks = F.ceil(F.col("members") / small).cast("int")
     own = F.array(F.pmod(F.xxhash64("rep", F.lit(1)), blocks).cast("int"))
     rows = rows.withColumn("chunk", F.explode(F.when((blocks > 1) & everywhere, F.sequence(F.lit(0), blocks - 1)).otherwise(own)))
-    rows = rows.select("node", "chunk", "rep", "label").join(sets.select("rep", "n", "sig"), "rep")
+    rows = rows.select("node", "chunk", "rep", "label").join(sets.select("rep", "n", "sig", *(["set"] if exact else [])), "rep")
     rows = rows.repartition("node", "chunk").sortWithinPartitions("node", "chunk")
-    return rows.mapInPandas(_compare(threshold, slack, best), "a long, b long").distinct()
+    return rows.mapInPandas(_compare(threshold, slack, exact), "a long, b long").distinct()
 
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
@@ -390,41 +376,6 @@ def _confirm_all(size: int, percent: int):
     return each
 
 
-def _confirm_pairs(size: int, percent: int):
-    """Rows (hub, rep, text) sorted by hub, the hub's own row first."""
-
-    def each(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shingles = Shingles()
-        hub, own = None, []
-        for pdf in parts:
-            out = []
-            for h, rep, mine, text in zip(pdf["hub"], pdf["rep"], pdf["mine"], pdf["text"], strict=True):
-                if h != hub:
-                    hub, own = h, []
-                x = shingles.of(text, size)
-                if mine == 0:
-                    own.append(x)
-                elif any(linked(o, x, percent) for o in own):
-                    out.append((min(h, rep), max(h, rep)))
-            yield pd.DataFrame(out, columns=["a", "b"]).astype("int64")
-
-    return each
-
-
-def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs that are links on full sets. Each is looked at where its end of most pairs is, whose members are spread over salts."""
-    ends = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).groupBy("id").count()
-    of = lambda x: ends.select(F.col("id").alias(x), F.col("count").alias(f"_{x}"))
-    told = pairs.join(of("a"), "a").join(of("b"), "b")
-    first = F.struct(F.col("_a"), -F.col("a")) >= F.struct(F.col("_b"), -F.col("b"))
-    told = told.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("hub"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("rep"))
-    told = told.withColumn("salt", F.pmod(F.xxhash64("rep"), F.lit(64)).cast("int"))
-    hubs = told.select("hub", "salt").distinct().withColumn("rep", F.col("hub"))
-    rows = told.withColumn("mine", F.lit(1)).unionByName(hubs.withColumn("mine", F.lit(0))).join(texts, "rep")
-    rows = rows.repartition("hub", "salt").sortWithinPartitions("hub", "salt", "mine")
-    return rows.select("hub", "rep", "mine", "text").mapInPandas(_confirm_pairs(size, percent), "a long, b long")
-
-
 def near_duplicates(
     docs: DataFrame, size: int = 5, percent: int = 75, trees: int = 12, small: int = 1_000, levels: int = 2, slack: float = COARSE_SLACK, exact_rows: int = 150
 ) -> DataFrame:
@@ -435,10 +386,10 @@ def near_duplicates(
     sets = rows.where("fp is not null and doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("tokens").alias("tokens"))
     sets = scratch.put(sets.withColumn("sig", _low_bytes(F.col("tokens"))))
     leaves = scratch.put(paths(sets, scratch, trees, threshold, small, levels))
-    maybe = scratch.put(candidate_pairs(leaves, sets, None, small, threshold, slack, None))
+    maybe = scratch.put(candidate_pairs(leaves, sets, None, small, threshold, slack))
     coarse = components(maybe, scratch)
     if not leaves.where(F.col("members") > small).isEmpty():
-        more = scratch.put(candidate_pairs(leaves.where(F.col("members") > small), sets, coarse, small, threshold, slack, None))
+        more = scratch.put(candidate_pairs(leaves.where(F.col("members") > small), sets, coarse, small, threshold, slack))
         maybe = maybe.union(more)
         coarse = components(maybe, scratch)
     members = coarse.groupBy(F.col("to").alias("comp")).agg(F.count(F.lit(1)).alias("m"))
@@ -449,21 +400,12 @@ def near_duplicates(
     links = scratch.put(few.mapInPandas(_confirm_all(size, percent), "a long, b long"))
     large = coarse.where(F.col("m") > exact_rows).select("rep")
     if not large.isEmpty():
-        many = scratch.put(texts.where(F.col("m") > exact_rows).select("rep", "text"))
+        many = scratch.put(full_sets(texts.where(F.col("m") > exact_rows), size))
         theirs = scratch.put(leaves.join(large, "rep", "left_semi"))
-        tested = scratch.put(maybe.join(large.withColumnRenamed("rep", "a"), "a", "left_semi").distinct())
-        found = scratch.put(confirmed(tested, many, size, percent))
-        fine = scratch.put(fine_sketches(many, size))
-        for best in (1, 0):
-            labels = components(found, scratch)
-            pairs = candidate_pairs(theirs, fine, labels, small, threshold, FINE_SLACK, best).join(tested, ["a", "b"], "left_anti")
-            pairs = scratch.put(pairs)
-            if pairs.isEmpty():
-                if best == 0:
-                    break
-                continue
-            tested = scratch.put(tested.union(pairs))
-            found = scratch.put(found.union(confirmed(pairs, many, size, percent)))
+        found = scratch.put(candidate_pairs(theirs, many, None, small, threshold, slack, exact=True))
+        dense = theirs.where(F.col("members") > small)
+        if not dense.isEmpty():
+            found = found.union(scratch.put(candidate_pairs(dense, many, components(found, scratch), small, threshold, slack, exact=True)))
         links = links.union(found)
     classes = components(links, scratch)
     named = rows.join(sets.select("fp", "rep"), "fp", "left").join(classes.withColumnsRenamed({"id": "rep"}), "rep", "left")
