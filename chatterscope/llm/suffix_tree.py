@@ -1,16 +1,17 @@
 """Language-model scoring by a probabilistic suffix tree.
 
-Symbols are the training words, one end a text and one class for all unknown words, as in the base score. Contexts
-are the last one or more symbols. A context is a candidate if it makes up at least ``least`` of all training
-tokens, so at most 1 / least contexts a length exist whatever the corpus, and what is broadcast is bounded. It is
+Symbols are the training words and one end a text. Contexts are the last one or two symbols. A context, and a symbol
+after it, is a candidate from ``least`` occurrences on, whatever the corpus: what is learnt grows with it. A context is
 retained if its next symbols diverge from those of its longest retained suffix by more than ``penalty`` nats for each
 symbol seen after it. Distributions are smoothed with the suffix's by the number of distinct symbols. A token is
-scored in the state of the longest retained suffix of what stands before it.
+scored in the state of the longest retained suffix of what stands before it. The root gives known words their counts
+and unknown ones the share of words seen once.
 
-Inside contexts, symbols rarer than ``least`` are one class whose members keep their proportions of the root; the
-root gives known words their counts and unknown ones the share of words seen once. Counts cover all training
-documents: the most frequent ``head`` words are broadcast, a bounded table, and all others are joined, so every
-count is exact.
+A text's log score is a sum over its words, pairs and triples: each retained context adds the logarithm of what it
+leaves to its suffix, each of its symbols the rest of its own. So the model is one table of weights by the 64-bit hash
+of the pair or triple. About the ``head`` most frequent words and the ``held`` most frequent weights are broadcast; all
+others are joined, so every count and weight is used. Pairs and triples that have no weight are mostly left out before
+by a bit map of at most ``SIEVE_BITS``; what passes it by chance finds nothing in the join.
 
 Defined cases: a null text is empty and scores its end alone; a null id is the text ``null`` for the split; repeated
 rows are counted and scored each; without training tokens both scores are null; further columns are ignored.
@@ -18,8 +19,9 @@ rows are counted and scored each; without training tokens both scores are null;
 
 from __future__ import annotations
 
+from array import array
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -31,6 +33,9 @@ from pyspark.sql import functions as F
 from chatterscope.llm.common import Scratch
 
 END = b""  #: no word is empty
+SIEVE_BITS = 1 << 29
+CHUNK = 250_000  #: tokens that are looked at together
+NUMBERS = 2_000_000  #: that a task holds before it sums up, and summed up before it tells
 
 
 def words(text: str | None) -> list[bytes]:
@@ -64,12 +69,163 @@ def _count_words(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield told()
 
 
+class Lexicon(dict):
+    """Words numbered as they come, with their hashes."""
+
+    def __init__(self) -> None:
+        self.hashes = array("q")
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = i = len(self.hashes)
+        self.hashes.append(_hash(word))
+        return i
+
+
+class Chunk:
+    """Texts as one array of word numbers, each text after and before an end."""
+
+    def __init__(self, lexicon: Lexicon, texts: list[list[int]]):
+        self.lengths = np.array([len(t) for t in texts])
+        self.ids = np.concatenate([np.array(t, np.int64) for t in texts])
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.at = np.arange(len(self.ids)) - np.repeat(self.starts, self.lengths)  # place in the text
+        self.h = np.array(lexicon.hashes, np.int64)[self.ids]
+        #: The pair and the triple that end at a place; without meaning where ``at`` is under 1 and 2.
+        self.pairs = mixed(np.roll(self.h, 1), self.h, 2)
+        self.triples = mixed(np.roll(self.pairs, 1), self.h, 3)
+
+
+def mixed(a: np.ndarray, b: np.ndarray, salt: int) -> np.ndarray:
+    x = a.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + (b.view(np.uint64) ^ np.uint64(salt * 0x632BE59BD9B4E019 % 2**64)) * np.uint64(0xD6E8FEB86659FD93)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return (x ^ (x >> np.uint64(31))).view(np.int64)
+
+
+def chunks(pdf: pd.DataFrame, lexicon: Lexicon, training: bool) -> Iterator[tuple[int, int, Chunk]]:
+    """(first row, end, chunk) over the rows, or over those for training alone, as long as numbers are needed."""
+    texts: list[list[int]] = []
+    first = waiting = 0
+    for i, (train, t) in enumerate(zip(pdf["train"], pdf["text"], strict=True)):
+        if train or not training:
+            texts.append(list(map(lexicon.__getitem__, [END, *words(t), END])))
+            waiting += len(texts[-1])
+        if waiting > CHUNK:
+            yield first, i + 1, Chunk(lexicon, texts)
+            texts, first, waiting = [], i + 1, 0
+            if len(lexicon) > 300_000:
+                lexicon.clear()
+                lexicon.hashes = array("q")
+    if texts:
+        yield first, len(pdf), Chunk(lexicon, texts)
+
+
+def sieve(keys: DataFrame) -> np.ndarray:
+    """Bits, set at the leading bits of each key: 32 a key, and SIEVE_BITS at most."""
+    n = keys.count()
+    bits = min(max(32 * n, 1 << 12), SIEVE_BITS)
+    bits = 1 << (bits - 1).bit_length()
+    part = bits // 64
+
+    def slices(pdf: pd.DataFrame) -> pd.DataFrame:
+        flags = np.zeros(part, bool)
+        flags[place_in(pdf["key"].to_numpy(np.int64), bits) % part] = True
+        return pd.DataFrame({"part": [int(pdf["part"].iloc[0])], "bits": [np.packbits(flags).tobytes()]})
+
+    found = keys.select(F.shiftrightunsigned("key", 58).alias("part"), "key").groupBy("part").applyInPandas(slices, "part long, bits binary").collect()
+    out = np.zeros(bits // 8, np.uint8)
+    for r in found:
+        out[r["part"] * part // 8 : (r["part"] + 1) * part // 8] = np.frombuffer(r["bits"], np.uint8)
+    return out
+
+
+def most_used(rows: DataFrame, by: str, most: int, columns: list[str]) -> list[np.ndarray]:
+    """The columns, ordered by the first, of about the ``most`` rows that are largest in ``by``; packed on the way to the driver."""
+    n = rows.count()
+    cut = rows.agg(F.percentile_approx(by, F.lit(1 - most / n), F.lit(10_000))).first()[0] if n > most else 0
+
+    def packed(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            yield pd.DataFrame({f"c{i}": [pdf[c].to_numpy().tobytes()] for i, c in enumerate(columns)})
+
+    found = rows.where(F.col(by) > cut).select(*columns).mapInPandas(packed, ", ".join(f"c{i} binary" for i in range(len(columns)))).collect()
+    out = [np.frombuffer(b"".join(bytes(r[i]) for r in found), np.int64 if i == 0 else np.float64) for i in range(len(columns))]
+    order = np.argsort(out[0])
+    return [x[order] for x in out]
+
+
+def place_in(keys: np.ndarray, bits: int) -> np.ndarray:
+    return (keys.view(np.uint64) >> np.uint64(64 - (bits.bit_length() - 1))).astype(np.int64)
+
+
+def passes(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    i = place_in(keys, 8 * len(bits))
+    return (bits[i >> 3] >> (7 - (i & 7)).astype(np.uint8)) & 1 > 0
+
+
+def counted(docs: DataFrame, found: Callable[[Chunk], list[tuple[int, np.ndarray]]], width: int, least: int, n: int) -> DataFrame:
+    """size, c0 (the key), c1, ..., n: how often each key is in the training texts, from ``least`` on.
+
+    ``found`` gives per size an array of ``width`` numbers a place. Numbers go to the merging tasks packed by leading bits of the key.
+    """
+    shift = 64 - max(8, (n >> 20).bit_length())
+
+    def summed(a: np.ndarray) -> np.ndarray:
+        a = a[np.argsort(a[:, 0], kind="stable")]
+        at = np.flatnonzero(np.append(True, a[1:, 0] != a[:-1, 0]))
+        out = a[at]
+        out[:, width] = np.add.reduceat(a[:, width], at)
+        return out
+
+    def each(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[int, list[np.ndarray]] = {}
+        waiting, lexicon = 0, Lexicon()
+
+        def told() -> Iterator[pd.DataFrame]:
+            for size, (a, *_) in held.items():
+                to = (a[:, 0].view(np.uint64) >> np.uint64(shift)).astype(np.int64)
+                order = np.argsort(to, kind="stable")
+                a, to = a[order], to[order]
+                at = np.flatnonzero(np.append(True, to[1:] != to[:-1]))
+                yield pd.DataFrame({"size": np.full(len(at), size, np.int32), "bucket": to[at], "packed": [np.ascontiguousarray(x.T).tobytes() for x in np.split(a, at[1:])]})
+
+        def summed_up() -> None:
+            for size in list(held):
+                a = np.concatenate(held.pop(size))
+                if len(a):
+                    held[size] = [summed(a)]
+
+        for pdf in parts:
+            for _, _, chunk in chunks(pdf, lexicon, training=True):
+                for size, a in found(chunk):
+                    held.setdefault(size, []).append(np.column_stack([a, np.ones(len(a), np.int64)]))
+                    waiting += a.size
+                if waiting > NUMBERS:
+                    summed_up()
+                    waiting = 0
+                    if sum(a.size for a, in held.values()) > NUMBERS:
+                        yield from told()
+                        held.clear()
+        summed_up()
+        yield from told()
+
+    names = [f"c{i}" for i in range(width)]
+
+    def merged(pdf: pd.DataFrame) -> pd.DataFrame:
+        a = summed(np.concatenate([np.frombuffer(b, np.int64).reshape(width + 1, -1).T for b in pdf["packed"]]))
+        a = a[a[:, width] >= least]
+        return pd.DataFrame(a, columns=[*names, "n"]).assign(size=np.int32(pdf["size"].iloc[0]))[["size", *names, "n"]]
+
+    packed = docs.mapInPandas(each, "size int, bucket long, packed binary")
+    return packed.groupBy("size", "bucket").applyInPandas(merged, ", ".join(["size int", *[f"{c} long" for c in names], "n long"]))
+
+
 def code(context: np.ndarray, symbol: np.ndarray, size: int) -> np.ndarray:
     return context * size + symbol
 
 
 def contexts(ids: np.ndarray, length: int, size: int) -> np.ndarray:
-    """Number of the context of ``length`` frequent symbols before each position; -1 where a rarer one is among them, or the text begins."""
+    """Number of the context of ``length`` known symbols before each position; -1 where an unknown one is among them, or the text begins."""
     out = np.zeros(len(ids), np.int64)
     for k in range(length, 0, -1):
         before = np.concatenate([np.full(k, -1), ids[:-k]]) if k < len(ids) else np.full(len(ids), -1)
@@ -77,39 +233,8 @@ def contexts(ids: np.ndarray, length: int, size: int) -> np.ndarray:
     return out
 
 
-def _count_contexts(head_of, depth: int, size: int):
-    """size - 1 frequent symbols, and the class of the rest as the last."""
-
-    def each(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        frequent = {w: i for i, w in enumerate(head_of.value[: size - 1])}
-        rest = size - 1
-
-        def told(held: list[np.ndarray], length: int) -> pd.DataFrame:
-            codes, n = np.unique(np.concatenate(held), return_counts=True)
-            return pd.DataFrame({"length": np.full(len(codes), length, np.int32), "context": codes // size, "symbol": codes % size, "n": n})
-
-        held: list[list[np.ndarray]] = [[] for _ in range(depth)]
-        waiting = 0
-        for pdf in parts:
-            for train, t in zip(pdf["train"], pdf["text"], strict=True):
-                if not train:
-                    continue
-                ids = np.array([frequent.get(w, rest) for w in [END, *words(t), END]], np.int64)
-                for k in range(depth):
-                    c = contexts(ids, k + 1, size)[1:]
-                    held[k].append(code(c[c >= 0], ids[1:][c >= 0], size))
-                waiting += len(ids)
-            if waiting > 2_000_000:
-                yield from (told(h, k + 1) for k, h in enumerate(held))
-                held, waiting = [[] for _ in range(depth)], 0
-        if waiting:
-            yield from (told(h, k + 1) for k, h in enumerate(held))
-
-    return each
-
-
 class Tree:
-    """Root shares of the frequent symbols and the rest, and the retained contexts by length."""
+    """The model of a small corpus in memory, as its definition says; tests compare the tables with it."""
 
     def __init__(self, root: np.ndarray):
         self.root = root
@@ -162,59 +287,103 @@ class Tree:
         return p
 
 
-def grow(docs: DataFrame, scratch: Scratch, head_of, root: np.ndarray, n: int, depth: int, least: float, penalty: float) -> Tree:
-    """The tree. Symbols that follow a context less than ``least / 50`` of all tokens are left to its suffix."""
-    counts = docs.mapInPandas(_count_contexts(head_of, depth, len(root)), "length int, context long, symbol long, n long")
-    counts = counts.groupBy("length", "context", "symbol").agg(F.sum("n").alias("n"))
-    counts = scratch.put(counts)
-    totals = scratch.put(counts.groupBy("length", "context").agg(F.sum("n").alias("all")).where(F.col("all") >= least * n))
-    entries = counts.where(F.col("n") >= least / 50 * n).join(totals.select("length", "context"), ["length", "context"], "left_semi")
-    found, all_ = entries.toPandas(), totals.toPandas()  # at most 50 / least and 1 / least rows a length
-    tree = Tree(root)
-    for k in range(1, depth + 1):
-        level = found[found["length"] == k]
-        tree.add(level, all_[all_["length"] == k], penalty)
-    return tree
+def retained(entries: DataFrame, penalty: float) -> DataFrame:
+    """ctx, total, extra: the contexts to keep. Entries have ctx, n, all (the context's count) and p (the symbol's chance in the suffix)."""
+    part = F.least(F.col("n") / F.col("all"), F.lit(1.0))
+    sums = entries.groupBy("ctx").agg(F.max("all").alias("all"), F.count(F.lit(1)).alias("kinds"), F.sum(F.col("n") * F.log(part / F.col("p"))).alias("gain"), F.sum(part).alias("seen"), F.sum("p").alias("low"))
+    left, low = F.greatest(1 - F.col("seen"), F.lit(0.0)), F.greatest(1 - F.col("low"), F.lit(1e-12))
+    rest = F.when(left > 1e-12, F.col("all") * left * F.log(F.greatest(left, F.lit(1e-12)) / low)).otherwise(0.0)
+    kept = sums.where(F.col("gain") + rest > penalty * F.col("kinds"))
+    #: What a context's dropped symbols had goes back to its suffix.
+    return kept.select("ctx", (F.col("all") + F.col("kinds")).alias("total"), (F.col("kinds") + F.col("all") * left).alias("extra"), F.col("all").alias("uses"))
 
 
-def _score(tree_of, head_of, counts_of, z: float, smooth: float, n: int):
+def grow(docs: DataFrame, scratch: Scratch, vocabulary: DataFrame, n: int, known: float, least: int, penalty: float) -> tuple[DataFrame, DataFrame]:
+    """(h, back) of the retained words, and (key, weight, uses) of pairs and triples."""
+    spark = docs.sparkSession
+    often = scratch.put(counted(docs, lambda c: [(2, c.pairs[c.at > 0][:, None])], 1, least, n).select(F.col("c0").alias("key")))
+    bits_of = spark.sparkContext.broadcast(sieve(often))
+
+    def found(c: Chunk) -> list[tuple[int, np.ndarray]]:
+        pair = (c.at > 0) & passes(bits_of.value, c.pairs)
+        triple = np.flatnonzero((c.at > 1) & pair & np.roll(pair, 1))  # no more frequent than the pairs in it
+        pair = np.flatnonzero(pair)
+        two = np.column_stack([c.pairs[pair], c.h[pair - 1], c.h[pair], np.zeros(len(pair), np.int64)])
+        return [(2, two), (3, np.column_stack([c.triples[triple], c.pairs[triple - 1], c.h[triple], c.pairs[triple]]))]
+
+    grams = scratch.put(counted(docs, found, 4, least, n).withColumnsRenamed({"c0": "key", "c1": "ctx", "c2": "sym", "c3": "suf"}))
+    back = (F.log10("extra") - F.log10("total")).alias("weight")
+    own = (F.col("n") + F.col("extra") * F.col("p")) / F.col("total")
+    more = (F.log10("own") - F.log10("extra") + F.log10("total") - F.log10("p")).alias("weight")
+
+    share = vocabulary.select(F.col("h").alias("sym"), (F.col("n") / F.lit(float(n)) * F.lit(float(known))).alias("p"))
+    pairs = grams.where("size = 2").join(share, "sym").join(vocabulary.select(F.col("h").alias("ctx"), F.col("n").alias("all")), "ctx")
+    pairs = scratch.put(pairs.select("key", "ctx", "n", "all", "p"))
+    one = scratch.put(retained(pairs, penalty))
+    pairs = scratch.put(pairs.join(one, "ctx", "left").withColumn("own", own))
+
+    lower = pairs.select(F.col("key").alias("suf"), F.coalesce("own", "p").alias("p"))
+    triples = grams.where("size = 3").join(lower, "suf").join(pairs.select(F.col("key").alias("ctx"), F.col("n").alias("all")), "ctx")
+    triples = scratch.put(triples.select("key", "ctx", "n", "all", "p"))
+    two = scratch.put(retained(triples, penalty))
+    weights = pairs.where("own is not null").select("key", more, "n")
+    weights = weights.unionAll(two.select(F.col("ctx").alias("key"), back, "uses"))
+    weights = weights.unionAll(triples.join(two, "ctx").withColumn("own", own).select("key", more, "n"))
+    weights = scratch.put(weights.groupBy("key").agg(F.sum("weight").alias("weight"), F.max("n").alias("uses")))
+    return one.select(F.col("ctx").alias("h"), back.alias("back")), weights
+
+
+def _score(head_of, held_of, bits_of):
     def each(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tree: Tree = tree_of.value
-        head, counts = head_of.value, counts_of.value
-        place = {w: i for i, w in enumerate(head)}
-        rest = tree.size - 1
-        base_of = np.log10((counts + smooth) / z)
-        member = np.log10(np.maximum(counts / n * tree.known, 1e-300) / tree.root[rest]) if tree.root[rest] > 0 else np.zeros(len(counts))
+        known, base_of, own_of = head_of.value
+        keys, weights = held_of.value
+        lexicon = Lexicon()
         key = TaskContext.get().partitionId() << 40
+
+        def lists(doc: np.ndarray, values: np.ndarray, rows: int) -> list[np.ndarray]:
+            return np.split(values, np.searchsorted(doc, np.arange(1, rows)))
+
+        def looked_up(have: np.ndarray, asked: np.ndarray) -> np.ndarray:
+            """Places in have; -1 where it is missing."""
+            if not len(have):
+                return np.full(len(asked), -1)
+            i = np.minimum(np.searchsorted(have, asked), len(have) - 1)
+            return np.where(have[i] == asked, i, -1)
+
         for pdf in parts:
-            out: dict[str, list] = {k: [] for k in ("row_key", "held_out", "n_tokens", "n_known", "base", "score", "tail")}
-            for train, t in zip(pdf["train"], pdf["text"], strict=True):
-                all_ = words(t)
-                all_.append(END)
-                at = np.fromiter((place.get(w, -1) for w in all_), np.int64, len(all_))
-                ids = np.where((at < 0) | (at >= rest), rest, at)
-                first = place.get(END, rest)
-                p = tree.score(np.concatenate([[min(first, rest)], ids]))
-                held = at[at >= 0]
-                score = float(np.log10(p).sum() + member[held[held >= rest]].sum())
-                tail = Counter(all_[i] for i in np.flatnonzero(at < 0).tolist())
-                key += 1
-                row = (key, not train, len(all_), len(held), float(base_of[held].sum()), score, [{"h": _hash(w), "k": k} for w, k in tail.items()])
-                for k, v in zip(out, row, strict=True):
-                    out[k].append(v)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], **out})
+            for first, end, c in chunks(pdf, lexicon, training=False):
+                rows = end - first
+                doc = np.repeat(np.arange(rows), c.lengths)
+                place = looked_up(known, np.array(lexicon.hashes, np.int64))[c.ids]
+                said = c.at > 0
+                inside = said & (place >= 0)
+                base = np.bincount(doc[inside], base_of[place[inside]], rows)
+                score = np.bincount(doc[inside], own_of[place[inside]], rows)
+                tail = said & (place < 0)
+                seen = [np.flatnonzero((c.at > k) & passes(bits_of.value, grams)) for k, grams in enumerate((c.pairs, c.triples))]
+                gram_doc = doc[np.concatenate(seen)]
+                grams = np.concatenate([c.pairs[seen[0]], c.triples[seen[1]]])
+                i = looked_up(keys, grams)
+                score += np.bincount(gram_doc[i >= 0], weights[i[i >= 0]], rows)
+                more = np.flatnonzero(i < 0)
+                more = more[np.argsort(gram_doc[more], kind="stable")]
+                yield pd.DataFrame({
+                    "doc_id": pdf["doc_id"].iloc[first:end].reset_index(drop=True), "row_key": key + np.arange(rows), "held_out": ~pdf["train"].iloc[first:end].to_numpy(bool), "n_tokens": c.lengths - 1,
+                    "n_known": np.bincount(doc[inside], minlength=rows), "base": base, "score": score, "tail": lists(doc[tail], c.h[tail], rows), "grams": lists(gram_doc[more], grams[more], rows),
+                })
+                key += rows
 
     return each
 
 
-def score(docs: DataFrame, depth: int = 2, least: float = 1e-4, penalty: float = 2.0, head: int = 150_000, smooth: float = 0.1) -> DataFrame:
+def score(docs: DataFrame, least: int = 10, penalty: float = 2.0, head: int = 150_000, smooth: float = 0.1, held: int = 300_000) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: one row per input row."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "suffix-tree")
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", "text", is_training(F.col("doc_id")).alias("train"))
-    counted = rows.mapInPandas(_count_words, "word binary, h long, n long")
-    vocabulary = scratch.put(counted.groupBy("word", "h").agg(F.sum("n").alias("n")))
+    counted_ = rows.mapInPandas(_count_words, "word binary, h long, n long")
+    vocabulary = scratch.put(counted_.groupBy("word", "h").agg(F.sum("n").alias("n")))
     total = vocabulary.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v"), F.count_if(F.col("n") == 1).alias("once")).first()
     n, v = total["n"] or 0, total["v"]
     if not n:
@@ -222,22 +391,20 @@ def score(docs: DataFrame, depth: int = 2, least: float = 1e-4, penalty: float =
         return rows.select("doc_id", (~F.col("train")).alias("held_out"), plain.alias("n_tokens"), F.lit(0).cast("long").alias("n_known"), F.lit(0).cast("long").alias("train_tokens"), F.lit(None).cast("double").alias("base_score"), F.lit(None).cast("double").alias("score"))
     z = n + smooth * (v + 1)
     known = 1 - (total["once"] + 0.5) / (n + 1)  # the share of known words; the rest is that of unknown ones
-    top = vocabulary.orderBy(F.desc("n"), "word").limit(head).select("word", "n").toPandas()
-    counts = top["n"].to_numpy(np.int64)
-    frequent = int((counts >= least * n).sum())
-    root = counts[:frequent] / n * known
-    root = np.append(root, max(1 - root.sum(), 1e-12))
-    head_of = spark.sparkContext.broadcast([bytes(w) for w in top["word"]])
-    tree = grow(rows, scratch, head_of, root, n, depth, least, penalty)
-    tree.known = known
-    shared = spark.sparkContext.broadcast(tree), head_of, spark.sparkContext.broadcast(counts)
-    schema = f"doc_id {kind}, row_key long, held_out boolean, n_tokens long, n_known long, base double, score double, tail array<struct<h:long,k:long>>"
-    scored = scratch.put(rows.mapInPandas(_score(*shared, z, smooth, n), schema))
-    tail = scored.select("row_key", F.inline("tail")).join(vocabulary.select("h", "n"), "h", "left")
+    back, weights = grow(rows, scratch, vocabulary, n, known, least, penalty)
     count = F.coalesce("n", F.lit(0))
     log_base = F.log10((count + smooth) / F.lit(float(z)))
-    log_member = F.log10(F.when(count > 0, count / F.lit(float(n)) * F.lit(float(known))).otherwise(F.lit(float(1 - known))) / F.lit(float(root[-1])))
-    sums = tail.groupBy("row_key").agg(F.sum(F.col("k") * log_base).alias("b"), F.sum(F.col("k") * log_member).alias("s"), F.sum(F.when(count > 0, F.col("k")).otherwise(0)).alias("kn"))
-    out = scored.join(sums, "row_key", "left")
-    plus = lambda a, b: F.col(a) + F.coalesce(b, F.lit(0))
-    return out.select("doc_id", "held_out", "n_tokens", plus("n_known", "kn").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), plus("base", "b").alias("base_score"), plus("score", "s").alias("score"))
+    log_own = F.log10(F.when(count > 0, count / F.lit(float(n)) * F.lit(float(known))).otherwise(F.lit(float(1 - known))))
+    #: A word is a symbol once and once the context of the next; the end is the context of a text's first symbol.
+    lexicon = scratch.put(vocabulary.join(back, "h", "left").select("word", "h", "n", log_base.alias("base"), (log_own + F.coalesce("back", F.lit(0.0))).alias("own")))
+    share = spark.sparkContext.broadcast
+    shared = share(most_used(lexicon, "n", head, ["h", "base", "own"])), share(most_used(weights, "uses", held, ["key", "weight"])), share(sieve(weights.select("key")))
+    schema = f"doc_id {kind}, row_key long, held_out boolean, n_tokens long, n_known long, base double, score double, tail array<long>, grams array<long>"
+    scored = scratch.put(rows.mapInPandas(_score(*shared), schema))
+    tail = scored.select("row_key", F.explode("tail").alias("h")).join(lexicon.select("h", "n", "base", "own"), "h", "left")
+    sums = tail.groupBy("row_key").agg(F.sum(F.coalesce("base", F.lit(float(np.log10(smooth / z))))).alias("b"), F.sum(F.coalesce("own", F.lit(float(np.log10(1 - known))))).alias("s"), F.count("n").alias("kn"))
+    more = scored.select("row_key", F.explode("grams").alias("key")).join(weights.select("key", "weight"), "key")
+    more = more.groupBy("row_key").agg(F.sum("weight").alias("w"))
+    out = scored.select("doc_id", "row_key", "held_out", "n_tokens", "n_known", "base", "score").join(sums, "row_key", "left").join(more, "row_key", "left")
+    plus = lambda a, *b: sum((F.coalesce(x, F.lit(0)) for x in b), F.col(a))
+    return out.select("doc_id", "held_out", "n_tokens", plus("n_known", "kn").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), plus("base", "b").alias("base_score"), plus("score", "s", "w").alias("score"))

@@ -218,6 +218,41 @@ def test_suffix_tree_is_a_distribution():
     assert len(tree.levels[0][0]) == 2
 
 
+def test_suffix_tree_learns_every_context(docs):
+    """Against the tree in memory: any word is a symbol, contexts and successors count from ten on; joined weights equal broadcast ones."""
+    import pandas as pd
+
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    said = {d: [b"", *[w.encode().lower() for w in WORD.findall(t or "")], b""] for d, t in rows}
+    train = [w for d, w in said.items() if zlib.crc32(str(d).encode()) % 10]
+    c = Counter(w for ws in train for w in ws[1:])
+    n, names = sum(c.values()), {w: i for i, w in enumerate(c)}
+    known = 1 - (sum(k == 1 for k in c.values()) + 0.5) / (n + 1)
+    tree = suffix_tree.Tree(np.append(np.array(list(c.values())) / n * known, 1 - known))
+    for length in (1, 2):
+        grams = Counter(tuple(names[w] for w in ws[i : i + length + 1]) for ws in train for i in range(len(ws) - length))
+        all_ = Counter()
+        for g, k in grams.items():
+            all_[g[:-1]] += k
+        number = lambda g: sum(x * tree.size ** (len(g) - 1 - i) for i, x in enumerate(g))
+        found = pd.DataFrame([(number(g[:-1]), g[-1], k) for g, k in grams.items() if k >= 10], columns=["context", "symbol", "n"])
+        tree.add(found, pd.DataFrame([(number(g), k) for g, k in all_.items()], columns=["context", "all"]), 2.0)
+    want = {d: np.log10(tree.score(np.array([names.get(w, tree.size - 1) for w in ws]))).sum() for d, ws in said.items()}
+    assert len(tree.levels[0][0]) > 20 and len(tree.levels[1][0]) > 5
+    for options in ({}, {"head": 50, "held": 20}):
+        got = {r.doc_id: r.score for r in suffix_tree.score(docs, **options).collect()}
+        assert got == pytest.approx(want, rel=1e-9)
+
+
+def test_suffix_tree_grows_with_the_corpus(spark):
+    """A context seen forty times is learnt, though it is under 1e-4 of all tokens."""
+    rng = np.random.default_rng(3)
+    rows = [(i, " ".join(f"w{x}" for x in rng.integers(0, 3_000, 500))) for i in range(1_100)]
+    rows += [(2_000 + i, f"w{i} rare w{i % 7} key lock") for i in range(50)]
+    got = {r.doc_id: r for r in suffix_tree.score(spark.createDataFrame([*rows, (9_000, "key lock"), (9_001, "lock key")], "doc_id long, text string")).collect()}
+    assert got[9_000].score > got[9_001].score + 2
+
+
 def test_nearest_neighbours(spark, sf):
     df = spark.read.parquet(f"{sf}/embeddings.parquet")
     bad = spark.createDataFrame([(9001, None, 0), (9002, [0.0] * 64, 0), (9003, [float("nan")] * 64, 0), (9004, [1.0] * 3, 0), (None, [1.0] * 64, 0), (9005, [None] + [1.0] * 63, 0)], df.schema)
