@@ -3,7 +3,8 @@
 A line is parsed down a tree of fixed depth: its token count, then its first ``depth`` tokens, fields with digits
 or @ generalised to ``<*>`` where they are not most of the line. In a leaf, a token that fewer than ``min_docs`` documents hold at its position
 is a variable field too, if at least ``min_constant`` of the line's tokens stay constant; what is left is the
-line's template. A template found in ``min_docs`` documents of different text is recurring: its lines are dropped
+line's template. In lines of over ``long_tokens`` tokens two documents take the place of ``min_docs``: a passage that
+long does not recur by chance. A template found in so many documents of different text is recurring: its lines are dropped
 from every document but the one of smallest id, so the corpus keeps one copy. Copies of a whole text count
 once, since they are not boilerplate but duplicates, which another operator treats.
 
@@ -23,8 +24,8 @@ from chatterscope.llm.common import BLANKS, Scratch
 FIELD = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*[0-9@][^\x20\x09-\x0D]*"
 
 
-def parsed(docs: DataFrame, depth: int, min_constant: float, min_tokens: int) -> DataFrame:
-    """doc_id, th (hash of the text), pos, leaf, line (generalised): one row per line that may be dropped."""
+def parsed(docs: DataFrame, depth: int, min_constant: float, min_tokens: int, long_tokens: int) -> DataFrame:
+    """doc_id, th (hash of the text), pos, leaf, line (generalised), long: one row per line that may be dropped."""
     rows = docs.select("doc_id", F.xxhash64("text").alias("th"), F.posexplode(F.split("text", "\n")).alias("pos", "raw"))
     plain = F.trim(F.when(F.col("raw").rlike(r"[\x09-\x0D]|\x20\x20"), F.regexp_replace("raw", BLANKS, " ")).otherwise(F.col("raw")))
     rows = rows.select("doc_id", "th", "pos", plain.alias("plain"))
@@ -32,33 +33,36 @@ def parsed(docs: DataFrame, depth: int, min_constant: float, min_tokens: int) ->
     general = F.regexp_replace("plain", FIELD, "<*>")
     few = F.regexp_count(general, F.lit(r"<\*>")) <= (1 - min_constant) * F.col("n")
     rows = rows.withColumn("line", F.when(F.col("plain").rlike("[0-9@]") & few, general).otherwise(F.col("plain")))
-    return rows.where((F.col("line") != "") & (F.col("n") >= min_tokens)).select("doc_id", "th", "pos", F.xxhash64("n", F.substring_index("line", " ", depth)).alias("leaf"), "line")
+    return rows.where((F.col("line") != "") & (F.col("n") >= min_tokens)).select("doc_id", "th", "pos", F.xxhash64("n", F.substring_index("line", " ", depth)).alias("leaf"), "line", (F.col("n") > long_tokens).alias("long"))
 
 
-def dropped_lines(docs: DataFrame, depth: int, min_docs: int, min_constant: float, min_tokens: int) -> DataFrame:
+def dropped_lines(docs: DataFrame, depth: int, min_docs: int, min_constant: float, min_tokens: int, long_tokens: int) -> DataFrame:
     """doc_id, th, drop: positions of the lines to drop, for the documents that have some."""
     scratch = Scratch(docs.sparkSession, "line-templates")
-    rows = scratch.put(parsed(docs, depth, min_constant, min_tokens))
-    leaves = rows.select("leaf", "th").distinct().groupBy("leaf").count().where(F.col("count") >= min_docs).select("leaf")
+    rows = scratch.put(parsed(docs, depth, min_constant, min_tokens, long_tokens))
+    need = F.when(F.col("long"), 2).otherwise(min_docs)  # the token count is part of the leaf, so a leaf is long or not
+    leaves = rows.select("leaf", "long", "th").distinct().groupBy("leaf", "long").count().where(F.col("count") >= need).select("leaf")
     hot = scratch.put(rows.join(leaves, "leaf", "left_semi"))
-    lines = scratch.put(hot.select("leaf", "line", "th").distinct().groupBy("leaf", "line").agg(F.count(F.lit(1)).alias("n_docs")))
-    tokens = lines.select("leaf", "line", "n_docs", F.posexplode(F.split("line", " ")).alias("at", "token"))
+    scratch.drop(rows)
+    lines = scratch.put(hot.select("leaf", "line", "long", "th").distinct().groupBy("leaf", "line", "long").agg(F.count(F.lit(1)).alias("n_docs")))
+    tokens = lines.select("leaf", "line", "long", "n_docs", F.posexplode(F.split("line", " ")).alias("at", "token"))
     support = tokens.groupBy("leaf", "at", "token").agg(F.sum("n_docs").alias("support"))
-    fixed = (F.col("token") != "<*>") & ((F.col("support") >= min_docs) | (F.col("at") < depth))
+    fixed = (F.col("token") != "<*>") & ((F.col("support") >= need) | (F.col("at") < depth))
     told = tokens.join(support, ["leaf", "at", "token"]).select("leaf", "line", F.struct("at", F.when(fixed, F.col("token")).otherwise("<*>").alias("token")).alias("t"), fixed.cast("int").alias("fixed"))
     told = told.groupBy("leaf", "line").agg(F.array_join(F.array_sort(F.collect_list("t"))["token"], " ").alias("general"), F.avg("fixed").alias("share"))
     template = told.select("leaf", "line", F.xxhash64("leaf", F.when(F.col("share") >= min_constant, F.col("general")).otherwise(F.col("line"))).alias("template"))
-    found = scratch.put(hot.join(template, ["leaf", "line"]).select("doc_id", "th", "pos", "template"))
-    each = found.groupBy("template", "th").agg(F.min("doc_id").alias("first"), F.max(F.col("doc_id").isNull()).alias("unnamed"))
-    recurring = each.groupBy("template").agg(F.count(F.lit(1)).alias("n"), F.min("first").alias("first"), F.max("unnamed").alias("unnamed")).where(F.col("n") >= min_docs)
+    found = scratch.put(hot.join(template, ["leaf", "line"]).select("doc_id", "th", "pos", "template", "long"))
+    scratch.drop(hot, lines)
+    each = found.groupBy("template", "long", "th").agg(F.min("doc_id").alias("first"), F.max(F.col("doc_id").isNull()).alias("unnamed"))
+    recurring = each.groupBy("template", "long").agg(F.count(F.lit(1)).alias("n"), F.min("first").alias("first"), F.max("unnamed").alias("unnamed")).where(F.col("n") >= need).drop("long")
     first = F.when(F.col("unnamed"), F.col("doc_id").isNull()).otherwise(F.col("doc_id").eqNullSafe(F.col("first")))
     drops = found.join(recurring, "template").where(~first)
     return scratch.put(drops.groupBy("doc_id", "th").agg(F.collect_set("pos").alias("drop")))
 
 
-def drop_recurring_lines(docs: DataFrame, depth: int = 3, min_docs: int = 8, min_constant: float = 0.5, min_tokens: int = 3) -> DataFrame:
+def drop_recurring_lines(docs: DataFrame, depth: int = 3, min_docs: int = 8, min_constant: float = 0.5, min_tokens: int = 1, long_tokens: int = 20) -> DataFrame:
     """All columns of docs with the text's recurring lines dropped (n_chars follows), and n_lines, n_dropped."""
-    drops = dropped_lines(docs, depth, min_docs, min_constant, min_tokens).withColumnsRenamed({"doc_id": "__lt_id", "th": "__lt_th", "drop": "__lt_drop"})
+    drops = dropped_lines(docs, depth, min_docs, min_constant, min_tokens, long_tokens).withColumnsRenamed({"doc_id": "__lt_id", "th": "__lt_th", "drop": "__lt_drop"})
     key = F.col("doc_id").eqNullSafe(F.col("__lt_id")) & (F.xxhash64("text") == F.col("__lt_th"))
     out = docs.join(drops.hint("shuffle_hash"), key, "left")
     lines = F.split("text", "\n")
