@@ -183,14 +183,16 @@ def search(
     def compare(held: pd.DataFrame, asks: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(held) and len(asks):
-            x, ids = _stack(held["v"]), held["id"].to_numpy()
+            held = held.sort_values("id", kind="stable")
+            x = _stack(held["v"])
+            own, first = np.unique(held["id"].to_numpy(), return_index=True)  # rows of one id are one candidate
             for q, v in zip(asks["id"].to_numpy(), _stack(asks["v"]), strict=True):
-                d = np.sqrt(((x - v) ** 2).sum(1))
-                d[ids == q] = np.inf
+                d = np.minimum.reduceat(np.sqrt(((x - v) ** 2).sum(1)), first)
+                d[own == q] = np.inf
                 near = np.flatnonzero(d <= np.partition(d, k - 1)[k - 1]) if len(d) > k else np.arange(len(d))
                 near = near[np.isfinite(d[near])]
-                near = near[np.lexsort((ids[near], d[near]))][: 2 * k]
-                out += [(q, ids[i], d[i]) for i in near]
+                near = near[np.lexsort((own[near], d[near]))][:k]
+                out += [(q, own[i], d[i]) for i in near]
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
 
     key = ["list", "chunk"]

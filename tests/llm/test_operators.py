@@ -275,6 +275,12 @@ def test_nearest_neighbours(spark, sf):
     assert posting_lists.search(few.limit(0), is_query=F.lit(True)).count() == 0
 
 
+def test_nearest_neighbours_with_repeated_ids(spark):
+    rows = [(0, [0.0, 1.0])] + [(1, [0.01 * i, 1.0]) for i in range(30)] + [(i, [float(i), 1.0]) for i in range(2, 15)]
+    got = posting_lists.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), is_query=F.col("id") == 0, list_rows=1_000).orderBy("rank").collect()
+    assert [(r["rank"], r.vec_id, r.score) for r in got] == [(i, i, 0.0 if i == 1 else float(i)) for i in range(1, 11)]
+
+
 def rules(text):
     w = WORD.findall(text)
     n = len(w)
