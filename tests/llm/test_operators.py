@@ -143,6 +143,18 @@ def test_packing(docs, odd, none):
     assert packing.pack(none).count() == 0
 
 
+def test_packing_finds_added_tokens(spark):
+    from tokenizers import Tokenizer
+    import public_tokenizers as P
+
+    t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    texts = ["a <|endoftext|> b<|endoftext|><|endoftext|>c <|endoftext|", "<|endoftext|>", "plain text"]
+    got = {r.doc_id: (r.length, r.ids_crc32) for r in packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, text in enumerate(texts):
+        ids = np.array([*t.encode(text, add_special_tokens=False).ids, 2], "<u4")
+        assert got[i] == (len(ids), zlib.crc32(ids.tobytes()))
+
+
 def test_bin_completion_is_whole_and_good():
     rng = np.random.default_rng(2)
     for n in (0, 1, 7, 60, 900):
