@@ -1,23 +1,30 @@
 """MinHash near-dedup as a chosen-path set similarity join.
 
 Documents are sets of word shingles. Equal sets fall together first. The others get ``POSITIONS`` minwise tokens and
-descend independent trees: a node picks about 1 / threshold of the positions, and a document goes to the child
-named by its token there. Nodes of at most ``small`` documents are compared exhaustively; larger ones branch on,
-``levels`` times. What is still large then holds near copies of each other: it is cut into blocks, and documents
-that did not join the node's main class are compared with all blocks, so no pair that matters is left out.
+descend independent trees: a node picks one of the positions, and a second one with the chance that makes 1 / threshold
+on average, and a document goes to the child named by its token there. Nodes are counted from the second level on.
+Those of at most ``small`` documents are compared exhaustively, larger ones branch on. Two documents just at the
+threshold have one common child on average; how often none is left after ``levels`` levels says how many trees reach
+``recall``.
 
-Comparing goes in two steps. Sketches say which pairs may reach the threshold (``slack`` below it counts);
-their connected components hold every link. Inside a component of at most ``exact_rows`` documents all pairs are
-confirmed on full sets. In larger ones the nodes are compared again with the full sets in their rows: best
-estimates first, only documents not yet connected are compared, and only links leave a node.
+Documents that link to each other do not part by branching. So the blocks of a large node are compared before it
+branches, and where one class holds the node, but for a few documents, it is closed: those few are compared with all
+its blocks. Nodes still large at the last level are closed alike, so no pair of a node is left out.
+
+Sketches (one byte a position) choose pairs; their components are units, however large. Inside a unit every pair within
+``slack`` of the threshold is confirmed on full sets, best estimates first, until what is linked is joined: in one task,
+or in blocks that all documents outside the unit's main class visit. A unit of many classes that would need more than
+``visits`` copies of its documents is confirmed in its trees' nodes instead.
 
 Defined cases: an empty or null text has an empty set and is linked with nothing; rows with the same id are one
-document; rows without an id are linked with nothing, have no component and are kept; equal sets are one class;
-a table without rows gives no rows; further columns are ignored.
+document, so all texts of an id are in one component (n_shingles is the row's own); rows without an id are linked
+with nothing, have no component and are kept; equal sets are one class; a table without rows gives no rows; further
+columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,8 +41,10 @@ _MUL = (_RNG.integers(1, 1 << 31, POSITIONS, np.uint32) * 2 + 1).astype(np.uint3
 _ADD = _RNG.integers(0, 1 << 32, POSITIONS, np.uint32)
 _WORD = (_RNG.integers(1, 1 << 62, 64, np.uint64) * 2 + 1).astype(np.uint64)
 CACHED = 200_000
-#: How far below the threshold an estimate may lie: over three standard deviations.
-COARSE_SLACK = 0.12
+#: How far below the threshold an estimate may lie: over four standard deviations, so about 2 of 100,000 links at just the threshold have none.
+SLACK = 0.16
+#: Shingles of full sets that one task compares at a time (8 bytes each).
+FULL = 4_000_000
 
 
 class Shingles(dict):
@@ -75,16 +84,22 @@ def minwise(u: np.ndarray) -> np.ndarray:
     return out
 
 
+def name_of(u: np.ndarray) -> int:
+    """A set's name: 64 bits."""
+    h = xxhash.xxh3_64_intdigest(u.tobytes())
+    return h - (1 << 64) if h >> 63 else h
+
+
 def full_sets(texts: DataFrame, size: int) -> DataFrame:
-    """rep, n, sig, set: the sketch and the whole set of each document."""
+    """key, set: the whole set of each text."""
 
     def each(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingles = Shingles()
         for pdf in parts:
             sets = [shingles.of(t, size) for t in pdf["text"]]
-            yield pd.DataFrame({"rep": pdf["rep"], "n": [len(u) for u in sets], "sig": [minwise(u).astype(np.uint8).tobytes() for u in sets], "set": [u.tobytes() for u in sets]})
+            yield pd.DataFrame({"key": [name_of(u) for u in sets], "set": [u.tobytes() for u in sets]})
 
-    return texts.select("rep", "text").mapInPandas(each, "rep long, n long, sig binary, set binary")
+    return texts.select("text").mapInPandas(each, "key long, set binary")
 
 
 def mixed(*parts: np.ndarray) -> np.ndarray:
@@ -97,73 +112,74 @@ def mixed(*parts: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, size: int) -> DataFrame:
+    """doc_id, n_shingles, key (the set's name), tokens; without shingles the key is null and there are no tokens."""
+
     def each(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingles = Shingles()
         for pdf in parts:
             sets = [shingles.of(t, size) for t in pdf["text"]]
             yield pd.DataFrame({
                 "doc_id": pdf["doc_id"], "n_shingles": [len(u) for u in sets],
-                "fp": [xxhash.xxh3_128_digest(u.tobytes()) if len(u) else None for u in sets],
+                "key": pd.array([name_of(u) if len(u) else None for u in sets], "Int64"),
                 "tokens": [minwise(u).tobytes() if len(u) else None for u in sets],
             })
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(each, "doc_id long, n_shingles long, fp binary, tokens binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(each, "doc_id long, n_shingles long, key long, tokens binary")
 
 
 def _tokens(column: pd.Series) -> np.ndarray:
     return np.frombuffer(b"".join(column), np.uint32).reshape(len(column), POSITIONS)
 
 
-def roots(sets: DataFrame, trees: int, threshold: float) -> DataFrame:
-    """node, rep: the first level of every tree."""
-    rng = np.random.default_rng(3)
-    chosen = []
-    for tree in range(trees):
-        picked = np.flatnonzero(rng.random(POSITIONS) < 1 / (threshold * POSITIONS))
-        chosen += [(tree, int(i)) for i in (picked if len(picked) else rng.integers(0, POSITIONS, 1))]
+def lost(levels: int, threshold: float) -> float:
+    """The chance that a pair at the threshold has no common node after so many levels of one tree."""
+    second, out = 1 / threshold - 1, 0.0
+    for _ in range(levels):
+        out = (1 - threshold * (1 - out)) * (1 - second * threshold * (1 - out))
+    return out
+
+
+def trees_for(recall: float, levels: int, threshold: float) -> int:
+    return max(1, math.ceil(math.log(1 - recall) / math.log(lost(levels, threshold))))
+
+
+def descend(node: np.ndarray, row: np.ndarray, tokens: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """(children, their rows): each node picks one position, and a second with the chance that makes 1 / threshold."""
+    found = []
+    for turn in (0, 1):
+        h = mixed(node, np.uint64(turn + 1))
+        on = np.ones(len(h), bool) if turn == 0 else (h >> 20) % 10_000 < 10_000 * (1 / threshold - 1)
+        i = h[on] % POSITIONS
+        found.append((mixed(node[on], i, tokens[row[on], i]), row[on]))
+    return np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found])
+
+
+def roots(sets: DataFrame, trees: int, threshold: float, level: int) -> DataFrame:
+    """node, key: the nodes of all trees at the first level that is counted."""
 
     def each(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
             if len(pdf):
-                t = _tokens(pdf["tokens"])
-                for tree, i in chosen:
-                    yield pd.DataFrame({"node": mixed(np.uint64(tree), np.uint64(i), t[:, i]), "rep": pdf["rep"]})
+                tokens, key = _tokens(pdf["tokens"]), pdf["key"].to_numpy()
+                for tree in range(trees):
+                    node, row = np.full(len(key), int(mixed(np.uint64(tree))[0])), np.arange(len(key))
+                    for _ in range(level):
+                        node, row = descend(node, row, tokens, threshold)
+                    yield pd.DataFrame({"node": node, "key": key[row]})
 
-    return sets.select("rep", "tokens").mapInPandas(each, "node long, rep long")
+    return sets.select("key", "tokens").mapInPandas(each, "node long, key long")
 
 
 def children(rows: DataFrame, threshold: float) -> DataFrame:
-    """rows: node, rep, tokens. Each node picks one position, and a second with the chance that makes 1 / threshold."""
+    """rows: node, key, tokens."""
 
     def each(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
             if len(pdf):
-                t, node = _tokens(pdf["tokens"]), pdf["node"].to_numpy()
-                for turn in (0, 1):
-                    h = mixed(node, np.uint64(turn + 1))
-                    on = np.ones(len(h), bool) if turn == 0 else (h >> 20) % 1000 < 1000 * (1 / threshold - 1)
-                    i = h % POSITIONS
-                    child = mixed(node, i, t[np.arange(len(h)), i])
-                    yield pd.DataFrame({"node": child[on], "rep": pdf["rep"].to_numpy()[on]})
+                node, row = descend(pdf["node"].to_numpy(), np.arange(len(pdf)), _tokens(pdf["tokens"]), threshold)
+                yield pd.DataFrame({"node": node, "key": pdf["key"].to_numpy()[row]})
 
-    return rows.select("node", "rep", "tokens").mapInPandas(each, "node long, rep long")
-
-
-def paths(sets: DataFrame, scratch: Scratch, trees: int, threshold: float, small: int, levels: int) -> DataFrame:
-    """node, rep, members: all leaves of at least two documents; those above ``small`` are dense."""
-    done, rows = [], scratch.put(roots(sets, trees, threshold))
-    for level in range(levels + 1):
-        sized = rows.groupBy("node").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-        held = scratch.put(rows.join(sized, "node"))
-        scratch.drop(rows)
-        if level == levels:
-            return _all([*done, held])
-        done.append(held.where(F.col("members") <= small))
-        large = held.where(F.col("members") > small)
-        if large.isEmpty():
-            return _all(done)
-        rows = scratch.put(children(large.join(sets.select("rep", "tokens"), "rep"), threshold))
-    raise AssertionError
+    return rows.select("node", "key", "tokens").mapInPandas(each, "node long, key long")
 
 
 def _all(frames: list[DataFrame]) -> DataFrame:
@@ -249,7 +265,7 @@ def _compare(threshold: float, slack: float, exact: bool):
 
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
         node, chunk = pdf["node"].to_numpy(), pdf["chunk"].to_numpy()
-        ids, size, label = (pdf[k].to_numpy() for k in ("rep", "n", "label"))
+        ids, size, label = (pdf[k].to_numpy() for k in ("key", "n", "label"))
         sig = np.frombuffer(b"".join(pdf["sig"]), np.uint8).reshape(len(pdf), POSITIONS)
         sets = [np.frombuffer(x, np.uint64) for x in pdf["set"]] if exact else None
         first = np.append(True, (np.diff(node) != 0) | (np.diff(chunk) != 0))
@@ -279,32 +295,6 @@ def _compare(threshold: float, slack: float, exact: bool):
     return each
 
 
-def candidate_pairs(leaves: DataFrame, sets: DataFrame, labels: DataFrame | None, small: int, threshold: float, slack: float, exact: bool = False) -> DataFrame:
-    """a, b: pairs that may reach the threshold, within leaves that hold different labels.
-
-    A dense leaf is cut into blocks; every block also gets some common documents at first, and once there are
-    labels all documents outside the leaf's largest class.
-    """
-    rows = leaves
-    if labels is None:
-        rows = rows.withColumn("label", F.col("rep"))
-        everywhere = F.pmod(F.xxhash64("rep"), F.col("members")) < 16
-    else:
-        rows = rows.join(labels.withColumnsRenamed({"id": "rep", "to": "label"}), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-        mixed_ = rows.groupBy("node").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("node")
-        rows = rows.join(mixed_, "node")
-        dense = rows.where(F.col("members") > small).groupBy("node", "label").count()
-        main = dense.groupBy("node").agg(F.max_by("label", F.struct("count", "label")).alias("main"))
-        rows = rows.join(main, "node", "left")
-        everywhere = F.col("label") != F.col("main")
-    blocks = F.ceil(F.col("members") / small).cast("int")
-    own = F.array(F.pmod(F.xxhash64("rep", F.lit(1)), blocks).cast("int"))
-    rows = rows.withColumn("chunk", F.explode(F.when((blocks > 1) & everywhere, F.sequence(F.lit(0), blocks - 1)).otherwise(own)))
-    rows = rows.select("node", "chunk", "rep", "label").join(sets.select("rep", "n", "sig", *(["set"] if exact else [])), "rep")
-    rows = rows.repartition("node", "chunk").sortWithinPartitions("node", "chunk")
-    return rows.mapInPandas(_compare(threshold, slack, exact), "a long, b long").distinct()
-
-
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """id, to: the least id of each end's component. Every round sends each end to its least neighbour's least one and merges edges, all as tables."""
     edges, labels = scratch.put(edges.where("a != b").distinct()), None
@@ -340,77 +330,115 @@ def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(x) + len(y) - both)
 
 
-def _confirm_all(size: int, percent: int):
-    """Rows (comp, rep, text) sorted by comp: every pair of a component, until all that are linked are joined."""
+def compared(rows: DataFrame, threshold: float, slack: float, exact: bool = False) -> DataFrame:
+    """a, b: pairs of different labels in one node that may reach the threshold; exact: that do, on the sets in the rows.
 
-    def each(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shingles = Shingles()
-        held_comp, held = None, []
-
-        def told() -> list[tuple[int, int]]:
-            held.sort(key=lambda h: (-len(h[1]), h[0]))
-            name = {r: r for r, _ in held}
-            out = []
-            for i, (r, x) in enumerate(held):
-                for s, y in held[i + 1 :]:
-                    if 100 * len(y) < percent * len(x):
-                        break
-                    if name[r] != name[s] and linked(x, y, percent):
-                        out.append((min(r, s), max(r, s)))
-                        old, new = name[s], name[r]
-                        for k, v in name.items():
-                            if v == old:
-                                name[k] = new
-            return out
+    rows: node, blocks, key, label, everywhere, n, sig (and set). A node in several blocks has a document in the block of
+    its hash, or in all of them if it is to be everywhere.
+    """
+    own = F.array(F.pmod(F.xxhash64("key", F.lit(1)), F.col("blocks")).cast("int"))
+    chunks = F.when((F.col("blocks") > 1) & F.col("everywhere"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(own)
+    rows = rows.select("node", F.explode(chunks).alias("chunk"), "key", "label", "n", "sig", *(["set"] if exact else []))
+    rows = rows.repartition("node", "chunk").sortWithinPartitions("node", "chunk")
+    return rows.mapInPandas(_compare(threshold, slack, exact), "a long, b long")
 
-        for pdf in parts:
-            out = []
-            for comp, rep, text in zip(pdf["comp"], pdf["rep"], pdf["text"], strict=True):
-                if comp != held_comp:
-                    out += told()
-                    held_comp, held = comp, []
-                held.append((rep, shingles.of(text, size)))
-            yield pd.DataFrame(out, columns=["a", "b"]).astype("int64")
-        yield pd.DataFrame(told(), columns=["a", "b"]).astype("int64")
 
-    return each
+def _some() -> Column:
+    """Sixteen documents of a node or so, to be in all its blocks while nothing is known of its classes."""
+    return F.pmod(F.xxhash64("key"), F.col("members")) < 16
+
+
+def with_classes(rows: DataFrame, labels: DataFrame, visits: int) -> DataFrame:
+    """rows (node, key, members, blocks) and label, everywhere (it is outside the node's main class), differ (the node has several classes), closed."""
+    rows = rows.join(labels.withColumnsRenamed({"id": "key", "to": "label"}), "key", "left").withColumn("label", F.coalesce("label", "key"))
+    held = rows.groupBy("node", "label").agg(F.count(F.lit(1)).alias("_n"))
+    main = held.groupBy("node").agg(F.max_by("label", F.struct("_n", "label")).alias("_main"), F.max("_n").alias("_top"), F.min("label").alias("_low"), F.max("label").alias("_high"))
+    rows = rows.join(main, "node")
+    closed = (F.col("members") - F.col("_top")) * F.col("blocks") <= visits * F.col("members")
+    return rows.withColumns({"everywhere": F.col("label") != F.col("_main"), "differ": F.col("_low") < F.col("_high"), "closed": closed}).drop("_main", "_top", "_low", "_high")
+
+
+def branched(sets: DataFrame, scratch: Scratch, trees: int, threshold: float, slack: float, small: int, levels: int, first: int, visits: int) -> tuple[DataFrame, DataFrame]:
+    """(leaves, pairs): node, key, members, blocks of all nodes that ended, and the pairs whose sketches may reach the threshold."""
+    sketch = sets.select("key", "n", "sig")
+    blocks = F.ceil(F.col("members") / small).cast("int")
+    leaves, pairs = [], []
+    rows = scratch.put(roots(sets, trees, threshold, first))
+    for level in range(first, levels + 1):
+        sized = rows.groupBy("node").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+        held = scratch.put(rows.join(sized, "node").withColumn("blocks", blocks))
+        scratch.drop(rows)
+        few = held.where("blocks = 1")
+        leaves.append(few)
+        pairs.append(scratch.put(compared(few.join(sketch, "key").withColumns({"label": F.col("key"), "everywhere": F.lit(False)}), threshold, slack)))
+        large = held.where("blocks > 1")
+        if large.isEmpty():
+            break
+        pairs.append(scratch.put(compared(large.join(sketch, "key").withColumns({"label": F.col("key"), "everywhere": _some()}), threshold, slack)))
+        told = scratch.put(with_classes(large, components(_all(pairs), scratch), visits))
+        ends = told.where("closed") if level < levels else told
+        leaves.append(ends.select(*few.columns))
+        pairs.append(scratch.put(compared(ends.where("differ").join(sketch, "key"), threshold, slack)))
+        rest = told.where("not closed")
+        if level == levels or rest.isEmpty():
+            break
+        rows = scratch.put(children(rest.select("node", "key").join(sets.select("key", "tokens"), "key"), threshold))
+    return _all(leaves), _all(pairs)
+
+
+def confirmed(units: DataFrame, leaves: DataFrame, scratch: Scratch, threshold: float, slack: float, small: int, visits: int) -> DataFrame:
+    """a, b: links that join all that is linked. units: node (the sketches' component), members, blocks, key, n, sig, set."""
+    each = scratch.put(compared(units.withColumns({"label": F.col("key"), "everywhere": _some()}), threshold, slack, exact=True))
+    large = units.where("blocks > 1")
+    if large.isEmpty():
+        return each
+    told = scratch.put(with_classes(large.select("node", "key", "members", "blocks"), components(each, scratch), visits))
+    data = units.select("key", "n", "sig", "set")
+    found = [each, scratch.put(compared(told.where("closed and differ").join(data, "key"), threshold, slack, exact=True))]
+    rest = told.where("not closed").select("key", F.col("node").alias("unit"))
+    if not rest.isEmpty():
+        theirs = leaves.select("node", "key").join(rest, "key").select(F.xxhash64("node", "unit").alias("node"), "key")
+        sized = theirs.join(data.select("key", "n"), "key").groupBy("node").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("_w")).where("members > 1")
+        theirs = scratch.put(theirs.join(sized, "node").withColumn("blocks", _blocks(small)).drop("_w"))
+        found.append(scratch.put(compared(theirs.join(data, "key").withColumns({"label": F.col("key"), "everywhere": _some()}), threshold, slack, exact=True)))
+        cut = theirs.where("blocks > 1")
+        if not cut.isEmpty():
+            found.append(scratch.put(compared(with_classes(cut, components(_all(found), scratch), visits).where("differ").join(data, "key"), threshold, slack, exact=True)))
+    return _all(found)
+
+
+def _blocks(small: int) -> Column:
+    """Blocks of at most about ``small`` documents and FULL shingles."""
+    return F.ceil(F.greatest(F.col("members") / small, F.col("_w") / FULL)).cast("int")
 
 
 def near_duplicates(
-    docs: DataFrame, size: int = 5, percent: int = 75, trees: int = 12, small: int = 1_000, levels: int = 2, slack: float = COARSE_SLACK, exact_rows: int = 150
+    docs: DataFrame, size: int = 5, percent: int = 75, recall: float = 0.999, small: int = 400, levels: int = 6, slack: float = SLACK, visits: int = 4, unit: int = 1_000
 ) -> DataFrame:
     """doc_id, n_shingles, component_id, kept (it is its component's least id): one row per input row."""
     scratch = Scratch(docs.sparkSession, "near-dup")
     threshold = percent / 100
-    rows = scratch.put(sketches(docs, size))
-    sets = rows.where("fp is not null and doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("tokens").alias("tokens"))
+    bare = F.when(F.col("doc_id").isNotNull(), F.xxhash64(F.lit("no shingles"), "doc_id"))
+    rows = sketches(docs, size).withColumn("key", F.when(F.col("doc_id").isNotNull(), F.coalesce("key", bare)))
+    rows = scratch.put(rows)
+    sets = rows.where("tokens is not null and key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("tokens").alias("tokens"))
     sets = scratch.put(sets.withColumn("sig", _low_bytes(F.col("tokens"))))
-    leaves = scratch.put(paths(sets, scratch, trees, threshold, small, levels))
-    maybe = scratch.put(candidate_pairs(leaves, sets, None, small, threshold, slack))
-    coarse = components(maybe, scratch)
-    if not leaves.where(F.col("members") > small).isEmpty():
-        more = scratch.put(candidate_pairs(leaves.where(F.col("members") > small), sets, coarse, small, threshold, slack))
-        maybe = maybe.union(more)
-        coarse = components(maybe, scratch)
-    members = coarse.groupBy(F.col("to").alias("comp")).agg(F.count(F.lit(1)).alias("m"))
-    coarse = scratch.put(coarse.withColumnsRenamed({"id": "rep", "to": "comp"}).join(members, "comp"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(coarse, "rep")
-    texts = scratch.put(texts.select("comp", "m", "rep", "text"))
-    few = texts.where(F.col("m") <= exact_rows).select("comp", "rep", "text").repartition("comp").sortWithinPartitions("comp")
-    links = scratch.put(few.mapInPandas(_confirm_all(size, percent), "a long, b long"))
-    large = coarse.where(F.col("m") > exact_rows).select("rep")
-    if not large.isEmpty():
-        many = scratch.put(full_sets(texts.where(F.col("m") > exact_rows), size))
-        theirs = scratch.put(leaves.join(large, "rep", "left_semi"))
-        found = scratch.put(candidate_pairs(theirs, many, None, small, threshold, slack, exact=True))
-        dense = theirs.where(F.col("members") > small)
-        if not dense.isEmpty():
-            found = found.union(scratch.put(candidate_pairs(dense, many, components(found, scratch), small, threshold, slack, exact=True)))
-        links = links.union(found)
+    keys = scratch.put(rows.select("doc_id", "n_shingles", "key"))
+    scratch.drop(rows)
+    several = keys.groupBy("doc_id").agg(F.min("key").alias("a"), F.max("key").alias("b")).where("a < b").select("doc_id", "a")
+    same_id = scratch.put(keys.join(several, "doc_id").select("a", F.col("key").alias("b")).where("a <> b"))
+    leaves, pairs = branched(sets, scratch, trees_for(recall, levels, threshold), threshold, slack, small, levels, min(2, levels), visits)
+    coarse = components(pairs, scratch).withColumnsRenamed({"id": "key", "to": "node"})
+    coarse = scratch.put(coarse.join(sets.select("key", "rep", "n", "sig"), "key"))
+    sized = coarse.groupBy("node").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("_w"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(coarse.select("rep").distinct(), "rep", "left_semi")
+    units = coarse.drop("rep").join(sized, "node").withColumn("blocks", _blocks(unit)).drop("_w")
+    units = scratch.put(full_sets(texts, size).join(units, "key").dropDuplicates(["key"]))
+    links = confirmed(units, leaves, scratch, threshold, slack, small, visits).unionByName(same_id)
     classes = components(links, scratch)
-    named = rows.join(sets.select("fp", "rep"), "fp", "left").join(classes.withColumnsRenamed({"id": "rep"}), "rep", "left")
-    component = F.coalesce("to", "rep", "doc_id")
-    return named.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    named = keys.join(classes.withColumnsRenamed({"id": "key", "to": "_c"}), "key", "left").withColumn("_c", F.coalesce("_c", "key"))
+    least = named.where("_c is not null").groupBy("_c").agg(F.min("doc_id").alias("component_id"))
+    return named.join(least, "_c", "left").select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
 def _low_bytes(tokens: Column) -> Column:

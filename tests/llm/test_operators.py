@@ -77,22 +77,6 @@ def test_near_duplicates(docs, odd, none):
     assert near_dup.near_duplicates(none).count() == 0
 
 
-def test_near_duplicates_in_large_groups(spark):
-    """A dense group beyond every block and component limit: chains and stars of near copies."""
-    rng = np.random.default_rng(1)
-    base = [f"b{i}" for i in range(120)]
-    rows = []
-    for i in range(260):
-        w = list(base)
-        for j in rng.choice(120, rng.integers(0, 6), replace=False):
-            w[j] = f"x{i}_{j}"
-        rows.append((i, " ".join(w)))
-    rows += [(1000 + i, " ".join(f"u{i}_{j}" for j in range(50))) for i in range(20)]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r.doc_id: r.component_id for r in near_dup.near_duplicates(df, small=40, exact_rows=20, levels=1).collect()}
-    assert got == brute_components(rows)
-
-
 def test_secrets(spark, docs, odd, none):
     assign = re.compile(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
     kinds = {"assign": lambda t: [m.span() for m in assign.finditer(t) if len(m[2]) >= 12], "access": lambda t: [m.span() for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 18], "hex": lambda t: [m.span() for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 16]}
