@@ -3,15 +3,20 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 #: Words are runs of other characters than these (space and \x09-\x0D).
 BLANKS = r"[\x20\x09-\x0D]+"
+#: The most that a bit map of keys holds: 64 MB, whatever the number of keys.
+SIEVE_BITS = 1 << 29
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,11 +24,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see: spark.checkpoint.dir, or one of our own where the session names none."""
+    """The folder all executors see: spark.checkpoint.dir. Where the session names none, one of our own, in one JVM alone (tests)."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     sc = spark.sparkContext
+    if not re.match(r"local(\[|$)", sc.master):
+        raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
     if not hasattr(sc, "_chatterscope_dir"):
         sc._chatterscope_dir = "file://" + tempfile.mkdtemp(prefix="chatterscope-")
         atexit.register(drop_path, spark, sc._chatterscope_dir)
@@ -49,10 +56,10 @@ class Scratch:
         self.spark, self.base, self.n, self.paths = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}", 0, {}
         atexit.register(self.close)
 
-    def put(self, df: DataFrame) -> DataFrame:
+    def put(self, df: DataFrame, compression: str = "snappy") -> DataFrame:
         self.n += 1
         path = f"{self.base}/{self.n}"
-        df.write.parquet(path)
+        df.write.option("compression", compression).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = (path, out)
         return out
@@ -87,3 +94,31 @@ def dense_index(df: DataFrame, keys: list[str], order: list[str], rows: int, nam
 
 def lower_ascii(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def sieve(keys: DataFrame) -> np.ndarray:
+    """Bits, set at the leading bits of each key: 32 a key, and SIEVE_BITS at most."""
+    n = keys.count()
+    bits = min(max(32 * n, 1 << 12), SIEVE_BITS)
+    bits = 1 << (bits - 1).bit_length()
+    part = bits // 64
+
+    def slices(pdf: pd.DataFrame) -> pd.DataFrame:
+        flags = np.zeros(part, bool)
+        flags[place_in(pdf["key"].to_numpy(np.int64), bits) % part] = True
+        return pd.DataFrame({"part": [int(pdf["part"].iloc[0])], "bits": [np.packbits(flags).tobytes()]})
+
+    found = keys.select(F.shiftrightunsigned("key", 58).alias("part"), "key").groupBy("part").applyInPandas(slices, "part long, bits binary").collect()
+    out = np.zeros(bits // 8, np.uint8)
+    for r in found:
+        out[r["part"] * part // 8 : (r["part"] + 1) * part // 8] = np.frombuffer(r["bits"], np.uint8)
+    return out
+
+
+def place_in(keys: np.ndarray, bits: int) -> np.ndarray:
+    return (keys.view(np.uint64) >> np.uint64(64 - (bits.bit_length() - 1))).astype(np.int64)
+
+
+def passes(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    i = place_in(keys, 8 * len(bits))
+    return (bits[i >> 3] >> (7 - (i & 7)).astype(np.uint8)) & 1 > 0

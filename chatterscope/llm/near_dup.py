@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chatterscope.llm.common import Scratch
+from chatterscope.llm.common import Scratch, passes, sieve
 
 POSITIONS = 128
 _RNG = np.random.default_rng(11)
@@ -90,16 +90,18 @@ def name_of(u: np.ndarray) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
-def full_sets(texts: DataFrame, size: int) -> DataFrame:
-    """key, set: the whole set of each text."""
+def full_sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
+    """key, set: the whole sets of the texts of these ids, and of a few others that a bit map of bounded size lets pass."""
+    hashed = lambda c: F.xxhash64(F.col(c).cast("long"))
+    shared = docs.sparkSession.sparkContext.broadcast(sieve(ids.select(hashed("rep").alias("key"))))
 
     def each(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingles = Shingles()
         for pdf in parts:
-            sets = [shingles.of(t, size) for t in pdf["text"]]
-            yield pd.DataFrame({"key": [name_of(u) for u in sets], "set": [u.tobytes() for u in sets]})
+            sets = [shingles.of(t, size) for t in pdf["text"][passes(shared.value, pdf["h"].to_numpy(np.int64))]]
+            yield pd.DataFrame({"key": np.array([name_of(u) for u in sets], np.int64), "set": [u.tobytes() for u in sets]})
 
-    return texts.select("text").mapInPandas(each, "key long, set binary")
+    return docs.where("doc_id is not null").select(hashed("doc_id").alias("h"), "text").mapInPandas(each, "key long, set binary")
 
 
 def mixed(*parts: np.ndarray) -> np.ndarray:
@@ -215,14 +217,35 @@ def _forest(i: np.ndarray, j: np.ndarray, est: np.ndarray, sets: list[np.ndarray
     return out
 
 
+def _stars(i: np.ndarray, j: np.ndarray, ids: np.ndarray, wide: np.ndarray) -> pd.DataFrame:
+    """What the pairs join, as stars around the least id of those that are in all blocks, or of all if there is none such."""
+    rank = np.empty(len(ids), int)
+    rank[np.lexsort((ids, ~wide))] = np.arange(len(ids))
+    to = {x: x for x in {*i.tolist(), *j.tolist()}}
+
+    def root(x: int) -> int:
+        while to[x] != x:
+            to[x] = x = to[to[x]]
+        return x
+
+    for x, y in zip(i.tolist(), j.tolist(), strict=True):
+        x, y = root(x), root(y)
+        if x != y:
+            x, y = (x, y) if rank[x] < rank[y] else (y, x)
+            to[y] = x
+    at = np.array(list(to), int)
+    center = np.array([root(x) for x in to], int)
+    return pd.DataFrame({"a": ids[center[at != center]], "b": ids[at[at != center]]})
+
+
 def _compare(threshold: float, slack: float, exact: bool):
-    """Spanning forests of a node's documents under different labels whose sketches may reach the threshold.
+    """Spanning stars of a node's documents under different labels whose sketches may reach the threshold.
 
     exact: of those that do on full sets, which the rows then hold; nothing else leaves the task.
     """
     percent = round(100 * threshold)
 
-    def group(ids: np.ndarray, size: np.ndarray, label: np.ndarray, sig: np.ndarray, sets: list[np.ndarray] | None) -> pd.DataFrame:
+    def group(ids: np.ndarray, wide: np.ndarray, size: np.ndarray, label: np.ndarray, sig: np.ndarray, sets: list[np.ndarray] | None) -> pd.DataFrame:
         found = []
         step = max(1, 16_000_000 // (len(ids) * POSITIONS))
         for at in range(0, len(ids), step):
@@ -239,8 +262,8 @@ def _compare(threshold: float, slack: float, exact: bool):
                 found = [chosen(*map(np.concatenate, zip(*found, strict=True)), None)]
         if not found:
             return empty
-        i, j, est = chosen(*map(np.concatenate, zip(*found, strict=True)), sets)
-        return pd.DataFrame({"a": np.minimum(ids[i], ids[j]), "b": np.maximum(ids[i], ids[j])})
+        i, j, _ = chosen(*map(np.concatenate, zip(*found, strict=True)), sets)
+        return _stars(i, j, ids, wide)
 
     def chosen(i: np.ndarray, j: np.ndarray, est: np.ndarray, sets: list[np.ndarray] | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         keep = np.array(_forest(i, j, est, sets, percent), int)
@@ -265,7 +288,7 @@ def _compare(threshold: float, slack: float, exact: bool):
 
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
         node, chunk = pdf["node"].to_numpy(), pdf["chunk"].to_numpy()
-        ids, size, label = (pdf[k].to_numpy() for k in ("key", "n", "label"))
+        ids, wide, size, label = (pdf[k].to_numpy() for k in ("key", "everywhere", "n", "label"))
         sig = np.frombuffer(b"".join(pdf["sig"]), np.uint8).reshape(len(pdf), POSITIONS)
         sets = [np.frombuffer(x, np.uint64) for x in pdf["set"]] if exact else None
         first = np.append(True, (np.diff(node) != 0) | (np.diff(chunk) != 0))
@@ -285,11 +308,11 @@ def _compare(threshold: float, slack: float, exact: bool):
             ok = est >= threshold - slack
             pairs.append((i[ok], j[ok], est[ok]))
         if pairs:
-            i, j, est = chosen(*map(np.concatenate, zip(*pairs, strict=True)), sets)
-            out.append(pd.DataFrame({"a": np.minimum(ids[i], ids[j]), "b": np.maximum(ids[i], ids[j])}))
+            i, j, _ = chosen(*map(np.concatenate, zip(*pairs, strict=True)), sets)
+            out.append(_stars(i, j, ids, wide))
         for g in np.flatnonzero(long > 24):
             part = slice(starts[g], starts[g] + long[g])
-            out.append(group(ids[part], size[part], label[part], sig[part], sets[part] if exact else None))
+            out.append(group(ids[part], wide[part], size[part], label[part], sig[part], sets[part] if exact else None))
         return pd.concat(out).drop_duplicates() if out else empty
 
     return each
@@ -297,25 +320,33 @@ def _compare(threshold: float, slack: float, exact: bool):
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """id, to: the least id of each end's component. Every round sends each end to its least neighbour's least one and merges edges, all as tables."""
-    edges, labels = scratch.put(edges.where("a != b").distinct()), None
-    while True:
+    edges, steps = scratch.put(edges.where("a <> b").distinct()), []
+    if edges.isEmpty():
+        return edges.select(F.col("a").alias("id"), F.col("b").alias("to"))
+    while not edges.isEmpty():
         both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("to"))
         hop = least.select(F.col("id").alias("_h"), F.col("to").alias("_t"))
         step = scratch.put(least.join(hop, F.col("to") == F.col("_h")).select("id", F.col("_t").alias("to")))
+        steps.append(step)
         move = step.select(F.col("id").alias("_h"), F.col("to").alias("_t"))
-        if labels is None:
-            labels = step
-        else:
-            labels = scratch.put(labels.join(move, F.col("to") == F.col("_h"), "left").select("id", F.coalesce("_t", "to").alias("to")))
-            labels = scratch.put(labels.union(step.join(labels, "id", "left_anti")))
         moved = edges.join(move, F.col("a") == F.col("_h")).select(F.col("_t").alias("a"), "b")
         moved = moved.join(move, F.col("b") == F.col("_h")).select(F.least("a", "_t").alias("a"), F.greatest("a", "_t").alias("b"))
-        after = scratch.put(moved.where("a != b").distinct())
+        after = scratch.put(moved.where("a <> b").distinct())
         scratch.drop(edges)
-        if after.isEmpty():
-            return labels
         edges = after
+    labels = steps[0]
+    for step in steps[1:]:
+        move = step.select(F.col("id").alias("_h"), F.col("to").alias("_t"))
+        labels = labels.join(move, F.col("to") == F.col("_h"), "left").select("id", F.coalesce("_t", "to").alias("to"))
+    return scratch.put(labels) if len(steps) > 1 else labels
+
+
+def near_labels(pairs: DataFrame, scratch: Scratch) -> DataFrame:
+    """id, to: two steps towards the least id of the component. Equal ones mean one component; where some documents are in all blocks, most of a class has one."""
+    both = pairs.select("a", "b").union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    least = scratch.put(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("to")))
+    return least.join(least.select(F.col("id").alias("_h"), F.col("to").alias("_t")), F.col("to") == F.col("_h")).select("id", F.col("_t").alias("to"))
 
 
 def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -338,7 +369,7 @@ def compared(rows: DataFrame, threshold: float, slack: float, exact: bool = Fals
     """
     own = F.array(F.pmod(F.xxhash64("key", F.lit(1)), F.col("blocks")).cast("int"))
     chunks = F.when((F.col("blocks") > 1) & F.col("everywhere"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(own)
-    rows = rows.select("node", F.explode(chunks).alias("chunk"), "key", "label", "n", "sig", *(["set"] if exact else []))
+    rows = rows.select("node", F.explode(chunks).alias("chunk"), "key", "label", "everywhere", "n", "sig", *(["set"] if exact else []))
     rows = rows.repartition("node", "chunk").sortWithinPartitions("node", "chunk")
     return rows.mapInPandas(_compare(threshold, slack, exact), "a long, b long")
 
@@ -362,28 +393,29 @@ def branched(sets: DataFrame, scratch: Scratch, trees: int, threshold: float, sl
     """(leaves, pairs): node, key, members, blocks of all nodes that ended, and the pairs whose sketches may reach the threshold."""
     sketch = sets.select("key", "n", "sig")
     blocks = F.ceil(F.col("members") / small).cast("int")
-    leaves, pairs = [], []
+    leaves, pairs, labels = [], [], None
     rows = scratch.put(roots(sets, trees, threshold, first))
     for level in range(first, levels + 1):
         sized = rows.groupBy("node").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
         held = scratch.put(rows.join(sized, "node").withColumn("blocks", blocks))
         scratch.drop(rows)
-        few = held.where("blocks = 1")
-        leaves.append(few)
-        pairs.append(scratch.put(compared(few.join(sketch, "key").withColumns({"label": F.col("key"), "everywhere": F.lit(False)}), threshold, slack)))
+        leaves.append(held.where("blocks = 1").withColumns({"label": F.col("key"), "everywhere": F.lit(False)}))
         large = held.where("blocks > 1")
         if large.isEmpty():
             break
-        pairs.append(scratch.put(compared(large.join(sketch, "key").withColumns({"label": F.col("key"), "everywhere": _some()}), threshold, slack)))
-        told = scratch.put(with_classes(large, components(_all(pairs), scratch), visits))
+        if labels is None:
+            pairs.append(scratch.put(compared(large.join(sketch, "key").withColumns({"label": F.col("key"), "everywhere": _some()}), threshold, slack)))
+            labels = scratch.put(near_labels(pairs[0], scratch))
+        told = scratch.put(with_classes(large, labels, visits))
         ends = told.where("closed") if level < levels else told
-        leaves.append(ends.select(*few.columns))
-        pairs.append(scratch.put(compared(ends.where("differ").join(sketch, "key"), threshold, slack)))
+        leaves.append(ends.select(*leaves[0].columns))
         rest = told.where("not closed")
         if level == levels or rest.isEmpty():
             break
         rows = scratch.put(children(rest.select("node", "key").join(sets.select("key", "tokens"), "key"), threshold))
-    return _all(leaves), _all(pairs)
+    ended = _all(leaves)
+    pairs.append(scratch.put(compared(ended.join(sketch, "key"), threshold, slack)))
+    return ended.select("node", "key", "members", "blocks"), _all(pairs)
 
 
 def confirmed(units: DataFrame, leaves: DataFrame, scratch: Scratch, threshold: float, slack: float, small: int, visits: int) -> DataFrame:
@@ -392,7 +424,7 @@ def confirmed(units: DataFrame, leaves: DataFrame, scratch: Scratch, threshold:
     large = units.where("blocks > 1")
     if large.isEmpty():
         return each
-    told = scratch.put(with_classes(large.select("node", "key", "members", "blocks"), components(each, scratch), visits))
+    told = scratch.put(with_classes(large.select("node", "key", "members", "blocks"), near_labels(each, scratch), visits))
     data = units.select("key", "n", "sig", "set")
     found = [each, scratch.put(compared(told.where("closed and differ").join(data, "key"), threshold, slack, exact=True))]
     rest = told.where("not closed").select("key", F.col("node").alias("unit"))
@@ -403,7 +435,7 @@ def confirmed(units: DataFrame, leaves: DataFrame, scratch: Scratch, threshold:
         found.append(scratch.put(compared(theirs.join(data, "key").withColumns({"label": F.col("key"), "everywhere": _some()}), threshold, slack, exact=True)))
         cut = theirs.where("blocks > 1")
         if not cut.isEmpty():
-            found.append(scratch.put(compared(with_classes(cut, components(_all(found), scratch), visits).where("differ").join(data, "key"), threshold, slack, exact=True)))
+            found.append(scratch.put(compared(with_classes(cut, near_labels(_all(found), scratch), visits).where("differ").join(data, "key"), threshold, slack, exact=True)))
     return _all(found)
 
 
@@ -413,7 +445,7 @@ def _blocks(small: int) -> Column:
 
 
 def near_duplicates(
-    docs: DataFrame, size: int = 5, percent: int = 75, recall: float = 0.999, small: int = 400, levels: int = 6, slack: float = SLACK, visits: int = 4, unit: int = 1_000
+    docs: DataFrame, size: int = 5, percent: int = 75, recall: float = 0.999, small: int = 400, levels: int = 4, slack: float = SLACK, visits: int = 4, unit: int = 1_000
 ) -> DataFrame:
     """doc_id, n_shingles, component_id, kept (it is its component's least id): one row per input row."""
     scratch = Scratch(docs.sparkSession, "near-dup")
@@ -431,9 +463,8 @@ def near_duplicates(
     coarse = components(pairs, scratch).withColumnsRenamed({"id": "key", "to": "node"})
     coarse = scratch.put(coarse.join(sets.select("key", "rep", "n", "sig"), "key"))
     sized = coarse.groupBy("node").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("_w"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(coarse.select("rep").distinct(), "rep", "left_semi")
     units = coarse.drop("rep").join(sized, "node").withColumn("blocks", _blocks(unit)).drop("_w")
-    units = scratch.put(full_sets(texts, size).join(units, "key").dropDuplicates(["key"]))
+    units = scratch.put(full_sets(docs, coarse, size).join(units, "key").dropDuplicates(["key"]))
     links = confirmed(units, leaves, scratch, threshold, slack, small, visits).unionByName(same_id)
     classes = components(links, scratch)
     named = keys.join(classes.withColumnsRenamed({"id": "key", "to": "_c"}), "key", "left").withColumn("_c", F.coalesce("_c", "key"))
