@@ -1,11 +1,11 @@
 """Best-fit packing of token sequences by bin completion with branch and bound.
 
 Documents are tokenized and cut into pieces; what packing needs of them is one number, so the search runs over
-the histogram of piece lengths (at most ``capacity`` counts, whatever the input's size). Around the largest
-length that is left, the undominated fillings of the rest of its sequence are enumerated, best fit first; a
-filling is used as often as its lengths last. Branches whose waste exceeds what the best solution so far allows
-are pruned; best-fit decreasing gives the first of these. The result, patterns with multiplicities, is turned
-into places by each piece's rank among the pieces of its length.
+the histogram of piece lengths (at most ``capacity`` counts, whatever the input's size). Around the longest
+piece that is left, the undominated fillings of the rest of its sequence are enumerated, least waste first; a
+filling is used as often as its lengths last, or once. Branches whose waste exceeds what the best solution so far allows
+are pruned and others tried instead; best-fit decreasing gives the first solution. The result, patterns with
+multiplicities, is turned into places by each piece's rank among the pieces of its length.
 
 Defined cases: a null text is empty and has the end token alone; repeated rows are packed each; ties are
 interchangeable rows; no rows give no rows; further columns are ignored.
@@ -14,6 +14,8 @@ interchangeable rows; no rows give no rows; further columns are ignored.
 from __future__ import annotations
 
 import base64
+import bisect
+import hashlib
 import json
 import zlib
 from collections.abc import Iterator
@@ -84,74 +86,69 @@ def pieces(docs: DataFrame, capacity: int, end_id: int, ranks_path: str | None)
 
 
 def lower_bound(counts: np.ndarray) -> int:
-    """Sequences that any packing needs: by volume, and by items over half plus what cannot join them."""
+    """Sequences that any packing needs: by volume, and by pieces over half plus what cannot join them."""
     cap = len(counts) - 1
-    sizes = np.arange(cap + 1)
-    best = -(-int(sizes @ counts) // cap)
-    for k in range(cap // 2 + 1):
-        big = int(counts[cap - k + 1 :].sum())
-        mid = int(counts[cap // 2 + 1 : cap - k + 1].sum())
-        free = mid * cap - int(sizes[cap // 2 + 1 : cap - k + 1] @ counts[cap // 2 + 1 : cap - k + 1])
-        small = int(sizes[k : cap // 2 + 1] @ counts[k : cap // 2 + 1])
-        best = max(best, big + mid + max(0, -(-(small - free) // cap)))
-    return best
-
-
-def fillings(left: np.ndarray, room: int, most: int) -> list[tuple[int, ...]]:
-    """Undominated fillings of ``room`` from what is left, least waste first, then larger items first.
-
-    One length equal to the room dominates all others. Otherwise: the best single item, the best pairs and the
-    best triples; each is completed by best fit, so nothing that is left would still fit.
+    n, volume = np.cumsum(counts), np.cumsum(np.arange(cap + 1) * counts)
+    half, k = cap // 2, np.arange(cap // 2 + 1)
+    over = cap - k
+    wide, space = n[over] - n[half], (n[over] - n[half]) * cap - (volume[over] - volume[half])
+    small = volume[half] - np.where(k > 0, volume[np.maximum(k - 1, 0)], 0)
+    more = -(-(small - space) // cap)
+    return max(-(-int(volume[cap]) // cap), int((n[cap] - n[over] + wide + np.maximum(more, 0)).max()))
+
+
+def _spread(lengths: int, waste: int) -> int:
+    """Bits t for which a length from t to t + waste is among ``lengths`` (bit sets, as all in this search)."""
+    done = 0
+    while done < waste:
+        step = min(done + 1, waste - done)
+        lengths |= lengths >> step
+        done += step
+    return lengths
+
+
+def fillings(left: np.ndarray, room: int, most_waste: int) -> Iterator[tuple[int, ...]]:
+    """All undominated fillings of ``room`` from what is left that waste at most ``most_waste``: least waste first, longer pieces first.
+
+    A filling is dominated if a piece that is left fits beside it, or can take the place of some of its pieces that are
+    together no longer, or of one that is shorter. No packing gets worse by the exchange, so those are left out; as soon
+    as some of the pieces of a filling can be exchanged, all that hold them are.
     """
-    if room <= 0:
-        return [()]
-    have = np.flatnonzero(left[: room + 1])
-    if not len(have):
-        return [()]
-    if have[-1] == room:
-        return [(room,)]
-    fit = np.zeros(room + 1, int)
-    fit[have] = have
-    fit = np.maximum.accumulate(fit)
-    found: dict[tuple[int, ...], int] = {}
-
-    def pair(space: int, a: np.ndarray) -> tuple[int, int, int]:
-        b = np.minimum(fit[space - a], a)
-        b = np.where((b == a) & (left[a] < 2), fit[np.maximum(a - 1, 0)], b)
-        b = np.where(b <= space - a, b, 0)
-        i = len(a) - 1 - int(np.argmax((a + b)[::-1]))
-        return int(a[i] + b[i]), int(a[i]), int(b[i])
-
-    total, a, b = pair(room, have)
-    found[tuple(x for x in (a, b) if x)] = total
-    if total < room:
-        for a in have[::-1][:48]:
-            rest = have[: np.searchsorted(have, min(a, room - a), "right")]
-            if len(rest):
-                total, b, c = pair(room - int(a), rest)
-                if left[a] > (b == a) + (c == a):
-                    found.setdefault(tuple(x for x in (int(a), b, c) if x), int(a) + total)
-                if int(a) + total == room:
-                    break
-    out = []
-    for items in found:
-        items, need = list(items), dict.fromkeys(items, 0)
-        for x in items:
-            need[x] = need.get(x, 0) + 1
-        space = room - sum(items)
-        while space > 0 and (x := int(fit[space])):
-            while x and left[x] <= need.get(x, 0):
-                x = int(fit[x - 1])
-            if not x:
-                break
-            items.append(x)
-            need[x] = need.get(x, 0) + 1
-            space -= x
-        if all(left[x] >= n for x, n in need.items()):
-            out.append(tuple(sorted(items, reverse=True)))
-    if not out:
-        out = [(int(have[-1]),)]
-    return sorted(set(out), key=lambda f: (room - sum(f), tuple(-x for x in f)))[:most]
+    have = np.flatnonzero(left[: room + 1]).tolist()
+    most = [min(int(left[x]), room // x) for x in have]
+    reach = [1]  # sums that the first k lengths give
+    for x, n in zip(have, most, strict=True):
+        sums, k = reach[-1], 1
+        while n > 0:
+            sums |= sums << (min(k, n) * x)
+            n, k = n - k, 2 * k
+        reach.append(sums & ((2 << room) - 1))
+    free = sum(1 << x for x in have)
+
+    def search(upto: int, rest: int, waste: int, items: tuple[int, ...], free: int, one: int, sums: int, more: int) -> Iterator[tuple[int, ...]]:
+        """one: chosen lengths; sums: of any of them; more: of two or more."""
+        if _spread(free, waste) & more or (waste and _spread(free >> 1, waste - 1) & one):
+            return
+        if not rest:
+            if not free & ((2 << waste) - 2):
+                yield items
+            return
+        for j in range(min(upto, bisect.bisect_right(have, rest)) - 1, -1, -1):
+            if not reach[j + 1] >> rest & 1:
+                return
+            x = have[j]
+            for n in range(min(most[j], rest // x), 0, -1):
+                if reach[j] >> (rest - n * x) & 1:
+                    all_, several = sums, more
+                    for _ in range(n):
+                        several |= several << x | (all_ & ~1) << x
+                        all_ |= all_ << x
+                    yield from search(j, rest - n * x, waste, items + (x,) * n, free & ~(1 << x) if n == left[x] else free, one | 1 << x, all_, several)
+
+    left = left.copy()
+    for waste in range(min(most_waste, room) + 1):
+        if reach[-1] >> (room - waste) & 1:
+            yield from search(len(have), room - waste, waste, (), free, 0, 1, 0)
 
 
 def best_fit(counts: np.ndarray) -> list[tuple[tuple[int, ...], int]]:
@@ -187,63 +184,75 @@ def best_fit(counts: np.ndarray) -> list[tuple[tuple[int, ...], int]]:
     return [(tuple(items), m) for found in rooms.values() for items, m in found]
 
 
-def complete(counts: np.ndarray, branches: int = 3, nodes: int = 3_000) -> list[tuple[tuple[int, ...], int]]:
+def complete(counts: np.ndarray, nodes: int = 8_000) -> list[tuple[tuple[int, ...], int]]:
     """Bin completion: patterns of lengths with multiplicities, as few sequences as the search finds.
 
-    ``nodes`` bounds the search, never the items: whatever happens, the result packs all of them.
+    Depth first from best fit's solution as the incumbent: the longest piece that is left gets one undominated filling after
+    the other, each as often as its lengths last and then once. A state is left if it was reached with as few sequences
+    before, if what it wastes or its lower bound says that it cannot beat the incumbent, or when all its fillings are tried.
+    ``nodes`` bounds the states, never the pieces: whatever happens, the result packs all of them. Without reaching
+    the bound the result is the least number of sequences.
     """
     cap = len(counts) - 1
     total = int(np.arange(cap + 1) @ counts)
     least, best = lower_bound(counts), best_fit(counts)
     n_best = sum(m for _, m in best)
-    left, chosen, used, waste = counts.copy(), [], 0, 0
-    stack: list[list] = []  # the fillings still to try at each depth
+    left, chosen, used = counts.copy(), [], 0
+    reached: dict[bytes, int] = {}
 
-    def alternatives() -> list[tuple[int, ...]]:
+    def moves() -> Iterator[tuple[np.ndarray, np.ndarray, tuple[int, ...], int]]:
         size = int(np.flatnonzero(left)[-1])
         left[size] -= 1
-        found = fillings(left, cap - size, branches)
+        own = left.copy()
         left[size] += 1
-        return [(size, *f) for f in found]
+        for f in fillings(own, cap - size, spare()):
+            items = (size, *f)
+            kinds, need = np.unique(items, return_counts=True)
+            most = int((left[kinds] // need).min())
+            for m in (most, 1) if most > 1 else (1,):
+                yield kinds, need, items, m
+
+    def spare() -> int:
+        """What may be wasted from here on in a packing that beats the incumbent."""
+        return (n_best - 1 - used) * cap - int(np.arange(cap + 1) @ left)
 
     def undo() -> None:
-        nonlocal used, waste
-        items, m = chosen.pop()
-        for x in items:
-            left[x] += m
-        used, waste = used - m, waste - m * (cap - sum(items))
-
-    while n_best > least and nodes > 0:
-        if left.any():
-            stack.append(alternatives()[::-1])
-        elif used < n_best:
-            best, n_best = list(chosen), used
-        while stack and not stack[-1]:
+        nonlocal used
+        kinds, need, _, m = chosen.pop()
+        left[kinds] += m * need
+        used -= m
+
+    stack = [moves()] if n_best > least else []
+    while stack and nodes > 0 and n_best > least:
+        move = next(stack[-1], None)
+        if move is None:
             stack.pop()
-            if stack:
+            if chosen:
                 undo()
-        if not stack:
-            break
-        if len(chosen) >= len(stack):
+            continue
+        kinds, need, items, m = move
+        if m * (cap - sum(items)) > spare():
+            continue
+        left[kinds] -= m * need
+        chosen.append(move)
+        used += m
+        state = hashlib.blake2b(left.tobytes(), digest_size=16).digest()
+        if reached.get(state, n_best) <= used:
             undo()
-        items = stack[-1].pop()
-        need = np.bincount(items, minlength=cap + 1)
-        kinds = np.flatnonzero(need)
-        m = int((left[kinds] // need[kinds]).min())
-        nodes -= 1
-        if waste + m * (cap - sum(items)) > (n_best - 1) * cap - total:  # cannot beat the best any more
-            if len(stack) > 1 and not stack[-1]:
-                continue
-            chosen.append((items, 0))
             continue
-        for x in kinds:
-            left[x] -= m * need[x]
-        chosen.append((items, m))
-        used, waste = used + m, waste + m * (cap - sum(items))
-    return [(items, m) for items, m in best if m]
+        reached[state] = used
+        nodes -= 1
+        if not left.any():
+            best, n_best = [(items, m) for _, _, items, m in chosen], used
+            undo()
+        elif used + lower_bound(left) >= n_best:
+            undo()
+        else:
+            stack.append(moves())
+    return best
 
 
-def pack(docs: DataFrame, capacity: int = 1024, end_id: int = 2, ranks_path: str | None = None, nodes: int = 3_000) -> DataFrame:
+def pack(docs: DataFrame, capacity: int = 1024, end_id: int = 2, ranks_path: str | None = None, nodes: int = 8_000) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset: each piece's place."""
     scratch = Scratch(docs.sparkSession, "packing")
     rows = scratch.put(pieces(docs, capacity, end_id, ranks_path))
@@ -251,31 +260,30 @@ def pack(docs: DataFrame, capacity: int = 1024, end_id: int = 2, ranks_path: str
     for r in rows.groupBy("length").count().collect():  # at most ``capacity`` rows
         counts[r["length"]] = r["count"]
     patterns = complete(counts, nodes=nodes)
-    slots: dict[int, list] = {}
-    seq, filled = 0, dict.fromkeys(range(capacity + 1), 0)
+    #: By length: patterns' first ranks, first sequences, pieces of it in one, and where their offsets begin in ``offsets``.
+    slots: dict[int, list[tuple[int, int, int, int]]] = {}
+    seq, filled, offsets = 0, dict.fromkeys(range(capacity + 1), 0), []
     for items, m in patterns:
-        at, offsets = 0, {}
-        for x in items:
-            offsets.setdefault(x, []).append(at)
-            at += x
-        for x, offs in offsets.items():
-            slots.setdefault(x, []).append((filled[x], seq, len(offs), offs))
-            filled[x] += m * len(offs)
+        ends = np.cumsum(items)
+        for x in set(items):
+            at = [int(e) - x for e, y in zip(ends, items, strict=True) if y == x]
+            slots.setdefault(x, []).append((filled[x], seq, len(at), len(offsets)))
+            offsets += at
+            filled[x] += m * len(at)
         seq += m
-    wide = max([1, *(s[2] for v in slots.values() for s in v)])
-    lookup = {x: (np.array([s[0] for s in v]), np.array([s[1] for s in v]), np.array([s[2] for s in v]), np.array([s[3] + [0] * (wide - len(s[3])) for s in v], np.int16 if capacity < 30_000 else int)) for x, v in slots.items()} if wide <= 64 else {x: (np.array([s[0] for s in v]), np.array([s[1] for s in v]), np.array([s[2] for s in v]), [np.array(s[3]) for s in v]) for x, v in slots.items()}
+    shared = docs.sparkSession.sparkContext.broadcast(({x: np.array(v).T for x, v in slots.items()}, np.array(offsets, np.int64)))  # a few numbers a pattern; patterns are bounded by the lengths and nodes
 
     def place(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        lookup, at = shared.value
         for pdf in parts:
             sequence, offset = np.zeros(len(pdf), np.int64), np.zeros(len(pdf), np.int64)
             length, rank = pdf["length"].to_numpy(), pdf["_rank"].to_numpy()
             for x in np.unique(length):
                 own = np.flatnonzero(length == x)
-                starts, base, k, offs = lookup[int(x)]
-                i = np.searchsorted(starts, rank[own], "right") - 1
-                r = rank[own] - starts[i]
-                sequence[own] = base[i] + r // k[i]
-                offset[own] = offs[i, r % k[i]] if isinstance(offs, np.ndarray) else [offs[a][b] for a, b in zip(i, r % k[i], strict=True)]
+                first, base, k, begin = lookup[int(x)]
+                i = np.searchsorted(first, rank[own], "right") - 1
+                r = rank[own] - first[i]
+                sequence[own], offset[own] = base[i] + r // k[i], at[begin[i] + r % k[i]]
             yield pdf.drop(columns="_rank").assign(sequence_id=sequence, offset=offset)
 
     ranked = dense_index(rows, ["length"], ["doc_id", "piece", "ids_crc32"], int(counts.sum()), "_rank")
