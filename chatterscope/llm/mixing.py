@@ -5,11 +5,12 @@ use, at ``max_epochs`` passes over its documents, goes to its siblings by weight
 full does the node itself count as short, to be made up among its own siblings. Each leaf takes the first tokens
 of a stream of epochs, every epoch being all its documents in the order of a seeded hash: whole epochs, then a
 prefix that ends inside one document. In hash order a prefix is a threshold, so no leaf is ever sorted: token sums
-of 4,096 hash ranges a leaf find the range that holds the end, and only its rows are ordered.
+of 4,096 hash ranges a leaf find the range that holds the end, and only its rows are ordered. The tree is a table like
+any other, a row a node: budgets are windows over siblings, and nothing of it comes to the driver.
 
 Defined cases: a null text has no tokens and is taken with the rest of its leaf; a null level is the node ``""``; a
-child without a weight gets ``default_weight``; rows equal in id and text share their place in the order and are
-taken together; a table without rows gives no rows; further columns are passed through,
+child without a weight gets ``default_weight``; rows equal in id and text share their place in the order, and where a
+prefix ends among them, as many are taken as it needs and the last of them in part; a table without rows gives no rows; further columns are passed through,
 but for columns named n_tokens, epoch or take_tokens, which are replaced.
 """
 
@@ -17,7 +18,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from chatterscope.llm.common import Scratch
@@ -25,46 +25,46 @@ from chatterscope.llm.common import Scratch
 RANGE_BITS = 12
 
 
-def water_fill(amount: int, weights: list[float], room: list[int]) -> list[int]:
-    """Shares of amount by weight, none above its room; what one cannot hold goes to the others by weight."""
-    got = [0] * len(room)
-    open_ = [i for i in range(len(room)) if room[i] > 0 and weights[i] > 0]
-    while open_ and amount > 0:
-        total = sum(weights[i] for i in open_)
-        full = [i for i in open_ if amount * weights[i] / total >= room[i] - got[i]]
-        if not full:
-            exact = [amount * weights[i] / total for i in open_]
-            whole = [int(x) for x in exact]
-            for j in sorted(range(len(open_)), key=lambda j: (whole[j] - exact[j], j))[: amount - sum(whole)]:
-                whole[j] += 1
-            for i, x in zip(open_, whole, strict=True):
-                got[i] += x
-            break
-        for i in full:
-            amount -= room[i] - got[i]
-            got[i] = room[i]
-        open_ = [i for i in open_ if i not in full]
-    return got
-
-
-def budgets(leaves: dict[tuple[str, ...], int], total: int, weights: dict[tuple[str, ...], float], default_weight: float, max_epochs: int) -> dict[tuple[str, ...], int]:
-    """Tokens each leaf gives. leaves: tokens of each; weights: by path from the root, of any depth."""
-    out: dict[tuple[str, ...], int] = {}
-
-    def down(prefix: tuple[str, ...], inside: dict[tuple[str, ...], int], amount: int) -> None:
-        depth = len(prefix)
-        if inside and depth == len(next(iter(inside))):
-            out[prefix] = amount
-            return
-        children = sorted({p[depth] for p in inside})
-        below = [{p: n for p, n in inside.items() if p[depth] == c} for c in children]
-        room = [max_epochs * sum(b.values()) for b in below]
-        share = water_fill(min(amount, sum(room)), [weights.get((*prefix, c), default_weight) for c in children], room)
-        for c, b, x in zip(children, below, share, strict=True):
-            down((*prefix, c), b, x)
-
-    down((), leaves, total)
-    return out
+def water_fill(nodes: DataFrame, parent: list[str], child: str) -> DataFrame:
+    """nodes and _got: shares of the parent's _amount by _weight, none above its _room; what one cannot hold goes to its siblings by weight.
+
+    In the order of room by weight those that are full come first: a node is full if its share of what all before it leave is at least its room.
+    """
+    takes = (F.col("_room") > 0) & (F.col("_weight") > 0)
+    order = W.partitionBy(*parent).orderBy(F.col("_room") / F.col("_weight"), child)
+    before = F.coalesce(F.sum("_room").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    rest = F.sum("_weight").over(order.rowsBetween(0, W.unboundedFollowing))
+    df = nodes.where(takes).withColumns({"_before": before, "_rest": rest})
+    df = df.withColumn("_full", (F.col("_amount") - F.col("_before")) * F.col("_weight") / F.col("_rest") >= F.col("_room"))
+    all_ = W.partitionBy(*parent)
+    held = F.coalesce(F.sum(F.when(F.col("_full"), F.col("_room"))).over(all_), F.lit(0))
+    open_ = F.sum(F.when(~F.col("_full"), F.col("_weight"))).over(all_)
+    df = df.withColumn("_exact", F.when(F.col("_full"), F.col("_room").cast("double")).otherwise((F.col("_amount") - held) * F.col("_weight") / open_))
+    df = df.withColumn("_whole", F.floor("_exact")).withColumn("_short", F.col("_amount") - F.sum("_whole").over(all_))
+    #: The tokens that rounding down leaves go to the largest fractions.
+    turn = F.row_number().over(W.partitionBy(*parent).orderBy("_full", F.col("_whole") - F.col("_exact"), child))
+    got = F.col("_whole") + F.when(~F.col("_full") & (turn <= F.col("_short")), 1).otherwise(0)
+    return nodes.drop("_got").join(df.select(*parent, child, got.cast("long").alias("_got")), [*parent, child], "left").withColumn("_got", F.coalesce("_got", F.lit(0).cast("long")))
+
+
+def budgets(sizes: DataFrame, names: list[str], total: int | float, weights: dict[tuple[str, ...], float], default_weight: float, max_epochs: int) -> DataFrame:
+    """names, _size, _got: the tokens each leaf gives. sizes: names and n; weights: by path from the root, of any depth.
+
+    total: a number, or a share of all tokens if it is a float.
+    """
+    spark = sizes.sparkSession
+    level = sizes.groupBy(F.lit(0).alias("_root")).agg(F.sum("n").alias("_all"))
+    wanted = F.floor(F.col("_all") * F.lit(total)) if isinstance(total, float) else F.lit(total)
+    level = level.select("_root", F.least(wanted, F.col("_all") * max_epochs).cast("long").alias("_amount"))
+    own = sizes.withColumn("_root", F.lit(0))
+    for depth, name in enumerate(names):
+        parent = ["_root", *names[:depth]]
+        nodes = own.groupBy(*parent, name).agg(F.sum("n").alias("_size")).withColumn("_room", F.col("_size") * max_epochs)
+        told = [(*p, float(w)) for p, w in weights.items() if len(p) == depth + 1]
+        given = spark.createDataFrame(told, ", ".join([*[f"`{n}` string" for n in names[: depth + 1]], "_weight double"]))
+        nodes = nodes.join(given, names[: depth + 1], "left").withColumn("_weight", F.coalesce("_weight", F.lit(float(default_weight))))
+        level = water_fill(nodes.join(level.select(*parent, "_amount"), parent), parent, name).drop("_amount").withColumnRenamed("_got", "_amount")
+    return level.select(*names, "_size", F.col("_amount").alias("_got"))
 
 
 def place(seed: int, epoch: int) -> Column:
@@ -76,40 +76,55 @@ def mix(docs: DataFrame, levels: dict[str, Column], weights: dict[tuple[str, ...
     """All columns of docs and epoch, n_tokens, take_tokens: one row for each time a document is taken.
 
     total_tokens: a number, or a share of the corpus's tokens if it is a float. whole_only leaves out the document
-    in which a leaf's prefix ends. The tree's leaves come to the driver: they are the mixture's configuration.
+    in which a leaf's prefix ends.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "mixing")
+    scratch = Scratch(docs.sparkSession, "mixing")
     tokens = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
     names = [f"__mix_{i}" for i in range(len(levels))]
     docs = docs.drop("n_tokens", "epoch", "take_tokens")
     marked = docs.select("*", *[F.coalesce(c.cast("string"), F.lit("")).alias(n) for n, c in zip(names, levels.values(), strict=True)])
-    counted = marked.select(*names, tokens.alias("n_tokens"), *[place(seed, e).alias(f"_p{e}") for e in range(max_epochs)])
-    meta = scratch.put(counted)
-    sizes = {tuple(r[n] for n in names): r["n"] for r in meta.groupBy(*names).agg(F.sum("n_tokens").alias("n")).collect()}
-    if isinstance(total_tokens, float):
-        total_tokens = int(total_tokens * sum(sizes.values()))
-    given = budgets(sizes, total_tokens, weights, default_weight, max_epochs)
-    plan = []
-    for path, amount in given.items():
-        size = sizes[path]
-        full = min(max_epochs, amount // size) if size else 1
-        plan.append((*path, full, amount - full * size if size else 0))
-    schema = T.StructType([*[T.StructField(n, T.StringType()) for n in names], T.StructField("__mix_full", T.IntegerType()), T.StructField("__mix_rest", T.LongType())])
-    leaves = F.broadcast(spark.createDataFrame(plan, schema))  # one row a leaf
+    meta = scratch.put(marked.select(*names, tokens.alias("n_tokens"), *[place(seed, e).alias(f"_p{e}") for e in range(max_epochs)]))
+    given = budgets(meta.groupBy(*names).agg(F.sum("n_tokens").alias("n")), names, total_tokens, weights, default_weight, max_epochs)
+    full = F.when(F.col("_size") > 0, F.least(F.lit(max_epochs), F.floor(F.col("_got") / F.col("_size")))).otherwise(1).cast("int")
+    leaves = scratch.put(given.withColumn("__mix_full", full).withColumn("__mix_rest", F.when(F.col("_size") > 0, F.col("_got") - F.col("__mix_full") * F.col("_size")).otherwise(0)).select(*names, "__mix_full", "__mix_rest"))
     at = F.coalesce(*[F.when(F.col("__mix_full") == e, F.col(f"_p{e}")) for e in range(max_epochs)])
     partial = meta.join(leaves, names).where("__mix_rest > 0").withColumn("_at", at)
     piece = F.shiftrightunsigned("_at", 63 - RANGE_BITS)
     sums = partial.groupBy(*names, "__mix_rest", piece.alias("_b")).agg(F.sum("n_tokens").alias("_n"))
     upto = F.sum("_n").over(W.partitionBy(*names).orderBy("_b").rowsBetween(W.unboundedPreceding, 0))
     ends = sums.withColumn("_upto", upto).where("_upto >= __mix_rest").groupBy(*names).agg(F.min_by(F.struct("_b", (F.col("_upto") - F.col("_n")).alias("_before")), "_b").alias("_e"))
-    inside = partial.join(ends, names).where(piece == F.col("_e._b")).groupBy(*names, "__mix_rest", "_e", "_at").agg(F.sum("n_tokens").alias("_n"))
+    inside = partial.join(ends, names).where(piece == F.col("_e._b")).groupBy(*names, "__mix_rest", "_e", "_at").agg(F.sum("n_tokens").alias("_n"), F.count(F.lit(1)).alias("_rows"))
     run = F.col("_e._before") + F.sum("_n").over(W.partitionBy(*names).orderBy("_at").rowsBetween(W.unboundedPreceding, 0))
-    cut = inside.withColumn("_run", run).where("_run >= __mix_rest").groupBy(*names).agg(F.min_by(F.struct("_at", (F.col("__mix_rest") - F.col("_run") + F.col("_n")).alias("__mix_left")), "_at").alias("_c"))
-    cuts = {tuple(r[n] for n in names): r["_c"] for r in cut.collect()}
-    schema = schema.add("__mix_cut", T.LongType()).add("__mix_left", T.LongType())
-    rows = [(*p, cuts[p[: len(names)]]["_at"] if p[: len(names)] in cuts else -1, cuts[p[: len(names)]]["__mix_left"] if p[: len(names)] in cuts else 0) for p in plan]
-    told = marked.join(F.broadcast(spark.createDataFrame(rows, schema)), names).withColumn("n_tokens", tokens)
-    taken = F.array(*[F.when(F.lit(e) < F.col("__mix_full"), F.struct(F.lit(e).alias("epoch"), F.col("n_tokens").alias("take_tokens"))).when((F.lit(e) == F.col("__mix_full")) & (place(seed, e) <= F.col("__mix_cut")), F.struct(F.lit(e).alias("epoch"), F.when(place(seed, e) == F.col("__mix_cut"), F.least("n_tokens", "__mix_left")).otherwise(F.col("n_tokens")).alias("take_tokens"))) for e in range(max_epochs)])
+    left = (F.col("__mix_rest") - F.col("_run") + F.col("_n")).alias("__mix_left")
+    cut = inside.withColumn("_run", run).where("_run >= __mix_rest").groupBy(*names).agg(F.min_by(F.struct(F.col("_at").alias("__mix_cut"), left, F.col("_rows").alias("__mix_rows")), "_at").alias("_c"))
+    cut = cut.select(*names, "_c.*")
+    plan = scratch.put(leaves.join(cut, names, "left").fillna({"__mix_cut": -1, "__mix_left": 0, "__mix_rows": 1}))
+    told = marked.join(plan, names).withColumn("n_tokens", tokens)
+    partly = lambda e: F.lit(e) == F.col("__mix_full")
+    taken = F.array(*[
+        F.when(F.lit(e) < F.col("__mix_full"), F.struct(F.lit(e).alias("epoch"), F.col("n_tokens").alias("take_tokens")))
+        .when(partly(e) & (place(seed, e) < F.col("__mix_cut")), F.struct(F.lit(e).alias("epoch"), F.col("n_tokens").alias("take_tokens")))
+        .when(partly(e) & (place(seed, e) == F.col("__mix_cut")) & (F.col("__mix_rows") == 1), F.struct(F.lit(e).alias("epoch"), F.col("__mix_left").alias("take_tokens")))
+        for e in range(max_epochs)
+    ])
     out = told.select(*docs.columns, "n_tokens", F.inline(F.filter(taken, lambda x: x.isNotNull())))
+    if not plan.where("__mix_rows > 1").isEmpty():
+        at_cut = F.coalesce(*[F.when(partly(e) & (place(seed, e) == F.col("__mix_cut")), F.lit(e)) for e in range(max_epochs)])
+        ties = told.where("__mix_rows > 1").withColumn("epoch", at_cut).where("epoch is not null")
+        out = out.unionByName(tied(scratch.put(ties.withColumn("__mix_row", F.monotonically_increasing_id())), names).select(*out.columns))
     return out.where("take_tokens = n_tokens") if whole_only else out
+
+
+def tied(ties: DataFrame, names: list[str]) -> DataFrame:
+    """Rows of one place, a leaf each: the first take all of their tokens until __mix_left is given, the next the rest.
+
+    Rows are numbered within the parts they were written in, so a group of any size has no task of its own.
+    """
+    part = F.shiftright("__mix_row", 33)
+    ties = ties.withColumn("__mix_part", part)
+    sizes = ties.groupBy(*names, "__mix_part").agg(F.count(F.lit(1)).alias("__mix_n"))
+    before = F.coalesce(F.sum("__mix_n").over(W.partitionBy(*names).orderBy("__mix_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    ranked = ties.withColumn("__mix_rank", F.row_number().over(W.partitionBy(*names, "__mix_part").orderBy("__mix_row")) - 1)
+    ranked = ranked.join(sizes.withColumn("__mix_before", before), [*names, "__mix_part"])
+    take = F.least(F.col("n_tokens"), F.col("__mix_left") - (F.col("__mix_before") + F.col("__mix_rank")) * F.col("n_tokens"))
+    return ranked.withColumn("take_tokens", take).where("take_tokens > 0")
