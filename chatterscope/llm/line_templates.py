@@ -16,7 +16,7 @@ passed through, but for columns named n_lines or n_dropped, which are replaced.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chatterscope.llm.common import BLANKS, Scratch
@@ -24,8 +24,12 @@ from chatterscope.llm.common import BLANKS, Scratch
 FIELD = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*[0-9@][^\x20\x09-\x0D]*"
 
 
+#: Bits of the map of leaves that may matter: 4 MB in all, whatever the input.
+MAP_BITS = 1 << 25
+
+
 def parsed(docs: DataFrame, depth: int, min_constant: float, min_tokens: int, long_tokens: int) -> DataFrame:
-    """doc_id, th (hash of the text), pos, leaf, line (generalised), long: one row per line that may be dropped."""
+    """doc_id, th (hash of the text), pos, leaf, line (generalised), lh (its hash), long: one row per line that may be dropped."""
     rows = docs.select("doc_id", F.xxhash64("text").alias("th"), F.posexplode(F.split("text", "\n")).alias("pos", "raw"))
     plain = F.trim(F.when(F.col("raw").rlike(r"[\x09-\x0D]|\x20\x20"), F.regexp_replace("raw", BLANKS, " ")).otherwise(F.col("raw")))
     rows = rows.select("doc_id", "th", "pos", plain.alias("plain"))
@@ -33,26 +37,43 @@ def parsed(docs: DataFrame, depth: int, min_constant: float, min_tokens: int, lo
     general = F.regexp_replace("plain", FIELD, "<*>")
     few = F.regexp_count(general, F.lit(r"<\*>")) <= (1 - min_constant) * F.col("n")
     rows = rows.withColumn("line", F.when(F.col("plain").rlike("[0-9@]") & few, general).otherwise(F.col("plain")))
-    return rows.where((F.col("line") != "") & (F.col("n") >= min_tokens)).select("doc_id", "th", "pos", F.xxhash64("n", F.substring_index("line", " ", depth)).alias("leaf"), "line", (F.col("n") > long_tokens).alias("long"))
+    return rows.where((F.col("line") != "") & (F.col("n") >= min_tokens)).select("doc_id", "th", "pos", F.xxhash64("n", F.substring_index("line", " ", depth)).alias("leaf"), "line", F.xxhash64("line").alias("lh"), (F.col("n") > long_tokens).alias("long"))
+
+
+def marked(rows: DataFrame, leaves: DataFrame) -> DataFrame:
+    """The rows of these leaves, and of a few others: a bit map is broadcast, so that no line of another leaf is shuffled."""
+    place = F.shiftrightunsigned("leaf", 64 - MAP_BITS.bit_length() + 1)
+    maps = leaves.select(place.alias("_p")).groupBy(F.expr("bitmap_bucket_number(_p)").alias("_part")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(_p))").alias("_map"))
+    rows = rows.withColumn("_p", place).withColumn("_part", F.expr("bitmap_bucket_number(_p)"))
+    at = F.expr("bitmap_bit_position(_p)").cast("int")
+    byte = F.conv(F.hex(F.substring("_map", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    held = rows.join(F.broadcast(maps), "_part").where(F.pmod(F.floor(byte / F.pow(F.lit(2), at % 8)), F.lit(2)) == 1)
+    return held.drop("_p", "_part", "_map")
+
+
+def templates(lines: DataFrame, depth: int, min_constant: float, need: Column) -> DataFrame:
+    """leaf, lh, template. lines: leaf, lh, long, n_docs, line, each once. Tokens that too few documents hold at their place are variable."""
+    tokens = lines.select("leaf", "lh", "long", "n_docs", F.posexplode(F.split("line", " ")).alias("at", "token"))
+    tokens = tokens.withColumn("place", F.xxhash64("leaf", "at", "token"))
+    support = tokens.groupBy("place").agg(F.sum("n_docs").alias("support"))
+    fixed = (F.col("token") != "<*>") & ((F.col("support") >= need) | (F.col("at") < depth))
+    told = tokens.join(support, "place").select("leaf", "lh", F.struct("at", F.when(fixed, F.col("token")).otherwise("<*>").alias("token")).alias("t"), fixed.cast("int").alias("fixed"))
+    told = told.groupBy("leaf", "lh").agg(F.array_join(F.array_sort(F.collect_list("t"))["token"], " ").alias("general"), F.avg("fixed").alias("share"))
+    return told.select("leaf", "lh", F.when(F.col("share") >= min_constant, F.xxhash64("leaf", "general")).otherwise(F.xxhash64("leaf", "lh")).alias("template"))
 
 
 def dropped_lines(docs: DataFrame, depth: int, min_docs: int, min_constant: float, min_tokens: int, long_tokens: int) -> DataFrame:
     """doc_id, th, drop: positions of the lines to drop, for the documents that have some."""
     scratch = Scratch(docs.sparkSession, "line-templates")
-    rows = scratch.put(parsed(docs, depth, min_constant, min_tokens, long_tokens))
+    rows = scratch.put(parsed(docs, depth, min_constant, min_tokens, long_tokens), compression="zstd")
     need = F.when(F.col("long"), 2).otherwise(min_docs)  # the token count is part of the leaf, so a leaf is long or not
-    leaves = rows.select("leaf", "long", "th").distinct().groupBy("leaf", "long").count().where(F.col("count") >= need).select("leaf")
-    hot = scratch.put(rows.join(leaves, "leaf", "left_semi"))
+    leaves = scratch.put(rows.select("leaf", "long", "th").distinct().groupBy("leaf", "long").count().where(F.col("count") >= need).select("leaf"))
+    hot = scratch.put(marked(rows, leaves), compression="zstd")
     scratch.drop(rows)
-    lines = scratch.put(hot.select("leaf", "line", "long", "th").distinct().groupBy("leaf", "line", "long").agg(F.count(F.lit(1)).alias("n_docs")))
-    tokens = lines.select("leaf", "line", "long", "n_docs", F.posexplode(F.split("line", " ")).alias("at", "token"))
-    support = tokens.groupBy("leaf", "at", "token").agg(F.sum("n_docs").alias("support"))
-    fixed = (F.col("token") != "<*>") & ((F.col("support") >= need) | (F.col("at") < depth))
-    told = tokens.join(support, ["leaf", "at", "token"]).select("leaf", "line", F.struct("at", F.when(fixed, F.col("token")).otherwise("<*>").alias("token")).alias("t"), fixed.cast("int").alias("fixed"))
-    told = told.groupBy("leaf", "line").agg(F.array_join(F.array_sort(F.collect_list("t"))["token"], " ").alias("general"), F.avg("fixed").alias("share"))
-    template = told.select("leaf", "line", F.xxhash64("leaf", F.when(F.col("share") >= min_constant, F.col("general")).otherwise(F.col("line"))).alias("template"))
-    found = scratch.put(hot.join(template, ["leaf", "line"]).select("doc_id", "th", "pos", "template", "long"))
-    scratch.drop(hot, lines)
+    lines = hot.groupBy("leaf", "lh", "long", "th").agg(F.first("line").alias("line")).groupBy("leaf", "lh", "long").agg(F.count(F.lit(1)).alias("n_docs"), F.first("line").alias("line"))
+    lines = scratch.put(lines.join(leaves, "leaf", "left_semi"), compression="zstd")
+    found = scratch.put(hot.select("doc_id", "th", "pos", "leaf", "lh", "long").join(templates(lines, depth, min_constant, need), ["leaf", "lh"]).select("doc_id", "th", "pos", "template", "long"))
+    scratch.drop(hot, lines, leaves)
     each = found.groupBy("template", "long", "th").agg(F.min("doc_id").alias("first"), F.max(F.col("doc_id").isNull()).alias("unnamed"))
     recurring = each.groupBy("template", "long").agg(F.count(F.lit(1)).alias("n"), F.min("first").alias("first"), F.max("unnamed").alias("unnamed")).where(F.col("n") >= need).drop("long")
     first = F.when(F.col("unnamed"), F.col("doc_id").isNull()).otherwise(F.col("doc_id").eqNullSafe(F.col("first")))
