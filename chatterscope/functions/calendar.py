@@ -102,3 +102,21 @@ def resolve_anchor(latest: datetime, complete_hour: int = 23) -> date:
     """The last complete local day: that of the latest row if it reaches complete_hour, else the day before."""
     here = latest + OFFSET
     return here.date() if here.hour >= complete_hour else here.date() - timedelta(days=1)
+
+
+def anchor_of(latest: Column, complete_hour: int = 23) -> Column:
+    """resolve_anchor on a column of UTC-naive times."""
+    here = local(latest)
+    return F.when(F.hour(here) >= complete_hour, here.cast("date")).otherwise(F.date_sub(here.cast("date"), 1))
+
+
+def coerced_time(raw: Column) -> Column:
+    """Epoch seconds or ISO text as UTC-naive time: an offset or Z is applied, a text without one is taken as it is; anything else is null."""
+    t = F.trim(raw)
+    epoch = F.when(t.rlike(r"^[+-]?\d{1,11}$") & ~t.rlike(r"^[+-]?0$"), t.cast("long"))
+    offset = F.regexp_extract(t, r"([+-]\d{2}:\d{2})$", 1)
+    naive = F.try_to_timestamp(F.regexp_replace(F.regexp_replace(t, r"(Z|[+-]\d{2}:\d{2})$", ""), "T", " ")).cast("timestamp_ntz")
+    minutes = F.when(offset == "", 0).otherwise((F.substring(offset, 2, 2).cast("int") * 60 + F.substring(offset, 5, 2).cast("int")) * F.when(offset.startswith("-"), -1).otherwise(1))
+    iso = F.when(t.rlike(r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?(Z|[+-]\d{2}:\d{2})?)?$"), naive - F.make_dt_interval(F.lit(0), F.lit(0), minutes))
+    zero = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    return F.coalesce(zero + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), epoch.cast("decimal(18,6)")), iso)

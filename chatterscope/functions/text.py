@@ -267,3 +267,65 @@ def script(text: Column) -> Column:
 
 def short_name(name: Column, most: int = 8) -> Column:
     return F.substring(F.regexp_replace(name, r"\s*[\(（][^)）]*[\)）]\s*|\s+ETF$", ""), 1, most)
+
+
+def lexicon_tags(text: Column, lexicon: dict[str, tuple[str, tuple[str, ...], tuple[str, ...], tuple[str, ...]]]) -> Column:
+    """Classes that a text recalls: tag -> (mode, entity, action and rumor words), words as parts of the lower-cased text."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+
+    def held(words: tuple[str, ...]) -> Column:
+        return F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(low, F.lower(w))) if words else F.lit(False)
+
+    rules = {"entity_or_action": lambda e, a, r: held(e) | held(a), "action": lambda e, a, r: held(a), "entity_and_rumor": lambda e, a, r: held(e) & held(r)}
+    return F.array_compact(F.array(*[F.when(rules[mode](e, a, r), F.lit(tag)) for tag, (mode, e, a, r) in lexicon.items()]))
+
+
+def offpool_only(rows: DataFrame, text: str, stocks: tuple[str, ...], product: tuple[str, ...]) -> DataFrame:
+    """Add rule: offpool_stock_only where stocks are named, as whole Latin words, and nothing that refers to the product."""
+    low = F.lower(text)
+    named = low.rlike("(?<![a-z0-9])(?:" + "|".join(map(re.escape, stocks)) + ")(?![a-z0-9])")
+    own = F.exists(F.array(*map(F.lit, product)), lambda w: F.contains(low, w))
+    return rows.withColumn("rule", F.when(named & ~own, "offpool_stock_only"))
+
+
+#: Traditional and simplified characters that product names are written with.
+SIMPLER = (
+    "數数 產产 槓杠 桿杆 備备 兌兑 認认 購购 權权 動动 紅红 時时 東东 選选 韓韩 現现 國国 業业 "
+    "華华 滬沪 證证 創创 標标 經经 銀银 題题 陽阳 納纳 達达 頭头 偉伟 電电 亞亚 貨货 幣币 場场 "
+    "債债 黃黄 億亿 與与 兩两 幾几 隻只 個个 對对 於于 機机 為为 變变 體体 邊边 積积 極极 "
+    "價价 週周 藥药 織织 續续 買买 賣卖 錢钱 開开 關关 長长 節节 號号 點点 齊齐"
+).split()
+
+
+def attribution_form(text: Column) -> Column:
+    """The form in which names are compared: NFKC, lower case, simplified characters."""
+    return F.translate(F.lower(nfkc(text)), "".join(p[0] for p in SIMPLER), "".join(p[1] for p in SIMPLER))
+
+
+def catalog_form(text: Column) -> Column:
+    """A catalog's wording without case, blanks, signs and return kinds."""
+    low = F.lower(nfkc(F.coalesce(text, F.lit(""))))
+    low = F.regexp_replace(low, r"(?:net|gross|total)?\s*return|净总回报|總回報|净税|淨稅", "")
+    return F.regexp_replace(low, r"[^0-9a-z\u3400-\u9fff]+", "")
+
+
+#: Words by which an asset class or a focus tells the sector, in order.
+SECTORS = (("asset", "virtual|crypto|虚拟|虛擬", "va"), ("asset", "bond|fixedincome|债|債", "fi"), ("asset", "commodity|gold|商品|黄金|黃金", "cm"), ("focus", "hongkong|香港", "hk"), ("focus", "china|中国|中國", "a"), ("focus", "unitedstates|美国|美國", "us"))
+
+
+def sector_of(asset_class: Column, focus: Column) -> Column:
+    form = {"asset": catalog_form(asset_class), "focus": catalog_form(focus)}
+    return F.coalesce(*[F.when(form[on].rlike(words), F.lit(name)) for on, words, name in SECTORS], F.lit("apac"))
+
+
+#: Wording of structures and directions, in order.
+STRUCTS = (("covered call|備兌|备兑", "备兑高息"), ("leveraged|槓桿|杠杆|inverse|反向", "杠杆反向"), ("active|主動|主动", "主动 ETF"))
+DIRECTIONS = (("反向|inverse|-1x|-2x", "inverse"), ("槓桿|杠杆|leveraged|2x", "leveraged"))
+
+
+def struct_of(wording: Column) -> Column:
+    return F.coalesce(*[F.when(F.lower(wording).rlike(words), F.lit(name)) for words, name in STRUCTS], F.lit("ETF"))
+
+
+def direction_of(wording: Column) -> Column:
+    return F.coalesce(*[F.when(F.lower(wording).rlike(words), F.lit(name)) for words, name in DIRECTIONS], F.lit("plain"))

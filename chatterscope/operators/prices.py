@@ -7,6 +7,9 @@ from datetime import date
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: The exchange's morning and afternoon sessions as minutes of the local day; between them is the lunch break.
+SESSIONS = ((9 * 60 + 30, 12 * 60), (13 * 60, 16 * 60))
+
 
 def day_bars(ticks: DataFrame) -> DataFrame:
     at = F.col("seq") * 10 + F.col("sub")
@@ -33,3 +36,31 @@ def sound(bars: DataFrame, repair: float = 0.005) -> DataFrame:
     near = (F.col("low") - low <= repair * F.col("low")) & (high - F.col("high") <= repair * F.col("high"))
     positive = F.least("open", "high", "low", "close") > 0
     return bars.where(positive & near).withColumns({"low": low, "high": high})
+
+
+def session_slots(days: DataFrame, holidays: tuple[date, ...] = (), sessions: tuple[tuple[int, int], ...] = SESSIONS) -> DataFrame:
+    """days: day. day, slot (local time) for each half hour of the sessions; none at weekends and on holidays."""
+    minutes = [m for a, b in sessions for m in range(a, b, 30)]
+    opened = days.where(F.weekday("day") < 5)
+    if holidays:
+        opened = opened.where(~F.col("day").isin(list(holidays)))
+    at = F.explode(F.array(*map(F.lit, minutes)))
+    return opened.select("day", at.alias("_m")).select("day", (F.col("day").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), F.col("_m"))).alias("slot"))
+
+
+def hour_prices(codes: DataFrame, days: DataFrame, slots: DataFrame, bars: DataFrame) -> DataFrame:
+    """code, day, hour, open, high, low, close, note for all hours of the days, from bars (code, slot, open, high, low, close).
+
+    An hour has prices if any of its slots has a bar; a bar outside the slots counts for nothing. The note says why there are none.
+    """
+    hours = days.join(slots.groupBy("day").agg(F.collect_set(F.hour("slot")).alias("_open")), "day", "left").select("day", "_open", F.explode(F.sequence(F.lit(0), F.lit(23))).alias("hour"))
+    at = F.col("slot")
+    found = bars.join(slots, "slot").groupBy("code", "day", F.hour("slot").alias("hour")).agg(
+        F.min_by("open", at).alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("close", at).alias("close")
+    )
+    out = codes.crossJoin(hours).join(found, ["code", "day", "hour"], "left")
+    note = (
+        F.when(F.col("close").isNotNull(), "").when(F.col("_open").isNull(), "closed").when(F.array_contains("_open", F.col("hour")), "missing")
+        .when(F.col("hour") == 12, "lunch").otherwise("outside")
+    )
+    return out.select("code", "day", "hour", "open", "high", "low", "close", note.alias("note"))

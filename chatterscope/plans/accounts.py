@@ -94,9 +94,9 @@ def camp_columns(spark, sf):
     return spine.join(g, "slot", "left").na.fill(0, ["own", "peer"])
 
 
-@query("f49_camp", POSTS + ", x AS (SELECT author_uid, bool_or(ownership = 'own') AS o, bool_or(ownership = 'peer') AS p FROM p WHERE k % 2 = 0 GROUP BY 1) SELECT a.author_uid, CASE WHEN o AND p THEN 'both' WHEN o THEN 'own' WHEN p THEN 'competitor' ELSE 'none' END AS camp FROM (SELECT DISTINCT author_uid FROM feeds) a LEFT JOIN x USING (author_uid)")
+@query("f49_camp", POSTS + ", x AS (SELECT author_uid, bool_or(ownership = 'own') AS o, bool_or(ownership = 'peer') AS p FROM p GROUP BY 1) SELECT a.author_uid, CASE WHEN o AND p THEN 'both' WHEN o THEN 'own' WHEN p THEN 'competitor' ELSE 'none' END AS camp FROM (SELECT DISTINCT author_uid FROM feeds) a LEFT JOIN x USING (author_uid)")
 def camp(spark, sf):
-    x = posts(spark, sf).where("k % 2 = 0").groupBy("author_uid").agg(F.bool_or(F.col("ownership") == "own").alias("o"), F.bool_or(F.col("ownership") == "peer").alias("p"))
+    x = posts(spark, sf).groupBy("author_uid").agg(F.bool_or(F.col("ownership") == "own").alias("o"), F.bool_or(F.col("ownership") == "peer").alias("p"))
     told = F.when(F.col("o") & F.col("p"), "both").when(F.col("o"), "own").when(F.col("p"), "competitor").otherwise("none")
     return B.feeds(spark, sf).select("author_uid").distinct().join(x, "author_uid", "left").select("author_uid", told.alias("camp"))
 
@@ -139,9 +139,9 @@ def own_peer_map(spark, sf):
     return p.where("ownership = 'own'").select("code", "struct").join(p.where("ownership = 'peer'").select(F.col("code").alias("peer"), "struct"), "struct").select("code", "peer")
 
 
-@query("j21_user_fallback", BASE + " SELECT CAST(c_custkey AS VARCHAR) AS user_id, 'profile' AS origin FROM customer WHERE c_acctbal > 5000 UNION ALL SELECT author_uid, 'author' FROM (SELECT DISTINCT author_uid FROM feeds) WHERE author_uid NOT IN (SELECT CAST(c_custkey AS VARCHAR) FROM customer WHERE c_acctbal > 5000)")
+@query("j21_user_fallback", BASE + " SELECT CAST(c_custkey AS VARCHAR) AS user_id, 'profile' AS origin FROM customer UNION ALL SELECT author_uid, 'author' FROM (SELECT DISTINCT author_uid FROM feeds) WHERE author_uid NOT IN (SELECT CAST(c_custkey AS VARCHAR) FROM customer)")
 def user_fallback(spark, sf):
-    known = B.read(spark, sf, "customer").where("c_acctbal > 5000").select(F.col("c_custkey").cast("string").alias("user_id"))
+    known = B.read(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("user_id"))
     authors = B.feeds(spark, sf).select(F.col("author_uid").alias("user_id")).distinct().join(known, "user_id", "left_anti")
     return known.withColumn("origin", F.lit("profile")).unionByName(authors.withColumn("origin", F.lit("author")))
 

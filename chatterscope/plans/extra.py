@@ -47,11 +47,11 @@ def scope_coverage(spark, sf):
     return s.select("code", ((F.col("lo") <= F.lit(D7.first)) & (F.col("hi") >= F.lit(D7.last)) & (F.col("open") == 0)).alias("covered"))
 
 
-@query("v29_all_or_nothing", CURRENT + f", {JOBS}, c AS (SELECT DISTINCT author_uid, comment_id FROM comments WHERE like_count IS NULL), r AS (SELECT DISTINCT target_id FROM cur) SELECT author_uid, CASE WHEN bool_and(comment_id IN (SELECT target_id FROM r)) THEN count(*) END AS opinions FROM c GROUP BY 1")
+@query("v29_all_or_nothing", CURRENT + f", {JOBS}, c AS (SELECT DISTINCT author_uid, comment_id FROM comments), r AS (SELECT DISTINCT target_id FROM cur) SELECT author_uid, CASE WHEN bool_and(comment_id IN (SELECT target_id FROM r)) THEN count(*) END AS opinions FROM c GROUP BY 1")
 def all_or_nothing(spark, sf):
     """An account's opinions are told only if every candidate was released."""
     done = T.current(B.annotations(spark, sf), KEYS).select(F.col("target_id").alias("comment_id")).distinct().withColumn("_d", F.lit(True))
-    c = B.comments(spark, sf).where("like_count is null").select("author_uid", "comment_id").distinct().join(done, "comment_id", "left")
+    c = B.comments(spark, sf).select("author_uid", "comment_id").distinct().join(done, "comment_id", "left")
     return c.groupBy("author_uid").agg(F.when(F.count("_d") == F.count(F.lit(1)), F.count(F.lit(1))).alias("opinions"))
 
 

@@ -250,11 +250,11 @@ def sliding_presets(spark, sf):
     return rows.select("code", F.explode(F.array_compact(inside)).alias("range_key")).groupBy("range_key", "code").agg(F.count(F.lit(1)).alias("posts"))
 
 
-BAR_DAY = B.ctes("bars") + ", d AS (SELECT code, session_date, arg_min(price, seq * 10 + sub) AS open, max(price) AS high, min(price) AS low, arg_max(price, seq * 10 + sub) AS close, CAST(sum(volume) AS BIGINT) AS volume FROM bars WHERE session_date BETWEEN DATE '1996-01-01' AND DATE '1996-12-29' GROUP BY 1, 2)"
+BAR_DAY = B.ctes("bars") + ", d AS (SELECT code, session_date, arg_min(price, seq * 10 + sub) AS open, max(price) AS high, min(price) AS low, arg_max(price, seq * 10 + sub) AS close, CAST(sum(volume) AS BIGINT) AS volume FROM bars GROUP BY 1, 2)"
 
 
 def _daily(spark, sf):
-    return P.day_bars(B.bars(spark, sf).where("session_date between date'1996-01-01' and date'1996-12-29'"))
+    return P.day_bars(B.bars(spark, sf))
 
 
 @query("a20_day_bars", BAR_DAY + " SELECT code, CAST(session_date AS VARCHAR) AS day, open, high, low, close, volume FROM d")
@@ -262,11 +262,11 @@ def day_bars(spark, sf):
     return _daily(spark, sf).select("code", F.col("session_date").cast("string").alias("day"), "open", "high", "low", "close", "volume")
 
 
-@query("a20_week_bars", BAR_DAY + ", w AS (SELECT code, CAST(floor(date_diff('day', DATE '1996-01-01', session_date) / 7) AS INTEGER) AS week, arg_min(open, session_date) AS open, max(high) AS high, min(low) AS low, arg_max(close, session_date) AS close, count(*) AS sessions FROM d GROUP BY 1, 2) SELECT code, week, CASE WHEN sessions = 7 THEN open END AS open, CASE WHEN sessions = 7 THEN high END AS high, CASE WHEN sessions = 7 THEN low END AS low, CASE WHEN sessions = 7 THEN close END AS close FROM w")
+@query("a20_week_bars", BAR_DAY + ", w AS (SELECT code, CAST(floor(date_diff('day', DATE '1990-01-01', session_date) / 7) AS INTEGER) AS week, arg_min(open, session_date) AS open, max(high) AS high, min(low) AS low, arg_max(close, session_date) AS close, count(*) AS sessions FROM d GROUP BY 1, 2) SELECT code, week, CASE WHEN sessions = 7 THEN open END AS open, CASE WHEN sessions = 7 THEN high END AS high, CASE WHEN sessions = 7 THEN low END AS low, CASE WHEN sessions = 7 THEN close END AS close FROM w")
 def week_bars(spark, sf):
     from datetime import date
 
-    return P.resample(_daily(spark, sf), date(1996, 1, 1), 7)
+    return P.resample(_daily(spark, sf), date(1990, 1, 1), 7)
 
 
 @query("v30_bar_conflicts", B.ctes("bars") + " SELECT code, count(*) AS conflicts FROM (SELECT code, session_date, seq FROM bars GROUP BY 1, 2, 3 HAVING count(DISTINCT price) > 1) GROUP BY 1")

@@ -1,4 +1,4 @@
-"""A data source for SQL dumps: ``spark.read.format("sqldump").option("columns", ...).load(path)``.
+"""Reading SQL dumps: ``read_dump(spark, path, table, columns)``.
 
 A dump's INSERT statements each stand on one line. Lines are read by Spark's text reader, so a file is split like any
 other; tuples are cut in Arrow batches. Only the wanted table's lines are decoded; a filter sees raw fields before
@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 
 _FIELD = re.compile(r"'((?:[^'\\]|\\.|'')*)'|([^,()']+)")
 _ESCAPE = re.compile(r"\\(.)|''", re.DOTALL)
-_PLAIN = {"n": "\n", "r": "\r", "t": "\t", "0": "\0", "b": "\b", "Z": "\x1a"}
+#: MySQL's escapes; those of LIKE patterns stand for both their characters.
+_PLAIN = {"n": "\n", "r": "\r", "t": "\t", "0": "\0", "b": "\b", "Z": "\x1a", "%": "\\%", "_": "\\_"}
 
 
 def unescaped(raw: str) -> str:
@@ -51,7 +52,12 @@ def tuples(line: str, columns: int) -> Iterator[list[tuple[bool, str]]]:
 
 def read_dump(spark: SparkSession, path: str, table: str, columns: list[str], keep: Callable[[dict[str, str]], bool] | None = None) -> DataFrame:
     """The table's rows as strings; NULL is null, 'NULL' is a string."""
-    lines = spark.read.text(path).where(F.col("value").startswith(f"INSERT INTO `{table}`"))
+    return dump_rows(spark.read.text(path), table, columns, keep)
+
+
+def dump_rows(text: DataFrame, table: str, columns: list[str], keep: Callable[[dict[str, str]], bool] | None = None) -> DataFrame:
+    """text: value, the dump's lines."""
+    lines = text.where(F.col("value").startswith(f"INSERT INTO `{table}`"))
 
     def each(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
@@ -66,9 +72,9 @@ def read_dump(spark: SparkSession, path: str, table: str, columns: list[str], ke
 
 
 def import_posts(posts: DataFrame, stocks: DataFrame, pool: list[str], cutoff: str) -> DataFrame:
-    """Second pass: posts of pool stocks from the cutoff on; a pool product the dump does not know is an error."""
-    missing = set(pool) - {r["code"] for r in stocks.where(F.col("code").isin(pool)).select("code").distinct().collect()}
-    if missing:
-        raise ValueError(f"products missing in the dump: {sorted(missing)}")
-    wanted = F.broadcast(stocks.where(F.col("code").isin(pool)).select("stock_id"))  # at most the pool's size
+    """Second pass: posts of pool stocks from the cutoff on; a pool product the dump does not know is an error when rows are read."""
+    wanted = stocks.where(F.col("code").isin(pool)).select("stock_id", "code")
+    missing = F.array_except(F.array(*map(F.lit, pool)), F.collect_set("code"))
+    gate = wanted.agg(F.when(F.size(missing) > 0, F.raise_error(F.concat(F.lit("products missing in the dump: "), F.array_join(F.array_sort(missing), ", "))).cast("boolean")).otherwise(True).alias("_known"))
+    wanted = F.broadcast(wanted.crossJoin(F.broadcast(gate)).where("_known").select("stock_id"))  # at most the pool's size
     return posts.where(F.col("posted_at") >= cutoff).join(wanted, "stock_id", "left_semi")
