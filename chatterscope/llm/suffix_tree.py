@@ -1,17 +1,19 @@
 """Language-model scoring by a probabilistic suffix tree.
 
-Symbols are the training words and one end a text. Contexts are the last one or two symbols. A context, and a symbol
-after it, is a candidate from ``least`` occurrences on, whatever the corpus: what is learnt grows with it. A context is
-retained if its next symbols diverge from those of its longest retained suffix by more than ``penalty`` nats for each
-symbol seen after it. Distributions are smoothed with the suffix's by the number of distinct symbols. A token is
-scored in the state of the longest retained suffix of what stands before it. The root gives known words their counts
-and unknown ones the share of words seen once.
-
-A text's log score is a sum over its words, pairs and triples: each retained context adds the logarithm of what it
-leaves to its suffix, each of its symbols the rest of its own. So the model is one table of weights by the 64-bit hash
-of the pair or triple. About the ``head`` most frequent words and the ``held`` most frequent weights are broadcast; all
-others are joined, so every count and weight is used. Pairs and triples that have no weight are mostly left out before
-by a bit map of at most ``SIEVE_BITS``; what passes it by chance finds nothing in the join.
+Symbols are the training words and one end a text; contexts are the symbols before. A context, and a symbol after it, is
+a candidate from ``least`` occurrences on, whatever the corpus: what is learnt grows with it. A context is retained
+if its next symbols diverge from those of its longest retained suffix by more than ``penalty`` nats for each symbol seen
+after it. Only retained contexts are deepened: one symbol a level, until none is retained or they have ``longest`` symbols
+(runs of one word would deepen for as long as they are). Distributions are
+smoothed with the suffix's by the number of distinct symbols. A token is scored in the state of the longest retained
+suffix of what stands before it. The root gives known words their counts and unknown ones the share of words seen once.
+
+A text's log score is a sum over its words and grams: each retained context adds the logarithm of what it leaves to its
+suffix, each of its symbols the rest of its own. So the model is one table of weights by the 64-bit hash of the gram.
+Texts are written once as chunks of numbered words. A chunk asks for the grams it has, packed by leading bits of the
+hash; the tasks that hold these weights answer with sums for each text. The model is never in one place. What is
+broadcast is bounded: the ``head`` most frequent words, and bit maps of at most ``SIEVE_BITS`` that leave out
+most grams that have no weight; what passes them by chance finds nothing.
 
 Defined cases: a null text is empty and scores its end alone; a null id is the text ``null`` for the split; repeated
 rows are counted and scored each; without training tokens both scores are null; further columns are ignored.
@@ -20,7 +22,6 @@ rows are counted and scored each; without training tokens both scores are null;
 from __future__ import annotations
 
 from array import array
-from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -30,12 +31,11 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chatterscope.llm.common import Scratch
+from chatterscope.llm.common import Scratch, passes, sieve
 
 END = b""  #: no word is empty
-SIEVE_BITS = 1 << 29
-CHUNK = 250_000  #: tokens that are looked at together
-NUMBERS = 2_000_000  #: that a task holds before it sums up, and summed up before it tells
+CHUNK = 400_000  #: tokens that are looked at together
+NUMBERS = 3_000_000  #: that a task holds before it tells
 
 
 def words(text: str | None) -> list[bytes]:
@@ -51,22 +51,11 @@ def _hash(word: bytes) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
-def _count_words(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    counts: Counter = Counter()
-
-    def told() -> pd.DataFrame:
-        return pd.DataFrame({"word": list(counts), "h": [_hash(w) for w in counts], "n": list(counts.values())})
-
-    for pdf in parts:
-        for train, t in zip(pdf["train"], pdf["text"], strict=True):
-            if train:
-                counts.update(words(t))
-                counts[END] += 1
-            if len(counts) > 400_000:
-                yield told()
-                counts.clear()
-    if counts:
-        yield told()
+def mixed(a: np.ndarray, b: np.ndarray, salt: int) -> np.ndarray:
+    x = a.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + (b.view(np.uint64) ^ np.uint64(salt * 0x632BE59BD9B4E019 % 2**64)) * np.uint64(0xD6E8FEB86659FD93)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return (x ^ (x >> np.uint64(31))).view(np.int64)
 
 
 class Lexicon(dict):
@@ -81,214 +70,151 @@ class Lexicon(dict):
         return i
 
 
-class Chunk:
-    """Texts as one array of word numbers, each text after and before an end."""
+def _ints(column: object, kind: type = np.int64) -> np.ndarray:
+    return np.frombuffer(column, kind)
 
-    def __init__(self, lexicon: Lexicon, texts: list[list[int]]):
-        self.lengths = np.array([len(t) for t in texts])
-        self.ids = np.concatenate([np.array(t, np.int64) for t in texts])
-        self.starts = np.cumsum(self.lengths) - self.lengths
-        self.at = np.arange(len(self.ids)) - np.repeat(self.starts, self.lengths)  # place in the text
-        self.h = np.array(lexicon.hashes, np.int64)[self.ids]
-        #: The pair and the triple that end at a place; without meaning where ``at`` is under 1 and 2.
-        self.pairs = mixed(np.roll(self.h, 1), self.h, 2)
-        self.triples = mixed(np.roll(self.pairs, 1), self.h, 3)
 
+def chunked(docs: DataFrame) -> DataFrame:
+    """chunk, doc_id (as texts, so that nulls among them change none), train, lengths, words (hashes), ids: texts as word numbers, each after and before an end."""
 
-def mixed(a: np.ndarray, b: np.ndarray, salt: int) -> np.ndarray:
-    x = a.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + (b.view(np.uint64) ^ np.uint64(salt * 0x632BE59BD9B4E019 % 2**64)) * np.uint64(0xD6E8FEB86659FD93)
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return (x ^ (x >> np.uint64(31))).view(np.int64)
+    def each(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        number = TaskContext.get().partitionId() << 33
+        held: list[tuple[object, bool, int]] = []
+        lexicon, ids = Lexicon(), array("i")
+
+        def told() -> pd.DataFrame:
+            return pd.DataFrame({
+                "chunk": [number], "doc_id": [[h[0] for h in held]], "train": [np.array([h[1] for h in held], bool).tobytes()], "lengths": [np.array([h[2] for h in held], np.int64).tobytes()],
+                "words": [lexicon.hashes.tobytes()], "ids": [ids.tobytes()],
+            })
 
+        for pdf in parts:
+            for doc, train, text in zip(pdf["doc_id"], pdf["train"], pdf["text"], strict=True):
+                before = len(ids)
+                ids.append(lexicon[END])
+                ids.extend(map(lexicon.__getitem__, words(text)))
+                ids.append(lexicon[END])
+                held.append((doc, bool(train), len(ids) - before))
+                if len(ids) > CHUNK:
+                    yield told()
+                    number, held, lexicon, ids = number + 1, [], Lexicon(), array("i")
+        if held:
+            yield told()
 
-def chunks(pdf: pd.DataFrame, lexicon: Lexicon, training: bool) -> Iterator[tuple[int, int, Chunk]]:
-    """(first row, end, chunk) over the rows, or over those for training alone, as long as numbers are needed."""
-    texts: list[list[int]] = []
-    first = waiting = 0
-    for i, (train, t) in enumerate(zip(pdf["train"], pdf["text"], strict=True)):
-        if train or not training:
-            texts.append(list(map(lexicon.__getitem__, [END, *words(t), END])))
-            waiting += len(texts[-1])
-        if waiting > CHUNK:
-            yield first, i + 1, Chunk(lexicon, texts)
-            texts, first, waiting = [], i + 1, 0
-            if len(lexicon) > 300_000:
-                lexicon.clear()
-                lexicon.hashes = array("q")
-    if texts:
-        yield first, len(pdf), Chunk(lexicon, texts)
-
-
-def sieve(keys: DataFrame) -> np.ndarray:
-    """Bits, set at the leading bits of each key: 32 a key, and SIEVE_BITS at most."""
-    n = keys.count()
-    bits = min(max(32 * n, 1 << 12), SIEVE_BITS)
-    bits = 1 << (bits - 1).bit_length()
-    part = bits // 64
-
-    def slices(pdf: pd.DataFrame) -> pd.DataFrame:
-        flags = np.zeros(part, bool)
-        flags[place_in(pdf["key"].to_numpy(np.int64), bits) % part] = True
-        return pd.DataFrame({"part": [int(pdf["part"].iloc[0])], "bits": [np.packbits(flags).tobytes()]})
-
-    found = keys.select(F.shiftrightunsigned("key", 58).alias("part"), "key").groupBy("part").applyInPandas(slices, "part long, bits binary").collect()
-    out = np.zeros(bits // 8, np.uint8)
-    for r in found:
-        out[r["part"] * part // 8 : (r["part"] + 1) * part // 8] = np.frombuffer(r["bits"], np.uint8)
-    return out
+    return docs.mapInPandas(each, "chunk long, doc_id array<string>, train binary, lengths binary, words binary, ids binary")
 
 
-def most_used(rows: DataFrame, by: str, most: int, columns: list[str]) -> list[np.ndarray]:
-    """The columns, ordered by the first, of about the ``most`` rows that are largest in ``by``; packed on the way to the driver."""
-    n = rows.count()
-    cut = rows.agg(F.percentile_approx(by, F.lit(1 - most / n), F.lit(10_000))).first()[0] if n > most else 0
+class Chunk:
+    """A chunk's tokens. ``grams[k]`` names the k + 1 symbols that end at a place; it means nothing where ``at`` is under k."""
 
-    def packed(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in parts:
-            yield pd.DataFrame({f"c{i}": [pdf[c].to_numpy().tobytes()] for i, c in enumerate(columns)})
+    def __init__(self, row: object, depth: int):
+        self.lengths = _ints(row.lengths)
+        self.doc = np.repeat(np.arange(len(self.lengths)), self.lengths)
+        self.at = np.arange(len(self.doc)) - np.repeat(np.cumsum(self.lengths) - self.lengths, self.lengths)  # place in the text
+        self.train = _ints(row.train, bool)[self.doc]
+        self.hashes, self.ids = _ints(row.words), _ints(row.ids, np.int32)
+        self.grams = [self.hashes[self.ids]]
+        for k in range(1, depth + 1):
+            self.grams.append(mixed(np.roll(self.grams[-1], 1), self.grams[-1], k))
 
-    found = rows.where(F.col(by) > cut).select(*columns).mapInPandas(packed, ", ".join(f"c{i} binary" for i in range(len(columns)))).collect()
-    out = [np.frombuffer(b"".join(bytes(r[i]) for r in found), np.int64 if i == 0 else np.float64) for i in range(len(columns))]
-    order = np.argsort(out[0])
-    return [x[order] for x in out]
 
+def chunks(parts: Iterator[pd.DataFrame], depth: int) -> Iterator[tuple[object, Chunk]]:
+    for pdf in parts:
+        for row in pdf.itertuples(index=False):
+            yield row, Chunk(row, depth)
 
-def place_in(keys: np.ndarray, bits: int) -> np.ndarray:
-    return (keys.view(np.uint64) >> np.uint64(64 - (bits.bit_length() - 1))).astype(np.int64)
 
+def _count_words(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for _, c in chunks(parts, 0):
+        n = np.bincount(c.ids[c.train & (c.at > 0)], minlength=len(c.hashes))
+        yield pd.DataFrame({"h": c.hashes[n > 0], "n": n[n > 0]})
 
-def passes(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    i = place_in(keys, 8 * len(bits))
-    return (bits[i >> 3] >> (7 - (i & 7)).astype(np.uint8)) & 1 > 0
 
+def summed(a: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of a that differ in the first column, and the sums of n."""
+    order = np.argsort(a[:, 0], kind="stable")
+    a, n = a[order], n[order]
+    at = np.flatnonzero(np.append(True, a[1:, 0] != a[:-1, 0])) if len(a) else np.zeros(0, int)
+    return a[at], np.add.reduceat(n, at) if len(a) else n
 
-def counted(docs: DataFrame, found: Callable[[Chunk], list[tuple[int, np.ndarray]]], width: int, least: int, n: int) -> DataFrame:
-    """size, c0 (the key), c1, ..., n: how often each key is in the training texts, from ``least`` on.
 
-    ``found`` gives per size an array of ``width`` numbers a place. Numbers go to the merging tasks packed by leading bits of the key.
-    """
-    shift = 64 - max(8, (n >> 20).bit_length())
+def buckets(key: np.ndarray, bits: int) -> np.ndarray:
+    return (key.view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64)
 
-    def summed(a: np.ndarray) -> np.ndarray:
-        a = a[np.argsort(a[:, 0], kind="stable")]
-        at = np.flatnonzero(np.append(True, a[1:, 0] != a[:-1, 0]))
-        out = a[at]
-        out[:, width] = np.add.reduceat(a[:, width], at)
-        return out
+
+def cut_at(bucket: np.ndarray) -> np.ndarray:
+    """Where a sorted array's runs begin."""
+    return np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else np.zeros(0, int)
+
+
+def often(store: DataFrame, least: int, bits: int) -> DataFrame:
+    """key: of the pairs that may be there ``least`` times, as far as their leading 32 bits behind the bucket's tell."""
 
     def each(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[int, list[np.ndarray]] = {}
-        waiting, lexicon = 0, Lexicon()
-
-        def told() -> Iterator[pd.DataFrame]:
-            for size, (a, *_) in held.items():
-                to = (a[:, 0].view(np.uint64) >> np.uint64(shift)).astype(np.int64)
-                order = np.argsort(to, kind="stable")
-                a, to = a[order], to[order]
-                at = np.flatnonzero(np.append(True, to[1:] != to[:-1]))
-                yield pd.DataFrame({"size": np.full(len(at), size, np.int32), "bucket": to[at], "packed": [np.ascontiguousarray(x.T).tobytes() for x in np.split(a, at[1:])]})
-
-        def summed_up() -> None:
-            for size in list(held):
-                a = np.concatenate(held.pop(size))
-                if len(a):
-                    held[size] = [summed(a)]
+        held, waiting = [], 0
+        for _, c in chunks(parts, 1):
+            held.append(c.grams[1][c.train & (c.at > 0)].view(np.uint64))
+            waiting += len(held[-1])
+            if waiting > NUMBERS:
+                yield packed(held)
+                held, waiting = [], 0
+        if waiting:
+            yield packed(held)
+
+    def packed(held: list[np.ndarray]) -> pd.DataFrame:
+        key, n = np.unique(np.concatenate(held), return_counts=True)
+        bucket = (key >> np.uint64(64 - bits)).astype(np.int64)
+        low = (key >> np.uint64(32 - bits)).astype(np.uint32)
+        at = cut_at(bucket)
+        return pd.DataFrame({"bucket": bucket[at], "low": [x.tobytes() for x in np.split(low, at[1:])], "n": [x.tobytes() for x in np.split(np.minimum(n, least).astype(np.uint8 if least < 256 else np.uint32), at[1:])]})
 
-        for pdf in parts:
-            for _, _, chunk in chunks(pdf, lexicon, training=True):
-                for size, a in found(chunk):
-                    held.setdefault(size, []).append(np.column_stack([a, np.ones(len(a), np.int64)]))
-                    waiting += a.size
-                if waiting > NUMBERS:
-                    summed_up()
-                    waiting = 0
-                    if sum(a.size for a, in held.values()) > NUMBERS:
-                        yield from told()
-                        held.clear()
-        summed_up()
-        yield from told()
-
-    names = [f"c{i}" for i in range(width)]
+    def merged(pdf: pd.DataFrame) -> pd.DataFrame:
+        low = np.concatenate([_ints(x, np.uint32) for x in pdf["low"]])
+        n = np.concatenate([_ints(x, np.uint8 if least < 256 else np.uint32) for x in pdf["n"]]).astype(np.int64)
+        key, n = summed(low[:, None], n)
+        key = key[n >= least, 0].astype(np.uint64) << np.uint64(32 - bits)
+        return pd.DataFrame({"key": (key | np.uint64(int(pdf["bucket"].iloc[0]) << (64 - bits))).view(np.int64)})
+
+    return store.mapInPandas(each, "bucket long, low binary, n binary").groupBy("bucket").applyInPandas(merged, "key long")
+
+
+def counted(store: DataFrame, depth: int, fits: Callable[[Chunk], np.ndarray], least: int, bits: int) -> DataFrame:
+    """key, ctx, suf, n: the grams of depth + 1 symbols that are in the training texts from ``least`` times on, of the places that fit.
+
+    ctx is the gram without its last symbol, suf without its first. Numbers go to the merging tasks packed by leading bits of the key.
+    """
+
+    def each(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, waiting = [], 0
+
+        def told() -> pd.DataFrame:
+            a, n = summed(np.concatenate(held), np.ones(waiting, np.int64))
+            order = np.argsort(a[:, 0].view(np.uint64), kind="stable")
+            a, n = a[order], n[order]
+            at = cut_at(buckets(np.ascontiguousarray(a[:, 0]), bits))
+            return pd.DataFrame({"bucket": buckets(np.ascontiguousarray(a[at, 0]), bits), "ctx": [x.tobytes() for x in np.split(np.ascontiguousarray(a[:, 1]), at[1:])], "suf": [x.tobytes() for x in np.split(np.ascontiguousarray(a[:, 2]), at[1:])], "n": [x.astype(np.int32).tobytes() for x in np.split(n, at[1:])]})
+
+        for _, c in chunks(parts, depth):
+            i = np.flatnonzero(c.train & (c.at >= depth) & fits(c))
+            held.append(np.column_stack([c.grams[depth][i], c.grams[depth - 1][i - 1], c.grams[depth - 1][i]]))
+            waiting += len(i)
+            if waiting > NUMBERS:
+                yield told()
+                held, waiting = [], 0
+        if waiting:
+            yield told()
 
     def merged(pdf: pd.DataFrame) -> pd.DataFrame:
-        a = summed(np.concatenate([np.frombuffer(b, np.int64).reshape(width + 1, -1).T for b in pdf["packed"]]))
-        a = a[a[:, width] >= least]
-        return pd.DataFrame(a, columns=[*names, "n"]).assign(size=np.int32(pdf["size"].iloc[0]))[["size", *names, "n"]]
-
-    packed = docs.mapInPandas(each, "size int, bucket long, packed binary")
-    return packed.groupBy("size", "bucket").applyInPandas(merged, ", ".join(["size int", *[f"{c} long" for c in names], "n long"]))
-
-
-def code(context: np.ndarray, symbol: np.ndarray, size: int) -> np.ndarray:
-    return context * size + symbol
-
-
-def contexts(ids: np.ndarray, length: int, size: int) -> np.ndarray:
-    """Number of the context of ``length`` known symbols before each position; -1 where an unknown one is among them, or the text begins."""
-    out = np.zeros(len(ids), np.int64)
-    for k in range(length, 0, -1):
-        before = np.concatenate([np.full(k, -1), ids[:-k]]) if k < len(ids) else np.full(len(ids), -1)
-        out = np.where((out < 0) | (before < 0) | (before == size - 1), -1, out * size + before)
-    return out
-
-
-class Tree:
-    """The model of a small corpus in memory, as its definition says; tests compare the tables with it."""
-
-    def __init__(self, root: np.ndarray):
-        self.root = root
-        self.size = len(root)
-        #: Per length: context numbers, their totals with one more a kind, what goes to the suffix; and entry codes with counts.
-        self.levels: list[tuple[np.ndarray, ...]] = []
-
-    def add(self, found: pd.DataFrame, totals: pd.DataFrame, penalty: float) -> None:
-        """Take the contexts of the next length: found has context, symbol, n; totals has context, all."""
-        found = found.sort_values(["context", "symbol"])
-        c, s, n = (found[k].to_numpy(np.int64) for k in ("context", "symbol", "n"))
-        own, first = np.unique(c, return_index=True)
-        kinds = np.diff(np.append(first, len(c)))
-        all_ = totals.set_index("context")["all"].loc[own].to_numpy(np.int64)
-        at = np.repeat(np.arange(len(own)), kinds)
-        lower = self.chance(c % self.size ** max(0, len(self.levels)), s, len(self.levels))
-        part = np.minimum(n / all_[at], 1.0)
-        gain = np.bincount(at, weights=n * np.log(part / lower), minlength=len(own))
-        seen, low = np.bincount(at, weights=part, minlength=len(own)), np.bincount(at, weights=lower, minlength=len(own))
-        left, low = np.maximum(1 - seen, 0), np.maximum(1 - low, 1e-12)
-        gain += np.where(left > 1e-12, all_ * left * np.log(np.maximum(left, 1e-12) / low), 0.0)
-        keep = gain > penalty * kinds
-        #: What a context's dropped symbols had goes back to its suffix.
-        self.levels.append((own[keep], (all_ + kinds)[keep], (kinds + all_ * left)[keep], code(c, s, self.size)[keep[at]], n[keep[at]]))
-
-    def chance(self, context: np.ndarray, symbol: np.ndarray, length: int) -> np.ndarray:
-        """P(symbol | context) for contexts of ``length`` symbols; a context below 0 means there is none of that length."""
-        if length == 0:
-            return self.root[symbol]
-        shorter = np.where(context < 0, -1, context % self.size ** (length - 1)) if length > 1 else np.zeros_like(context)
-        p = self.chance(shorter, symbol, length - 1)
-        return self.refine(p, context, symbol, length)
-
-    def refine(self, p: np.ndarray, context: np.ndarray, symbol: np.ndarray, length: int) -> np.ndarray:
-        own, total, extra, codes, n = self.levels[length - 1]
-        if not len(own):
-            return p
-        i = np.minimum(np.searchsorted(own, context), len(own) - 1)
-        held = own[i] == context
-        e = code(context, symbol, self.size)
-        j = np.minimum(np.searchsorted(codes, e), len(codes) - 1)
-        seen = np.where(codes[j] == e, n[j], 0)
-        return np.where(held, (seen + extra[i] * p) / total[i], p)
-
-    def score(self, ids: np.ndarray) -> np.ndarray:
-        """P of each symbol after the first."""
-        p = self.root[ids[1:]]
-        for k in range(1, len(self.levels) + 1):
-            p = self.refine(p, contexts(ids, k, self.size)[1:], ids[1:], k)
-        return p
+        ctx, suf, n = (np.concatenate([_ints(x, t) for x in pdf[k]]) for k, t in (("ctx", np.int64), ("suf", np.int64), ("n", np.int32)))
+        a, n = summed(np.column_stack([mixed(ctx, suf, depth), ctx, suf]), n.astype(np.int64))
+        return pd.DataFrame(a[n >= least], columns=["key", "ctx", "suf"]).assign(n=n[n >= least])
+
+    packed = store.mapInPandas(each, "bucket long, ctx binary, suf binary, n binary")
+    return packed.groupBy("bucket").applyInPandas(merged, "key long, ctx long, suf long, n long")
 
 
 def retained(entries: DataFrame, penalty: float) -> DataFrame:
-    """ctx, total, extra: the contexts to keep. Entries have ctx, n, all (the context's count) and p (the symbol's chance in the suffix)."""
+    """ctx, total, extra, uses: the contexts to keep. Entries have ctx, n, all (the context's count) and p (the symbol's chance in the suffix)."""
     part = F.least(F.col("n") / F.col("all"), F.lit(1.0))
     sums = entries.groupBy("ctx").agg(F.max("all").alias("all"), F.count(F.lit(1)).alias("kinds"), F.sum(F.col("n") * F.log(part / F.col("p"))).alias("gain"), F.sum(part).alias("seen"), F.sum("p").alias("low"))
     left, low = F.greatest(1 - F.col("seen"), F.lit(0.0)), F.greatest(1 - F.col("low"), F.lit(1e-12))
@@ -298,113 +224,160 @@ def retained(entries: DataFrame, penalty: float) -> DataFrame:
     return kept.select("ctx", (F.col("all") + F.col("kinds")).alias("total"), (F.col("kinds") + F.col("all") * left).alias("extra"), F.col("all").alias("uses"))
 
 
-def grow(docs: DataFrame, scratch: Scratch, vocabulary: DataFrame, n: int, known: float, least: int, penalty: float) -> tuple[DataFrame, DataFrame]:
-    """(h, back) of the retained words, and (key, weight, uses) of pairs and triples."""
-    spark = docs.sparkSession
-    often = scratch.put(counted(docs, lambda c: [(2, c.pairs[c.at > 0][:, None])], 1, least, n).select(F.col("c0").alias("key")))
-    bits_of = spark.sparkContext.broadcast(sieve(often))
-
-    def found(c: Chunk) -> list[tuple[int, np.ndarray]]:
-        pair = (c.at > 0) & passes(bits_of.value, c.pairs)
-        triple = np.flatnonzero((c.at > 1) & pair & np.roll(pair, 1))  # no more frequent than the pairs in it
-        pair = np.flatnonzero(pair)
-        two = np.column_stack([c.pairs[pair], c.h[pair - 1], c.h[pair], np.zeros(len(pair), np.int64)])
-        return [(2, two), (3, np.column_stack([c.triples[triple], c.pairs[triple - 1], c.h[triple], c.pairs[triple]]))]
-
-    grams = scratch.put(counted(docs, found, 4, least, n).withColumnsRenamed({"c0": "key", "c1": "ctx", "c2": "sym", "c3": "suf"}))
+def grow(store: DataFrame, scratch: Scratch, vocabulary: DataFrame, n: int, known: float, least: int, penalty: float, longest: int, bits: int) -> tuple[DataFrame, DataFrame, int]:
+    """(h, back) of the retained words, (key, weight) of all grams with a weight, and the most symbols before the last that one has."""
+    share = store.sparkSession.sparkContext.broadcast
     back = (F.log10("extra") - F.log10("total")).alias("weight")
     own = (F.col("n") + F.col("extra") * F.col("p")) / F.col("total")
     more = (F.log10("own") - F.log10("extra") + F.log10("total") - F.log10("p")).alias("weight")
+    may = share(sieve(scratch.put(often(store, least, bits))))
+    fits: Callable[[Chunk], np.ndarray] = lambda c: passes(may.value, c.grams[1])
+    #: The level before: its grams with their counts and chances, and whether their context is retained.
+    lower = vocabulary.select(F.col("h").alias("key"), "n", (F.col("n") / F.lit(float(n)) * F.lit(float(known))).alias("p"), F.lit(True).alias("kept"))
+    words_back, weights, depth = None, [], 0
+    while True:
+        depth += 1
+        grams = scratch.put(counted(store, depth, fits, least, bits))
+        suffix = lower.where("kept").select(F.col("key").alias("suf"), "p")
+        entries = grams.join(suffix, "suf").join(lower.select(F.col("key").alias("ctx"), F.col("n").alias("all")), "ctx")
+        entries = scratch.put(entries.select("key", "ctx", "n", "all", "p"))
+        scratch.drop(grams)
+        kept = scratch.put(retained(entries, penalty))
+        if words_back is None:
+            words_back = kept.select(F.col("ctx").alias("h"), back.alias("back"))
+        else:
+            weights.append(kept.select(F.col("ctx").alias("key"), back))
+        told = scratch.put(entries.join(kept, "ctx", "left").withColumn("own", own))
+        scratch.drop(entries)
+        weights.append(told.where("own is not null").select("key", more))
+        lower = told.select("key", "n", F.coalesce("own", "p").alias("p"), F.col("own").isNotNull().alias("kept"))
+        if depth == longest or lower.where("kept").isEmpty():
+            break
+        both = share(sieve(lower.select("key"))), share(sieve(lower.where("kept").select("key")))
+
+        def fits(c: Chunk, depth: int = depth, both: tuple = both) -> np.ndarray:
+            """The gram's context was counted, and its suffix stands in a retained one."""
+            return np.roll(passes(both[0].value, c.grams[depth]), 1) & passes(both[1].value, c.grams[depth])
+
+    out = weights[0]
+    for w in weights[1:]:
+        out = out.unionAll(w)
+    return words_back, scratch.put(out.groupBy("key").agg(F.sum("weight").alias("weight"))), depth
 
-    share = vocabulary.select(F.col("h").alias("sym"), (F.col("n") / F.lit(float(n)) * F.lit(float(known))).alias("p"))
-    pairs = grams.where("size = 2").join(share, "sym").join(vocabulary.select(F.col("h").alias("ctx"), F.col("n").alias("all")), "ctx")
-    pairs = scratch.put(pairs.select("key", "ctx", "n", "all", "p"))
-    one = scratch.put(retained(pairs, penalty))
-    pairs = scratch.put(pairs.join(one, "ctx", "left").withColumn("own", own))
 
-    lower = pairs.select(F.col("key").alias("suf"), F.coalesce("own", "p").alias("p"))
-    triples = grams.where("size = 3").join(lower, "suf").join(pairs.select(F.col("key").alias("ctx"), F.col("n").alias("all")), "ctx")
-    triples = scratch.put(triples.select("key", "ctx", "n", "all", "p"))
-    two = scratch.put(retained(triples, penalty))
-    weights = pairs.where("own is not null").select("key", more, "n")
-    weights = weights.unionAll(two.select(F.col("ctx").alias("key"), back, "uses"))
-    weights = weights.unionAll(triples.join(two, "ctx").withColumn("own", own).select("key", more, "n"))
-    weights = scratch.put(weights.groupBy("key").agg(F.sum("weight").alias("weight"), F.max("n").alias("uses")))
-    return one.select(F.col("ctx").alias("h"), back.alias("back")), weights
+def most_used(rows: DataFrame, by: str, most: int, columns: list[str]) -> list[np.ndarray]:
+    """The columns, ordered by the first, of about the ``most`` rows that are largest in ``by``; packed on the way to the driver."""
+    n = rows.count()
+    cut = rows.agg(F.percentile_approx(by, F.lit(1 - most / n), F.lit(10_000))).first()[0] if n > most else 0
 
+    def packed(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            yield pd.DataFrame({f"c{i}": [pdf[c].to_numpy().tobytes()] for i, c in enumerate(columns)})
 
-def _score(head_of, held_of, bits_of):
-    def each(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known, base_of, own_of = head_of.value
-        keys, weights = held_of.value
-        lexicon = Lexicon()
-        key = TaskContext.get().partitionId() << 40
+    found = rows.where(F.col(by) > cut).select(*columns).mapInPandas(packed, ", ".join(f"c{i} binary" for i in range(len(columns)))).collect()
+    out = [np.frombuffer(b"".join(bytes(r[i]) for r in found), np.int64 if i == 0 else np.float64) for i in range(len(columns))]
+    order = np.argsort(out[0])
+    return [x[order] for x in out]
 
-        def lists(doc: np.ndarray, values: np.ndarray, rows: int) -> list[np.ndarray]:
-            return np.split(values, np.searchsorted(doc, np.arange(1, rows)))
 
-        def looked_up(have: np.ndarray, asked: np.ndarray) -> np.ndarray:
-            """Places in have; -1 where it is missing."""
-            if not len(have):
-                return np.full(len(asked), -1)
-            i = np.minimum(np.searchsorted(have, asked), len(have) - 1)
-            return np.where(have[i] == asked, i, -1)
+def looked_up(have: np.ndarray, asked: np.ndarray) -> np.ndarray:
+    """Places in have; -1 where it is missing."""
+    if not len(have):
+        return np.full(len(asked), -1)
+    i = np.minimum(np.searchsorted(have, asked), len(have) - 1)
+    return np.where(have[i] == asked, i, -1)
 
-        for pdf in parts:
-            for first, end, c in chunks(pdf, lexicon, training=False):
-                rows = end - first
-                doc = np.repeat(np.arange(rows), c.lengths)
-                place = looked_up(known, np.array(lexicon.hashes, np.int64))[c.ids]
-                said = c.at > 0
-                inside = said & (place >= 0)
-                base = np.bincount(doc[inside], base_of[place[inside]], rows)
-                score = np.bincount(doc[inside], own_of[place[inside]], rows)
-                tail = said & (place < 0)
-                seen = [np.flatnonzero((c.at > k) & passes(bits_of.value, grams)) for k, grams in enumerate((c.pairs, c.triples))]
-                gram_doc = doc[np.concatenate(seen)]
-                grams = np.concatenate([c.pairs[seen[0]], c.triples[seen[1]]])
-                i = looked_up(keys, grams)
-                score += np.bincount(gram_doc[i >= 0], weights[i[i >= 0]], rows)
-                more = np.flatnonzero(i < 0)
-                more = more[np.argsort(gram_doc[more], kind="stable")]
-                yield pd.DataFrame({
-                    "doc_id": pdf["doc_id"].iloc[first:end].reset_index(drop=True), "row_key": key + np.arange(rows), "held_out": ~pdf["train"].iloc[first:end].to_numpy(bool), "n_tokens": c.lengths - 1,
-                    "n_known": np.bincount(doc[inside], minlength=rows), "base": base, "score": score, "tail": lists(doc[tail], c.h[tail], rows), "grams": lists(gram_doc[more], grams[more], rows),
-                })
-                key += rows
+
+def _ask(head_of, bits_of, depth: int, bits: int, rest: tuple[float, float]):
+    """Per chunk one row of its texts and of what the most frequent words give, and a row a bucket of what it asks for."""
+    empty = b""
+
+    def each(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known, base_of, own_of = head_of.value
+        for row, c in chunks(parts, depth):
+            place = looked_up(known, c.hashes)[c.ids]
+            said, docs = c.at > 0, len(c.lengths)
+            inside, tail = said & (place >= 0), said & (place < 0)
+            sums = [np.bincount(c.doc[inside], x[place[inside]], docs) + np.bincount(c.doc[tail], minlength=docs) * y for x, y in ((own_of, rest[0]), (base_of, rest[1]))]
+            sums.append(np.bincount(c.doc[inside], minlength=docs).astype(float))
+            asks = [np.flatnonzero(tail)] + [np.flatnonzero((c.at >= k) & passes(bits_of.value, c.grams[k])) for k in range(1, depth + 1)]
+            key, doc = np.concatenate([c.grams[k][i] for k, i in enumerate(asks)]), np.concatenate([c.doc[i] for i in asks])
+            order = np.argsort(key.view(np.uint64), kind="stable")
+            key, doc = key[order], doc[order].astype(np.int32)
+            first = cut_at(key)
+            own, runs = key[first], np.diff(np.append(first, len(key))).astype(np.int32)
+            bucket = buckets(own, bits)
+            at = cut_at(bucket)
+            ends = np.append(first, len(key))[np.append(at, len(own))]
+            yield pd.DataFrame({
+                "bucket": np.append(-1 - row.chunk % 4096, bucket[at]), "chunk": row.chunk, "doc_id": [row.doc_id, *[None] * len(at)], "held_out": [(~_ints(row.train, bool)).tolist(), *[None] * len(at)],
+                "n_tokens": [(c.lengths - 1).tolist(), *[None] * len(at)], "keys": [empty, *[x.tobytes() for x in np.split(own, at[1:])][: len(at)]], "runs": [empty, *[x.tobytes() for x in np.split(runs, at[1:])][: len(at)]],
+                "docs": [empty, *[doc[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]], "sums": [np.concatenate(sums).tobytes(), *[empty] * len(at)],
+            })
 
     return each
 
 
-def score(docs: DataFrame, least: int = 10, penalty: float = 2.0, head: int = 150_000, smooth: float = 0.1, held: int = 300_000) -> DataFrame:
+def _answer(asks: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+    """Sums for the texts of each chunk: those that are asked for, with three numbers each."""
+    out = asks[["chunk", "doc_id", "held_out", "n_tokens", "docs", "sums"]].copy()
+    if not len(asks) or asks["bucket"].iloc[0] < 0:
+        return out
+    held = held.sort_values("key")
+    have, values = held["key"].to_numpy(np.int64), held[["weight", "base", "known"]].to_numpy(float).T
+    docs, sums = [], []
+    for row in asks.itertuples(index=False):
+        i = looked_up(have, _ints(row.keys))
+        runs, doc = _ints(row.runs, np.int32), _ints(row.docs, np.int32)
+        found = np.repeat(i >= 0, runs)
+        own, at = np.unique(doc[found], return_inverse=True)
+        i = np.repeat(i, runs)[found]
+        docs.append(own.astype(np.int32).tobytes())
+        sums.append(np.concatenate([np.bincount(at, v[i], len(own)) for v in values]).tobytes())
+    return out.assign(docs=docs, sums=sums)
+
+
+def _told(pdf: pd.DataFrame) -> pd.DataFrame:
+    """A chunk's texts with all their sums."""
+    texts = pdf[pdf["doc_id"].notna()].iloc[0]
+    n = len(texts["n_tokens"])
+    total = _ints(texts["sums"], float).reshape(3, n).copy()
+    for docs, sums in zip(pdf["docs"], pdf["sums"], strict=True):
+        at = _ints(docs, np.int32)
+        if len(at):
+            total[:, at] += _ints(sums, float).reshape(3, len(at))
+    return pd.DataFrame({"doc_id": list(texts["doc_id"]), "held_out": texts["held_out"], "n_tokens": texts["n_tokens"], "n_known": np.rint(total[2]).astype(np.int64), "base_score": total[1], "score": total[0]})
+
+
+def score(docs: DataFrame, least: int = 10, penalty: float = 2.0, longest: int = 4, head: int = 150_000, smooth: float = 0.1) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: one row per input row."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "suffix-tree")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("doc_id", "text", is_training(F.col("doc_id")).alias("train"))
-    counted_ = rows.mapInPandas(_count_words, "word binary, h long, n long")
-    vocabulary = scratch.put(counted_.groupBy("word", "h").agg(F.sum("n").alias("n")))
+    store = scratch.put(chunked(docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text", is_training(F.col("doc_id")).alias("train"))), compression="zstd")
+    vocabulary = scratch.put(store.mapInPandas(_count_words, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")))
     total = vocabulary.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v"), F.count_if(F.col("n") == 1).alias("once")).first()
     n, v = total["n"] or 0, total["v"]
     if not n:
         plain = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long") + 1
-        return rows.select("doc_id", (~F.col("train")).alias("held_out"), plain.alias("n_tokens"), F.lit(0).cast("long").alias("n_known"), F.lit(0).cast("long").alias("train_tokens"), F.lit(None).cast("double").alias("base_score"), F.lit(None).cast("double").alias("score"))
+        return docs.select("doc_id", (~is_training(F.col("doc_id"))).alias("held_out"), plain.alias("n_tokens"), F.lit(0).cast("long").alias("n_known"), F.lit(0).cast("long").alias("train_tokens"), F.lit(None).cast("double").alias("base_score"), F.lit(None).cast("double").alias("score"))
     z = n + smooth * (v + 1)
     known = 1 - (total["once"] + 0.5) / (n + 1)  # the share of known words; the rest is that of unknown ones
-    back, weights = grow(rows, scratch, vocabulary, n, known, least, penalty)
-    count = F.coalesce("n", F.lit(0))
-    log_base = F.log10((count + smooth) / F.lit(float(z)))
-    log_own = F.log10(F.when(count > 0, count / F.lit(float(n)) * F.lit(float(known))).otherwise(F.lit(float(1 - known))))
+    bits = max(6, (n >> 22).bit_length())
+    words_back, weights, depth = grow(store, scratch, vocabulary, n, known, least, penalty, longest, bits)
+    log_base = F.log10((F.col("n") + smooth) / F.lit(float(z)))
+    log_own = F.log10(F.col("n") / F.lit(float(n)) * F.lit(float(known)))
     #: A word is a symbol once and once the context of the next; the end is the context of a text's first symbol.
-    lexicon = scratch.put(vocabulary.join(back, "h", "left").select("word", "h", "n", log_base.alias("base"), (log_own + F.coalesce("back", F.lit(0.0))).alias("own")))
+    lexicon = scratch.put(vocabulary.join(words_back, "h", "left").select("h", "n", log_base.alias("base"), (log_own + F.coalesce("back", F.lit(0.0))).alias("own")))
+    rest = float(np.log10(1 - known)), float(np.log10(smooth / z))
     share = spark.sparkContext.broadcast
-    shared = share(most_used(lexicon, "n", head, ["h", "base", "own"])), share(most_used(weights, "uses", held, ["key", "weight"])), share(sieve(weights.select("key")))
-    schema = f"doc_id {kind}, row_key long, held_out boolean, n_tokens long, n_known long, base double, score double, tail array<long>, grams array<long>"
-    scored = scratch.put(rows.mapInPandas(_score(*shared), schema))
-    tail = scored.select("row_key", F.explode("tail").alias("h")).join(lexicon.select("h", "n", "base", "own"), "h", "left")
-    sums = tail.groupBy("row_key").agg(F.sum(F.coalesce("base", F.lit(float(np.log10(smooth / z))))).alias("b"), F.sum(F.coalesce("own", F.lit(float(np.log10(1 - known))))).alias("s"), F.count("n").alias("kn"))
-    more = scored.select("row_key", F.explode("grams").alias("key")).join(weights.select("key", "weight"), "key")
-    more = more.groupBy("row_key").agg(F.sum("weight").alias("w"))
-    out = scored.select("doc_id", "row_key", "held_out", "n_tokens", "n_known", "base", "score").join(sums, "row_key", "left").join(more, "row_key", "left")
-    plus = lambda a, *b: sum((F.coalesce(x, F.lit(0)) for x in b), F.col(a))
-    return out.select("doc_id", "held_out", "n_tokens", plus("n_known", "kn").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), plus("base", "b").alias("base_score"), plus("score", "s", "w").alias("score"))
+    asks = store.mapInPandas(
+        _ask(share(most_used(lexicon, "n", head, ["h", "base", "own"])), share(sieve(weights.select("key"))), depth, bits, rest),
+        "bucket long, chunk long, doc_id array<string>, held_out array<boolean>, n_tokens array<long>, keys binary, runs binary, docs binary, sums binary",
+    )
+    #: Words outside the head: what they have beyond the share of unknown ones.
+    table = lexicon.select(F.col("h").alias("key"), (F.col("own") - rest[0]).alias("weight"), (F.col("base") - rest[1]).alias("base"), F.lit(1.0).alias("known"))
+    table = table.unionAll(weights.select("key", "weight", F.lit(0.0).alias("base"), F.lit(0.0).alias("known"))).withColumn("bucket", F.shiftrightunsigned("key", 64 - bits))
+    answers = asks.groupBy("bucket").cogroup(table.groupBy("bucket")).applyInPandas(_answer, "chunk long, doc_id array<string>, held_out array<boolean>, n_tokens array<long>, docs binary, sums binary")
+    out = answers.groupBy("chunk").applyInPandas(_told, "doc_id string, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    return out.select(F.col("doc_id").cast(kind).alias("doc_id"), "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")

@@ -105,7 +105,6 @@ def test_packing(docs, odd, none):
     import public_tokenizers as P
 
     t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     for frame in (docs, odd):
         want = Counter()
         for r in frame.collect():
@@ -143,7 +142,7 @@ def test_bin_completion_is_whole_and_good():
     rng = np.random.default_rng(2)
     for n in (0, 1, 7, 60, 900):
         counts = np.bincount(rng.integers(1, 101, n), minlength=101)
-        out = packing.complete(counts, nodes=400)
+        out = packing.complete(counts, nodes=1_500)
         total = np.zeros(101, int)
         for items, m in out:
             assert sum(items) <= 100
@@ -154,35 +153,87 @@ def test_bin_completion_is_whole_and_good():
     assert sum(m for _, m in packing.complete(np.bincount([6, 6, 4, 4, 5, 5, 7, 3], minlength=11))) == 4
 
 
-def test_water_filling():
-    assert mixing.water_fill(100, [1, 1, 2], [10, 100, 100]) == [10, 30, 60]
-    assert mixing.water_fill(10, [1, 1, 1], [100] * 3) == [4, 3, 3]
-    leaves = {("a", "x"): 5, ("a", "y"): 100, ("b", "x"): 100}
-    got = mixing.budgets(leaves, 100, {("a",): 0.5, ("b",): 0.5}, 1.0, 1)
-    assert got == {("a", "x"): 5, ("a", "y"): 45, ("b", "x"): 50}  # the sibling makes up, not the ancestor
-    got = mixing.budgets({("a", "x"): 5, ("a", "y"): 10, ("b", "x"): 100}, 100, {("a",): 0.5, ("b",): 0.5}, 1.0, 1)
-    assert got == {("a", "x"): 5, ("a", "y"): 10, ("b", "x"): 85}
-
-
-def test_mixing(docs, odd, none):
+def water_fill(amount, weights, room):
+    """Brute force: whoever cannot hold its share is filled, until all others can."""
+    got, open_ = [0] * len(room), [i for i in range(len(room)) if room[i] > 0 and weights[i] > 0]
+    while open_ and amount > 0:
+        share = {i: amount * weights[i] / sum(weights[j] for j in open_) for i in open_}
+        full = [i for i in open_ if share[i] >= room[i]]
+        if not full:
+            for i in open_:
+                got[i] = int(share[i])
+            for i in sorted(open_, key=lambda i: (got[i] - share[i], i))[: amount - sum(map(int, share.values()))]:
+                got[i] += 1
+            break
+        for i in full:
+            got[i], amount = room[i], amount - room[i]
+        open_ = [i for i in open_ if i not in full]
+    return got
+
+
+def budgets(leaves, total, weights, default_weight, max_epochs):
+    out = {}
+
+    def down(prefix, inside, amount):
+        depth = len(prefix)
+        if inside and depth == len(next(iter(inside))):
+            out[prefix] = amount
+            return
+        children = sorted({p[depth] for p in inside})
+        below = [{p: n for p, n in inside.items() if p[depth] == c} for c in children]
+        room = [max_epochs * sum(b.values()) for b in below]
+        share = water_fill(min(amount, sum(room)), [weights.get((*prefix, c), default_weight) for c in children], room)
+        for c, b, x in zip(children, below, share, strict=True):
+            down((*prefix, c), b, x)
+
+    down((), leaves, total)
+    return out
+
+
+def test_water_filling(spark):
+    assert water_fill(100, [1, 1, 2], [10, 100, 100]) == [10, 30, 60]
+    assert water_fill(10, [1, 1, 1], [100] * 3) == [4, 3, 3]
+    half = {("a",): 0.5, ("b",): 0.5}
+    cases = [({("a", "x"): 5, ("a", "y"): 100, ("b", "x"): 100}, 100, half, {("a", "x"): 5, ("a", "y"): 45, ("b", "x"): 50})]  # the sibling makes up, not the ancestor
+    cases += [({("a", "x"): 5, ("a", "y"): 10, ("b", "x"): 100}, 100, half, {("a", "x"): 5, ("a", "y"): 10, ("b", "x"): 85})]
+    rng = np.random.default_rng(0)
+    for _ in range(3):
+        leaves = {(a, b, c): int(rng.integers(0, 50)) for a in "pqr" for b in "xyz" for c in "klm" if rng.random() < 0.8}
+        cases.append((leaves, int(rng.integers(1, 2 * sum(leaves.values()))), {("p",): 3.0, ("q",): 0.0, ("p", "x"): 0.25, ("r", "y"): 5.0, ("r", "y", "k"): 2.0}, None))
+    for leaves, total, weights, want in cases:
+        names = ["__mix_0", "__mix_1", "__mix_2"][: len(next(iter(leaves)))]
+        frame = spark.createDataFrame([(*p, n) for p, n in leaves.items()], ", ".join([*[f"{n} string" for n in names], "n long"]))
+        for epochs in (1, 2):
+            got = {tuple(r[n] for n in names): r["_got"] for r in mixing.budgets(frame, names, total, weights, 1.0, epochs).collect()}
+            assert got == budgets(leaves, total, weights, 1.0, epochs)
+            assert want is None or epochs > 1 or got == want
+
+
+def test_mixing(spark, docs, odd, none):
     levels = {"lang": F.col("lang"), "source": F.col("source")}
-    for frame, share in ((docs, 0.7), (docs, 1.6), (odd, 0.9)):
+    tied = spark.createDataFrame([(1, "one two three four five six seven eight nine ten", "en", "s")] * 6 + [(2, "a b c", "fr", "s"), (3, "x y", None, None)] + [(4, "k l m", "fr", "t")] * 9, "doc_id long, text string, lang string, source string").repartition(3)
+    for frame, share in ((docs, 0.7), (docs, 1.6), (odd, 0.9), (odd, 1.3), (tied, 15), (tied, 24), (tied, 133), (tied, 0.5)):
         rows = frame.select("doc_id", "text", "lang", "source", *[mixing.place(17, e).alias(f"p{e}") for e in (0, 1)]).collect()
         tokens = [len(WORD.findall(r.text or "")) for r in rows]
         leaves = Counter()
         for r, n in zip(rows, tokens, strict=True):
             leaves[r.lang or "", r.source or ""] += n
-        given = mixing.budgets(dict(leaves), int(share * sum(tokens)), {("en",): 0.6, ("fr",): 0.4}, 1.0, 2)
+        given = budgets(dict(leaves), int(share * sum(tokens)) if isinstance(share, float) else share, {("en",): 0.6, ("fr",): 0.4}, 1.0, 2)
         got = mixing.mix(frame, levels, {("en",): 0.6, ("fr",): 0.4}, share).collect()
-        taken = Counter()
+        taken = {}
         for r in got:
-            taken[r.lang or "", r.source or ""] += r.take_tokens
+            taken.setdefault((r.lang or "", r.source or "", r.epoch), Counter())[r.doc_id, r.text, r.take_tokens] += 1
         for leaf, amount in given.items():
-            own = sorted((r.p0, r.p1, n) for r, n in zip(rows, tokens, strict=True) if (r.lang or "", r.source or "") == leaf)
             full, rest = divmod(amount, leaves[leaf]) if leaves[leaf] else (1, 0)
-            if len({p for p, _, _ in own}) == len(own):
-                assert taken[leaf] == amount
-            assert Counter(r.epoch for r in got if (r.lang or "", r.source or "") == leaf).get(0, 0) == (len(own) if full else sum(1 for i in range(len(own)) if sum(n for _, _, n in own[:i]) < rest and (i == 0 or rest))) or rest == 0 or len({p for p, _, _ in own}) != len(own) or any(n == 0 for *_, n in own)
+            for epoch in (0, 1):
+                own = sorted(((r[f"p{epoch}"], r.doc_id, r.text, n) for r, n in zip(rows, tokens, strict=True) if (r.lang or "", r.source or "") == leaf), key=lambda x: x[0])
+                want, left = Counter(), leaves[leaf] if epoch < full else rest if epoch == full else 0
+                for _, d, t, n in own:
+                    if epoch < full or left > 0:
+                        want[d, t, min(n, left)] += 1
+                        left -= min(n, left)
+                assert taken.get((*leaf, epoch), Counter()) == want
+        assert sum(r.take_tokens for r in got) == sum(given.values())
     assert mixing.mix(none, levels, {}, 1.0).count() == 0
 
 
@@ -203,41 +254,71 @@ def test_suffix_tree(docs, odd, none):
     assert suffix_tree.score(none).count() == 0
 
 
+class BruteTree:
+    """The tree by its definition, on tuples of words: any word is a symbol; contexts are deepened, a symbol a level, where their suffix was retained."""
+
+    def __init__(self, said, least=10, penalty=2.0, longest=4):
+        self.c = Counter(w for ws in said for w in ws[1:])
+        self.n = sum(self.c.values())
+        self.unknown = (sum(k == 1 for k in self.c.values()) + 0.5) / (self.n + 1)
+        self.kept, self.depth = {}, 0  # context -> (symbol counts, all)
+        open_ = {()}
+        while open_ and self.depth < longest:
+            self.depth += 1
+            grams = Counter(tuple(ws[i : i + self.depth + 1]) for ws in said for i in range(len(ws) - self.depth))
+            all_ = Counter()
+            for g, k in grams.items():
+                all_[g[:-1]] += k
+            found = {}
+            for g, k in grams.items():
+                if k >= least and g[1:-1] in open_:
+                    found.setdefault(g[:-1], {})[g[-1]] = k
+            open_ = set()
+            for ctx, seen in found.items():
+                lower = {s: self.chance(ctx[1:], s) for s in seen}
+                gain = sum(k * math.log(k / all_[ctx] / lower[s]) for s, k in seen.items())
+                left = 1 - sum(seen.values()) / all_[ctx]
+                if left > 1e-12:
+                    gain += all_[ctx] * left * math.log(left / max(1 - sum(lower.values()), 1e-12))
+                if gain > penalty * len(seen):
+                    open_.add(ctx)
+            self.kept |= {ctx: (found[ctx], all_[ctx]) for ctx in open_}
+
+    def chance(self, before, symbol):
+        p = self.c[symbol] / self.n * (1 - self.unknown) if symbol in self.c else self.unknown
+        for k in range(1, min(len(before), self.depth) + 1):
+            if (ctx := tuple(before[-k:])) in self.kept:
+                seen, n = self.kept[ctx]
+                p = (seen.get(symbol, 0) + (len(seen) + n - sum(seen.values())) * p) / (n + len(seen))
+        return p
+
+    def score(self, ws):
+        return sum(math.log10(self.chance(ws[max(0, i - self.depth) : i], ws[i])) for i in range(1, len(ws)))
+
+
 def test_suffix_tree_is_a_distribution():
-    import pandas as pd
-
-    tree = suffix_tree.Tree(np.array([0.4, 0.3, 0.2, 0.1]))
-    found = pd.DataFrame({"context": [0, 0, 1], "symbol": [1, 2, 3], "n": [50, 10, 30]})
-    tree.add(found, pd.DataFrame({"context": [0, 1], "all": [70, 30]}), 0.1)
-    for context in range(3):
-        assert tree.chance(np.full(4, context), np.arange(4), 1).sum() == pytest.approx(1)
-    assert len(tree.levels[0][0]) == 2
-
-
-def test_suffix_tree_learns_every_context(docs):
-    """Against the tree in memory: any word is a symbol, contexts and successors count from ten on; joined weights equal broadcast ones."""
-    import pandas as pd
-
-    rows = [(r.doc_id, r.text) for r in docs.collect()]
-    said = {d: [b"", *[w.encode().lower() for w in WORD.findall(t or "")], b""] for d, t in rows}
-    train = [w for d, w in said.items() if zlib.crc32(str(d).encode()) % 10]
-    c = Counter(w for ws in train for w in ws[1:])
-    n, names = sum(c.values()), {w: i for i, w in enumerate(c)}
-    known = 1 - (sum(k == 1 for k in c.values()) + 0.5) / (n + 1)
-    tree = suffix_tree.Tree(np.append(np.array(list(c.values())) / n * known, 1 - known))
-    for length in (1, 2):
-        grams = Counter(tuple(names[w] for w in ws[i : i + length + 1]) for ws in train for i in range(len(ws) - length))
-        all_ = Counter()
-        for g, k in grams.items():
-            all_[g[:-1]] += k
-        number = lambda g: sum(x * tree.size ** (len(g) - 1 - i) for i, x in enumerate(g))
-        found = pd.DataFrame([(number(g[:-1]), g[-1], k) for g, k in grams.items() if k >= 10], columns=["context", "symbol", "n"])
-        tree.add(found, pd.DataFrame([(number(g), k) for g, k in all_.items()], columns=["context", "all"]), 2.0)
-    want = {d: np.log10(tree.score(np.array([names.get(w, tree.size - 1) for w in ws]))).sum() for d, ws in said.items()}
-    assert len(tree.levels[0][0]) > 20 and len(tree.levels[1][0]) > 5
-    for options in ({}, {"head": 50, "held": 20}):
-        got = {r.doc_id: r.score for r in suffix_tree.score(docs, **options).collect()}
-        assert got == pytest.approx(want, rel=1e-9)
+    rng = np.random.default_rng(6)
+    said = [[b"", *[b"abcdef"[i : i + 1] for i in rng.integers(0, 6, 30) // rng.integers(1, 3)], b""] for _ in range(80)]
+    tree = BruteTree(said)
+    assert len(tree.kept) > 3
+    for before in [(), (b"",), (b"a", b"a"), (b"b", b"a", b"c")]:
+        assert sum(tree.chance(before, s) for s in [*tree.c, b"never seen"]) == pytest.approx(1)
+
+
+def test_suffix_tree_learns_every_context(spark, docs):
+    """Against the tree in memory, on documents and on texts that need contexts of three words."""
+    rng = np.random.default_rng(5)
+    deep = []
+    for i in range(300):
+        w, x, y = (f"{k}{rng.integers(0, 3)}" for k in "abc")
+        deep.append((i, " ".join([w, x, "and", y, f"after{w}{x}", "end"] * 4)))
+    for frame, depth in ((docs, 2), (spark.createDataFrame(deep, "doc_id long, text string"), 3)):
+        said = {r.doc_id: [b"", *[w.encode().lower() for w in WORD.findall(r.text or "")], b""] for r in frame.collect()}
+        tree = BruteTree([ws for d, ws in said.items() if zlib.crc32(str(d).encode()) % 10])
+        assert max(map(len, tree.kept)) >= depth
+        want = {d: tree.score(ws) for d, ws in said.items()}
+        for options in ({}, {"head": 50}):
+            assert {r.doc_id: r.score for r in suffix_tree.score(frame, **options).collect()} == pytest.approx(want, rel=1e-9)
 
 
 def test_suffix_tree_grows_with_the_corpus(spark):
@@ -353,6 +434,51 @@ def test_line_templates_generalise(spark):
     assert all(r.n_dropped == 0 for r in line_templates.drop_recurring_lines(spark.createDataFrame(copies, "doc_id long, text string")).collect())
 
 
+def brute_templates(rows, depth=3, min_docs=8, min_constant=0.5, min_tokens=1, long_tokens=20):
+    """The template tree by its definition: (doc_id, text) -> (doc_id, text without recurring lines, dropped)."""
+    field = re.compile(r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*[0-9@][^\x20\x09-\x0D]*")
+    leaves, at = {}, []
+    for d, t in rows:
+        for pos, raw in enumerate(t.split("\n") if t is not None else []):
+            plain = " ".join(WORD.findall(raw))
+            if not plain or (n := len(plain.split(" "))) < min_tokens:
+                continue
+            general = field.sub("<*>", plain)
+            line = general if re.search("[0-9@]", plain) and general.count("<*>") <= (1 - min_constant) * n else plain
+            leaf = (n, tuple(line.split(" ")[:depth]))
+            leaves.setdefault(leaf, {}).setdefault(line, set()).add(t)
+            at.append((d, t, pos, leaf, line))
+    template = {}
+    for leaf, lines in leaves.items():
+        need = 2 if leaf[0] > long_tokens else min_docs
+        support = Counter()
+        for line, texts in lines.items():
+            for i, x in enumerate(line.split(" ")):
+                support[i, x] += len(texts)
+        for line in lines:
+            fixed = [x != "<*>" and (support[i, x] >= need or i < depth) for i, x in enumerate(line.split(" "))]
+            general = tuple(x if f else "<*>" for x, f in zip(line.split(" "), fixed, strict=True))
+            template[leaf, line] = (leaf, general) if sum(fixed) >= min_constant * len(fixed) else (leaf, line)
+    holders, first = {}, {}
+    for d, t, _, leaf, line in at:
+        k = template[leaf, line]
+        holders.setdefault(k, set()).add(t)
+        first[k] = min(first.get(k, (1, 0)), (0, 0) if d is None else (1, d)) if k in first else ((0, 0) if d is None else (1, d))
+    drop = {}
+    for d, t, pos, leaf, line in at:
+        k = template[leaf, line]
+        if len(holders[k]) >= (2 if leaf[0] > long_tokens else min_docs) and first[k] != ((0, 0) if d is None else (1, d)):
+            drop.setdefault((d, t), set()).add(pos)
+    return Counter((d, t if t is None else "\n".join(x for i, x in enumerate(t.split("\n")) if i not in drop.get((d, t), ())), len(drop.get((d, t), ()))) for d, t in rows)
+
+
+def test_line_templates_by_brute_force(spark, docs, odd):
+    for frame, options in ((docs, {}), (odd, {"min_docs": 5}), (odd, {"min_docs": 2, "depth": 1, "min_constant": 0.3, "long_tokens": 4})):
+        rows = [(r.doc_id, r.text) for r in frame.collect()]
+        got = Counter((r.doc_id, r.text, r.n_dropped) for r in line_templates.drop_recurring_lines(frame, **options).collect())
+        assert got == brute_templates(rows, **options)
+
+
 def test_long_lines_are_kept_once(spark, sf):
     """With the operator's own parameters: a line of over 20 words that two different texts hold is left in the document of least id alone."""
     docs = spark.read.parquet(f"{sf[:-5]}0.01/documents.parquet")
