@@ -1,11 +1,10 @@
 """Approximate nearest neighbours by balanced posting lists.
 
 Centroids of a balanced k-means over a bounded sample stay in memory, joined by a neighbour graph that is searched
-best-first. Every vector goes to the list of its nearest centroid and, near a boundary, to further lists: those
-whose centroid is at most ``1 + replica_slack`` times as far as the nearest and not closer to a list already taken
-than to the vector. A query reads the lists whose centroids are at most ``ratio`` times as far as
+best-first. Every vector goes to the list of its nearest centroid and, near a boundary, to further lists, at most
+``max_replicas`` in all: those whose centroid is at most ``1 + replica_slack`` times as far as the nearest. A query reads the lists whose centroids are at most ``ratio`` times as far as
 its nearest (at least ``min_lists``), so easy queries read few; the ratio is the one that finds ``recall`` of the
-neighbours within the sample. Lists longer than ``chunk_rows`` are cut by a
+neighbours within the sample, replicas counted. Lists longer than ``chunk_rows`` are cut by a
 hash of the id and their chunks searched apart: however many vectors one list holds, no task holds more.
 
 Defined cases: vectors that are null, zero, of another length than most, or hold null or non-finite components take
@@ -98,23 +97,31 @@ def balanced_kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 5) -> n
     return points
 
 
-def needed_ratio(x: np.ndarray, points: np.ndarray, k: int, recall: float, seed: int = 9) -> float:
-    """How many times as far as the nearest a centroid may be so that lists hold ``recall`` of the k nearest.
+def held_in(known: Centroids, v: np.ndarray, slack: float, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(centroids, which of them take it) for each vector: its nearest, and up to ``most`` in all that are nearly as near."""
+    ids, far = known.search(v, 8 * most)
+    ids, far = ids[:, :most], far[:, :most]
+    return ids, far <= (1 + slack) * far[:, :1] + 1e-12
+
+
+def needed_ratio(x: np.ndarray, known: Centroids, k: int, recall: float, slack: float, most: int, seed: int = 9) -> float:
+    """How many times as far as the nearest a centroid may be so that lists hold ``recall`` of the k nearest, in any list that has them.
 
     Measured on up to 400 rows of the sample among the sample: their neighbours there are farther than in all rows,
     so the ratio errs on the safe side.
     """
     rng = np.random.default_rng(seed)
     asks = rng.choice(len(x), min(400, len(x)), replace=False)
-    own = np.concatenate([np.argmin(Centroids.far(x[i : i + 4096], points), axis=1) for i in range(0, len(x), 4096)])
     ratios = []
     for at in range(0, len(asks), 50):
         q = asks[at : at + 50]
         d = Centroids.far(x[q], x)
         d[np.arange(len(q)), q] = np.inf
         near = np.argpartition(d, min(k, len(x) - 1) - 1, axis=1)[:, :k] if len(x) > 1 else np.zeros((len(q), 1), int)
-        to = np.sqrt(Centroids.far(x[q], points))
-        ratios.append((np.take_along_axis(to, own[near], 1) / np.maximum(to.min(axis=1, keepdims=True), 1e-12)).ravel())
+        to = np.sqrt(Centroids.far(x[q], known.points))
+        ids, take = held_in(known, x[near.ravel()], slack, most)
+        held = np.where(take, to[np.repeat(np.arange(len(q)), near.shape[1])[:, None], ids], np.inf).min(axis=1).reshape(near.shape)
+        ratios.append((held / np.maximum(to.min(axis=1, keepdims=True), 1e-12)).ravel())
     return float(np.quantile(np.concatenate(ratios), recall))
 
 
@@ -132,8 +139,8 @@ def _stack(column: pd.Series) -> np.ndarray:
 
 
 def search(
-    vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 10, list_rows: int = 200, max_sample: int = 40_000,
-    replica_slack: float = 0.25, max_replicas: int = 6, recall: float = 0.97, min_lists: int = 8, chunk_rows: int = 4_000,
+    vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 10, list_rows: int = 100, max_sample: int = 40_000,
+    replica_slack: float = 0.25, max_replicas: int = 6, recall: float = 0.93, min_lists: int = 8, chunk_rows: int = 4_000,
 ) -> DataFrame:
     """query_id, rank, vec_id, score for each row of vectors that is_query names. max_sample bounds the rows the index is fitted on; all rows are indexed."""
     spark = vectors.sparkSession
@@ -142,12 +149,11 @@ def search(
     n = rows.count()
     if not n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    parts = max(1, -(-n // max_sample))
-    sample = rows.where(F.pmod(F.xxhash64("id"), F.lit(parts)) == 0).orderBy("id").limit(max_sample).toPandas()
+    sample = rows.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < (1 << 20) * max_sample / n).orderBy("id").limit(max_sample).toPandas()
     x = _stack(sample["v"]).astype(np.float32) if len(sample) else np.zeros((1, 1), np.float32)
     lists = max(1, min(n // list_rows, len(x) // 8))
     points = balanced_kmeans(x, lists)
-    ratio = needed_ratio(x, points, k, recall)
+    ratio = needed_ratio(x, Centroids(points), k, recall, replica_slack, max_replicas)
 
     def routed(query: bool):
         def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -156,17 +162,11 @@ def search(
                 for at in range(0, len(whole), 1024):
                     pdf = whole.iloc[at : at + 1024]
                     v = _stack(pdf["v"]).astype(np.float32)
-                    ids, far = known.search(v, len(points), ratio) if query else known.search(v, 4 * max_replicas)
                     if query:
+                        ids, far = known.search(v, len(points), ratio)
                         take = np.isfinite(far) & ((far <= ratio * far[:, :1] + 1e-12) | (np.arange(ids.shape[1]) < min_lists))
                     else:
-                        near = far <= (1 + replica_slack) * far[:, :1] + 1e-12
-                        take = np.zeros_like(near)
-                        take[:, 0] = True
-                        for j in range(1, ids.shape[1]):
-                            between = np.sqrt(((known.points[ids[:, j]][:, None] - known.points[ids[:, :j]]) ** 2).sum(2))
-                            covered = (take[:, :j] & (between < far[:, j : j + 1])).any(1)
-                            take[:, j] = near[:, j] & ~covered & (take[:, :j].sum(1) < max_replicas)
+                        ids, take = held_in(known, v, replica_slack, max_replicas)
                     r, c = np.nonzero(take)
                     yield pd.DataFrame({"list": ids[r, c].astype(np.int32), "id": pdf["id"].to_numpy()[r], "v": pdf["v"].to_numpy()[r]})
 
