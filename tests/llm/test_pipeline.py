@@ -1,7 +1,6 @@
 """The pipeline's stages on the smallest documents, each judged on its own input."""
 
 import corpus_pipeline as C
-from chatterscope.llm import near_dup
 from tests.llm.test_operators import brute_components
 
 
@@ -28,7 +27,3 @@ def test_stages(spark, sf, tmp_path):
         else:
             assert {r.doc_id for r in docs.select("doc_id").collect()} == set(before)
     assert docs.count() == C.run(spark, sf).count()
-
-
-def test_near_duplicates_are_a_stage():
-    assert near_dup.near_duplicates.__module__ == "chatterscope.llm.near_dup"
