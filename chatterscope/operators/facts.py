@@ -85,8 +85,8 @@ def settled_counters(observations: DataFrame, posts: DataFrame, hours: int = 24)
 def claim(jobs: DataFrame, now: Column, limit: int, lease_minutes: int = 10) -> DataFrame:
     """The next state of the queue: the ``limit`` first open or expired jobs become running under a new lease."""
     open_ = (F.col("status") == "pending") | ((F.col("status") == "running") & (F.col("lease_until") < now))
-    order = W.partitionBy(open_).orderBy(F.desc("priority"), "subject_code", "job_id")
-    out = jobs.withColumn("_go", open_ & (F.row_number().over(order) <= limit))
+    first = jobs.where(open_).orderBy(F.desc("priority"), "subject_code", "job_id").limit(limit).select("job_id", F.lit(True).alias("_first"))
+    out = jobs.join(F.broadcast(first), "job_id", "left").withColumn("_go", F.coalesce("_first", F.lit(False))).drop("_first")  # ``limit`` rows
     lease = now + F.expr(f"INTERVAL {lease_minutes} MINUTES")
     return out.withColumns({"status": F.when(F.col("_go"), "running").otherwise(F.col("status")), "lease_until": F.when(F.col("_go"), lease).otherwise(F.col("lease_until")), "attempts": F.col("attempts") + F.col("_go").cast("int")}).drop("_go")
 

@@ -46,7 +46,7 @@ def stratified(rows: DataFrame, stratum: str, key: str, n: int, seed: int) -> Da
     sizes = {r[stratum]: r["count"] for r in rows.groupBy(stratum).count().collect()}  # one row a stratum
     quota = F.create_map(*[x for k, v in allocate(sizes, n).items() for x in (F.lit(k), F.lit(v))])
     w = W.partitionBy(stratum).orderBy(seeded(seed, key), key)
-    return rows.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= quota[F.col(stratum)]).drop("_r")
+    return rows.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n).where(F.col("_r") <= quota[F.col(stratum)]).drop("_r")
 
 
 def confusion(rows: DataFrame, gold: str, model: str) -> DataFrame:

@@ -150,11 +150,12 @@ NEGATIVE = (
 
 
 def negatives(spark, sf):
-    cur = units(spark, sf, D7).where("attitude = 'negative'")
-    base = units(spark, sf, D7.baseline()).where("attitude = 'negative'")
-    old = themes(base, ["code"]).select("code", "aspect", F.col("mentions").alias("base"))
-    whole = cur.groupBy("code").agg(F.count_distinct("feed_id").alias("_threads"))
-    out = themes(cur, ["code"]).join(old, ["code", "aspect"], "left").join(whole, "code").withColumn("base", F.coalesce("base", F.lit(0)))
+    """The window and its baseline adjoin: one pass over both, parted by a flag."""
+    rows = units(spark, sf, C.Range(D7.baseline().first, D7.last)).where("attitude = 'negative'")
+    now = C.in_window(F.col("posted_at"), D7)
+    rows = rows.select("code", F.when(F.col("aspect") == "", "other").otherwise(F.col("aspect")).alias("aspect"), F.when(now, F.col("feed_id")).alias("_cur"), F.when(~now, F.col("feed_id")).alias("_old"))
+    whole = rows.groupBy("code").agg(F.count_distinct("_cur").alias("_threads"))
+    out = rows.groupBy("code", "aspect").agg(F.count_distinct("_cur").alias("mentions"), F.count_distinct("_old").alias("base")).where("mentions > 0").join(whole, "code")
     out = out.withColumn("lifecycle", M.lifecycle(F.col("mentions"), F.col("base")))
     out = out.withColumn("severity", M.severity(F.col("mentions") / F.col("_threads") * 100, F.col("lifecycle")))
     return out.withColumn("place", F.row_number().over(W.partitionBy("code").orderBy(F.desc("mentions"), "aspect"))).select("code", "aspect", "mentions", "base", "lifecycle", "severity", "place")
@@ -270,8 +271,9 @@ def label_propagation(spark, sf):
 )
 def funnel(spark, sf):
     cur = T.current(B.annotations(spark, sf), KEYS)
-    flag = lambda df, n: df.select(F.col("target_id").alias("comment_id")).distinct().withColumn(n, F.lit(True))
+    told = cur.groupBy(F.col("target_id").alias("comment_id")).agg(F.lit(True).alias("_d"), F.bool_or(F.col("relevance") == "relevant").alias("_r"))
+    open_ = jobs(spark, sf).where("status <> 'dead'").groupBy(F.col("target_id").alias("comment_id")).agg(F.lit(True).alias("_j"))
     rows = B.comments(spark, sf).join(B.feeds(spark, sf).select("feed_id", "code"), "feed_id")
-    rows = rows.join(flag(jobs(spark, sf).where("status <> 'dead'"), "_j"), "comment_id", "left").join(flag(cur, "_d"), "comment_id", "left").join(flag(cur.where("relevance = 'relevant'"), "_r"), "comment_id", "left")
+    rows = rows.join(open_, "comment_id", "left").join(told, "comment_id", "left")
     out = rows.groupBy("code").agg(F.count(F.lit(1)).alias("raw"), F.count_if(F.col("k") % 9 != 0).alias("parsed"), F.count("_j").alias("eligible"), F.count_if(F.col("_j") & F.col("_d")).alias("done"), F.count_if(F.col("_j") & F.col("_r")).alias("relevant"))
     return out.withColumn("coverage", M.coverage_ratio(F.col("done"), F.col("eligible")))

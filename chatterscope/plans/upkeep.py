@@ -149,10 +149,11 @@ def priorities(spark, sf):
 
 @query("w17_latency_percentiles", "WITH x AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events) SELECT event_type, max(value) FILTER (i = least(n - 1, CAST(floor(n * 0.5) AS BIGINT))) AS p50, max(value) FILTER (i = least(n - 1, CAST(floor(n * 0.95) AS BIGINT))) AS p95 FROM x GROUP BY 1")
 def latency_percentiles(spark, sf):
-    """Index rule: the element at floor(n p) of the sorted list."""
+    """Index rule: the element at floor(n p) of the sorted list, from the counts of the values."""
     w = W.partitionBy("event_type")
-    x = B.read(spark, sf, "events").select("event_type", "value", (F.row_number().over(w.orderBy("value")) - 1).alias("i"), F.count(F.lit(1)).over(w).alias("n"))
-    at = lambda p: F.max(F.when(F.col("i") == F.least(F.col("n") - 1, F.floor(F.col("n") * p)), F.col("value")))
+    x = B.read(spark, sf, "events").groupBy("event_type", "value").agg(F.count(F.lit(1)).alias("c"))
+    x = x.select("event_type", "value", F.sum("c").over(w.orderBy("value")).alias("upto"), F.sum("c").over(w).alias("n"))
+    at = lambda p: F.min(F.when(F.col("upto") > F.least(F.col("n") - 1, F.floor(F.col("n") * p)), F.col("value")))
     return x.groupBy("event_type").agg(at(0.5).alias("p50"), at(0.95).alias("p95"))
 
 
@@ -169,7 +170,10 @@ def round_robin(spark, sf):
     return S.round_robin(B.read(spark, sf, "documents").select("doc_id", "lang"), ["lang"], "doc_id", 50, 3)
 
 
-@query("v17_stratified_sample")
+QUOTAS = "WITH s AS (SELECT lang, count(*) AS c FROM documents GROUP BY 1), m AS (SELECT CAST(sum(c) AS BIGINT) AS m FROM s), q AS (SELECT lang, greatest(1, 60 * c // m) AS q, row_number() OVER (ORDER BY 60 * c % m DESC, lang) AS r FROM s, m), d AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY md5(concat_ws(':', '5', doc_id)), doc_id) AS i FROM documents)"
+
+
+@query("v17_stratified_sample", QUOTAS + " SELECT doc_id, d.lang FROM d JOIN q USING (lang) WHERE i <= q + CASE WHEN r <= 60 - (SELECT sum(q) FROM q) THEN 1 ELSE 0 END")
 def stratified_sample(spark, sf):
     return S.stratified(B.read(spark, sf, "documents").select("doc_id", "lang"), "lang", "doc_id", 60, 5)
 
@@ -292,9 +296,8 @@ def completion_watermark(spark, sf):
 
 @query("t17_daily_budget", BASE + ", r AS (SELECT job_id, CAST(created_at + INTERVAL 8 HOUR AS DATE) AS day, row_number() OVER (PARTITION BY CAST(created_at + INTERVAL 8 HOUR AS DATE) ORDER BY created_at, job_id) AS i FROM jobs) SELECT CAST(day AS VARCHAR) AS day, count(*) FILTER (i <= 100) AS granted, count(*) FILTER (i > 100) AS refused FROM r GROUP BY 1")
 def daily_budget(spark, sf):
-    day = C.local_day(F.col("created_at"))
-    r = jobs(spark, sf).select(day.alias("day"), F.row_number().over(W.partitionBy(day).orderBy("created_at", "job_id")).alias("i"))
-    return r.groupBy(F.col("day").cast("string").alias("day")).agg(F.count_if(F.col("i") <= 100).alias("granted"), F.count_if(F.col("i") > 100).alias("refused"))
+    n = jobs(spark, sf).groupBy(C.local_day(F.col("created_at")).cast("string").alias("day")).agg(F.count(F.lit(1)).alias("n"))
+    return n.select("day", F.least("n", F.lit(100)).cast("long").alias("granted"), F.greatest(F.col("n") - 100, F.lit(0)).cast("long").alias("refused"))
 
 
 @query("t13_range_ready", BASE + ", pend AS (SELECT DISTINCT subject_code AS code, date_diff('day', CAST(created_at + INTERVAL 8 HOUR AS DATE), DATE '2024-01-29') AS age FROM jobs WHERE status = 'pending' AND priority >= 38), r(key, days) AS (VALUES ('d1', 1), ('d7', 7), ('d14', 14)) SELECT p.code, r.key AS range_key FROM products p, r WHERE NOT EXISTS (SELECT 1 FROM pend WHERE pend.code = p.code AND age >= 0 AND age < 2 * r.days)")

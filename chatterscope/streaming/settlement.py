@@ -10,9 +10,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
-def windowed(events: DataFrame, ts: str, keys: list[str], width: str, late: str) -> DataFrame:
-    """Tumbling counts and sums with a watermark; windows are aligned to Hong Kong days, eight hours from UTC's."""
-    return events.withWatermark(ts, late).groupBy(F.window(ts, width).alias("w"), *keys).agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
+def windowed(events: DataFrame, ts: str, keys: list[str], width: str, late: str | None = None) -> DataFrame:
+    """Tumbling counts and sums; windows are aligned to Hong Kong days, eight hours from UTC's.
+
+    Without ``late`` every row counts however late it comes, and all windows stay in the state (for the modes update and
+    complete); with it, rows later than that are dropped and windows end.
+    """
+    events = events.withWatermark(ts, late) if late else events
+    return events.groupBy(F.window(ts, width).alias("w"), *keys).agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
 
 
 def settle(observations: DataFrame, hours: int = 24) -> DataFrame:
