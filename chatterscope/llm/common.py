@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import re
 import tempfile
 import uuid
@@ -69,6 +70,11 @@ class Scratch:
             if got := self.paths.pop(id(df), None):
                 drop_path(self.spark, got[0])
 
+    def release(self) -> None:
+        """Shuffle files of steps that are written and read no more go now, not at some later collection of the driver's memory."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def close(self) -> None:
         try:
             drop_path(self.spark, self.base)

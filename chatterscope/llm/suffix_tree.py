@@ -234,7 +234,7 @@ def grow(store: DataFrame, scratch: Scratch, vocabulary: DataFrame, n: int, know
     fits: Callable[[Chunk], np.ndarray] = lambda c: passes(may.value, c.grams[1])
     #: The level before: its grams with their counts and chances, and whether their context is retained.
     lower = vocabulary.select(F.col("h").alias("key"), "n", (F.col("n") / F.lit(float(n)) * F.lit(float(known))).alias("p"), F.lit(True).alias("kept"))
-    words_back, weights, depth = None, [], 0
+    words_back, weights, levels, depth = None, [], [], 0
     while True:
         depth += 1
         grams = scratch.put(counted(store, depth, fits, least, bits))
@@ -249,7 +249,9 @@ def grow(store: DataFrame, scratch: Scratch, vocabulary: DataFrame, n: int, know
             weights.append(kept.select(F.col("ctx").alias("key"), back))
         told = scratch.put(entries.join(kept, "ctx", "left").withColumn("own", own))
         scratch.drop(entries)
+        levels += [kept, told]
         weights.append(told.where("own is not null").select("key", more))
+        scratch.release()
         lower = told.select("key", "n", F.coalesce("own", "p").alias("p"), F.col("own").isNotNull().alias("kept"))
         if depth == longest or lower.where("kept").isEmpty():
             break
@@ -262,7 +264,9 @@ def grow(store: DataFrame, scratch: Scratch, vocabulary: DataFrame, n: int, know
     out = weights[0]
     for w in weights[1:]:
         out = out.unionAll(w)
-    return words_back, scratch.put(out.groupBy("key").agg(F.sum("weight").alias("weight"))), depth
+    words_back, out = scratch.put(words_back), scratch.put(out.groupBy("key").agg(F.sum("weight").alias("weight")))
+    scratch.drop(*levels)
+    return words_back, out, depth
 
 
 def most_used(rows: DataFrame, by: str, most: int, columns: list[str]) -> list[np.ndarray]:
@@ -303,7 +307,7 @@ def _ask(head_of, bits_of, depth: int, bits: int, rest: tuple[float, float]):
             asks = [np.flatnonzero(tail)] + [np.flatnonzero((c.at >= k) & passes(bits_of.value, c.grams[k])) for k in range(1, depth + 1)]
             key, doc = np.concatenate([c.grams[k][i] for k, i in enumerate(asks)]), np.concatenate([c.doc[i] for i in asks])
             order = np.argsort(key.view(np.uint64), kind="stable")
-            key, doc = key[order], doc[order].astype(np.int32)
+            key, doc = key[order], doc[order].astype(np.uint16 if docs <= 1 << 16 else np.int32)
             first = cut_at(key)
             own, runs = key[first], np.diff(np.append(first, len(key))).astype(np.int32)
             bucket = buckets(own, bits)
@@ -328,7 +332,8 @@ def _answer(asks: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
     docs, sums = [], []
     for row in asks.itertuples(index=False):
         i = looked_up(have, _ints(row.keys))
-        runs, doc = _ints(row.runs, np.int32), _ints(row.docs, np.int32)
+        runs = _ints(row.runs, np.int32)
+        doc = _ints(row.docs, np.uint16 if len(row.docs) == 2 * runs.sum() else np.int32)
         found = np.repeat(i >= 0, runs)
         own, at = np.unique(doc[found], return_inverse=True)
         i = np.repeat(i, runs)[found]
@@ -365,6 +370,7 @@ def score(docs: DataFrame, least: int = 10, penalty: float = 2.0, longest: int =
     known = 1 - (total["once"] + 0.5) / (n + 1)  # the share of known words; the rest is that of unknown ones
     bits = max(6, (n >> 22).bit_length())
     words_back, weights, depth = grow(store, scratch, vocabulary, n, known, least, penalty, longest, bits)
+    scratch.release()
     log_base = F.log10((F.col("n") + smooth) / F.lit(float(z)))
     log_own = F.log10(F.col("n") / F.lit(float(n)) * F.lit(float(known)))
     #: A word is a symbol once and once the context of the next; the end is the context of a text's first symbol.
