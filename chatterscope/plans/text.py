@@ -103,6 +103,15 @@ def evidence_location(spark, sf):
     return rows.select("doc_id", "p.start", "p.end", "p.method")
 
 
+@query("f52_quotes_in_texts")
+def quotes_in_texts(spark, sf):
+    """Quotes from the middle of a text; every second one in capitals and with wide blanks, so that only the normalised form is found."""
+    quote = F.substring(F.col("text"), (F.length("text") / 2).cast("int") + 1, F.lit(24))
+    other = F.replace(F.upper(quote), F.lit(" "), F.lit("\u3000"))
+    rows = docs(spark, sf).select("doc_id", "text", F.when(F.col("doc_id") % 2 == 0, quote).otherwise(other).alias("quote"))
+    return rows.select("doc_id", "quote", X.located(F.col("text"), F.col("quote")).alias("p")).select("doc_id", "quote", "p.start", "p.end", "p.method")
+
+
 @query("f57_script", "SELECT doc_id, CASE WHEN length(regexp_replace(text, '[^A-Za-z]', '', 'g')) = 0 THEN 'other' ELSE 'en' END AS script FROM documents")
 def script(spark, sf):
     return docs(spark, sf).select("doc_id", X.script(F.col("text")).alias("script"))

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import unicodedata
 from collections import Counter
 
 from chatterscope.functions import text as X
@@ -82,3 +83,19 @@ def test_batches(spark, sf):
             want[conv, turn, -1 if alone else batch] += 1
             held += [] if alone else [text]
     assert Counter(tuple(r) for r in catalog.QUERIES["v15_batch_packing"](spark, sf).collect()) == want
+
+
+def test_quotes(spark, sf):
+    docs = documents(spark, sf)
+    kinds = set()
+    for r in catalog.QUERIES["f52_quotes_in_texts"](spark, sf).collect():
+        text = docs[r.doc_id].text
+        kinds.add(r.method)
+        bare = lambda t: re.sub(r"\s+", "", unicodedata.normalize("NFKC", t)).lower()
+        if r.method == "exact":
+            assert text.find(r.quote) == r.start and text[r.start : r.end] == r.quote
+        elif r.method == "normalized":
+            assert r.quote not in text and bare(text[r.start : r.end]) == bare(r.quote) and bare(text).find(bare(r.quote)) == len(bare(text[: r.start]))
+        else:
+            assert not bare(r.quote) or bare(r.quote) not in bare(text)
+    assert {"exact", "normalized"} <= kinds
