@@ -34,6 +34,8 @@ WIDER = {
 KINDS = ["assign", "access", "hex", *WIDER]
 #: A text without any of these words (lower case) holds no assignment.
 WORDS = ("passw", "secret", "token", "api")
+#: The most rows that are broadcast of the values that are found most.
+WIDE = 10_000
 SPAN = "array<struct<start:long,rank:int,kind:string,end:long,hash:string>>"
 
 
@@ -82,7 +84,11 @@ def secret_scan(docs: DataFrame, repo: Column, owner: Column, example_repos: int
     held = each.groupBy("hash", "repo", "owner").agg(F.count(F.lit(1)).alias("n"))
     held = held.groupBy("hash").agg(F.count_distinct("repo").alias("n_repos"), F.count_distinct("owner").alias("n_owners"), F.sum("n").alias("n_found"))
     held = scratch.put(held.withColumn("live", (F.col("n_repos") < example_repos) & (F.col("n_owners") < example_owners)))
-    told = each.join(held, "hash").where((F.col("rank") < 3) | F.col("live"))
+    #: Values with more than 1 / WIDE of all finds are fewer than WIDE: they are broadcast, so no hot value meets in one task.
+    often = held.crossJoin(F.broadcast(held.agg(F.sum("n_found").alias("_all")))).where(F.col("n_found") * WIDE > F.col("_all")).select("hash", "n_repos", "n_owners", "live")
+    each = each.join(F.broadcast(often), "hash", "left")
+    rest = each.where("live is null").drop("n_repos", "n_owners", "live").join(held.select("hash", "n_repos", "n_owners", "live"), "hash")
+    told = each.where("live is not null").unionByName(rest).where((F.col("rank") < 3) | F.col("live"))
     told = told.groupBy("row_key").agg(F.array_sort(F.collect_list(F.struct("start", "rank", "kind", "end", "hash", "n_repos", "n_owners", "live"))).alias("told"))
     return rows.join(told, "row_key", "left").select(
         "doc_id", "n_assign", "n_access", "n_hex", "base_sha256", F.coalesce("told", F.array().cast(told.schema["told"].dataType)).alias("found")
