@@ -52,13 +52,17 @@ def marked(rows: DataFrame, leaves: DataFrame) -> DataFrame:
 
 
 def templates(lines: DataFrame, depth: int, min_constant: float, need: Column) -> DataFrame:
-    """leaf, lh, template. lines: leaf, lh, long, n_docs, line, each once. Tokens that too few documents hold at their place are variable."""
-    tokens = lines.select("leaf", "lh", "long", "n_docs", F.posexplode(F.split("line", " ")).alias("at", "token"))
-    tokens = tokens.withColumn("place", F.xxhash64("leaf", "at", "token"))
+    """leaf, lh, template, for the lines of leaves with several. lines: leaf, lh, long, n_docs, line, each once.
+
+    Tokens that too few documents hold at their place are variable. Tokens go by hash: what a line has fixed and variable is one number.
+    """
+    several = lines.groupBy("leaf").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("leaf")
+    tokens = lines.join(several, "leaf", "left_semi").select("leaf", "lh", "long", "n_docs", F.posexplode(F.split("line", " ")).alias("at", "token"))
+    tokens = tokens.select("leaf", "lh", "long", "n_docs", "at", F.xxhash64("leaf", "at", "token").alias("place"), (F.col("token") == "<*>").alias("open"))
     support = tokens.groupBy("place").agg(F.sum("n_docs").alias("support"))
-    fixed = (F.col("token") != "<*>") & ((F.col("support") >= need) | (F.col("at") < depth))
-    told = tokens.join(support, "place").select("leaf", "lh", F.struct("at", F.when(fixed, F.col("token")).otherwise("<*>").alias("token")).alias("t"), fixed.cast("int").alias("fixed"))
-    told = told.groupBy("leaf", "lh").agg(F.array_join(F.array_sort(F.collect_list("t"))["token"], " ").alias("general"), F.avg("fixed").alias("share"))
+    fixed = ~F.col("open") & ((F.col("support") >= need) | (F.col("at") < depth))
+    general = F.bit_xor(F.when(fixed, F.col("place")).otherwise(F.xxhash64("leaf", "at", F.lit("<*>"))))
+    told = tokens.join(support, "place").groupBy("leaf", "lh").agg(general.alias("general"), F.avg(fixed.cast("int")).alias("share"))
     return told.select("leaf", "lh", F.when(F.col("share") >= min_constant, F.xxhash64("leaf", "general")).otherwise(F.xxhash64("leaf", "lh")).alias("template"))
 
 
@@ -72,7 +76,8 @@ def dropped_lines(docs: DataFrame, depth: int, min_docs: int, min_constant: floa
     scratch.drop(rows)
     lines = hot.groupBy("leaf", "lh", "long", "th").agg(F.first("line").alias("line")).groupBy("leaf", "lh", "long").agg(F.count(F.lit(1)).alias("n_docs"), F.first("line").alias("line"))
     lines = scratch.put(lines.join(leaves, "leaf", "left_semi"), compression="zstd")
-    found = scratch.put(hot.select("doc_id", "th", "pos", "leaf", "lh", "long").join(templates(lines, depth, min_constant, need), ["leaf", "lh"]).select("doc_id", "th", "pos", "template", "long"))
+    found = hot.select("doc_id", "th", "pos", "leaf", "lh", "long").join(templates(lines, depth, min_constant, need), ["leaf", "lh"], "left")
+    found = scratch.put(found.select("doc_id", "th", "pos", F.coalesce("template", F.xxhash64("leaf", "lh")).alias("template"), "long"))
     scratch.drop(hot, lines, leaves)
     each = found.groupBy("template", "long", "th").agg(F.min("doc_id").alias("first"), F.max(F.col("doc_id").isNull()).alias("unnamed"))
     recurring = each.groupBy("template", "long").agg(F.count(F.lit(1)).alias("n"), F.min("first").alias("first"), F.max("unnamed").alias("unnamed")).where(F.col("n") >= need).drop("long")
