@@ -73,7 +73,7 @@ def _scan(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         })
 
 
-def secret_scan(docs: DataFrame, repo: Column, owner: Column, example_repos: int = 3, example_owners: int = 3) -> DataFrame:
+def secret_scan(docs: DataFrame, repo: Column, owner: Column, example_repos: int = 3, example_owners: int = 3, wide: int = WIDE) -> DataFrame:
     """One row per input row: doc_id, counts of the base kinds, base_sha256, found (spans with n_repos, n_owners, live)."""
     scratch = Scratch(docs.sparkSession, "secret-scan")
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -84,8 +84,8 @@ def secret_scan(docs: DataFrame, repo: Column, owner: Column, example_repos: int
     held = each.groupBy("hash", "repo", "owner").agg(F.count(F.lit(1)).alias("n"))
     held = held.groupBy("hash").agg(F.count_distinct("repo").alias("n_repos"), F.count_distinct("owner").alias("n_owners"), F.sum("n").alias("n_found"))
     held = scratch.put(held.withColumn("live", (F.col("n_repos") < example_repos) & (F.col("n_owners") < example_owners)))
-    #: Values with more than 1 / WIDE of all finds are fewer than WIDE: they are broadcast, so no hot value meets in one task.
-    often = held.crossJoin(F.broadcast(held.agg(F.sum("n_found").alias("_all")))).where(F.col("n_found") * WIDE > F.col("_all")).select("hash", "n_repos", "n_owners", "live")
+    #: Values with more than 1 / wide of all finds are fewer than wide: they are broadcast, so no hot value meets in one task.
+    often = held.crossJoin(F.broadcast(held.agg(F.sum("n_found").alias("_all")))).where(F.col("n_found") * wide > F.col("_all")).select("hash", "n_repos", "n_owners", "live")
     each = each.join(F.broadcast(often), "hash", "left")
     rest = each.where("live is null").drop("n_repos", "n_owners", "live").join(held.select("hash", "n_repos", "n_owners", "live"), "hash")
     told = each.where("live is not null").unionByName(rest).where((F.col("rank") < 3) | F.col("live"))

@@ -96,8 +96,9 @@ def test_secrets(spark, docs, odd, none):
 def test_secret_ownership(spark):
     key = "0123456789abcdef0123"
     df = spark.createDataFrame([(i, f"x {key} y", f"s{i}") for i in range(5)] + [(9, "only fedcba98765432100000", "s9")], "doc_id long, text string, source string")
-    got = {r.doc_id: [x.live for x in r.found] for r in secret_scan.secret_scan(df, repo=F.col("source"), owner=F.col("source")).collect()}
-    assert got == {**{i: [False] for i in range(5)}, 9: [True]}
+    for wide in (secret_scan.WIDE, 2, 0):  # all values broadcast, only the most frequent one, none
+        got = {r.doc_id: [x.live for x in r.found] for r in secret_scan.secret_scan(df, repo=F.col("source"), owner=F.col("source"), wide=wide).collect()}
+        assert got == {**{i: [False] for i in range(5)}, 9: [True]}
 
 
 def test_packing(docs, odd, none):
