@@ -107,13 +107,32 @@ def _spread(lengths: int, waste: int) -> int:
     return lengths
 
 
-def fillings(left: np.ndarray, room: int, most_waste: int) -> Iterator[tuple[int, ...]]:
+class Effort:
+    """Steps that a search has left: in all, and for the fillings of one state."""
+
+    def __init__(self, steps: int, each: int):
+        self.steps, self.each = steps, each
+
+
+def greedy(left: np.ndarray, room: int) -> tuple[int, ...]:
+    """The longest pieces that fit, one after the other."""
+    out = []
+    for x in np.flatnonzero(left[: room + 1])[::-1].tolist():
+        n = min(int(left[x]), room // x)
+        out += [x] * n
+        room -= n * x
+    return tuple(out)
+
+
+def fillings(left: np.ndarray, room: int, most_waste: int, effort: Effort) -> Iterator[tuple[int, ...]]:
     """All undominated fillings of ``room`` from what is left that waste at most ``most_waste``: least waste first, longer pieces first.
 
     A filling is dominated if a piece that is left fits beside it, or can take the place of some of its pieces that are
     together no longer, or of one that is shorter. No packing gets worse by the exchange, so those are left out; as soon
-    as some of the pieces of a filling can be exchanged, all that hold them are.
+    as some of the pieces of a filling can be exchanged, all that hold them are. Among many short pieces the next one may be
+    far: a state's share of the effort ends the enumeration, and a state without any filling by then gets the greedy one.
     """
+    steps = effort.each
     have = np.flatnonzero(left[: room + 1]).tolist()
     most = [min(int(left[x]), room // x) for x in have]
     reach = [1]  # sums that the first k lengths give
@@ -127,6 +146,11 @@ def fillings(left: np.ndarray, room: int, most_waste: int) -> Iterator[tuple[int
 
     def search(upto: int, rest: int, waste: int, items: tuple[int, ...], free: int, one: int, sums: int, more: int) -> Iterator[tuple[int, ...]]:
         """one: chosen lengths; sums: of any of them; more: of two or more."""
+        nonlocal steps
+        steps -= 1
+        effort.steps -= 1
+        if steps < 0 or effort.steps < 0:
+            return
         if _spread(free, waste) & more or (waste and _spread(free >> 1, waste - 1) & one):
             return
         if not rest:
@@ -145,10 +169,16 @@ def fillings(left: np.ndarray, room: int, most_waste: int) -> Iterator[tuple[int
                         all_ |= all_ << x
                     yield from search(j, rest - n * x, waste, items + (x,) * n, free & ~(1 << x) if n == left[x] else free, one | 1 << x, all_, several)
 
-    left = left.copy()
+    left, none = left.copy(), True
     for waste in range(min(most_waste, room) + 1):
         if reach[-1] >> (room - waste) & 1:
-            yield from search(len(have), room - waste, waste, (), free, 0, 1, 0)
+            for f in search(len(have), room - waste, waste, (), free, 0, 1, 0):
+                none = False
+                yield f
+        if steps < 0 or effort.steps < 0:
+            if none:
+                yield greedy(left, room)
+            return
 
 
 def best_fit(counts: np.ndarray) -> list[tuple[tuple[int, ...], int]]:
@@ -184,14 +214,15 @@ def best_fit(counts: np.ndarray) -> list[tuple[tuple[int, ...], int]]:
     return [(tuple(items), m) for found in rooms.values() for items, m in found]
 
 
-def complete(counts: np.ndarray, nodes: int = 8_000) -> list[tuple[tuple[int, ...], int]]:
+def complete(counts: np.ndarray, nodes: int = 8_000, steps: int = 1_000_000, each: int = 400) -> list[tuple[tuple[int, ...], int]]:
     """Bin completion: patterns of lengths with multiplicities, as few sequences as the search finds.
 
     Depth first from best fit's solution as the incumbent: the longest piece that is left gets one undominated filling after
     the other, each as often as its lengths last and then once. A state is left if it was reached with as few sequences
     before, if what it wastes or its lower bound says that it cannot beat the incumbent, or when all its fillings are tried.
-    ``nodes`` bounds the states, never the pieces: whatever happens, the result packs all of them. Without reaching
-    the bound the result is the least number of sequences.
+    ``nodes`` bounds the states, ``steps`` the choices tried in enumerating fillings, ``each`` those of one state; none of them
+    bounds the pieces: whatever happens, the result packs all of them. Where no bound is reached the result is the least
+    number of sequences.
     """
     cap = len(counts) - 1
     total = int(np.arange(cap + 1) @ counts)
@@ -199,13 +230,14 @@ def complete(counts: np.ndarray, nodes: int = 8_000) -> list[tuple[tuple[int, ..
     n_best = sum(m for _, m in best)
     left, chosen, used = counts.copy(), [], 0
     reached: dict[bytes, int] = {}
+    effort = Effort(steps, each)
 
     def moves() -> Iterator[tuple[np.ndarray, np.ndarray, tuple[int, ...], int]]:
         size = int(np.flatnonzero(left)[-1])
         left[size] -= 1
         own = left.copy()
         left[size] += 1
-        for f in fillings(own, cap - size, spare()):
+        for f in fillings(own, cap - size, spare(), effort):
             items = (size, *f)
             kinds, need = np.unique(items, return_counts=True)
             most = int((left[kinds] // need).min())
