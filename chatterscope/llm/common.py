@@ -98,6 +98,14 @@ def dense_index(df: DataFrame, keys: list[str], order: list[str], rows: int, nam
     return ranked.join(starts, [*keys, "_b"]).withColumn(name, (F.col("_s") + F.col("_r")).cast("long")).drop("_b", "_r", "_s")
 
 
+def ranged(df: DataFrame, parts: int, order: list) -> DataFrame:
+    """The rows dealt in ascending ranges of ``order`` to so many partitions, whose number is ``part``: write it before it is used.
+
+    Rows equal in all of ``order`` go to one partition.
+    """
+    return df.repartitionByRange(parts, *order).withColumn("part", F.spark_partition_id().cast("long"))
+
+
 def lower_ascii(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
