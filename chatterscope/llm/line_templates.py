@@ -9,7 +9,8 @@ from every document but the one of smallest id, so the corpus keeps one copy. Co
 once, since they are not boilerplate but duplicates, which another operator treats.
 
 Defined cases: a null text stays null and has no lines; a null doc_id is a document like others and sorts before all
-ids; rows equal in id and text share their fate; lines without words, and lines under ``min_tokens`` tokens, are
+ids; rows equal in id and text share their fate; a document all of whose lines recur and are kept by others
+is left without words (``emptied`` tells which those are; n_dropped counts its lines), never null; lines without words, and lines under ``min_tokens`` tokens, are
 never dropped; a table without rows gives no rows; further columns are
 passed through, but for columns named n_lines or n_dropped, which are replaced.
 """
@@ -86,6 +87,11 @@ def dropped_lines(docs: DataFrame, depth: int, min_docs: int, min_constant: floa
     return scratch.put(drops.groupBy("doc_id", "th").agg(F.collect_set("pos").alias("drop")))
 
 
+def emptied(out: DataFrame) -> Column:
+    """Of the rows of ``drop_recurring_lines``: the text lost lines and has no word left."""
+    return (F.col("n_dropped") > 0) & ~F.col("text").rlike(r"[^\x20\x09-\x0D]")
+
+
 def drop_recurring_lines(docs: DataFrame, depth: int = 3, min_docs: int = 8, min_constant: float = 0.5, min_tokens: int = 1, long_tokens: int = 20) -> DataFrame:
     """All columns of docs with the text's recurring lines dropped (n_chars follows), and n_lines, n_dropped."""
     drops = dropped_lines(docs, depth, min_docs, min_constant, min_tokens, long_tokens).withColumnsRenamed({"doc_id": "__lt_id", "th": "__lt_th", "drop": "__lt_drop"})

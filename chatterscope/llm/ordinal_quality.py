@@ -126,7 +126,7 @@ def rated(labels: DataFrame, max_fit_rows: int) -> DataFrame:
 def train(docs: DataFrame, labels: DataFrame, max_fit_rows: int = 6_000) -> Model | None:
     """The model, fitted on the driver on at most ``max_fit_rows`` rated documents."""
     chosen = rated(labels, max_fit_rows)
-    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
+    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "grade").agg(F.min("text").alias("text"))  # of an id with several texts the least
 
     def read(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hasher = Hasher()

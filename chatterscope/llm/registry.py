@@ -57,7 +57,7 @@ def op5_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_posting_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return posting_lists.search(table(spark, sf_dir, "embeddings"), is_query=F.col("id") % 100 == 0)
+    return posting_lists.search(table(spark, sf_dir, "embeddings"), is_query=F.col("vec_id") % 100 == 0)
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

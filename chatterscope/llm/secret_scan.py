@@ -39,6 +39,11 @@ WIDE = 10_000
 SPAN = "array<struct<start:long,rank:int,kind:string,end:long,hash:string>>"
 
 
+def same_value(v: str) -> str:
+    """Hexadecimal values are the same in either case; in others case counts."""
+    return v.lower() if re.fullmatch("[0-9A-Fa-f]+", v) else v
+
+
 def candidates(text: str) -> list[tuple[int, int, str, int, str]]:
     """(start, rank of kind, kind, end, hash of the value), by start and kind."""
     found = []
@@ -53,7 +58,7 @@ def candidates(text: str) -> list[tuple[int, int, str, int, str]]:
         found += [(m.start(), 4, m.end(), m[0]) for m in WIDER["key_block"].finditer(text)]
     if "_" in text or "-" in text:
         found += [(m.start(), 5, m.end(), m[0]) for m in WIDER["prefixed"].finditer(text)]
-    return [(s, k, KINDS[k], e, hashlib.sha256(v.lower().encode("utf-8", "surrogatepass")).hexdigest()) for s, k, e, v in sorted(found)]
+    return [(s, k, KINDS[k], e, hashlib.sha256(same_value(v).encode("utf-8", "surrogatepass")).hexdigest()) for s, k, e, v in sorted(found)]
 
 
 def spans_text(found: list) -> str:

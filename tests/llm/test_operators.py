@@ -101,6 +101,13 @@ def test_secret_ownership(spark):
         assert got == {**{i: [False] for i in range(5)}, 9: [True]}
 
 
+def test_secret_values_differ_by_case_unless_hexadecimal(spark):
+    rows = [(i, f"token: {'aBcDeFgHiJkLmNoP' if i % 2 else 'abcdefghijklmnop'}\n{'0123456789ABCDEF0123456789ABCDEF' if i % 2 else '0123456789abcdef0123456789abcdef'}", f"s{i}") for i in range(4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for r in secret_scan.secret_scan(df, repo=F.col("source"), owner=F.col("source")).collect():
+        assert {x.n_owners for x in r.found if x.kind == "assign"} == {2} and {x.n_owners for x in r.found if x.kind != "assign"} <= {4}
+
+
 def test_packing(docs, odd, none):
     from tokenizers import Tokenizer
     import public_tokenizers as P
@@ -355,10 +362,17 @@ def test_nearest_neighbours(spark, sf):
 
 def test_nearest_neighbours_with_repeated_ids(spark):
     rows = [(0, [0.0, 1.0])] + [(1, [0.01 * i, 1.0]) for i in range(30)] + [(i, [float(i), 1.0]) for i in range(2, 15)]
-    got = posting_lists.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), is_query=F.col("id") == 0, list_rows=1_000).orderBy("rank").collect()
+    got = posting_lists.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), is_query=F.col("vec_id") == 0, list_rows=1_000).orderBy("rank").collect()
     assert [(r["rank"], r.vec_id, r.score) for r in got] == [(i, i, 0.0 if i == 1 else float(i)) for i in range(1, 11)]
 
 
+def test_nearest_neighbours_with_clashing_columns(spark, sf):
+    df = spark.read.parquet(f"{sf}/embeddings.parquet")
+    more = df.withColumns({c: F.lit(7) for c in ("id", "v", "asks", "list", "chunk", "n", "rank", "score")})
+    run = lambda x: sorted(map(tuple, posting_lists.search(x, is_query=F.col("vec_id") % 100 == 0).collect()))
+    assert run(more) == run(df) and len(run(df)) == 50
+
+
 def rules(text):
     w = WORD.findall(text)
     n = len(w)
@@ -519,4 +533,4 @@ def test_ordinal_quality(spark, docs, odd, none, sf):
 
 
 def test_registry():
-    assert [n.split("_")[0] for n in registry.QUERIES] == [f"op{i}" for i in range(1, 11)]
+    assert [n.split("_")[0] for n in registry.QUERIES] == [f"op{i}" for i in (*range(1, 11), 11, 12, 13)]
