@@ -22,15 +22,19 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Recurring templates' lines go from every document but their first; no document goes."""
-    return line_templates.drop_recurring_lines(docs).select(*docs.columns)
+    """Recurring templates' lines go from every document but their first; a document that has no words left, all its lines being kept elsewhere, goes."""
+    out = line_templates.drop_recurring_lines(docs)
+    return out.where(~line_templates.emptied(out)).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least id of each group stays; rows of that id that repeat count once."""
+    """The document of least id of each group stays with all its texts; of its rows equal in text the least one stays."""
     kept = near_dup.near_duplicates(docs).where("kept and doc_id is not null").select(F.col("doc_id").alias("__nd_kept")).distinct()
-    named = docs.join(kept, F.col("doc_id").cast("long") == F.col("__nd_kept"), "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    named = docs.join(kept, F.col("doc_id").cast("long") == F.col("__nd_kept"), "left_semi")
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    each = named.groupBy("doc_id", "text").agg(F.min(F.struct(F.lit(0).alias("__nd"), *rest)).alias("__nd_row"))
+    once = each.select("doc_id", "text", *[F.col("__nd_row")[c].alias(c) for c in rest])
+    return once.unionByName(docs.where("doc_id is null")).select(*docs.columns)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
