@@ -3,14 +3,11 @@
 from __future__ import annotations
 
 import hashlib
-import operator
 import re
 import unicodedata
 from bisect import bisect_right
-from collections import Counter
 from functools import lru_cache
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -160,68 +157,11 @@ def fold_text(text: str | None) -> str:
 
 # What folding leaves out, in order.
 _FOLD = [re.compile(p) for p in (TAG, r"\[[^\[\]]{1,12}\]|@\[用户\]|@[\w一-鿿]{1,30}|https?://\S+|\[链接\]", r"[，。！？、；：,.!?;:~～…—\-「」『』“”\"'（）()\[\]【】《》<>]", r"\s+")]
-_BITS = np.arange(64, dtype=np.uint64)
 
 
 @lru_cache(maxsize=200_000)
-def _pair_hash(pair: str) -> int:
-    return int.from_bytes(hashlib.blake2b(pair.encode(), digest_size=8).digest(), "big")
-
-
-def simhash64(text: str) -> int:
-    """64 bits: the majority, bit by bit, of the character pairs' blake2b hashes."""
-    pairs = Counter(map(operator.add, text, text[1:])) if len(text) > 1 else Counter(text)
-    if not pairs:
-        return 0
-    h = np.fromiter(map(_pair_hash, pairs), np.uint64, len(pairs))
-    ones = np.fromiter(pairs.values(), np.int64, len(pairs)) @ ((h[:, None] >> _BITS) & np.uint64(1)).astype(np.int64)
-    return int(sum(1 << i for i in np.flatnonzero(2 * ones > pairs.total()).tolist()))
-
-
-def simhash(text: Column) -> Column:
-    @F.pandas_udf(T.LongType())
-    def each(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: int(np.uint64(simhash64(fold_text(t))).astype(np.int64)))
-
-    return each(text)
-
-
-def folded(rows: DataFrame, keys: list[str], id_col: str, text_col: str, most: int = 3) -> DataFrame:
-    """keys, id, rep, distance: greedy folding in id order, to the nearest representative of one band at most ``most`` bits away."""
-    kinds = dict(rows.dtypes)
-
-    @F.pandas_udf(T.LongType())
-    def hashed(s: pd.Series) -> pd.Series:
-        """The hash of a text; null where it is too short to be folded."""
-        norm = s.map(fold_text)
-        return pd.Series([int(np.uint64(simhash64(t)).astype(np.int64)) if len(t) > 1 else None for t in norm], dtype="Int64")
-
-    def group(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(id_col)
-        bands: dict[tuple[int, int], list[tuple[int, int]]] = {}
-        rep, dist = [], []
-        for i, h in zip(pdf[id_col].tolist(), pdf["_hash"], strict=True):
-            if not h:
-                rep.append(i)
-                dist.append(None)
-                continue
-            h = int(h) & 0xFFFFFFFFFFFFFFFF
-            parts = [(b, (h >> (16 * b)) & 0xFFFF) for b in range(4)]
-            near = min(((int.bit_count(h ^ o), n) for n, (o, r) in enumerate(x for p in parts for x in bands.get(p, ()))), default=None)
-            held = [x for p in parts for x in bands.get(p, ())]
-            if near and near[0] <= most:
-                rep.append(held[near[1]][1])
-                dist.append(near[0])
-            else:
-                for p in parts:
-                    bands.setdefault(p, []).append((h, i))
-                rep.append(i)
-                dist.append(None)
-        return pd.DataFrame({**{k: pdf[k] for k in keys}, id_col: pdf[id_col], "rep": rep, "distance": pd.array(dist, "Int64")})
-
-    schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + f", {id_col} long, rep long, distance long"
-    #: Hashes are narrow work; eight bytes a text go to its group.
-    return rows.select(*keys, id_col, F.coalesce(hashed(F.col(text_col)).cast("string"), F.lit("")).alias("_hash")).groupBy(*keys).applyInPandas(group, schema)
+def pair_hash(pair: str) -> int:
+    return int.from_bytes(hashlib.blake2b(pair.encode(errors="surrogatepass"), digest_size=8).digest(), "big")
 
 
 def maximal_names(text: str, names: dict[str, str]) -> list[str]:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from chatterscope.functions import metrics as M
 from chatterscope.functions import text as X
+from chatterscope.operators import folding
 from chatterscope.plans.catalog import query
 from chatterscope.sources import bindings as B
 
@@ -76,7 +77,7 @@ def prefilter(spark, sf):
 @query("v10_f53_near_dup_folding")
 def near_dup_folding(spark, sf):
     rows = docs(spark, sf).select("lang", (F.col("doc_id") % 7).alias("day"), "doc_id", "text")
-    return X.folded(rows, ["lang", "day"], "doc_id", "text")
+    return folding.folded(rows, ["lang", "day"], "doc_id", "text")
 
 
 @query("f46_sentence_spans")

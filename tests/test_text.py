@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from chatterscope.functions import text as X
+from chatterscope.operators import folding
 from chatterscope.sources import dump as D
 
 
@@ -33,7 +34,7 @@ def test_sentences_and_index(spark):
 def test_folding(spark):
     a = "这只产品的费率比同类低不少，长期拿着没有问题"
     df = spark.createDataFrame([("k", 1, a), ("k", 2, a + "！"), ("k", 3, "完全不同的另外一句话，谈的是分红安排"), ("k", 4, ""), ("z", 5, a)], "k string, id long, t string")
-    got = {r.id: (r.rep, r.distance) for r in X.folded(df, ["k"], "id", "t").collect()}
+    got = {r.id: (r.rep, r.distance) for r in folding.folded(df, ["k"], "id", "t").collect()}
     assert got == {1: (1, None), 2: (1, 0), 3: (3, None), 4: (4, None), 5: (5, None)}
 
 
