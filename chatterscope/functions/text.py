@@ -149,14 +149,19 @@ def sentence_index(spans: Column, offset: Column) -> Column:
 
 def fold_text(text: str | None) -> str:
     """What near-duplicate folding compares."""
-    out = unicodedata.normalize("NFKC", text or "")
-    for p in _FOLD:
-        out = p.sub("", out)
-    return out.lower()
-
-
-# What folding leaves out, in order.
-_FOLD = [re.compile(p) for p in (TAG, r"\[[^\[\]]{1,12}\]|@\[用户\]|@[\w一-鿿]{1,30}|https?://\S+|\[链接\]", r"[，。！？、；：,.!?;:~～…—\-「」『』“”\"'（）()\[\]【】《》<>]", r"\s+")]
+    out = text or ""
+    out = out if out.isascii() else unicodedata.normalize("NFKC", out)
+    if "$" in out:
+        out = _FOLD_TAG.sub("", out)
+    if "[" in out or "@" in out or "://" in out:
+        out = _FOLD_PLACES.sub("", out)
+    return "".join(_FOLD_MARKS.sub("", out).split()).lower()
+
+
+# What folding leaves out, in order; then blanks.
+_FOLD_TAG = re.compile(TAG)
+_FOLD_PLACES = re.compile(r"\[[^\[\]]{1,12}\]|@\[用户\]|@[\w一-鿿]{1,30}|https?://\S+|\[链接\]")
+_FOLD_MARKS = re.compile(r"[，。！？、；：,.!?;:~～…—\-「」『』“”\"'（）()\[\]【】《》<>]")
 
 
 @lru_cache(maxsize=200_000)

@@ -16,12 +16,14 @@ bits away, and folds into the nearest earlier representative. The same result co
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 from pyspark.sql import types as T
 
 from chatterscope.functions.text import fold_text, pair_hash
@@ -37,26 +39,25 @@ class SimHasher:
 
     def __init__(self) -> None:
         self.rows: dict[int, int] = {}
-        self.bits = np.zeros((1 << 12, 64), np.float64)
+        self.bits = np.zeros((1 << 12, 64), np.float32)
 
     def _row(self, pair: int) -> int:
-        row = self.rows[pair] = len(self.rows)
+        row = self.rows[pair] = self.rows.get(pair, len(self.rows))
         if row == len(self.bits):
             self.bits = np.vstack([self.bits, np.zeros_like(self.bits)])
-        text = (pair & 0xFFFFFFFF).to_bytes(4, "little").decode("utf-32-le", "surrogatepass") + (chr(pair >> 32) if pair >> 32 else "")
+        text = chr(pair & 0xFFFFFFFF) + (chr((pair >> 32) - 1) if pair >> 32 else "")
         self.bits[row] = np.unpackbits(np.frombuffer(pair_hash(text).to_bytes(8, "little"), np.uint8), bitorder="little")
         return row
 
     def hash(self, norm: str) -> int:
         """Signed, as Spark's longs; by the majority of each bit."""
-        codes = np.frombuffer(norm.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-        if not len(codes):
+        if not norm:
             return 0
-        pairs, counts = np.unique(codes[:-1] | codes[1:] << np.uint64(32) if len(codes) > 1 else codes, return_counts=True)
-        rows = [self.rows.get(p, -1) for p in pairs.tolist()]
-        if -1 in rows:
-            rows = [self._row(p) if r < 0 else r for p, r in zip(pairs.tolist(), rows, strict=True)]
-        ones = counts @ self.bits[rows]
+        codes = np.frombuffer(norm.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        pairs, counts = np.unique(codes[:-1] | codes[1:] + np.uint64(1) << np.uint64(32) if len(codes) > 1 else codes, return_counts=True)
+        known = self.rows
+        rows = [known[p] if p in known else self._row(p) for p in pairs.tolist()]
+        ones = counts.astype(np.float32) @ self.bits[rows] if len(norm) < 1 << 23 else counts.astype(np.float64) @ self.bits[rows]
         return int(np.packbits(2 * ones > counts.sum(), bitorder="little").view(np.int64)[0])
 
 
@@ -107,18 +108,22 @@ def links(first: DataFrame, most: int = MOST) -> DataFrame:
 
 
 def settled(pairs: DataFrame) -> DataFrame:
-    """grp, id: the linked ones that are no representatives. pairs: grp, a, b with a before b."""
-    left, out = pairs.select("grp", "a", "b"), None
+    """grp, id: the linked ones that are no representatives. pairs: grp, a, b with a before b.
+
+    A round: those without an undecided smaller one are representatives, and what they link to is hit. A table a round.
+    """
+    left, hits = pairs.select("grp", "a", "b"), []
     while True:
-        targets = left.select("grp", F.col("b").alias("a")).distinct()
-        heads = left.select("grp", "a").distinct().join(targets, ["grp", "a"], "left_anti")
-        hit = written(left.join(heads, ["grp", "a"], "left_semi").select("grp", F.col("b").alias("id")).distinct(), "folding")
-        out = hit if out is None else out.unionByName(hit)
-        decided = heads.select("grp", F.col("a").alias("id")).unionByName(hit)
-        gone_a, gone_b = decided.withColumnsRenamed({"id": "a"}), hit.withColumnsRenamed({"id": "b"})
-        left = written(left.join(gone_a, ["grp", "a"], "left_anti").join(gone_b, ["grp", "b"], "left_anti").select("grp", "a", "b"), "folding")
+        waiting = left.select("grp", F.col("b").alias("a")).distinct().withColumn("waits", F.lit(True))
+        at = left.join(waiting, ["grp", "a"], "left")
+        at = at.withColumn("hit", F.max(F.col("waits").isNull()).over(W.partitionBy("grp", "b")))
+        lost = at.where("hit").select("grp", F.col("b").alias("a")).distinct().withColumn("lost", F.lit(True))
+        at = at.join(lost, ["grp", "a"], "left").where(F.col("hit") | (F.col("waits") & F.col("lost").isNull()))
+        done = written(at.select("grp", "a", "b", "hit"), "folding")
+        hits.append(done.where("hit").select("grp", F.col("b").alias("id")))
+        left = done.where("not hit").select("grp", "a", "b")
         if left.isEmpty():
-            return out
+            return reduce(DataFrame.unionByName, hits).distinct()
 
 
 def fold_hashes(at: DataFrame, most: int = MOST) -> DataFrame:

@@ -81,7 +81,7 @@ def test_hash_is_the_majority_of_pairs():
         return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
     hasher = folding.SimHasher()
-    for text in ["ab", "a", "费率比同类低不少😀", "aaaa", "the quick brown fox " * 20, "\ud800x", *[f"text {i} of many" for i in range(50)]]:
+    for text in ["ab", "a", "费率比同类低不少😀", "aaaa", "a\0b\0", "\0", "the quick brown fox " * 20, "\ud800x", *[f"text {i} of many" for i in range(50)]]:
         assert hasher.hash(text) == signed(plain(text))
     assert hasher.hash("") == 0
 
