@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 from chatterscope.functions import calendar as C
 from chatterscope.functions import metrics as M
 from chatterscope.operators import facts as T
+from chatterscope.operators import reviews
 from chatterscope.plans.catalog import query
 from chatterscope.sources import bindings as B
 
@@ -71,19 +72,68 @@ def latest_job(spark, sf):
     return T.latest_per(jobs(spark, sf).select(*KEYS, "job_id", "status"), KEYS, [F.col("job_id")])
 
 
-@query(
-    "v4_review_origin",
-    B.ctes("annotations") + " SELECT a.annotation_id, coalesce(d.annotation_id, c.annotation_id, b.annotation_id, a.annotation_id) AS origin_id, CAST(CASE WHEN d.annotation_id IS NOT NULL THEN 3 WHEN c.annotation_id IS NOT NULL THEN 2 WHEN b.annotation_id IS NOT NULL THEN 1 ELSE 0 END AS INTEGER) AS hops FROM annotations a LEFT JOIN annotations b ON b.annotation_id = a.supersedes_id LEFT JOIN annotations c ON c.annotation_id = b.supersedes_id LEFT JOIN annotations d ON d.annotation_id = c.supersedes_id",
+#: A log of reviews over all events: runs of 21 events in id order are chains, each event correcting the one before it. Some
+#: decisions reject, some say another value, some rows are not settled or of another input, and every tenth chain is a circle.
+REVIEWS = (
+    B.ctes()
+    + """, raw AS (SELECT *, event_id % 21 AS pos, event_id // 21 AS chain, max(event_id) OVER (PARTITION BY event_id // 21) AS tail FROM ev),
+log AS (SELECT event_id AS annotation_id, 'comment' AS target_type, chain AS target_id, 'p' || CAST(chain % 5 AS VARCHAR) AS subject_code, 'attitude' AS kind,
+  '{"v": ' || CAST(k % 3 AS VARCHAR) || ', "n": "' || event_type || '"}' AS value_json, CASE WHEN k % 53 = 0 THEN 'pending' WHEN k % 2 = 0 THEN 'approved' ELSE 'corrected' END AS review_state,
+  CASE WHEN pos > 0 OR chain % 10 = 9 THEN 'review:' || CASE WHEN k % 71 = 0 THEN '0' ELSE '' END || CAST(event_id + 1 AS VARCHAR) ELSE 'run-' || CAST(chain % 3 AS VARCHAR) END AS run_id,
+  CASE WHEN k % 61 = 0 THEN 'other' ELSE 'h' || CAST(chain AS VARCHAR) END AS input_hash,
+  CASE WHEN pos > 0 THEN event_id - 1 WHEN chain % 10 = 9 THEN tail END AS supersedes_id, k, event_type FROM raw),
+decisions AS (SELECT annotation_id + 1 AS decision_id, supersedes_id AS annotation_id, CASE WHEN k % 67 = 0 THEN 'reject' ELSE 'correct' END AS decision,
+  CASE WHEN k % 59 = 0 THEN NULL WHEN k % 47 = 0 THEN '{"v": 9}' ELSE '{"n":"' || event_type || '","v":' || CAST(k % 3 AS VARCHAR) || '}' END AS corrected_value_json FROM log WHERE supersedes_id IS NOT NULL)"""
+)
+#: The same walk in SQL, hop by hop with the decisions seen so far.
+ORIGINS = (
+    REVIEWS.replace("WITH ", "WITH RECURSIVE ", 1)
+    + """, hop AS (SELECT a.annotation_id, b.annotation_id AS before FROM log a JOIN decisions d ON a.run_id = 'review:' || CAST(d.decision_id AS VARCHAR) AND d.decision = 'correct' AND d.annotation_id = a.supersedes_id
+  JOIN log b ON b.annotation_id = d.annotation_id AND b.target_type = a.target_type AND b.target_id = a.target_id AND b.subject_code = a.subject_code AND b.kind = a.kind AND b.input_hash = a.input_hash
+  WHERE a.review_state IN ('approved', 'corrected') AND json_extract_string(a.value_json, '$.v') IS NOT DISTINCT FROM json_extract_string(d.corrected_value_json, '$.v') AND json_extract_string(a.value_json, '$.n') IS NOT DISTINCT FROM json_extract_string(d.corrected_value_json, '$.n')),
+walk AS (SELECT annotation_id, annotation_id AS at, 0 AS hops, [annotation_id] AS seen FROM log
+  UNION ALL SELECT w.annotation_id, h.before, hops + 1, list_append(seen, h.before) FROM walk w JOIN hop h ON h.annotation_id = w.at WHERE NOT list_contains(seen, h.before)),
+origins AS (SELECT w.annotation_id, w.at AS origin_id, l.run_id AS origin_run, CAST(hops AS BIGINT) AS hops FROM walk w JOIN log l ON l.annotation_id = w.at AND l.run_id NOT LIKE 'review:%')"""
 )
+
+
+def review_log(spark, sf):
+    """(log, decisions) as in the SQL above."""
+    e = B._events(spark, sf).withColumns({"pos": F.col("event_id") % 21, "chain": F.floor(F.col("event_id") / 21)})
+    tails = e.groupBy("chain").agg(F.max("event_id").alias("tail"))
+    e = e.join(tails, "chain")
+    k, chain, text = F.col("k"), F.col("chain"), lambda c: c.cast("string")
+    log = e.select(
+        F.col("event_id").alias("annotation_id"), F.lit("comment").alias("target_type"), chain.alias("target_id"), F.concat(F.lit("p"), text(chain % 5)).alias("subject_code"), F.lit("attitude").alias("kind"),
+        F.concat(F.lit('{"v": '), text(k % 3), F.lit(', "n": "'), "event_type", F.lit('"}')).alias("value_json"), F.when(k % 53 == 0, "pending").when(k % 2 == 0, "approved").otherwise("corrected").alias("review_state"),
+        F.when((F.col("pos") > 0) | (chain % 10 == 9), F.concat(F.lit("review:"), F.when(k % 71 == 0, "0").otherwise(""), text(F.col("event_id") + 1))).otherwise(F.concat(F.lit("run-"), text(chain % 3))).alias("run_id"),
+        F.when(k % 61 == 0, "other").otherwise(F.concat(F.lit("h"), text(chain))).alias("input_hash"),
+        F.when(F.col("pos") > 0, F.col("event_id") - 1).when(chain % 10 == 9, F.col("tail")).alias("supersedes_id"), "k", "event_type",
+    )
+    said = F.concat(F.lit('{"n":"'), "event_type", F.lit('","v":'), text(k % 3), F.lit("}"))
+    decisions = log.where("supersedes_id is not null").select(
+        (F.col("annotation_id") + 1).alias("decision_id"), F.col("supersedes_id").alias("annotation_id"), F.when(k % 67 == 0, "reject").otherwise("correct").alias("decision"),
+        F.when(k % 59 == 0, None).when(k % 47 == 0, '{"v": 9}').otherwise(said).alias("corrected_value_json"),
+    )
+    return log, decisions
+
+
+@query("v4_review_origin", ORIGINS + " SELECT l.annotation_id, origin_id, origin_run, hops FROM log l LEFT JOIN origins USING (annotation_id)")
 def review_origin(spark, sf):
-    """Hop by hop to the run a correction goes back to; three hops, as joins."""
-    log = B.annotations(spark, sf).select("annotation_id", "supersedes_id")
-    out = log.withColumnsRenamed({"supersedes_id": "_next"}).withColumns({"origin_id": F.col("annotation_id"), "hops": F.lit(0)})
-    for _ in range(3):
-        step = log.select(F.col("annotation_id").alias("_id"), F.col("supersedes_id").alias("_after"))
-        out = out.join(step, F.col("_next") == F.col("_id"), "left")
-        out = out.select("annotation_id", F.col("_after").alias("_next"), F.coalesce("_id", "origin_id").alias("origin_id"), (F.col("hops") + F.col("_id").isNotNull().cast("int")).alias("hops"))
-    return out.drop("_next")
+    """Every row's origin through chains of up to twenty corrections, some broken and some circles."""
+    return reviews.origins(*review_log(spark, sf))
+
+
+@query(
+    "v3_v4_released_by_origin",
+    ORIGINS + ", ends AS (SELECT * FROM log a WHERE NOT EXISTS (SELECT 1 FROM log b WHERE b.supersedes_id = a.annotation_id)) SELECT e.annotation_id, origin_id, hops FROM ends e JOIN origins USING (annotation_id) WHERE review_state <> 'rejected' AND origin_run IN ('run-0', 'run-2')",
+)
+def released_by_origin(spark, sf):
+    """Chain ends whose first run is one of the allowed ones, however often they were corrected since."""
+    log, decisions = review_log(spark, sf)
+    allowed = spark.createDataFrame([("run-0",), ("run-2",)], "run_id string")
+    current = T.chain_ends(log).where("review_state <> 'rejected'").select("annotation_id")
+    return reviews.released(current, reviews.origins(log, decisions), allowed).select("annotation_id", "origin_id", "hops")
 
 
 @query("j8_review_queue", B.ctes("annotations") + " SELECT subject_code, count(*) AS n FROM annotations WHERE review_state = 'pending' AND annotation_id NOT IN (SELECT supersedes_id FROM annotations WHERE supersedes_id IS NOT NULL) GROUP BY 1")
