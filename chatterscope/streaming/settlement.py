@@ -1,13 +1,16 @@
-"""Streams: windowed observation, counter settlement with state, and idempotent merging of micro-batches."""
+"""Streams: windowed observation, counter settlement with state, and micro-batches that are written once."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle
+
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def windowed(events: DataFrame, ts: str, keys: list[str], width: str, late: str | None = None) -> DataFrame:
@@ -20,24 +23,77 @@ def windowed(events: DataFrame, ts: str, keys: list[str], width: str, late: str
     return events.groupBy(F.window(ts, width).alias("w"), *keys).agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
 
 
-def settle(observations: DataFrame, hours: int = 24) -> DataFrame:
-    """observations: feed_id, posted_at, observed_at, likes. Per post the latest counter until the first observation
-    ``hours`` after the post in arrival order; that one is frozen, later ones are ignored.
+class Settlement(StatefulProcessor):
+    """One post's counter: what counts now, and what a repair would choose.
+
+    Three values, whatever the number of observations: the choice (settled, time, counter), the ripe observation of
+    least time, and the observation of greatest time.
+    """
+
+    def __init__(self, hours: int, repair: bool):
+        self.age, self.repair = pd.Timedelta(hours=hours), repair
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        seen = "at timestamp_ntz, likes long"
+        self.choice, self.first, self.last = handle.getValueState("choice", f"settled boolean, {seen}"), handle.getValueState("first", seen), handle.getValueState("last", seen)
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        choice, first, last = (s.get() if s.exists() else None for s in (self.choice, self.first, self.last))
+        arrived = pd.concat(list(rows)).sort_values(["arrived_at", "arrival"])
+        for r in arrived.itertuples(index=False):
+            if pd.isna(r.observed_at):
+                continue
+            at, likes = r.observed_at.to_pydatetime(), None if pd.isna(r.likes) else int(r.likes)
+            ripe = not pd.isna(r.posted_at) and r.observed_at >= r.posted_at + self.age
+            first = (at, likes) if ripe and (first is None or at < first[0]) else first  # a time seen again changes nothing
+            last = (at, likes) if last is None or at > last[0] else last
+            if choice is None or not choice[0]:
+                choice = (ripe, at, likes)
+        if self.repair and last is not None:
+            choice = (True, *first) if first is not None else (False, *last)
+        for state, value in ((self.choice, choice), (self.first, first), (self.last, last)):
+            if value is not None:
+                state.update(tuple(value))
+        if choice is not None:
+            yield pd.DataFrame({"feed_id": [key[0]], "settled": [choice[0]], "observed_at": [choice[1]], "likes": pd.array([choice[2]], "Int64")})
+
+    def close(self) -> None:
+        pass
+
+
+def settle(observations: DataFrame, hours: int = 24, repair: bool = False) -> DataFrame:
+    """feed_id, settled, observed_at, likes of every post that a batch touches, in update mode.
+
+    observations: feed_id, posted_at, observed_at, likes (null: not obtained), arrived_at, arrival (their order). In
+    order of arrival the last observation counts until one comes that is ``hours`` younger than the post; that one is
+    frozen, and later arrivals are kept out, be they early or late in time. ``repair`` chooses anew at each
+    batch from all that came: the ripe observation of least time, else the one of greatest time. Observations seen
+    again change nothing once a post is settled or under repair; those without a time are ignored.
     """
+    observations.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    return observations.groupBy("feed_id").transformWithStateInPandas(Settlement(hours, repair), "feed_id long, settled boolean, observed_at timestamp_ntz, likes long", "Update", "None")
+
+
+def write_changes(path: str) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function: each batch's rows are the folder ``v=<batch>``, and a batch that is run again writes the same folder again."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/v={batch_id}")
+
+    return write
+
+
+def latest_changes(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
+    """Each key's row of its last batch."""
+    rows = spark.read.parquet(path)
+    rest = [c for c in rows.columns if c not in (*keys, "v")]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "v").alias("_r")).select(*keys, "_r.*")
+
 
-    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        settled, at, likes = state.get if state.exists else (False, None, None)
-        for pdf in parts:
-            for row in pdf.sort_values("observed_at").itertuples():
-                ripe = row.observed_at >= row.posted_at + pd.Timedelta(hours=hours)
-                if not settled and (ripe or at is None or row.observed_at >= at):
-                    settled, at, likes = bool(ripe), row.observed_at, int(row.likes)
-        state.update((settled, at, likes))
-        yield pd.DataFrame({"feed_id": [key[0]], "settled": [settled], "observed_at": [at], "likes": [likes]})
-
-    return observations.groupBy("feed_id").applyInPandasWithState(
-        step, "feed_id long, settled boolean, observed_at timestamp, likes long", "settled boolean, observed_at timestamp, likes long", "update", GroupStateTimeout.NoTimeout
-    )
+def drained(writer: DataStreamWriter, checkpoint: str) -> None:
+    """Run a stream over all that is there now."""
+    query = writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
 
 
 def merge_batches(spark: SparkSession, path: str, merge: Callable[[DataFrame, DataFrame], DataFrame], empty: DataFrame) -> Callable[[DataFrame, int], None]:

@@ -4,7 +4,6 @@ from pyspark.sql import functions as F
 
 from chatterscope.operators import facts as T
 from chatterscope.operators import sampling as S
-from chatterscope.streaming import settlement
 
 NOW = datetime(2026, 1, 1)
 
@@ -43,17 +42,3 @@ def test_allocation():
     assert S.allocate({"a": 2, "b": 3}, 10) == {"a": 2, "b": 3}
     got = S.allocate({"a": 50, "b": 30, "c": 20}, 11)
     assert sum(got.values()) == 11 and got["a"] >= got["b"] >= got["c"] >= 1
-
-
-def test_settlement_stream(spark, tmp_path):
-    rows = [(1, NOW, datetime(2026, 1, 1, 5), 3), (1, NOW, datetime(2026, 1, 2, 1), 9), (1, NOW, datetime(2026, 1, 3), 20), (2, NOW, datetime(2026, 1, 1, 2), 4)]
-    schema = "feed_id long, posted_at timestamp, observed_at timestamp, likes long"
-    for i, r in enumerate(rows):
-        spark.createDataFrame([r], schema).coalesce(1).write.parquet(str(tmp_path / "in" / str(i)))
-        stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
-        apply = settlement.merge_batches(spark, str(tmp_path / "out"), lambda old, new: T.latest_per(old.unionByName(new), ["feed_id"], [F.col("settled"), F.col("observed_at")]), spark.createDataFrame([], "feed_id long, settled boolean, observed_at timestamp, likes long"))
-        q = settlement.settle(stream).writeStream.outputMode("update").foreachBatch(apply).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
-        q.awaitTermination()
-    versions = sorted((tmp_path / "out").iterdir(), key=lambda p: int(p.name[2:]))
-    got = {r.feed_id: (r.settled, r.likes) for r in spark.read.parquet(str(versions[-1])).collect()}
-    assert got == {1: (True, 9), 2: (False, 4)}
