@@ -52,7 +52,8 @@ def budgets(sizes: DataFrame, names: list[str], total: int | float, weights: dic
 
     total: a number, or a share of all tokens if it is a float.
     """
-    spark = sizes.sparkSession
+    spark, scratch = sizes.sparkSession, Scratch(sizes.sparkSession, "mixing-budgets")
+    sizes = scratch.put(sizes)
     level = sizes.groupBy(F.lit(0).alias("_root")).agg(F.sum("n").alias("_all"))
     wanted = F.floor(F.col("_all") * F.lit(total)) if isinstance(total, float) else F.lit(total)
     level = level.select("_root", F.least(wanted, F.col("_all") * max_epochs).cast("long").alias("_amount"))
@@ -63,7 +64,8 @@ def budgets(sizes: DataFrame, names: list[str], total: int | float, weights: dic
         told = [(*p, float(w)) for p, w in weights.items() if len(p) == depth + 1]
         given = spark.createDataFrame(told, ", ".join([*[f"`{n}` string" for n in names[: depth + 1]], "_weight double"]))
         nodes = nodes.join(given, names[: depth + 1], "left").withColumn("_weight", F.coalesce("_weight", F.lit(float(default_weight))))
-        level = water_fill(nodes.join(level.select(*parent, "_amount"), parent), parent, name).drop("_amount").withColumnRenamed("_got", "_amount")
+        level = water_fill(scratch.put(nodes.join(level.select(*parent, "_amount"), parent)), parent, name).drop("_amount").withColumnRenamed("_got", "_amount")
+        level = scratch.put(level)  # a row a node: each level's plan stays short
     return level.select(*names, "_size", F.col("_amount").alias("_got"))
 
 
@@ -93,6 +95,7 @@ def mix(docs: DataFrame, levels: dict[str, Column], weights: dict[tuple[str, ...
     sums = partial.groupBy(*names, "__mix_rest", piece.alias("_b")).agg(F.sum("n_tokens").alias("_n"))
     upto = F.sum("_n").over(W.partitionBy(*names).orderBy("_b").rowsBetween(W.unboundedPreceding, 0))
     ends = sums.withColumn("_upto", upto).where("_upto >= __mix_rest").groupBy(*names).agg(F.min_by(F.struct("_b", (F.col("_upto") - F.col("_n")).alias("_before")), "_b").alias("_e"))
+    ends = scratch.put(ends)
     inside = partial.join(ends, names).where(piece == F.col("_e._b")).groupBy(*names, "__mix_rest", "_e", "_at").agg(F.sum("n_tokens").alias("_n"), F.count(F.lit(1)).alias("_rows"))
     run = F.col("_e._before") + F.sum("_n").over(W.partitionBy(*names).orderBy("_at").rowsBetween(W.unboundedPreceding, 0))
     left = (F.col("__mix_rest") - F.col("_run") + F.col("_n")).alias("__mix_left")

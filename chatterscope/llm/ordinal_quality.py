@@ -85,7 +85,8 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, steps: in
     dim = (1 << WORD_BITS) + (1 << SHAPE_BITS)
     index = np.concatenate([r[0] for r in rows]) if rows else np.zeros(0, np.int64)
     value = np.concatenate([r[1] for r in rows]) if rows else np.zeros(0)
-    row = np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows])
+    n_rows = len(rows)
+    row = np.repeat(np.arange(n_rows, dtype=np.int32), [len(r[0]) for r in rows])
     seen = np.bincount(index, minlength=dim)
     top = grades == GRADES - 1
     n_good, n_bad = int(top.sum()) + 1, int((~top).sum()) + 1
@@ -102,14 +103,14 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, steps: in
     for i in range(1, steps + 1):
         w, t1 = p[:dim], p[dim]
         gap = np.exp(p[dim + 1])
-        z = np.bincount(row, weights=w[index] * x, minlength=len(rows))
+        z = np.bincount(row, weights=w[index] * x, minlength=n_rows)
         s1, s2 = (1 / (1 + np.exp(-np.clip(t - z, -30, 30))) for t in (t1, t1 + gap))
         lo = np.where(grades == 0, 0.0, np.where(grades == 1, s1, s2))
         hi = np.where(grades == 0, s1, np.where(grades == 1, s2, 1.0))
         like = np.maximum(hi - lo, 1e-9)
         d_hi, d_lo = hi * (1 - hi) / like, lo * (1 - lo) / like
         g = np.zeros_like(p)
-        g[:dim] = np.bincount(index, weights=(d_hi - d_lo)[row] * x, minlength=dim) / len(rows) + l2 * w
+        g[:dim] = np.bincount(index, weights=(d_hi - d_lo)[row] * x, minlength=dim) / n_rows + l2 * w
         g[dim] = -(d_hi - d_lo).mean()
         g[dim + 1] = -gap * (np.where(grades == 1, d_hi, 0.0) - np.where(grades == 2, d_lo, 0.0)).mean()
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
@@ -138,7 +139,7 @@ def train(docs: DataFrame, labels: DataFrame, max_fit_rows: int = 6_000) -> Mode
     rows = sorted(found.mapInPandas(read, f"doc_id {kind}, grade int, i binary, v binary").toLocalIterator(), key=lambda r: r["doc_id"])
     if not rows:
         return None
-    return fit([(np.frombuffer(r["i"], np.int32).astype(np.int64), np.frombuffer(r["v"], np.float32).astype(float)) for r in rows], np.array([r["grade"] for r in rows]))
+    return fit([(np.frombuffer(r["i"], np.int32), np.frombuffer(r["v"], np.float32)) for r in rows], np.array([r["grade"] for r in rows]))
 
 
 def classify(docs: DataFrame, model: Model | None, min_tail: float = 0.6) -> DataFrame:
