@@ -182,14 +182,6 @@ def maximal_names(text: str, names: dict[str, str]) -> list[str]:
     return sorted(out)
 
 
-def name_codes(text: Column, names: dict[str, str]) -> Column:
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def each(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: maximal_names(t, names) if t else [])
-
-    return each(text)
-
-
 LOCATED = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("method", T.StringType())])
 
 

@@ -9,6 +9,7 @@ from chatterscope.functions import calendar as C
 from chatterscope.functions import recovery as R
 from chatterscope.functions import text as X
 from chatterscope.operators import facts as T
+from chatterscope.operators import dictionary
 from chatterscope.plans.catalog import query
 from chatterscope.plans.market import D7, window_sql
 from chatterscope.plans.opinions import CURRENT, JOBS, KEYS, jobs
@@ -97,7 +98,7 @@ def attribution(spark, sf):
     products = spark.createDataFrame([("A1", "alpha", "cash"), ("B1", "house", "tech"), ("C1", "house", "bonds"), ("C2", "house", "bonds")], "code string, issuer string, sector string")
     only = products.where("issuer = 'house'").groupBy("sector").agg(F.min("code").alias("guess"), F.count(F.lit(1)).alias("n")).where("n = 1").select("sector", "guess")
     rows = B.read(spark, sf, "documents").select("doc_id", said.alias("said"))
-    rows = rows.withColumns({"named": F.filter(X.name_codes(F.col("said"), names), lambda c: c != ""), "sector": F.nullif(F.regexp_extract("said", "(tech|bonds)", 1), F.lit(""))}).join(only, "sector", "left")
+    rows = rows.withColumns({"named": F.filter(dictionary.name_codes(F.col("said"), names), lambda c: c != ""), "sector": F.nullif(F.regexp_extract("said", "(tech|bonds)", 1), F.lit(""))}).join(only, "sector", "left")
     explicit = F.when(F.size("named") == 1, F.get("named", F.lit(0)))
     return rows.select("doc_id", F.when(explicit.isNotNull(), "explicit").when(F.col("guess").isNotNull(), "inferred").otherwise("unattributed").alias("origin"), F.coalesce(explicit, "guess").alias("code"))
 

@@ -146,10 +146,10 @@ def counts_lookup(spark, sf):
     return B.feeds(spark, sf).select("feed_id").join(c, "feed_id", "left").na.fill(0, ["replies", "likes"])
 
 
-@query("p14_in_list", BASE + " SELECT feed_id, code FROM feeds WHERE feed_id IN (SELECT feed_id FROM comments WHERE like_count > 40)")
+@query("p14_in_list", BASE + " SELECT feed_id, code FROM feeds WHERE feed_id IN (SELECT feed_id FROM comments WHERE like_count >= 10)")
 def in_list(spark, sf):
     """A list of any length is a semi join, never chunks of literals."""
-    return B.feeds(spark, sf).select("feed_id", "code").join(B.comments(spark, sf).where("like_count > 40").select("feed_id"), "feed_id", "left_semi")
+    return B.feeds(spark, sf).select("feed_id", "code").join(B.comments(spark, sf).where("like_count >= 10").select("feed_id"), "feed_id", "left_semi")
 
 
 @query("p13_contract_projection", BASE + " SELECT feed_id AS id, code, like_count AS likes, share_count AS shares, CAST(NULL AS BIGINT) AS follows FROM feeds")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from chatterscope.functions import metrics as M
 from chatterscope.functions import text as X
-from chatterscope.operators import folding
+from chatterscope.operators import dictionary, folding
 from chatterscope.plans.catalog import query
 from chatterscope.sources import bindings as B
 
@@ -95,7 +95,24 @@ def nfkc(spark, sf):
 @query("f47_maximal_names")
 def maximal_names(spark, sf):
     names = {"the": "1", "other": "2", "other one": "3", "tion": "4", "nation": "5"}
-    return docs(spark, sf).select("doc_id", F.array_join(X.name_codes(F.col("text"), names), ",").alias("codes"))
+    return docs(spark, sf).select("doc_id", F.array_join(dictionary.name_codes(F.col("text"), names), ",").alias("codes"))
+
+
+PHRASES = 4
+
+
+@query(
+    "j18_f47_dictionary_hits",
+    f"WITH w AS (SELECT item_id, string_split(replace(text, chr(10), ' '), ' ') AS w FROM benchmark), n AS (SELECT array_to_string(w[i : i + {PHRASES - 1}], ' ') AS name, CAST(item_id AS VARCHAR) AS code FROM w, unnest(range(1, len(w) - {PHRASES - 2})) t(i)), names AS (SELECT name, min(code) AS code FROM n WHERE name <> '' GROUP BY 1) SELECT code, count(DISTINCT doc_id) AS docs FROM documents d JOIN names ON contains(d.text, name) GROUP BY 1",
+)
+def dictionary_hits(spark, sf):
+    """Every run of four words of the benchmark's items is a name; the texts are read once for all of them."""
+    words = F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " ")
+    runs = F.transform(F.sequence(F.lit(1), F.size("w") - (PHRASES - 1)), lambda i: F.array_join(F.slice("w", i, F.lit(PHRASES)), " "))
+    items = B.read(spark, sf, "benchmark").select(F.col("item_id").cast("string").alias("code"), words.alias("w")).where(F.size("w") >= PHRASES)
+    names = dictionary.collected(items.select("code", F.explode(runs).alias("name")))
+    hits = docs(spark, sf).select("doc_id", F.explode(dictionary.name_codes(F.col("text"), names, maximal=False)).alias("code"))
+    return hits.groupBy("code").agg(F.count_distinct("doc_id").alias("docs"))
 
 
 @query("f52_evidence_location", "SELECT doc_id, 0 AS start, CAST(least(20, length(text)) AS INTEGER) AS \"end\", 'exact' AS method FROM documents")
