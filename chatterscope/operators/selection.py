@@ -75,6 +75,24 @@ def numeric_first(column: str) -> list[Column]:
     return [F.when(head != "", head.cast("decimal(38,0)")).asc_nulls_last(), F.lower(column).asc_nulls_last()]
 
 
+def natural_key(text: Column, collation: str = "zh_CI_AI") -> Column:
+    """Text under a locale's collation in which every run of digits counts as a number.
+
+    A run goes without its leading zeros behind its length in six digits, so that collating digit by digit is comparing numbers.
+    """
+    runs = F.regexp_extract_all(text, F.lit(r"([0-9]+|[^0-9]+)"), F.lit(1))
+    digits = lambda r: F.regexp_replace(r, "^0+(?=.)", "")
+    numbered = F.transform(runs, lambda r: F.when(r.rlike("^[0-9]"), F.concat(F.lpad(F.length(digits(r)).cast("string"), 6, "0"), digits(r))).otherwise(r))
+    return F.collate(F.array_join(numbered, ""), collation)
+
+
+def natural_order(column: str, ties: list[str], *, descending: bool = False, collation: str = "zh_CI_AI") -> list[Column]:
+    """A total order for tables: missing and empty texts last in both directions, then natural order, then the ties ascending."""
+    missing = F.coalesce(F.col(column) == "", F.lit(True))
+    present = F.when(~missing, natural_key(F.col(column), collation))
+    return [missing.asc(), present.desc() if descending else present.asc(), *[F.col(t).asc_nulls_last() for t in ties]]
+
+
 def first_wins(values: Column) -> Column:
     """An array's values, each at its first place."""
     return F.array_distinct(values)
