@@ -2,10 +2,12 @@
 
 Documents are tokenized and cut into pieces; what packing needs of them is one number, so the search runs over
 the histogram of piece lengths (at most ``capacity`` counts, whatever the input's size). Around the longest
-piece that is left, the undominated fillings of the rest of its sequence are enumerated, least waste first; a
-filling is used as often as its lengths last, or once. Branches whose waste exceeds what the best solution so far allows
-are pruned and others tried instead; best-fit decreasing gives the first solution. The result, patterns with
-multiplicities, is turned into places by each piece's rank among the pieces of its length.
+piece that is left, the undominated fillings of the rest of its sequence are enumerated, least waste first and up to a
+share of the effort a state; a filling is used as often as its lengths last, or once. Branches whose waste exceeds what the
+best solution so far allows are pruned and others tried instead. Best-fit decreasing gives the first solution; descents that
+take the most valuable filling around the longest piece, where a piece of length x is worth x to a power over one, give
+others, since long pieces that are left to the end are what costs sequences. The result, patterns with multiplicities, is
+turned into places by each piece's rank among the pieces of its length.
 
 Defined cases: a null text is empty and has the end token alone; repeated rows are packed each; ties are
 interchangeable rows; no rows give no rows; further columns are ignored.
@@ -214,10 +216,49 @@ def best_fit(counts: np.ndarray) -> list[tuple[tuple[int, ...], int]]:
     return [(tuple(items), m) for found in rooms.values() for items, m in found]
 
 
+#: Powers of the descents: near one, waste decides; the higher, the sooner long pieces go together.
+POWERS = (1.3, 1.05, 1.2, 1.4, 1.6)
+
+
+def descent(counts: np.ndarray, power: float, share: int = 2) -> list[tuple[tuple[int, ...], int]]:
+    """One way down: the filling of greatest value around the longest piece, ``1 / share`` as often as its lengths last.
+
+    The rest of the pieces of these lengths stay for other fillings. A length falls by a part each time, so the fillings
+    are as many as lengths times the counts' logarithm. The best filling is a knapsack over the lengths that fit.
+    """
+    cap = len(counts) - 1
+    left, out = counts.copy(), []
+    value = np.arange(cap + 1, dtype=float) ** power
+    while left.any():
+        size = int(np.flatnonzero(left)[-1])
+        left[size] -= 1
+        room, worth, took = cap - size, np.zeros(cap - size + 1), []
+        for x in np.flatnonzero(left[: room + 1])[::-1].tolist():
+            n, k = min(int(left[x]), room // x), 1
+            while n > 0:  # one, two, four pieces and so on make any number of them
+                m = min(k, n)
+                with_it = worth[: room + 1 - m * x] + m * value[x]
+                better = with_it > worth[m * x :]
+                took.append((x, m, better))
+                worth = np.concatenate((worth[: m * x], np.where(better, with_it, worth[m * x :])))
+                n, k = n - m, 2 * k
+        left[size] += 1
+        items, at = [size], room
+        for x, m, better in reversed(took):
+            if at >= m * x and better[at - m * x]:
+                items += [x] * m
+                at -= m * x
+        kinds, need = np.unique(items, return_counts=True)
+        m = max(1, int((left[kinds] // need).min()) // share)
+        left[kinds] -= m * need
+        out.append((tuple(items), m))
+    return out
+
+
 def complete(counts: np.ndarray, nodes: int = 8_000, steps: int = 1_000_000, each: int = 400) -> list[tuple[tuple[int, ...], int]]:
     """Bin completion: patterns of lengths with multiplicities, as few sequences as the search finds.
 
-    Depth first from best fit's solution as the incumbent: the longest piece that is left gets one undominated filling after
+    Depth first from the best of best fit's solution and the descents' as the incumbent: the longest piece that is left gets one undominated filling after
     the other, each as often as its lengths last and then once. A state is left if it was reached with as few sequences
     before, if what it wastes or its lower bound says that it cannot beat the incumbent, or when all its fillings are tried.
     ``nodes`` bounds the states, ``steps`` the choices tried in enumerating fillings, ``each`` those of one state; none of them
@@ -228,6 +269,12 @@ def complete(counts: np.ndarray, nodes: int = 8_000, steps: int = 1_000_000, eac
     total = int(np.arange(cap + 1) @ counts)
     least, best = lower_bound(counts), best_fit(counts)
     n_best = sum(m for _, m in best)
+    for power in POWERS:
+        if n_best > least:
+            other = descent(counts, power)
+            n_other = sum(m for _, m in other)
+            if n_other < n_best:
+                best, n_best = other, n_other
     left, chosen, used = counts.copy(), [], 0
     reached: dict[bytes, int] = {}
     effort = Effort(steps, each)

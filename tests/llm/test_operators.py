@@ -1,5 +1,6 @@
 """Operators against brute force, round trips and the cases their docstrings define."""
 
+import itertools
 import hashlib
 import math
 import re
@@ -161,6 +162,38 @@ def test_bin_completion_is_whole_and_good():
     assert sum(m for _, m in packing.complete(np.bincount([6, 6, 4, 4, 5, 5, 7, 3], minlength=11))) == 4
 
 
+@pytest.mark.parametrize(("low", "high", "n", "most"), [(200, 500, 2_000, 710), (100, 700, 900, 350), (50, 1024, 30_000, 15_698)])
+def test_descents_beat_best_fit(low, high, n, most):
+    """Instances on which best fit needs 740, 353 and 15,699 sequences, and no packing fewer than 690, 350 and 15,695."""
+    rng = np.random.default_rng(1)
+    for bounds, size in (((200, 501), 2_000), ((50, 1025), 30_000), ((300, 361), 5_000), ((1, 61), 30_000), ((100, 701), 900)):
+        drawn = rng.integers(*bounds, size)
+        if (bounds, size) == ((low, high + 1), n):
+            break
+    counts = np.bincount(drawn, minlength=1025)
+    out = packing.complete(counts, nodes=50)
+    total = np.zeros(1025, int)
+    for items, m in out:
+        assert sum(items) <= 1024
+        np.add.at(total, list(items), m)
+    assert (total == counts).all()
+    used = sum(m for _, m in out)
+    assert packing.lower_bound(counts) <= used <= most < sum(m for _, m in packing.best_fit(counts))
+
+
+def test_a_descent_takes_its_best_filling():
+    """Against all fillings, one by one."""
+    rng = np.random.default_rng(4)
+    for _ in range(30):
+        sizes = rng.integers(1, 21, 9)
+        (items, _), *_ = packing.descent(np.bincount(sizes, minlength=31), 1.3)
+        longest, *others = sorted(sizes.tolist(), reverse=True)
+        worth = lambda x: sum(v**1.3 for v in x)
+        fit = [f for k in range(9) for f in itertools.combinations(others, k) if sum(f) <= 30 - longest]
+        assert items[0] == longest and sum(items) <= 30
+        assert worth(items[1:]) == pytest.approx(max(map(worth, fit)))
+
+
 def water_fill(amount, weights, room):
     """Brute force: whoever cannot hold its share is filled, until all others can."""
     got, open_ = [0] * len(room), [i for i in range(len(room)) if room[i] > 0 and weights[i] > 0]
