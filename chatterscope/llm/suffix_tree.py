@@ -10,8 +10,9 @@ suffix of what stands before it. The root gives known words their counts and unk
 
 A text's log score is a sum over its words and grams: each retained context adds the logarithm of what it leaves to its
 suffix, each of its symbols the rest of its own. So the model is one table of weights by the 64-bit hash of the gram.
-Texts are written once as chunks of numbered words. A chunk asks for the grams it has, packed by leading bits of the
-hash; the tasks that hold these weights answer with sums for each text. The model is never in one place. What is
+Texts are written once as chunks of numbered words. A chunk asks for the grams it has, each once however often it stands
+there, packed by leading bits of the hash; the tasks that hold these weights answer, and the chunk sums them for its
+texts. So the model is never in one place, nor are the occurrences of a frequent gram: one costs eight bytes a chunk. What is
 broadcast is bounded: the ``head`` most frequent words, and bit maps of at most ``SIEVE_BITS`` that leave out
 most grams that have no weight; what passes them by chance finds nothing.
 
@@ -26,6 +27,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
@@ -85,7 +87,7 @@ def chunked(docs: DataFrame) -> DataFrame:
         def told() -> pd.DataFrame:
             return pd.DataFrame({
                 "chunk": [number], "doc_id": [[h[0] for h in held]], "train": [np.array([h[1] for h in held], bool).tobytes()], "lengths": [np.array([h[2] for h in held], np.int64).tobytes()],
-                "words": [lexicon.hashes.tobytes()], "ids": [ids.tobytes()],
+                "words": [lexicon.hashes.tobytes()], "ids": [pa.compress(ids.tobytes(), "zstd", asbytes=True)],
             })
 
         for pdf in parts:
@@ -112,7 +114,7 @@ class Chunk:
         self.doc = np.repeat(np.arange(len(self.lengths)), self.lengths)
         self.at = np.arange(len(self.doc)) - np.repeat(np.cumsum(self.lengths) - self.lengths, self.lengths)  # place in the text
         self.train = _ints(row.train, bool)[self.doc]
-        self.hashes, self.ids = _ints(row.words), _ints(row.ids, np.int32)
+        self.hashes, self.ids = _ints(row.words), _ints(pa.decompress(row.ids, 4 * len(self.doc), "zstd", asbytes=True), np.int32)
         self.grams = [self.hashes[self.ids]]
         for k in range(1, depth + 1):
             self.grams.append(mixed(np.roll(self.grams[-1], 1), self.grams[-1], k))
@@ -292,66 +294,72 @@ def looked_up(have: np.ndarray, asked: np.ndarray) -> np.ndarray:
     return np.where(have[i] == asked, i, -1)
 
 
-def _ask(head_of, bits_of, depth: int, bits: int, rest: tuple[float, float]):
-    """Per chunk one row of its texts and of what the most frequent words give, and a row a bucket of what it asks for."""
-    empty = b""
+class Asked:
+    """What a chunk needs of the model: its words outside the head and the grams that may have a weight, each key once, in order.
+
+    ``at`` names the key of each place that needs one and ``doc`` its text; ``cuts`` are the buckets' beginnings among the keys.
+    """
+
+    def __init__(self, c: Chunk, head: np.ndarray, sieved: np.ndarray, bits: int):
+        self.place, said = looked_up(head, c.hashes)[c.ids], c.at > 0
+        self.inside, self.tail = said & (self.place >= 0), said & (self.place < 0)
+        needs = [np.flatnonzero(self.tail)] + [np.flatnonzero((c.at >= k) & passes(sieved, c.grams[k])) for k in range(1, len(c.grams))]
+        key = np.concatenate([c.grams[k][i] for k, i in enumerate(needs)]).view(np.uint64)
+        self.doc = c.doc[np.concatenate(needs)]
+        keys, self.at = np.unique(key, return_inverse=True)
+        self.keys = keys.view(np.int64)
+        bucket = buckets(self.keys, bits)
+        self.cuts = np.append(cut_at(bucket), len(bucket))
+        self.buckets = bucket[self.cuts[:-1]]
+
+
+def _ask(head_of, bits_of, depth: int, bits: int):
+    """A chunk's keys, a row a bucket."""
 
     def each(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known, base_of, own_of = head_of.value
         for row, c in chunks(parts, depth):
-            place = looked_up(known, c.hashes)[c.ids]
-            said, docs = c.at > 0, len(c.lengths)
-            inside, tail = said & (place >= 0), said & (place < 0)
-            sums = [np.bincount(c.doc[inside], x[place[inside]], docs) + np.bincount(c.doc[tail], minlength=docs) * y for x, y in ((own_of, rest[0]), (base_of, rest[1]))]
-            sums.append(np.bincount(c.doc[inside], minlength=docs).astype(float))
-            asks = [np.flatnonzero(tail)] + [np.flatnonzero((c.at >= k) & passes(bits_of.value, c.grams[k])) for k in range(1, depth + 1)]
-            key, doc = np.concatenate([c.grams[k][i] for k, i in enumerate(asks)]), np.concatenate([c.doc[i] for i in asks])
-            order = np.argsort(key.view(np.uint64), kind="stable")
-            key, doc = key[order], doc[order].astype(np.uint16 if docs <= 1 << 16 else np.int32)
-            first = cut_at(key)
-            own, runs = key[first], np.diff(np.append(first, len(key))).astype(np.int32)
-            bucket = buckets(own, bits)
-            at = cut_at(bucket)
-            ends = np.append(first, len(key))[np.append(at, len(own))]
-            yield pd.DataFrame({
-                "bucket": np.append(-1 - row.chunk % 4096, bucket[at]), "chunk": row.chunk, "doc_id": [row.doc_id, *[None] * len(at)], "held_out": [(~_ints(row.train, bool)).tolist(), *[None] * len(at)],
-                "n_tokens": [(c.lengths - 1).tolist(), *[None] * len(at)], "keys": [empty, *[x.tobytes() for x in np.split(own, at[1:])][: len(at)]], "runs": [empty, *[x.tobytes() for x in np.split(runs, at[1:])][: len(at)]],
-                "docs": [empty, *[doc[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]], "sums": [np.concatenate(sums).tobytes(), *[empty] * len(at)],
-            })
+            a = Asked(c, head_of.value[0], bits_of.value, bits)
+            yield pd.DataFrame({"bucket": a.buckets, "chunk": row.chunk, "keys": [a.keys[i:j].tobytes() for i, j in zip(a.cuts[:-1], a.cuts[1:], strict=True)]})
 
     return each
 
 
 def _answer(asks: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
-    """Sums for the texts of each chunk: those that are asked for, with three numbers each."""
-    out = asks[["chunk", "doc_id", "held_out", "n_tokens", "docs", "sums"]].copy()
-    if not len(asks) or asks["bucket"].iloc[0] < 0:
-        return out
+    """Which of a chunk's keys are held, which of these are words, the weights of all and the base of words."""
     held = held.sort_values("key")
-    have, values = held["key"].to_numpy(np.int64), held[["weight", "base", "known"]].to_numpy(float).T
-    docs, sums = [], []
+    have, weight, base, known = (held[k].to_numpy(t) for k, t in (("key", np.int64), ("weight", float), ("base", float), ("known", bool)))
+    told = []
     for row in asks.itertuples(index=False):
         i = looked_up(have, _ints(row.keys))
-        runs = _ints(row.runs, np.int32)
-        doc = _ints(row.docs, np.uint16 if len(row.docs) == 2 * runs.sum() else np.int32)
-        found = np.repeat(i >= 0, runs)
-        own, at = np.unique(doc[found], return_inverse=True)
-        i = np.repeat(i, runs)[found]
-        docs.append(own.astype(np.int32).tobytes())
-        sums.append(np.concatenate([np.bincount(at, v[i], len(own)) for v in values]).tobytes())
-    return out.assign(docs=docs, sums=sums)
-
-
-def _told(pdf: pd.DataFrame) -> pd.DataFrame:
-    """A chunk's texts with all their sums."""
-    texts = pdf[pdf["doc_id"].notna()].iloc[0]
-    n = len(texts["n_tokens"])
-    total = _ints(texts["sums"], float).reshape(3, n).copy()
-    for docs, sums in zip(pdf["docs"], pdf["sums"], strict=True):
-        at = _ints(docs, np.int32)
-        if len(at):
-            total[:, at] += _ints(sums, float).reshape(3, len(at))
-    return pd.DataFrame({"doc_id": list(texts["doc_id"]), "held_out": texts["held_out"], "n_tokens": texts["n_tokens"], "n_known": np.rint(total[2]).astype(np.int64), "base_score": total[1], "score": total[0]})
+        found = i[i >= 0]
+        told.append((row.bucket, row.chunk, np.packbits(i >= 0).tobytes(), np.packbits(known[found]).tobytes(), weight[found].tobytes(), base[found][known[found]].tobytes()))
+    return pd.DataFrame(told, columns=["bucket", "chunk", "found", "words", "weights", "bases"])
+
+
+def _tell(head_of, bits_of, depth: int, bits: int, rest: tuple[float, float]):
+    """A chunk's texts with their sums, from the head and from what was answered."""
+
+    def each(store: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        head, base_of, own_of = head_of.value
+        out, told = [], {r.bucket: r for r in answers.itertuples(index=False)}
+        for row, c in chunks(iter([store]), depth):
+            a, docs = Asked(c, head, bits_of.value, bits), len(c.lengths)
+            values = np.zeros((3, len(a.keys)))
+            for bucket, lo, hi in zip(a.buckets, a.cuts[:-1], a.cuts[1:], strict=True):
+                if r := told.get(bucket):
+                    i = lo + np.flatnonzero(np.unpackbits(_ints(r.found, np.uint8), count=hi - lo))
+                    values[0, i] = _ints(r.weights, float)
+                    i = i[np.unpackbits(_ints(r.words, np.uint8), count=len(i)).astype(bool)]
+                    values[1, i], values[2, i] = _ints(r.bases, float), 1
+            score, base, known = (np.bincount(a.doc, v[a.at], docs) for v in values)
+            for total, x, y in ((score, own_of, rest[0]), (base, base_of, rest[1])):
+                total += np.bincount(c.doc[a.inside], x[a.place[a.inside]], docs) + np.bincount(c.doc[a.tail], minlength=docs) * y
+            known += np.bincount(c.doc[a.inside], minlength=docs)
+            held_out = ~_ints(row.train, bool)
+            out.append(pd.DataFrame({"doc_id": list(row.doc_id), "held_out": held_out, "n_tokens": c.lengths - 1, "n_known": np.rint(known).astype(np.int64), "base_score": base, "score": score}))
+        return pd.concat(out) if out else pd.DataFrame(columns=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
+
+    return each
 
 
 def score(docs: DataFrame, least: int = 10, penalty: float = 2.0, longest: int = 4, head: int = 150_000, smooth: float = 0.1) -> DataFrame:
@@ -377,13 +385,11 @@ def score(docs: DataFrame, least: int = 10, penalty: float = 2.0, longest: int =
     lexicon = scratch.put(vocabulary.join(words_back, "h", "left").select("h", "n", log_base.alias("base"), (log_own + F.coalesce("back", F.lit(0.0))).alias("own")))
     rest = float(np.log10(1 - known)), float(np.log10(smooth / z))
     share = spark.sparkContext.broadcast
-    asks = store.mapInPandas(
-        _ask(share(most_used(lexicon, "n", head, ["h", "base", "own"])), share(sieve(weights.select("key"))), depth, bits, rest),
-        "bucket long, chunk long, doc_id array<string>, held_out array<boolean>, n_tokens array<long>, keys binary, runs binary, docs binary, sums binary",
-    )
+    head_of, bits_of = share(most_used(lexicon, "n", head, ["h", "base", "own"])), share(sieve(weights.select("key")))
+    asks = store.mapInPandas(_ask(head_of, bits_of, depth, bits), "bucket long, chunk long, keys binary")
     #: Words outside the head: what they have beyond the share of unknown ones.
-    table = lexicon.select(F.col("h").alias("key"), (F.col("own") - rest[0]).alias("weight"), (F.col("base") - rest[1]).alias("base"), F.lit(1.0).alias("known"))
-    table = table.unionAll(weights.select("key", "weight", F.lit(0.0).alias("base"), F.lit(0.0).alias("known"))).withColumn("bucket", F.shiftrightunsigned("key", 64 - bits))
-    answers = asks.groupBy("bucket").cogroup(table.groupBy("bucket")).applyInPandas(_answer, "chunk long, doc_id array<string>, held_out array<boolean>, n_tokens array<long>, docs binary, sums binary")
-    out = answers.groupBy("chunk").applyInPandas(_told, "doc_id string, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    table = lexicon.select(F.col("h").alias("key"), (F.col("own") - rest[0]).alias("weight"), (F.col("base") - rest[1]).alias("base"), F.lit(True).alias("known"))
+    table = table.unionAll(weights.select("key", "weight", F.lit(0.0).alias("base"), F.lit(False).alias("known"))).withColumn("bucket", F.shiftrightunsigned("key", 64 - bits))
+    answers = asks.groupBy("bucket").cogroup(table.groupBy("bucket")).applyInPandas(_answer, "bucket long, chunk long, found binary, words binary, weights binary, bases binary")
+    out = store.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(_tell(head_of, bits_of, depth, bits, rest), "doc_id string, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return out.select(F.col("doc_id").cast(kind).alias("doc_id"), "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
