@@ -20,4 +20,4 @@ def query(name: str, oracle: str | None = None) -> Callable:
     return add
 
 
-from chatterscope.plans import accounts, extra, market, opinions, resumed, selection, streams, text, upkeep  # noqa: E402, F401  they register themselves
+from chatterscope.plans import accounts, audits, extra, market, opinions, resumed, selection, streams, text, upkeep  # noqa: E402, F401  they register themselves
