@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from chatterscope.llm.common import Scratch, passes, sieve
 
 END = b""  #: no word is empty
-CHUNK = 400_000  #: tokens that are looked at together
+CHUNK = 1_200_000  #: tokens that are looked at together
 NUMBERS = 3_000_000  #: that a task holds before it tells
 
 
@@ -271,6 +271,23 @@ def grow(store: DataFrame, scratch: Scratch, vocabulary: DataFrame, n: int, know
     return words_back, out, depth
 
 
+def turned(key: Column) -> Column:
+    """The key's bits, turned by 24 places: what leads now says nothing of what led before."""
+    return F.shiftleft(key, 24).bitwiseOR(F.shiftrightunsigned(key, 40))
+
+
+def sieves(keys: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Two bit maps of the keys, by their leading bits and by those behind them."""
+    return sieve(keys.select("key")), sieve(keys.select(turned(F.col("key")).alias("key")))
+
+
+def passes_both(maps: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> np.ndarray:
+    found = passes(maps[0], keys)
+    k = keys[found].view(np.uint64)
+    found[found] = passes(maps[1], ((k << np.uint64(24)) | (k >> np.uint64(40))).view(np.int64))
+    return found
+
+
 def most_used(rows: DataFrame, by: str, most: int, columns: list[str]) -> list[np.ndarray]:
     """The columns, ordered by the first, of about the ``most`` rows that are largest in ``by``; packed on the way to the driver."""
     n = rows.count()
@@ -300,10 +317,10 @@ class Asked:
     ``at`` names the key of each place that needs one and ``doc`` its text; ``cuts`` are the buckets' beginnings among the keys.
     """
 
-    def __init__(self, c: Chunk, head: np.ndarray, sieved: np.ndarray, bits: int):
+    def __init__(self, c: Chunk, head: np.ndarray, sieved: tuple[np.ndarray, np.ndarray], bits: int):
         self.place, said = looked_up(head, c.hashes)[c.ids], c.at > 0
         self.inside, self.tail = said & (self.place >= 0), said & (self.place < 0)
-        needs = [np.flatnonzero(self.tail)] + [np.flatnonzero((c.at >= k) & passes(sieved, c.grams[k])) for k in range(1, len(c.grams))]
+        needs = [np.flatnonzero(self.tail)] + [np.flatnonzero((c.at >= k) & passes_both(sieved, c.grams[k])) for k in range(1, len(c.grams))]
         key = np.concatenate([c.grams[k][i] for k, i in enumerate(needs)]).view(np.uint64)
         self.doc = c.doc[np.concatenate(needs)]
         keys, self.at = np.unique(key, return_inverse=True)
@@ -351,7 +368,7 @@ def _tell(head_of, bits_of, depth: int, bits: int, rest: tuple[float, float]):
                     values[0, i] = _ints(r.weights, float)
                     i = i[np.unpackbits(_ints(r.words, np.uint8), count=len(i)).astype(bool)]
                     values[1, i], values[2, i] = _ints(r.bases, float), 1
-            score, base, known = (np.bincount(a.doc, v[a.at], docs) for v in values)
+            score, base, known = (np.bincount(a.doc, v[a.at], docs).astype(float) for v in values)  # a chunk may ask for nothing
             for total, x, y in ((score, own_of, rest[0]), (base, base_of, rest[1])):
                 total += np.bincount(c.doc[a.inside], x[a.place[a.inside]], docs) + np.bincount(c.doc[a.tail], minlength=docs) * y
             known += np.bincount(c.doc[a.inside], minlength=docs)
@@ -385,11 +402,13 @@ def score(docs: DataFrame, least: int = 10, penalty: float = 2.0, longest: int =
     lexicon = scratch.put(vocabulary.join(words_back, "h", "left").select("h", "n", log_base.alias("base"), (log_own + F.coalesce("back", F.lit(0.0))).alias("own")))
     rest = float(np.log10(1 - known)), float(np.log10(smooth / z))
     share = spark.sparkContext.broadcast
-    head_of, bits_of = share(most_used(lexicon, "n", head, ["h", "base", "own"])), share(sieve(weights.select("key")))
+    head_of, bits_of = share(most_used(lexicon, "n", head, ["h", "base", "own"])), share(sieves(weights))
     asks = store.mapInPandas(_ask(head_of, bits_of, depth, bits), "bucket long, chunk long, keys binary")
     #: Words outside the head: what they have beyond the share of unknown ones.
     table = lexicon.select(F.col("h").alias("key"), (F.col("own") - rest[0]).alias("weight"), (F.col("base") - rest[1]).alias("base"), F.lit(True).alias("known"))
     table = table.unionAll(weights.select("key", "weight", F.lit(0.0).alias("base"), F.lit(False).alias("known"))).withColumn("bucket", F.shiftrightunsigned("key", 64 - bits))
-    answers = asks.groupBy("bucket").cogroup(table.groupBy("bucket")).applyInPandas(_answer, "bucket long, chunk long, found binary, words binary, weights binary, bases binary")
+    answers = scratch.put(asks.groupBy("bucket").cogroup(table.groupBy("bucket")).applyInPandas(_answer, "bucket long, chunk long, found binary, words binary, weights binary, bases binary"))
+    scratch.drop(vocabulary, words_back, weights, lexicon)
+    scratch.release()
     out = store.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(_tell(head_of, bits_of, depth, bits, rest), "doc_id string, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return out.select(F.col("doc_id").cast(kind).alias("doc_id"), "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
