@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from chatterscope.llm.common import Scratch, passes, sieve
 
 END = b""  #: no word is empty
-CHUNK = 1_200_000  #: tokens that are looked at together
+CHUNK = 600_000  #: tokens that are looked at together
 NUMBERS = 3_000_000  #: that a task holds before it tells
 
 
