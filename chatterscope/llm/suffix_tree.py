@@ -24,6 +24,7 @@ from __future__ import annotations
 
 from array import array
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -379,8 +380,11 @@ def _tell(head_of, bits_of, depth: int, bits: int, rest: tuple[float, float]):
     return each
 
 
-def score(docs: DataFrame, least: int = 10, penalty: float = 2.0, longest: int = 4, head: int = 150_000, smooth: float = 0.1) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: one row per input row."""
+def score(docs: DataFrame, least: int = 10, penalty: float = 2.0, longest: int = 4, head: int = 150_000, smooth: float = 0.1, rounds: int = 3) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: one row per input row.
+
+    Chunks ask in ``rounds``, one after the other, so that only a part of what is asked and answered is on disk at a time.
+    """
     spark = docs.sparkSession
     scratch = Scratch(spark, "suffix-tree")
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -403,12 +407,18 @@ def score(docs: DataFrame, least: int = 10, penalty: float = 2.0, longest: int =
     rest = float(np.log10(1 - known)), float(np.log10(smooth / z))
     share = spark.sparkContext.broadcast
     head_of, bits_of = share(most_used(lexicon, "n", head, ["h", "base", "own"])), share(sieves(weights))
-    asks = store.mapInPandas(_ask(head_of, bits_of, depth, bits), "bucket long, chunk long, keys binary")
     #: Words outside the head: what they have beyond the share of unknown ones.
     table = lexicon.select(F.col("h").alias("key"), (F.col("own") - rest[0]).alias("weight"), (F.col("base") - rest[1]).alias("base"), F.lit(True).alias("known"))
     table = table.unionAll(weights.select("key", "weight", F.lit(0.0).alias("base"), F.lit(False).alias("known"))).withColumn("bucket", F.shiftrightunsigned("key", 64 - bits))
-    answers = scratch.put(asks.groupBy("bucket").cogroup(table.groupBy("bucket")).applyInPandas(_answer, "bucket long, chunk long, found binary, words binary, weights binary, bases binary"))
-    scratch.drop(vocabulary, words_back, weights, lexicon)
-    scratch.release()
-    out = store.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(_tell(head_of, bits_of, depth, bits, rest), "doc_id string, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    told = []
+    for i in range(rounds):
+        part = store.where(F.pmod(F.xxhash64("chunk"), F.lit(rounds)) == i)
+        asks = part.mapInPandas(_ask(head_of, bits_of, depth, bits), "bucket long, chunk long, keys binary")
+        answers = scratch.put(asks.groupBy("bucket").cogroup(table.groupBy("bucket")).applyInPandas(_answer, "bucket long, chunk long, found binary, words binary, weights binary, bases binary"))
+        scratch.release()
+        told.append(scratch.put(part.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(_tell(head_of, bits_of, depth, bits, rest), "doc_id string, held_out boolean, n_tokens long, n_known long, base_score double, score double")))
+        scratch.drop(answers)
+        scratch.release()
+    scratch.drop(store, vocabulary, words_back, weights, lexicon)
+    out = reduce(DataFrame.unionAll, told)
     return out.select(F.col("doc_id").cast(kind).alias("doc_id"), "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
