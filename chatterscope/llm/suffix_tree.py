@@ -55,10 +55,13 @@ def _hash(word: bytes) -> int:
 
 
 def mixed(a: np.ndarray, b: np.ndarray, salt: int) -> np.ndarray:
-    x = a.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + (b.view(np.uint64) ^ np.uint64(salt * 0x632BE59BD9B4E019 % 2**64)) * np.uint64(0xD6E8FEB86659FD93)
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return (x ^ (x >> np.uint64(31))).view(np.int64)
+    x = b.view(np.uint64) ^ np.uint64(salt * 0x632BE59BD9B4E019 % 2**64)
+    x *= np.uint64(0xD6E8FEB86659FD93)
+    x += a.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for shift, by in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, 1)):
+        x ^= x >> np.uint64(shift)
+        x *= np.uint64(by)
+    return x.view(np.int64)
 
 
 class Lexicon(dict):
@@ -112,8 +115,8 @@ class Chunk:
 
     def __init__(self, row: object, depth: int):
         self.lengths = _ints(row.lengths)
-        self.doc = np.repeat(np.arange(len(self.lengths)), self.lengths)
-        self.at = np.arange(len(self.doc)) - np.repeat(np.cumsum(self.lengths) - self.lengths, self.lengths)  # place in the text
+        self.doc = np.repeat(np.arange(len(self.lengths), dtype=np.int32), self.lengths)
+        self.at = np.arange(len(self.doc), dtype=np.int32) - np.repeat((np.cumsum(self.lengths) - self.lengths).astype(np.int32), self.lengths)  # place in the text
         self.train = _ints(row.train, bool)[self.doc]
         self.hashes, self.ids = _ints(row.words), _ints(pa.decompress(row.ids, 4 * len(self.doc), "zstd", asbytes=True), np.int32)
         self.grams = [self.hashes[self.ids]]
@@ -131,14 +134,23 @@ def _count_words(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for _, c in chunks(parts, 0):
         n = np.bincount(c.ids[c.train & (c.at > 0)], minlength=len(c.hashes))
         yield pd.DataFrame({"h": c.hashes[n > 0], "n": n[n > 0]})
+        del c  # before the next one is made
 
 
-def summed(a: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of a that differ in the first column, and the sums of n."""
-    order = np.argsort(a[:, 0], kind="stable")
-    a, n = a[order], n[order]
-    at = np.flatnonzero(np.append(True, a[1:, 0] != a[:-1, 0])) if len(a) else np.zeros(0, int)
-    return a[at], np.add.reduceat(n, at) if len(a) else n
+def joined(held: list[np.ndarray]) -> np.ndarray:
+    """The arrays as one; the list is empty then, so that they are not held twice."""
+    out = np.concatenate(held)
+    held.clear()
+    return out
+
+
+def summed(key: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The keys (unsigned) in order, each once, a place where each stands and the sum of its n, or how often it is there."""
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    at = cut_at(key)
+    total = np.diff(np.append(at, len(key))) if n is None else np.add.reduceat(n[order], at) if len(at) else n
+    return key[at], order[at], total
 
 
 def buckets(key: np.ndarray, bits: int) -> np.ndarray:
@@ -158,14 +170,18 @@ def often(store: DataFrame, least: int, bits: int) -> DataFrame:
         for _, c in chunks(parts, 1):
             held.append(c.grams[1][c.train & (c.at > 0)].view(np.uint64))
             waiting += len(held[-1])
+            del c
             if waiting > NUMBERS:
                 yield packed(held)
-                held, waiting = [], 0
+                waiting = 0
         if waiting:
             yield packed(held)
 
     def packed(held: list[np.ndarray]) -> pd.DataFrame:
-        key, n = np.unique(np.concatenate(held), return_counts=True)
+        key = joined(held)
+        key.sort()
+        at = cut_at(key)
+        key, n = key[at], np.diff(np.append(at, len(key)))
         bucket = (key >> np.uint64(64 - bits)).astype(np.int64)
         low = (key >> np.uint64(32 - bits)).astype(np.uint32)
         at = cut_at(bucket)
@@ -174,8 +190,8 @@ def often(store: DataFrame, least: int, bits: int) -> DataFrame:
     def merged(pdf: pd.DataFrame) -> pd.DataFrame:
         low = np.concatenate([_ints(x, np.uint32) for x in pdf["low"]])
         n = np.concatenate([_ints(x, np.uint8 if least < 256 else np.uint32) for x in pdf["n"]]).astype(np.int64)
-        key, n = summed(low[:, None], n)
-        key = key[n >= least, 0].astype(np.uint64) << np.uint64(32 - bits)
+        low, _, n = summed(low, n)
+        key = low[n >= least].astype(np.uint64) << np.uint64(32 - bits)
         return pd.DataFrame({"key": (key | np.uint64(int(pdf["bucket"].iloc[0]) << (64 - bits))).view(np.int64)})
 
     return store.mapInPandas(each, "bucket long, low binary, n binary").groupBy("bucket").applyInPandas(merged, "key long")
@@ -188,29 +204,35 @@ def counted(store: DataFrame, depth: int, fits: Callable[[Chunk], np.ndarray], l
     """
 
     def each(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, waiting = [], 0
+        ctx, suf, waiting = [], [], 0
 
         def told() -> pd.DataFrame:
-            a, n = summed(np.concatenate(held), np.ones(waiting, np.int64))
-            order = np.argsort(a[:, 0].view(np.uint64), kind="stable")
-            a, n = a[order], n[order]
-            at = cut_at(buckets(np.ascontiguousarray(a[:, 0]), bits))
-            return pd.DataFrame({"bucket": buckets(np.ascontiguousarray(a[at, 0]), bits), "ctx": [x.tobytes() for x in np.split(np.ascontiguousarray(a[:, 1]), at[1:])], "suf": [x.tobytes() for x in np.split(np.ascontiguousarray(a[:, 2]), at[1:])], "n": [x.astype(np.int32).tobytes() for x in np.split(n, at[1:])]})
+            a, b = joined(ctx), joined(suf)
+            key, at, n = summed(mixed(a, b, depth).view(np.uint64))
+            a, b, bucket = a[at], b[at], buckets(key, bits)
+            cuts = cut_at(bucket)
+            parts = {k: [x.tobytes() for x in np.split(v, cuts[1:])] for k, v in (("ctx", a), ("suf", b), ("n", n.astype(np.int32)))}
+            return pd.DataFrame({"bucket": bucket[cuts], **parts})
 
         for _, c in chunks(parts, depth):
             i = np.flatnonzero(c.train & (c.at >= depth) & fits(c))
-            held.append(np.column_stack([c.grams[depth][i], c.grams[depth - 1][i - 1], c.grams[depth - 1][i]]))
+            suf.append(c.grams[depth - 1][i])
+            i -= 1
+            ctx.append(c.grams[depth - 1][i])
             waiting += len(i)
+            del c, i
             if waiting > NUMBERS:
                 yield told()
-                held, waiting = [], 0
+                waiting = 0
         if waiting:
             yield told()
 
     def merged(pdf: pd.DataFrame) -> pd.DataFrame:
         ctx, suf, n = (np.concatenate([_ints(x, t) for x in pdf[k]]) for k, t in (("ctx", np.int64), ("suf", np.int64), ("n", np.int32)))
-        a, n = summed(np.column_stack([mixed(ctx, suf, depth), ctx, suf]), n.astype(np.int64))
-        return pd.DataFrame(a[n >= least], columns=["key", "ctx", "suf"]).assign(n=n[n >= least])
+        key, at, n = summed(mixed(ctx, suf, depth).view(np.uint64), n.astype(np.int64))
+        often = n >= least
+        at = at[often]
+        return pd.DataFrame({"key": key[often].view(np.int64), "ctx": ctx[at], "suf": suf[at], "n": n[often]})
 
     packed = store.mapInPandas(each, "bucket long, ctx binary, suf binary, n binary")
     return packed.groupBy("bucket").applyInPandas(merged, "key long, ctx long, suf long, n long")
@@ -315,16 +337,26 @@ def looked_up(have: np.ndarray, asked: np.ndarray) -> np.ndarray:
 class Asked:
     """What a chunk needs of the model: its words outside the head and the grams that may have a weight, each key once, in order.
 
-    ``at`` names the key of each place that needs one and ``doc`` its text; ``cuts`` are the buckets' beginnings among the keys.
+    ``cuts`` are the buckets' beginnings among the keys. With ``places``, ``at`` names the key of each place that needs one and ``doc`` its text.
     """
 
-    def __init__(self, c: Chunk, head: np.ndarray, sieved: tuple[np.ndarray, np.ndarray], bits: int):
+    def __init__(self, c: Chunk, head: np.ndarray, sieved: tuple[np.ndarray, np.ndarray], bits: int, places: bool = False):
         self.place, said = looked_up(head, c.hashes)[c.ids], c.at > 0
         self.inside, self.tail = said & (self.place >= 0), said & (self.place < 0)
-        needs = [np.flatnonzero(self.tail)] + [np.flatnonzero((c.at >= k) & passes_both(sieved, c.grams[k])) for k in range(1, len(c.grams))]
-        key = np.concatenate([c.grams[k][i] for k, i in enumerate(needs)]).view(np.uint64)
-        self.doc = c.doc[np.concatenate(needs)]
-        keys, self.at = np.unique(key, return_inverse=True)
+        keys, docs = [], []
+        for k, grams in enumerate(c.grams):
+            i = np.flatnonzero((c.at >= k) & passes_both(sieved, grams) if k else self.tail)
+            keys.append(grams[i].view(np.uint64))
+            if places:
+                docs.append(c.doc[i])
+        c.grams.clear()  # the most of a chunk; nothing asks for them again
+        key = joined(keys)
+        if places:
+            self.doc = joined(docs)
+            keys, self.at = np.unique(key, return_inverse=True)
+        else:
+            key.sort()
+            keys = key[cut_at(key)]
         self.keys = keys.view(np.int64)
         bucket = buckets(self.keys, bits)
         self.cuts = np.append(cut_at(bucket), len(bucket))
@@ -338,6 +370,7 @@ def _ask(head_of, bits_of, depth: int, bits: int):
         for row, c in chunks(parts, depth):
             a = Asked(c, head_of.value[0], bits_of.value, bits)
             yield pd.DataFrame({"bucket": a.buckets, "chunk": row.chunk, "keys": [a.keys[i:j].tobytes() for i, j in zip(a.cuts[:-1], a.cuts[1:], strict=True)]})
+            del c, a
 
     return each
 
@@ -361,7 +394,7 @@ def _tell(head_of, bits_of, depth: int, bits: int, rest: tuple[float, float]):
         head, base_of, own_of = head_of.value
         out, told = [], {r.bucket: r for r in answers.itertuples(index=False)}
         for row, c in chunks(iter([store]), depth):
-            a, docs = Asked(c, head, bits_of.value, bits), len(c.lengths)
+            a, docs = Asked(c, head, bits_of.value, bits, places=True), len(c.lengths)
             values = np.zeros((3, len(a.keys)))
             for bucket, lo, hi in zip(a.buckets, a.cuts[:-1], a.cuts[1:], strict=True):
                 if r := told.get(bucket):
