@@ -114,19 +114,22 @@ def mixed(*parts: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, n_shingles, key (the set's name), tokens; without shingles the key is null and there are no tokens."""
+    """doc_id, n_shingles, key (the set's name), tokens, sig (their lowest bytes: the sketch); without shingles the key is null and there are no tokens."""
 
     def each(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingles = Shingles()
         for pdf in parts:
-            sets = [shingles.of(t, size) for t in pdf["text"]]
-            yield pd.DataFrame({
-                "doc_id": pdf["doc_id"], "n_shingles": [len(u) for u in sets],
-                "key": pd.array([name_of(u) if len(u) else None for u in sets], "Int64"),
-                "tokens": [minwise(u).tobytes() if len(u) else None for u in sets],
-            })
+            told = [of(shingles.of(t, size)) for t in pdf["text"]]  # a set goes before the next one is made
+            n, key, tokens, sig = zip(*told, strict=True) if told else ((),) * 4
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_shingles": n, "key": pd.array(key, "Int64"), "tokens": tokens, "sig": sig})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(each, "doc_id long, n_shingles long, key long, tokens binary")
+    def of(u: np.ndarray) -> tuple[int, int | None, bytes | None, bytes | None]:
+        if not len(u):
+            return 0, None, None, None
+        tokens = minwise(u).astype("<u4")
+        return len(u), name_of(u), tokens.tobytes(), tokens.view(np.uint8)[::4].tobytes()
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(each, "doc_id long, n_shingles long, key long, tokens binary, sig binary")
 
 
 def _tokens(column: pd.Series) -> np.ndarray:
@@ -453,8 +456,8 @@ def near_duplicates(
     bare = F.when(F.col("doc_id").isNotNull(), F.xxhash64(F.lit("no shingles"), "doc_id"))
     rows = sketches(docs, size).withColumn("key", F.when(F.col("doc_id").isNotNull(), F.coalesce("key", bare)))
     rows = scratch.put(rows)
-    sets = rows.where("tokens is not null and key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("tokens").alias("tokens"))
-    sets = scratch.put(sets.withColumn("sig", _low_bytes(F.col("tokens"))))
+    sets = rows.where("tokens is not null and key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("tokens").alias("tokens"), F.first("sig").alias("sig"))
+    sets = scratch.put(sets)
     keys = scratch.put(rows.select("doc_id", "n_shingles", "key"))
     scratch.drop(rows)
     several = keys.groupBy("doc_id").agg(F.min("key").alias("a"), F.max("key").alias("b")).where("a < b").select("doc_id", "a")
@@ -470,8 +473,3 @@ def near_duplicates(
     named = keys.join(classes.withColumnsRenamed({"id": "key", "to": "_c"}), "key", "left").withColumn("_c", F.coalesce("_c", "key"))
     least = named.where("_c is not null").groupBy("_c").agg(F.min("doc_id").alias("component_id"))
     return named.join(least, "_c", "left").select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
-
-
-def _low_bytes(tokens: Column) -> Column:
-    """The lowest byte of every token: the sketch."""
-    return F.unhex(F.regexp_replace(F.hex(tokens), "(..)......", "$1"))

@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 
-from chatterscope.llm import suffix_tree
+from chatterscope.llm import near_dup, suffix_tree
 
 TOKENS, TEXT = 200_000, 500
 
@@ -79,3 +79,21 @@ def test_counts_of_grams(monkeypatch):
     assert len(packed) > len(set(packed["bucket"]))  # several packs of a bucket were merged
     assert {(a, b): n for a, b, n in zip(got["ctx"], got["suf"], got["n"], strict=True)} == {k: n for k, n in want.items() if n >= 30}
     assert (suffix_tree.mixed(got["ctx"].to_numpy(), got["suf"].to_numpy(), 2) == got["key"].to_numpy()).all()
+
+
+def test_sketching_holds_one_set(spark):
+    class Docs(Store):
+        def select(self, *columns):
+            return self
+
+    store = Docs()
+    near_dup.sketches(store, 5)
+    rng = np.random.default_rng(5)
+    texts = [" ".join(map(str, rng.integers(0, 50_000, 2_000))) for _ in range(500)]
+    pdf = pd.DataFrame({"doc_id": range(len(texts) + 2), "text": [*texts, None, " "]})
+    list(store.each(iter([pdf])))
+    assert peak(store.each(iter([pdf]))) < 13_000_000  # before, all sets at once: 16.7 MB
+    out = next(store.each(iter([pdf])))
+    assert [(r.n_shingles, pd.isna(r.key), r.tokens, r.sig) for r in out.tail(2).itertuples()] == [(0, True, None, None)] * 2
+    assert all((np.frombuffer(r.sig, np.uint8) == np.frombuffer(r.tokens, "<u4") % 256).all() for r in out.head(500).itertuples())
+    assert next(store.each(iter([pdf.head(0)]))).empty
