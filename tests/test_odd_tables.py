@@ -29,3 +29,8 @@ def test_leading_post_over_a_million_ids(spark, tmp_path):
     """Two posts two engagements apart, whose ids are five million apart; and two of equal value."""
     got, want = both(spark, tmp_path, "a21_account_leaders", events=events((4, 1, 7.0, 1), (5_000_004, 1, 5.0, 1), (8, 2, 6.0, 1), (1_000_008, 2, 5.0, 1), (12, 3, 9.0, 10)))
     assert got == want and {r[0]: r[-1] for r in got} == {"1": 5_000_004, "2": 8, "3": 12}
+
+
+def test_evidence_in_texts_without_characters(spark, tmp_path):
+    got, want = both(spark, tmp_path, "f52_evidence_location", documents=([(1, ""), (2, None), (3, "abc"), (4, "x" * 30), (5, "é\U0001f986" * 12)], "doc_id long, text string"))
+    assert got == want and len(got) == 5
