@@ -23,11 +23,17 @@ def observations(spark, sf):
 
 
 def settled(spark, sf, repair):
-    """The log is a stored table; a stream pages through it by (arrived_at, arrival) and keeps each post's counter as state."""
+    """The log is a stored table, in its order; a stream pages through it by (arrived_at, arrival) and keeps each post's counter as state.
+
+    A page has 20,000 rows, of a log of over 32 pages a 32nd, and a million at most, whatever the log holds: a batch of the
+    stream has its price also where it holds little. A page is read by one task for each 50,000 rows, and by four at least.
+    """
     paged.register(spark)
     log, out, checkpoint = (shared.place(spark, f"settlement-{x}") for x in ("log", "out", "checkpoint"))
-    observations(spark, sf).write.parquet(log)
-    stream = spark.readStream.format("paged").schema(SCHEMA).options(path=log, ts="arrived_at", key="arrival", page=20_000).load()
+    order = ["arrived_at", "arrival"]
+    observations(spark, sf).repartitionByRange(*order).sortWithinPartitions(*order).write.option("parquet.block.size", 4 << 20).parquet(log)
+    page = min(max(20_000, -(-spark.read.parquet(log).count() // 32)), 1_000_000)
+    stream = spark.readStream.format("paged").schema(SCHEMA).options(path=log, ts="arrived_at", key="arrival", page=page, slices=max(4, -(-page // 50_000))).load()
     settlement.drained(settlement.settle(stream, repair=repair).writeStream.outputMode("update").foreachBatch(settlement.write_changes(out)), checkpoint)
     return settlement.latest_changes(spark, out, ["feed_id"]).select("feed_id", "settled", "likes")
 

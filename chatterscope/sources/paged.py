@@ -3,6 +3,7 @@
 An offset is the (time, id) of the last row of a page, so rows of one instant are neither lost nor doubled, and it carries
 a hash of what the stream reads: a checkpoint goes on only over the source it was made for. A page is the next ``page`` rows in order; it
 is cut into ``slices`` by its own (time, id) quantiles, which executors read each by itself, with the bounds pushed to the files' row groups.
+So is the search for a page's end, where the footers tell how many rows follow: over files in about the order of the log a page costs what it holds.
 After a restart the first batch takes all that is left. Reading is by pyarrow from the folder that driver and
 executors share; new rows have to be newer than those that were read, as a log's are. Times or ids that are null are not part of the order and are not read.
 
@@ -78,11 +79,30 @@ class PagedReader(DataSourceStreamReader):
             out = out & (ts <= t) & ((ts < t) | (key <= through[1]))
         return out
 
+    def _reach(self, rows: ds.Dataset, after: tuple[str, int] | None, most: int) -> datetime | None:
+        """A time through which ``most`` rows follow for certain, by what the files' footers tell; None if they don't."""
+        start, told, many = datetime.fromisoformat(after[0]) if after else None, [], 0
+        for file in rows.get_fragments():
+            for group in map(file.metadata.row_group, range(file.metadata.num_row_groups)):
+                columns = {c.path_in_schema: c.statistics for c in map(group.column, range(group.num_columns))}
+                ts, key = columns.get(self.ts), columns.get(self.key)
+                if ts is None or key is None or not (ts.has_min_max and ts.has_null_count and key.has_null_count) or not isinstance(ts.max, datetime):
+                    continue
+                if start is None or ts.min.replace(tzinfo=None) > start:
+                    told.append((ts.max, group.num_rows - ts.null_count - key.null_count))
+        for at, n in sorted(told):
+            if (many := many + n) >= most:
+                return at
+        return None
+
     def _places(self, after: tuple[str, int] | None, through: tuple[str, int] | None, nth: list[int]) -> list[tuple[str, int]]:
         """The rows of these ranks after a place; of a page at most, since batches' smallest are kept while the keys are read."""
         rows = self._rows()
         most, kept = max(nth) + 1, None
-        for batch in rows.to_batches(columns=[self.ts, self.key], filter=self._between(rows, after, through)):
+        wanted = self._between(rows, after, through)
+        if not through and (reach := self._reach(rows, after, most)):
+            wanted = wanted & (ds.field(self.ts) <= self._bound(rows, reach.replace(tzinfo=None).isoformat()))
+        for batch in rows.to_batches(columns=[self.ts, self.key], filter=wanted):
             if batch.num_rows:
                 kept = pa.Table.from_batches([batch]) if kept is None else pa.concat_tables([kept, pa.Table.from_batches([batch])])
                 if kept.num_rows > 4 * most:

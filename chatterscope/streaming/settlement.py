@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from typing import Any
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import DataStreamWriter
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -23,44 +21,6 @@ def windowed(events: DataFrame, ts: str, keys: list[str], width: str, late: str
     return events.groupBy(F.window(ts, width).alias("w"), *keys).agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
 
 
-class Settlement(StatefulProcessor):
-    """One post's counter: what counts now, and what a repair would choose.
-
-    Three values, whatever the number of observations: the choice (settled, time, counter), the ripe observation of
-    least time, and the observation of greatest time.
-    """
-
-    def __init__(self, hours: int, repair: bool):
-        self.age, self.repair = pd.Timedelta(hours=hours), repair
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        seen = "at timestamp_ntz, likes long"
-        self.choice, self.first, self.last = handle.getValueState("choice", f"settled boolean, {seen}"), handle.getValueState("first", seen), handle.getValueState("last", seen)
-
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        choice, first, last = (s.get() if s.exists() else None for s in (self.choice, self.first, self.last))
-        arrived = pd.concat(list(rows)).sort_values(["arrived_at", "arrival"])
-        for r in arrived.itertuples(index=False):
-            if pd.isna(r.observed_at):
-                continue
-            at, likes = r.observed_at.to_pydatetime(), None if pd.isna(r.likes) else int(r.likes)
-            ripe = not pd.isna(r.posted_at) and r.observed_at >= r.posted_at + self.age
-            first = (at, likes) if ripe and (first is None or at < first[0]) else first  # a time seen again changes nothing
-            last = (at, likes) if last is None or at > last[0] else last
-            if choice is None or not choice[0]:
-                choice = (ripe, at, likes)
-        if self.repair and last is not None:
-            choice = (True, *first) if first is not None else (False, *last)
-        for state, value in ((self.choice, choice), (self.first, first), (self.last, last)):
-            if value is not None:
-                state.update(tuple(value))
-        if choice is not None:
-            yield pd.DataFrame({"feed_id": [key[0]], "settled": [choice[0]], "observed_at": [choice[1]], "likes": pd.array([choice[2]], "Int64")})
-
-    def close(self) -> None:
-        pass
-
-
 def settle(observations: DataFrame, hours: int = 24, repair: bool = False) -> DataFrame:
     """feed_id, settled, observed_at, likes of every post that a batch touches, in update mode.
 
@@ -69,9 +29,23 @@ def settle(observations: DataFrame, hours: int = 24, repair: bool = False) -> Da
     frozen, and later arrivals are kept out, be they early or late in time. ``repair`` chooses anew at each
     batch from all that came: the ripe observation of least time, else the one of greatest time. Observations seen
     again change nothing once a post is settled or under repair; those without a time are ignored.
+
+    The state is two observations a post, whatever their number: the first that is ripe and the last of all, by arrival or
+    by time. Both are least or greatest by an order of the rows' own, so how a log is cut into batches changes nothing.
     """
     observations.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
-    return observations.groupBy("feed_id").transformWithStateInPandas(Settlement(hours, repair), "feed_id long, settled boolean, observed_at timestamp_ntz, likes long", "Update", "None")
+    at, posted, arrival = F.col("observed_at").cast("timestamp_ntz"), F.col("posted_at").cast("timestamp_ntz"), F.col("arrival")
+    since = F.col("arrived_at").cast("timestamp_ntz") - F.expr("timestamp_ntz'1970-01-01'")
+    came = F.struct(since.isNull(), since, arrival.isNull(), arrival)  # unknown ones last
+    latest = F.struct(since.isNotNull(), -since, arrival.isNotNull(), -arrival)  # the same, descending
+    ripe = at >= posted + F.make_dt_interval(hours=F.lit(hours))
+    value = F.struct(at.alias("observed_at"), F.col("likes").alias("likes"))
+    first, last = ((at, came), (at, latest)) if repair else ((came,), (came,))
+    kept = observations.where(at.isNotNull()).groupBy("feed_id").agg(
+        F.min(F.when(ripe, F.struct(*first, value.alias("value"))))["value"].alias("first"), F.max(F.struct(*last, value.alias("value")))["value"].alias("last")
+    )
+    chosen = F.coalesce("first", "last")
+    return kept.select("feed_id", F.col("first").isNotNull().alias("settled"), chosen["observed_at"].alias("observed_at"), chosen["likes"].alias("likes"))
 
 
 def write_changes(path: str) -> Callable[[DataFrame, int], None]:
