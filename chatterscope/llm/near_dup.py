@@ -40,39 +40,76 @@ _RNG = np.random.default_rng(11)
 _MUL = (_RNG.integers(1, 1 << 31, POSITIONS, np.uint32) * 2 + 1).astype(np.uint32)
 _ADD = _RNG.integers(0, 1 << 32, POSITIONS, np.uint32)
 _WORD = (_RNG.integers(1, 1 << 62, 64, np.uint64) * 2 + 1).astype(np.uint64)
-CACHED = 200_000
+#: Bytes of a text that are hashed at once, unless one word is longer.
+PIECE = 1 << 16
+#: What a byte counts in a word's hash, A-Z like a-z; bytes between words.
+_LETTER = _RNG.integers(0, 1 << 63, 256, np.uint64) * 2 + 1
+_LETTER[65:91] = _LETTER[97:123]
+_BLANK = np.isin(np.arange(256), [32, *range(9, 14)])
 #: How far below the threshold an estimate may lie: over four standard deviations, so about 2 of 100,000 links at just the threshold have none.
 SLACK = 0.16
 #: Shingles of full sets that one task compares at a time (8 bytes each).
 FULL = 4_000_000
 
 
-class Shingles(dict):
-    """Word -> 64-bit hash, remembered; sets of whole texts."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHED:
-            self.clear()
-        out = xxhash.xxh3_64_intdigest(word)
-        self[word] = out
-        return out
-
-    def of(self, text: str | None, size: int) -> np.ndarray:
-        """Sorted distinct shingle hashes."""
-        words = text.encode().lower().split() if text else []
-        if not words:
-            return np.zeros(0, np.uint64)
-        w = np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
-        if len(w) < size:
-            h = np.array([int(x) for x in [(w * _WORD[: len(w)]).sum() ^ _WORD[63 - len(w)]]], np.uint64)
-        else:
-            h = np.zeros(len(w) - size + 1, np.uint64)
-            for k in range(size):
-                h += w[k : len(w) - size + 1 + k] * _WORD[k]
-        h ^= h >> np.uint64(31)
-        h *= np.uint64(0x9E3779B97F4A7C15)
-        h ^= h >> np.uint64(29)
-        return np.unique(h)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of an odd number and of its inverse, modulo 2 ** 64."""
+    base = [0x9E3779B97F4A7C13, pow(0x9E3779B97F4A7C13, -1, 1 << 64)]
+    up, down = (np.cumprod(np.append(np.uint64(1), np.full(n - 1, x, np.uint64))) for x in base)
+    return up, down
+
+
+_UP, _DOWN = _powers(PIECE)
+
+
+def _hashed(piece: np.ndarray) -> np.ndarray:
+    """The words' hashes: sums of their letters' numbers times powers by place, from running sums over the bytes."""
+    up, down = (_UP, _DOWN) if len(piece) <= PIECE else _powers(len(piece))
+    blank = np.concatenate(([True], _BLANK[piece], [True]))
+    edges = np.flatnonzero(blank[1:] != blank[:-1])
+    start, end = edges[::2], edges[1::2]
+    total = np.zeros(len(piece) + 1, np.uint64)
+    np.cumsum(_LETTER[piece] * up[: len(piece)], out=total[1:])
+    h = (total[end] - total[start]) * down[start]
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0xD6E8FEB86659FD93)
+    h ^= h >> np.uint64(29)
+    return h
+
+
+def words(text: str | None) -> np.ndarray:
+    """64-bit hashes of a text's words in lower case (A-Z), in order; a piece of the text at a time, cut at a blank."""
+    data = np.frombuffer((text or "").encode(), np.uint8)
+    found, at = [np.zeros(0, np.uint64)], 0
+    while at < len(data):
+        end = at + PIECE
+        if end < len(data):
+            near = np.flatnonzero(_BLANK[data[at:end]])
+            while not len(near) and end < len(data):  # one word fills the piece
+                near = np.flatnonzero(_BLANK[data[end : end + PIECE]]) + end - at
+                end += PIECE
+            end = at + int(near[-1]) + 1 if len(near) else len(data)
+        found.append(_hashed(data[at:end]))
+        at = end
+    return np.concatenate(found)
+
+
+def shingles(text: str | None, size: int) -> np.ndarray:
+    """Sorted distinct shingle hashes."""
+    w = words(text)
+    if not len(w):
+        return w
+    if len(w) < size:
+        h = np.array([int(x) for x in [(w * _WORD[: len(w)]).sum() ^ _WORD[63 - len(w)]]], np.uint64)
+    else:
+        h = np.zeros(len(w) - size + 1, np.uint64)
+        for k in range(size):
+            h += w[k : len(w) - size + 1 + k] * _WORD[k]
+    h ^= h >> np.uint64(31)
+    h *= np.uint64(0x9E3779B97F4A7C15)
+    h ^= h >> np.uint64(29)
+    h.sort()
+    return h[np.append(True, h[1:] != h[:-1])]
 
 
 def minwise(u: np.ndarray) -> np.ndarray:
@@ -96,9 +133,8 @@ def full_sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(sieve(ids.select(hashed("rep").alias("key"))))
 
     def each(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shingles = Shingles()
         for pdf in parts:
-            sets = [shingles.of(t, size) for t in pdf["text"][passes(shared.value, pdf["h"].to_numpy(np.int64))]]
+            sets = [shingles(t, size) for t in pdf["text"][passes(shared.value, pdf["h"].to_numpy(np.int64))]]
             yield pd.DataFrame({"key": np.array([name_of(u) for u in sets], np.int64), "set": [u.tobytes() for u in sets]})
 
     return docs.where("doc_id is not null").select(hashed("doc_id").alias("h"), "text").mapInPandas(each, "key long, set binary")
@@ -117,9 +153,8 @@ def sketches(docs: DataFrame, size: int) -> DataFrame:
     """doc_id, n_shingles, key (the set's name), tokens, sig (their lowest bytes: the sketch); without shingles the key is null and there are no tokens."""
 
     def each(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shingles = Shingles()
         for pdf in parts:
-            told = [of(shingles.of(t, size)) for t in pdf["text"]]  # a set goes before the next one is made
+            told = [of(shingles(t, size)) for t in pdf["text"]]  # a set goes before the next one is made
             n, key, tokens, sig = zip(*told, strict=True) if told else ((),) * 4
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_shingles": n, "key": pd.array(key, "Int64"), "tokens": tokens, "sig": sig})
 
