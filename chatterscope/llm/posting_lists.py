@@ -5,7 +5,8 @@ best-first. Every vector goes to the list of its nearest centroid and, near a bo
 ``max_replicas`` in all: those whose centroid is at most ``1 + replica_slack`` times as far as the nearest. A query reads the lists whose centroids are at most ``ratio`` times as far as
 its nearest (at least ``min_lists``), so easy queries read few; the ratio is the one that finds ``recall`` of the
 neighbours within the sample, replicas counted. Lists longer than ``chunk_rows`` are cut by a
-hash of the id and their chunks searched apart: however many vectors one list holds, no task holds more.
+hash of the id and their chunks searched apart: however many vectors one list holds, no task holds more. Rows are routed
+a few at a time and leave the task in small frames, so it holds as little where there are many centroids and lists to read.
 
 Defined cases: vectors that are null, zero, of another length than most, or hold null or non-finite components take
 no part, nor do rows without an id; ties go to the smaller id; rows of one id count as one candidate at its
@@ -25,6 +26,15 @@ from pyspark.sql import Window as W
 from chatterscope.llm.common import Scratch
 
 
+#: Distances that a task holds at once while it routes, and rows in a frame that it gives out; pairs that are compared at once.
+CELLS, FRAME, PAIRS = 1_000_000, 4_096, 1 << 16
+
+
+def least(d: np.ndarray, k: int) -> np.ndarray:
+    """The columns of each row's k least values, in any order."""
+    return np.argpartition(d, k - 1, axis=1)[:, :k] if k < d.shape[1] else np.tile(np.arange(d.shape[1]), (len(d), 1))
+
+
 class Centroids:
     """Centroids and a graph over them."""
 
@@ -35,7 +45,7 @@ class Centroids:
         for at in range(0, n, 512):
             d = self.far(self.points[at : at + 512], self.points)
             d[np.arange(len(d)), at + np.arange(len(d))] = np.inf
-            self.graph[at : at + 512] = np.argsort(d, axis=1)[:, : self.graph.shape[1]]
+            self.graph[at : at + 512] = least(d, self.graph.shape[1])
         step = max(1, n // 16)
         self.entries = np.arange(0, n, step)[:16]
 
@@ -57,17 +67,18 @@ class Centroids:
         live = np.arange(len(x))
         norms = (self.points * self.points).sum(1)
         while len(live):
-            near = np.argpartition(d[live], beam - 1, axis=1)[:, :beam] if beam < n else np.tile(np.arange(n), (len(live), 1))
-            cost = np.where(opened[live[:, None], near] | np.isinf(d[live[:, None], near]), np.inf, d[live[:, None], near])
+            near = least(d[live], beam) if beam < n else None
+            at = live if near is None else (live[:, None], near)
+            cost = np.where(opened[at], np.inf, d[at])
             if within is not None:
                 cost = np.where(cost <= within * within * d[live].min(axis=1)[:, None] + 1e-12, cost, np.inf)
-            best = np.argsort(cost, axis=1)[:, :16]
+            best = least(cost, min(16, beam))
             todo = np.isfinite(np.take_along_axis(cost, best, 1))
             going = todo.any(1)
-            live, near, best, todo = live[going], near[going], best[going], todo[going]
+            live, best, todo = live[going], best[going], todo[going]
             if not len(live):
                 break
-            open_now = np.take_along_axis(near, best, 1)
+            open_now = best if near is None else np.take_along_axis(near[going], best, 1)
             rows = np.repeat(live, open_now.shape[1])[todo.ravel()]
             nodes = open_now.ravel()[todo.ravel()]
             opened[rows, nodes] = True
@@ -75,7 +86,8 @@ class Centroids:
             new = np.isinf(d[r, c])
             r, c = r[new], c[new]
             d[r, c] = np.maximum(norms[c] + (x[r] * x[r]).sum(1) - 2 * np.einsum("ij,ij->i", x[r], self.points[c]), 0)
-        ids = np.argsort(d, axis=1)[:, :beam]
+        ids = least(d, beam)
+        ids = np.take_along_axis(ids, np.argsort(np.take_along_axis(d, ids, 1), axis=1), 1)
         return ids, np.sqrt(np.take_along_axis(d, ids, 1))
 
 
@@ -125,11 +137,40 @@ def needed_ratio(x: np.ndarray, known: Centroids, k: int, recall: float, slack:
     return float(np.quantile(np.concatenate(ratios), recall))
 
 
+def nearest(x: np.ndarray, own: np.ndarray, v: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, id, distance) of each query's k nearest ids, without its own; rows of one id count as one at its nearest.
+
+    Products choose rows, with room for their rounding; distances of those are summed from the differences.
+    """
+    order = np.argsort(own, kind="stable")
+    x, own = x[order], own[order]
+    with np.errstate(over="ignore", invalid="ignore"):
+        size = (v * v).sum(1)[:, None] + (x * x).sum(1)
+        d = size - 2 * v @ x.T
+        wild = ~np.isfinite(d)  # squares beyond all numbers: the differences may have some
+        other = own != q[:, None]
+        d[wild | ~other] = np.inf
+        each = np.minimum.reduceat(d, np.flatnonzero(np.append(True, own[1:] != own[:-1])), axis=1)
+        bar = np.partition(each, k - 1, axis=1)[:, k - 1 : k] if each.shape[1] > k else np.inf
+        r, c = np.nonzero(other & (wild | (d <= bar + 1e-9 * size)))
+        far = np.sqrt(((x[c] - v[r]) ** 2).sum(1))
+    r, ids, far = r[np.isfinite(far)], own[c[np.isfinite(far)]], far[np.isfinite(far)]
+    order = np.lexsort((far, ids, r))
+    r, ids, far = r[order], ids[order], far[order]
+    first = np.append(True, (r[1:] != r[:-1]) | (ids[1:] != ids[:-1]))[: len(r)]
+    r, ids, far = r[first], ids[first], far[first]
+    order = np.lexsort((ids, far, r))
+    r, ids, far = r[order], ids[order], far[order]
+    kept = np.arange(len(r)) - np.searchsorted(r, r) < k
+    return q[r[kept]], ids[kept], far[kept]
+
+
 def valid(vectors: DataFrame, is_query: Column, id_col: str, vector_col: str) -> DataFrame:
-    """id, v and asks (it is a query): the rows that take part."""
+    """id, v and asks (it is a query): the rows that take part; v in single precision only where the table has no more."""
     v = F.col(vector_col)
     sound = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
-    rows = vectors.where(v.isNotNull() & F.col(id_col).isNotNull() & sound).select(F.col(id_col).cast("long").alias("id"), v.cast("array<double>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks"))
+    kind = "array<float>" if vectors.select(v).dtypes[0][1] == "array<float>" else "array<double>"
+    rows = vectors.where(v.isNotNull() & F.col(id_col).isNotNull() & sound).select(F.col(id_col).cast("long").alias("id"), v.cast(kind).alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks"))
     usual = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
     return rows.where(F.size("v") == (usual["n"] if usual else 0))
 
@@ -158,9 +199,10 @@ def search(
     def routed(query: bool):
         def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             known = Centroids(points)
+            few = max(16, min(1024, CELLS // len(points)))
             for whole in batches:
-                for at in range(0, len(whole), 1024):
-                    pdf = whole.iloc[at : at + 1024]
+                for at in range(0, len(whole), few):
+                    pdf = whole.iloc[at : at + few]
                     v = _stack(pdf["v"]).astype(np.float32)
                     if query:
                         ids, far = known.search(v, len(points), ratio)
@@ -168,11 +210,14 @@ def search(
                     else:
                         ids, take = held_in(known, v, replica_slack, max_replicas)
                     r, c = np.nonzero(take)
-                    yield pd.DataFrame({"list": ids[r, c].astype(np.int32), "id": pdf["id"].to_numpy()[r], "v": pdf["v"].to_numpy()[r]})
+                    to, own, held = ids[r, c].astype(np.int32), pdf["id"].to_numpy(), pdf["v"].to_numpy()
+                    for k in range(0, len(r), FRAME):
+                        part = slice(k, k + FRAME)
+                        yield pd.DataFrame({"list": to[part], "id": own[r[part]], "v": held[r[part]]})
 
         return each
 
-    schema = "list int, id long, v array<double>"
+    schema = f"list int, id long, v {dict(rows.dtypes)['v']}"
     postings = scratch.put(rows.mapInPandas(routed(False), schema))
     sizes = postings.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / chunk_rows).cast("int").alias("chunks"))
     sizes = F.broadcast(sizes)  # at most max_sample / 8 rows
@@ -181,19 +226,12 @@ def search(
     asked = asked.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
 
     def compare(held: pd.DataFrame, asks: pd.DataFrame) -> pd.DataFrame:
-        out = []
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
         if len(held) and len(asks):
-            held = held.sort_values("id", kind="stable")
-            x = _stack(held["v"])
-            own, first = np.unique(held["id"].to_numpy(), return_index=True)  # rows of one id are one candidate
-            for q, v in zip(asks["id"].to_numpy(), _stack(asks["v"]), strict=True):
-                d = np.minimum.reduceat(np.sqrt(((x - v) ** 2).sum(1)), first)
-                d[own == q] = np.inf
-                near = np.flatnonzero(d <= np.partition(d, k - 1)[k - 1]) if len(d) > k else np.arange(len(d))
-                near = near[np.isfinite(d[near])]
-                near = near[np.lexsort((own[near], d[near]))][:k]
-                out += [(q, own[i], d[i]) for i in near]
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
+            x, own, q, v = _stack(held["v"]), held["id"].to_numpy(), asks["id"].to_numpy(), _stack(asks["v"])
+            few = max(1, PAIRS // len(x))
+            found += [nearest(x, own, v[at : at + few], q[at : at + few], k) for at in range(0, len(q), few)]
+        return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), map(np.concatenate, zip(*found, strict=True)), strict=True)))
 
     key = ["list", "chunk"]
     found = postings.select(*key, "id", "v").groupBy(*key).cogroup(asked.select(*key, "id", "v").groupBy(*key)).applyInPandas(compare, "query_id long, vec_id long, score double")
